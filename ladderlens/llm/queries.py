@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ladderlens.llm import langid
+from ladderlens.llm import bpe, langid
 from ladderlens.llm.common import id_bucket
 
 
@@ -22,7 +25,26 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+BPE_FIELDS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
+def bpe_digest(codec: bpe.Codec, ids: str) -> dict:
+    """Count of the ids, hash of the ids, and hash of what they decode to."""
+    return {
+        "n_tokens": ids.count(" ") + 1 if ids else 0,
+        "ids_sha256": hashlib.sha256(ids.encode()).hexdigest(),
+        "decoded_sha256": hashlib.sha256(codec.decode(ids)).hexdigest(),
+    }
+
+
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded by byte-level BPE and decoded again."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe.encode(documents(spark, sf_dir), path, public_tokenizers.PATTERN, ["doc_id"], bpe_digest, BPE_FIELDS)
+
+
 QUERIES = {
+    "op3_byte_bpe": op3_byte_bpe,
     "op10_language_id": op10_language_id,
 }
 
