@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ladderlens.llm import bpe, langid
+from ladderlens.llm import bpe, langid, secrets
 from ladderlens.llm.common import id_bucket
 
 
@@ -43,8 +43,30 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(documents(spark, sf_dir), path, public_tokenizers.PATTERN, ["doc_id"], bpe_digest, BPE_FIELDS)
 
 
+def span_text(spans, sep: str = ","):
+    """kind:start:end of each span, joined."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), sep)
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: spans of the fixed patterns and of the inferred automata."""
+    found = secrets.scan(documents(spark, sf_dir), ["doc_id"])
+    of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    base = F.filter("spans", lambda s: s["kind"] != "format")
+    return found.select(
+        "doc_id",
+        of("assign").alias("n_assign"),
+        of("access").alias("n_access"),
+        of("hex").alias("n_hex"),
+        F.sha2(span_text(base), 256).alias("base_sha256"),
+        span_text(F.col("spans")).alias("spans"),
+        of("format").alias("n_format"),
+    )
+
+
 QUERIES = {
     "op3_byte_bpe": op3_byte_bpe,
+    "op8_secret_scan": op8_secret_scan,
     "op10_language_id": op10_language_id,
 }
 
