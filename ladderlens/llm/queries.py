@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ladderlens.llm import bpe, langid, secrets
+from ladderlens.llm import bpe, langid, secrets, simhash
 from ladderlens.llm.common import id_bucket
 
 
@@ -43,6 +43,12 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(documents(spark, sf_dir), path, public_tokenizers.PATTERN, ["doc_id"], bpe_digest, BPE_FIELDS)
 
 
+def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every document, and the smallest doc_id of those it is linked with."""
+    found = simhash.near_duplicates(documents(spark, sf_dir))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def span_text(spans, sep: str = ","):
     """kind:start:end of each span, joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), sep)
@@ -66,6 +72,7 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_simhash_dedup": op4_simhash_dedup,
     "op8_secret_scan": op8_secret_scan,
     "op10_language_id": op10_language_id,
 }
