@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ladderlens.llm import bpe, langid, secrets, simhash
+from ladderlens.llm import bpe, decontaminate, langid, secrets, simhash
 from ladderlens.llm.common import id_bucket
 
 
@@ -49,6 +49,11 @@ def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item found in a document, within its error budget."""
+    return decontaminate.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def span_text(spans, sep: str = ","):
     """kind:start:end of each span, joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), sep)
@@ -73,6 +78,7 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_byte_bpe": op3_byte_bpe,
     "op4_simhash_dedup": op4_simhash_dedup,
+    "op6_benchmark_leaks": op6_benchmark_leaks,
     "op8_secret_scan": op8_secret_scan,
     "op10_language_id": op10_language_id,
 }
