@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ladderlens.llm import bpe, decontaminate, langid, secrets, simhash
+from ladderlens.llm import bpe, decontaminate, langid, secrets, sharding, simhash
 from ladderlens.llm.common import id_bucket
 
 
@@ -25,6 +25,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op2_vector_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards of near equal bytes."""
+    return sharding.shard(documents(spark, sf_dir), 40)
+
+
 BPE_FIELDS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -76,6 +81,7 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_vector_shards": op2_vector_shards,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_simhash_dedup": op4_simhash_dedup,
     "op6_benchmark_leaks": op6_benchmark_leaks,
