@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ladderlens.llm import bpe, decontaminate, langid, secrets, sharding, simhash
+from ladderlens.llm import bpe, decontaminate, langid, quality_rules, secrets, sharding, simhash
 from ladderlens.llm.common import id_bucket
 
 
@@ -59,6 +59,12 @@ def op6_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures of every document, and whether the rules keep it."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality_rules.quality(documents(spark, sf_dir), labels).select("doc_id", *quality_rules.MEASURES, "base_failed", "kept", "failed_rules")
+
+
 def span_text(spans, sep: str = ","):
     """kind:start:end of each span, joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), sep)
@@ -85,6 +91,7 @@ QUERIES = {
     "op3_byte_bpe": op3_byte_bpe,
     "op4_simhash_dedup": op4_simhash_dedup,
     "op6_benchmark_leaks": op6_benchmark_leaks,
+    "op7_quality_rules": op7_quality_rules,
     "op8_secret_scan": op8_secret_scan,
     "op10_language_id": op10_language_id,
 }
