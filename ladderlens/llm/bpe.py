@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 CHUNK, OVERLAP = 1 << 15, 1 << 9
 #: A boundary is sure if this many characters follow it: a contraction is looked up over three.
 MARGIN = 4
-CACHED = 1 << 18
+CACHED = 1 << 17
 
 
 class Codec:
@@ -61,6 +62,12 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, ids.split()))
 
 
+@lru_cache(maxsize=1)
+def codec_of(ranks_file: bytes, pattern: str) -> Codec:
+    """One codec for all batches and groups of a Python worker."""
+    return Codec(ranks_file, pattern)
+
+
 def boundaries(find: regex.Pattern, text: str) -> np.ndarray:
     """Starts of the pre-tokens of text; they cover it without gaps."""
     return np.fromiter((m.start() for m in find.finditer(text)), np.int64)
@@ -120,7 +127,7 @@ def encode(
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", " + fields
 
     def whole(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = Codec(*shared.value)
+        codec = codec_of(*shared.value)
         for frame in frames:
             rows = [derive(codec, codec.encode_pieces(codec.find.findall(t))) for t in frame["_text"]]
             yield pd.concat([frame[keep].reset_index(drop=True), pd.DataFrame(rows)], axis=1)
@@ -138,7 +145,7 @@ def encode(
             yield frame.assign(_starts=[boundaries(find, b) for b in frame["_body"]])
 
     def join(frame: pd.DataFrame) -> pd.DataFrame:
-        codec = Codec(*shared.value)
+        codec = codec_of(*shared.value)
         parts = frame.sort_values("_no").drop_duplicates("_no")
         text = "".join(b[:chunk] for b in parts["_body"])
         starts = stitch(codec.find, text, [np.asarray(s) + n * chunk for s, n in zip(parts["_starts"], parts["_no"], strict=True)], chunk, overlap)
