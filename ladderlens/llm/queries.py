@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ladderlens.llm import bpe, decontaminate, langid, quality_rules, secrets, sharding, simhash
+from ladderlens.llm import bpe, decontaminate, langid, quality_rules, repeats, secrets, sharding, simhash
 from ladderlens.llm.common import id_bucket
 
 
@@ -54,6 +54,20 @@ def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+REPEATS_FIELDS = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+
+
+def repeats_digest(data: bytes, spans: list[tuple[int, int]]) -> dict:
+    """Sizes of what is removed from a text, and the hash of what is kept."""
+    kept = repeats.kept_text(data, spans)["kept"]
+    return {"n_bytes": len(data), "n_removed": len(data) - len(kept), "n_spans": len(spans), "kept_sha256": hashlib.sha256(kept).hexdigest()}
+
+
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that a string of 100 bytes covers which starts earlier."""
+    return repeats.deduplicate(documents(spark, sf_dir), 100, repeats_digest, REPEATS_FIELDS)
+
+
 def op6_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark item found in a document, within its error budget."""
     return decontaminate.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -90,6 +104,7 @@ QUERIES = {
     "op2_vector_shards": op2_vector_shards,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_simhash_dedup": op4_simhash_dedup,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_benchmark_leaks": op6_benchmark_leaks,
     "op7_quality_rules": op7_quality_rules,
     "op8_secret_scan": op8_secret_scan,
