@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ladderlens.llm import bpe, decontaminate, langid, quality_rules, repeats, secrets, sharding, simhash
+from ladderlens.llm import bpe, decontaminate, langid, quality_model, quality_rules, repeats, secrets, sharding, simhash
 from ladderlens.llm.common import id_bucket
 
 
@@ -16,6 +16,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from labels where crc32(doc_id) mod 5 is not 0."""
+    docs = documents(spark, sf_dir)
+    held = F.coalesce(id_bucket(F.col("doc_id"), 5) == 0, F.lit(False))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    model = quality_model.fit(docs.where(~held).join(labels, "doc_id"))
+    out = quality_model.score(docs, model, ["doc_id"])
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned where crc32(doc_id) mod 4 is not 2."""
     docs = documents(spark, sf_dir)
@@ -108,6 +118,7 @@ QUERIES = {
     "op6_benchmark_leaks": op6_benchmark_leaks,
     "op7_quality_rules": op7_quality_rules,
     "op8_secret_scan": op8_secret_scan,
+    "op9_quality_model": op9_quality_model,
     "op10_language_id": op10_language_id,
 }
 
