@@ -137,3 +137,18 @@ def contaminated(docs: DataFrame, items: DataFrame, error_rate: float = 0.08, mi
 
         out = out.unionByName(docs.mapInPandas(run, schema))
     return out
+
+
+def clean(docs: DataFrame, items: DataFrame, error_rate: float = 0.08, min_chars: int = 40, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of docs in whose text no item is found."""
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in docs.columns)
+    for block in item_blocks(items, min_chars, block_chars):
+        shared = docs.sparkSession.sparkContext.broadcast(block)  # block_chars and one item at most
+
+        def run(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            matcher = Matcher(shared.value, error_rate)
+            for frame in frames:
+                yield frame[[not isinstance(t, str) or not matcher.matches(normal(t)) for t in frame["text"]]]
+
+        docs = docs.mapInPandas(run, schema)
+    return docs

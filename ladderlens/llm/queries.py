@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ladderlens.llm import bpe, decontaminate, langid, quality_model, quality_rules, repeats, secrets, sharding, simhash
+from ladderlens.llm import bpe, decontaminate, langid, licenses, quality_model, quality_rules, repeats, secrets, sharding, simhash
 from ladderlens.llm.common import id_bucket
 
 
@@ -16,6 +16,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of a document with licence language, and its family."""
+    return licenses.scan(documents(spark, sf_dir))
+
+
 def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document, learned from labels where crc32(doc_id) mod 5 is not 0."""
     docs = documents(spark, sf_dir)
@@ -111,6 +116,7 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op2_vector_shards": op2_vector_shards,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_simhash_dedup": op4_simhash_dedup,

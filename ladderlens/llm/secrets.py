@@ -205,3 +205,25 @@ def scan(docs: DataFrame, keep: list[str], threshold: float = 0.1, automata: lis
 
     cols = list(dict.fromkeys([*keep, text]))
     return docs.select(*cols).mapInPandas(run, f"{schema}, spans array<struct<start: int, end: int, kind: string>>")
+
+
+def redacted(text: str, found: list[tuple[int, int, str]], mark: str) -> str:
+    """text with each span, or run of spans that touch or overlap, replaced by mark."""
+    out, end = [], 0
+    for a, b, _ in found:
+        if a > end or not out:
+            out += [text[end:a], mark]
+        end = max(end, b)
+    return "".join([*out, text[end:]])
+
+
+def redact(docs: DataFrame, mark: str = "[SECRET]", threshold: float = 0.1, automata: list[Automaton] | None = None, text: str = "text") -> DataFrame:
+    """All rows of docs; every secret in the text is replaced by mark."""
+    automata = automata or trained()
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in docs.columns)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield frame.assign(**{text: [redacted(t, spans(t, automata, threshold), mark) if isinstance(t, str) else None for t in frame[text]]})
+
+    return docs.mapInPandas(run, schema)

@@ -55,15 +55,15 @@ def fingerprint(text: str | None, width: int = 4) -> int:
     return int(np.packbits(2 * counts > total, bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, keep: list[str], width: int = 4) -> DataFrame:
-    """The columns in keep, and ``fp``, of every row."""
+def fingerprints(docs: DataFrame, keep: list[str], width: int = 4, name: str = "fp") -> DataFrame:
+    """The columns in keep, and the fingerprint, of every row."""
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield frame[keep].assign(fp=np.array([fingerprint(t, width) for t in frame["text"]], np.int64))
+            yield frame[keep].assign(**{name: np.array([fingerprint(t, width) for t in frame["text"]], np.int64)})
 
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInPandas(run, f"{schema}, fp long")
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInPandas(run, f"{schema}, `{name}` long")
 
 
 def masks(n: int, radius: int, bucket: int = 4096) -> list[int]:
@@ -181,3 +181,12 @@ def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFra
     linked = materialize(linked, "groups")
     least = linked.groupBy("label").agg(F.min("least").alias("component_id"))
     return rows.join(linked.join(least, "label").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFrame:
+    """The columns of docs, of the row with the smallest doc_id in each group; null ids come last."""
+    rows = materialize(fingerprints(docs, docs.columns, width, "_fp").withColumn("_row", F.monotonically_increasing_id()), "rows")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "_row"))
+    one = materialize(rows.groupBy(F.col("_fp").alias("fp")).agg(first.alias("first")), "prints")
+    groups = one.join(link(one, radius), "fp", "left").groupBy(F.coalesce("label", "fp").alias("label")).agg(F.min("first").alias("first"))
+    return rows.join(groups.select(F.col("first._row").alias("_row")), "_row", "left_semi").select(*docs.columns)
