@@ -1,11 +1,13 @@
 """License scans: a trained paragraph classifier, with columns only.
 
 Paragraphs are the lines of a text.  A sparse logistic regression over word
-1- and 2-grams is trained on the templates below, on parts of them and on
-other text.  Its classes are the licence families, ``unknown`` (licence
+1- and 2-grams is trained on the templates below, on parts of them, on
+other text and on single words of licences inside other text.  Its classes are the licence families, ``unknown`` (licence
 language of no family) and ``none``.  Probabilities are calibrated by a
 temperature on held-out examples, and a family's prediction below ``floor``
 (set so that few held-out examples of other licences pass) is ``unknown``.  A
+paragraph whose probability of being any licence is below ``detect`` (set so
+that few held-out examples of other text pass) is ``none``.  A
 prediction stands only if the paragraph shares enough of its word pairs with a
 template of the family; otherwise it is ``unknown`` too.
 
@@ -24,9 +26,9 @@ from __future__ import annotations
 
 import json
 import random
-import re
 
 import numpy as np
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -123,21 +125,31 @@ PLAIN = [
     "The author of this work lives in the city and writes for the public.",
     "International rights groups met to talk about attribution of the attack.",
     "This is an ordinary paragraph of text without any special words in it.",
+    "Der Hund geht mit dem Kind in den Park und kommt mit dem Bus wieder nach Hause.",
+    "Mit der Zeit wird alles gut, und mit Geduld noch besser.",
+    "Er fährt mit dem Zug.",
+    "Le public attend la version originale dans la salle sous la pluie.",
+    "El general no tiene licencia para usar la fuente original.",
 ]
 #: Words that no feature starts from.
-COMMON = set("a an and any are as at be but by can for from has have if in is it its may must no not of on or that the their this to was were with you your all which who will into out only see".split())
+COMMON = set("a an and any are as at be but by can for from has have if in is it its may must no not of on or that the their this to was were with you your all under which who will into out only see".split())
 
-SPLIT = "[^a-z0-9]+"
+SPLIT = r"[^\p{L}\p{N}]+"
 
 
 def words(text: str) -> list[str]:
-    return [w for w in re.split(SPLIT, text.lower()) if w]
+    return [w for w in regex.split(SPLIT, text.lower()) if w]
 
 
 def grams(tokens: list[str]) -> set[str]:
     return set(tokens) | {f"{a} {b}" for a, b in zip(tokens, tokens[1:])}  # noqa: B905
 
 
+def telling(word: str) -> bool:
+    """Whether features may start from this word: numbers and common words say nothing alone."""
+    return word not in COMMON and not word.isdigit()
+
+
 def examples(seed: int = 3) -> list[tuple[str, str]]:
     """(text, class): templates, parts of them, with words left out and inside other text."""
     r, out = random.Random(seed), []
@@ -156,18 +168,21 @@ def examples(seed: int = 3) -> list[tuple[str, str]]:
             out.append((" ".join(part), label))
         noise = [w for t in PLAIN for w in t.split()]
         out += [(" ".join(r.choice(noise) for _ in range(r.randint(3, 20))), NONE) for _ in range(3)]
+    for word in sorted({w for t, label in sources if label != NONE for w in words(t) if telling(w)}):  # a word alone is no licence
+        for _ in range(4):
+            out.append((" ".join([r.choice(noise) for _ in range(r.randint(1, 12))] + [word] + [r.choice(noise) for _ in range(r.randint(1, 12))]), NONE))
     return out
 
 
 class Model:
-    """Classes, a weight for each (gram, class), constants, temperature and the least probability of a family."""
+    """Classes, a weight for each (gram, class), constants, temperature, and the least probabilities of a family (floor) and of any licence (detect)."""
 
     def __init__(self, l1: float = 2e-4, steps: int = 400) -> None:
         rows = examples()
         self.classes = [*sorted(TEMPLATES), UNKNOWN, NONE]
         hold = np.arange(len(rows)) % 4 == 3
         features = [grams(words(t)) for t, _ in rows]
-        known = sorted({g for t in [*(t for ts in TEMPLATES.values() for t in ts), *OTHER] for g in grams(words(t)) if any(w not in COMMON for w in g.split())})
+        known = sorted({g for t in [*(t for ts in TEMPLATES.values() for t in ts), *OTHER] for g in grams(words(t)) if any(map(telling, g.split()))})
         self.grams = known
         column = {g: i for i, g in enumerate(known)}
         x = np.zeros((len(rows), len(known)))
@@ -180,6 +195,8 @@ class Model:
         p = self._softmax(logits / self.temperature)[:, : len(TEMPLATES)].max(axis=1)
         other = p[y[hold] >= len(TEMPLATES)]
         self.floor = float(round(max(0.5, np.quantile(other, 0.99)), 4))
+        held = self._softmax(logits / self.temperature)
+        self.detect = float(round(max(0.5, np.quantile(1 - held[y[hold] == len(self.classes) - 1, -1], 0.99)), 4))
         used = np.abs(self.weights).sum(axis=1) > 0
         self.grams, self.weights = [g for g, u in zip(known, used, strict=True) if u], self.weights[used]
         if self.constants.argmax() != self.classes.index(NONE):
@@ -227,7 +244,7 @@ def scan(docs: DataFrame, model: Model | None = None, confirm: float = 0.8) -> D
     model = model or Model()
     spark, n = docs.sparkSession, len(model.classes)
     tokens = F.filter(F.split(F.lower("line_text"), SPLIT), lambda w: w != "")
-    vocabulary = F.lit(sorted({w for g in model.grams for w in g.split() if w not in COMMON}))
+    vocabulary = F.lit(sorted({w for g in model.grams for w in g.split() if telling(w)}))
     lines = (
         docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "line_text"))
         .where(F.length("line_text") > 0)
@@ -245,12 +262,14 @@ def scan(docs: DataFrame, model: Model | None = None, confirm: float = 0.8) -> D
     )
     logit = [(F.col(f"s{i}") + float(model.constants[i])) / model.temperature for i in range(n)]
     top = F.greatest(*logit)
+    mass = sum((F.exp(z - top) for z in logit), F.lit(0.0))
     scored = scored.select(
         "h1",
         "h2",
         F.coalesce(*(F.when(z == top, F.lit(c)) for c, z in zip(model.classes, logit, strict=True))).alias("predicted"),
-        (1 / sum((F.exp(z - top) for z in logit), F.lit(0.0))).alias("probability"),
-    ).where(F.col("predicted") != NONE)
+        (1 / mass).alias("probability"),
+        (1 - F.exp(logit[-1] - top) / mass).alias("any"),
+    ).where((F.col("predicted") != NONE) & (F.col("any") >= model.detect))
     templates = literal_table(spark, [{"family": f, "own": sorted(p for p in grams(words(t)) if " " in p)} for f, ts in TEMPLATES.items() for t in ts], "family string, own array<string>")
     near = (
         scored.join(once, ["h1", "h2"])
