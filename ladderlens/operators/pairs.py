@@ -22,11 +22,18 @@ def at_horizons(panel: DataFrame, period: str, horizons: Sequence[int], days: in
 def growth_pairs(panel: DataFrame, period: str, value: str, rank: str, horizons: Sequence[int], days: int = 1, how: str = "inner") -> DataFrame:
     """Rows of the panel with value_next and rank_next of the same endpoint at each horizon, and g, the growth of the log.
 
-    how="left" keeps rows whose endpoint is gone by then; their g is null.
+    (period, endpoint) is unique in a panel, so what lies exactly horizon x
+    days ahead is a range frame of one row: all horizons share one exchange by
+    endpoint, and nothing is joined.  how="left" keeps rows whose endpoint is
+    gone by then; their g is null.
     """
-    after = panel.select(F.col(period).alias("_next"), "endpoint_id", F.col(value).alias("value_next"), F.col(rank).alias("rank_next"))
-    pairs = at_horizons(panel, period, horizons, days).join(after, ["_next", "endpoint_id"], how)
-    return pairs.withColumn("g", F.ln("value_next") - F.ln(value)).drop("_next")
+    order = Window.partitionBy("endpoint_id").orderBy(F.unix_date(period))
+    ahead = {f"_{c}{h}": F.first(name).over(order.rangeBetween(h * days, h * days)) for h in horizons for c, name in (("v", value), ("r", rank))}
+    met = F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"_v{h}").alias("value_next"), F.col(f"_r{h}").alias("rank_next")) for h in horizons])
+    if how == "inner":
+        met = F.filter(met, lambda x: x["value_next"].isNotNull())
+    pairs = panel.withColumns(ahead).select(*panel.columns, F.inline(met))
+    return pairs.withColumn("g", F.ln("value_next") - F.ln(value))
 
 
 def observed_starts(panel: DataFrame, period: str, horizons: Sequence[int], days: int = 1) -> DataFrame:

@@ -25,7 +25,8 @@ def activity(df: DataFrame, period: Column, endpoint: Column, metric: Column, na
 
     Sums are rounded, so that they don't depend on the order of the rows.
     """
-    return df.groupBy(period.alias(names[0]), endpoint.cast("string").alias(names[1])).agg(F.round(F.sum(metric), decimals).alias(names[2]))
+    sums = df.groupBy(period.alias(names[0]), endpoint.alias(names[1])).agg(F.round(F.sum(metric), decimals).alias(names[2]))
+    return sums.withColumn(names[1], F.col(names[1]).cast("string"))
 
 
 def positive(df: DataFrame, metric: str, keys: Sequence[str]) -> DataFrame:
@@ -82,16 +83,32 @@ def previous_rank(df: DataFrame, period: str, metric: str, name: str, days: int
     return ranked(df.join(before, [period, "endpoint_id"], "left"), period, metric, name, ties=[F.asc_nulls_last("_before"), F.col("endpoint_id")]).drop("_before")
 
 
-def daily_panel(df: DataFrame, date: Column, endpoint: Column, metric: Column) -> DataFrame:
-    """date, endpoint_id, metric_value, total_metric, share, rank (unique; ties by id) of positive rows."""
+def panel(own: DataFrame, names: tuple[str, str, str, str, str], wide: bool = False, decimals: int = 2) -> DataFrame:
+    """own (period, endpoint_id, metric) with the period's total, each row's share and its unique rank; ties by id.
+
+    names are those of the period, metric, total, share and rank.  Totals and
+    ranks come from one exchange by period.  wide is for periods that are too
+    large for one task: totals are summed before the shuffle, and ranks are
+    given out within slices of the metric.
+    """
+    period, metric, total, share, rank = names
+    if wide:
+        return ranked_wide(shares(own, period, metric, total, share, decimals), period, metric, rank, ties=[F.col("endpoint_id")])
+    whole = Window.partitionBy(period)
+    out = own.withColumn(total, F.round(F.sum(metric).over(whole), decimals)).withColumn(share, F.try_divide(metric, total))
+    return out.withColumn(rank, F.row_number().over(whole.orderBy(F.desc(metric), "endpoint_id")))
+
+
+def daily_panel(df: DataFrame, date: Column, endpoint: Column, metric: Column, wide: bool = False) -> DataFrame:
+    """date, endpoint_id, metric_value, total_metric, share, rank of positive rows."""
     own = positive(activity(df, F.to_date(date), endpoint, metric, ("date", "endpoint_id", "metric_value")), "metric_value", ["date", "endpoint_id"])
-    return ranked(shares(own, "date", "metric_value", "total_metric", "share"), "date", "metric_value", "rank", ties=[F.col("endpoint_id")])
+    return panel(own, ("date", "metric_value", "total_metric", "share", "rank"), wide)
 
 
-def weekly_panel(df: DataFrame, date: Column, endpoint: Column, metric: Column) -> DataFrame:
+def weekly_panel(df: DataFrame, date: Column, endpoint: Column, metric: Column, wide: bool = False) -> DataFrame:
     """week_start, endpoint_id, weekly_metric, weekly_total, weekly_share, rank_w of positive rows."""
     own = positive(activity(df, week_of(date), endpoint, metric, ("week_start", "endpoint_id", "weekly_metric")), "weekly_metric", ["week_start", "endpoint_id"])
-    return ranked(shares(own, "week_start", "weekly_metric", "weekly_total", "weekly_share"), "week_start", "weekly_metric", "rank_w", ties=[F.col("endpoint_id")])
+    return panel(own, ("week_start", "weekly_metric", "weekly_total", "weekly_share", "rank_w"), wide)
 
 
 def weekly_of_daily(daily: DataFrame) -> DataFrame:
