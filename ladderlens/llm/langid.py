@@ -31,6 +31,10 @@ LETTER = regex.compile(r"\p{L}")
 PIECE = 1 << 20
 
 
+#: Multipliers of the hash: for the order of the n-gram, before and after the shift.
+MIX = (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35)
+
+
 def ngram_buckets(data: bytes) -> np.ndarray:
     """Bucket of each n-gram of data: one block for each order."""
     b = np.frombuffer(data, np.uint8).astype(np.uint32)
@@ -39,9 +43,9 @@ def ngram_buckets(data: bytes) -> np.ndarray:
         if len(b) < n:
             break
         code = (code[: len(b) - n + 1] << np.uint32(8)) | b[n - 1 :]
-        mixed = (code + np.uint32(n * 0x9E3779B1 & 0xFFFFFFFF)) * np.uint32(0x85EBCA6B)
+        mixed = (code + np.uint32(n * MIX[0] & 0xFFFFFFFF)) * np.uint32(MIX[1])
         mixed ^= mixed >> np.uint32(13)
-        out.append((mixed * np.uint32(0xC2B2AE35)) >> np.uint32(32 - BITS))
+        out.append((mixed * np.uint32(MIX[2])) >> np.uint32(32 - BITS))
     return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
 
@@ -84,13 +88,13 @@ def fit(rows: DataFrame, max_rows: int = 20_000, smoothing: float = 0.5) -> tupl
     counts = np.full((BUCKETS, len(langs)), smoothing)
     if langs:
         np.add.at(counts, (found["bucket"].to_numpy(), pd.Categorical(found["lang"], categories=langs).codes), found["n"].to_numpy())
-    return langs, np.log(counts / counts.sum(axis=0)).astype(np.float32)
+    return langs, np.log(counts / counts.sum(axis=0))
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str]) -> DataFrame:
     """The columns in keep, with lang_pred and score (posterior of lang_pred)."""
     langs, logp = model
-    shared = docs.sparkSession.sparkContext.broadcast(logp.astype(np.float64))  # BUCKETS x languages floats
+    shared = docs.sparkSession.sparkContext.broadcast(logp)  # BUCKETS x languages floats
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -36,16 +36,27 @@ SYMBOLS = "#*$%&|<>"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
+#: Cutoffs of each rule, from mild to strict.
+CUTOFFS = {
+    "symbols": [1.0, 0.8, 0.6, 0.5, 0.4, 0.3, 0.2, 0.15, 0.1, 0.05, 0.02],
+    "repeats": [0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2, 0.15, 0.1, 0.05],
+    "duplicate_lines": [0.2, 0.1, 0.05, 0.03, 0.02, 0.01, 0.005, 0.002],
+    "long_words": [30.0, 20.0, 15.0, 12.0, 11.0, 10.0, 9.0, 8.5, 8.0, 7.5, 7.0],
+    "short_words": [-1.5, -2.0, -2.5, -3.0, -3.5, -4.0, -4.5, -5.0],
+}
+
+
 def rules() -> dict[str, tuple[Column, list[float]]]:
-    """name: (measure, cutoffs from mild to strict); a rule rejects what is above its cutoff."""
+    """name: (measure, cutoffs); a rule rejects what is above its cutoff."""
     words = F.col("n_words").cast("double")
-    return {
-        "symbols": (F.try_divide("n_symbols", words), [1.0, 0.8, 0.6, 0.5, 0.4, 0.3, 0.2, 0.15, 0.1, 0.05, 0.02]),
-        "repeats": (F.try_divide("n_repeat_words", words), [0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2, 0.15, 0.1, 0.05]),
-        "duplicate_lines": (F.try_divide("n_dup_lines", words), [0.2, 0.1, 0.05, 0.03, 0.02, 0.01, 0.005, 0.002]),
-        "long_words": (F.try_divide("word_chars", words), [30.0, 20.0, 15.0, 12.0, 11.0, 10.0, 9.0, 8.5, 8.0, 7.5, 7.0]),
-        "short_words": (-F.try_divide("word_chars", words), [-1.5, -2.0, -2.5, -3.0, -3.5, -4.0, -4.5, -5.0]),
+    values = {
+        "symbols": F.try_divide("n_symbols", words),
+        "repeats": F.try_divide("n_repeat_words", words),
+        "duplicate_lines": F.try_divide("n_dup_lines", words),
+        "long_words": F.try_divide("word_chars", words),
+        "short_words": -F.try_divide("word_chars", words),
     }
+    return {name: (values[name], cutoffs) for name, cutoffs in CUTOFFS.items()}
 
 
 def measure(text: str | None) -> tuple[int, int, int, int, int]:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ladderlens.llm import bpe, decontaminate, langid, licenses, quality_model, quality_rules, repeats, secrets, sharding, simhash
 from ladderlens.llm.common import id_bucket
+from ladderlens.llm.oracles import oracle_sql  # noqa: F401
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +38,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.coalesce(id_bucket(F.col("doc_id"), 4) == 2, F.lit(False))
     model = langid.fit(docs.where(~held))
     out = langid.predict(docs, model, ["doc_id"])
-    return out.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+    return out.select("doc_id", held.alias("held_out"), "lang_pred", F.round("score", 6).alias("score"))
 
 
 def op2_vector_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,6 +128,3 @@ QUERIES = {
     "op9_quality_model": op9_quality_model,
     "op10_language_id": op10_language_id,
 }
-
-#: Queries that DuckDB SQL can express.
-ORACLE: dict[str, str] = {}
