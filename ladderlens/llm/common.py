@@ -46,3 +46,11 @@ def id_bucket(doc_id: Column, n: int) -> Column:
 
 def id_crc(doc_id: int) -> int:
     return zlib.crc32(str(doc_id).encode())
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with as many underscores before it as make it differ from all columns of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

@@ -91,8 +91,8 @@ def fit(rows: DataFrame, max_rows: int = 20_000, smoothing: float = 0.5) -> tupl
     return langs, np.log(counts / counts.sum(axis=0))
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str]) -> DataFrame:
-    """The columns in keep, with lang_pred and score (posterior of lang_pred)."""
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns in keep, with the predicted language and its posterior under the given names."""
     langs, logp = model
     shared = docs.sparkSession.sparkContext.broadcast(logp)  # BUCKETS x languages floats
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
@@ -100,10 +100,10 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = shared.value
         for frame in frames:
-            names, scores = [], []
+            found, scores = [], []
             for text in frame["text"]:
                 if not langs or not isinstance(text, str) or not LETTER.search(text):
-                    names.append("und")
+                    found.append("und")
                     scores.append(0.0)
                     continue
                 total = np.zeros(len(langs))
@@ -111,10 +111,10 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str
                     total += np.bincount(ngram_buckets(data), minlength=BUCKETS).astype(np.float64) @ table
                 p = np.exp(total - total.max())
                 best = int(p.argmax())
-                names.append(langs[best])
+                found.append(langs[best])
                 scores.append(float(p[best] / p.sum()))
-            yield frame[keep].assign(lang_pred=names, score=scores)
+            yield frame[keep].assign(**dict(zip(names, (found, scores), strict=True)))
 
     cols = list(dict.fromkeys([*keep, "text"]))
-    return docs.select(*cols).mapInPandas(score, f"{fields}, lang_pred string, score double")
+    return docs.select(*cols).mapInPandas(score, f"{fields}, `{names[0]}` string, `{names[1]}` double")
 

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ladderlens.llm.common import materialize
+from ladderlens.llm.common import free_name, materialize
 from ladderlens.llm.components import components
 
 BLOCK = 16_384
@@ -185,8 +185,9 @@ def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFra
 
 def one_of_each(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFrame:
     """The columns of docs, of the row with the smallest doc_id in each group; null ids come last."""
-    rows = materialize(fingerprints(docs, docs.columns, width, "_fp").withColumn("_row", F.monotonically_increasing_id()), "rows")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "_row"))
-    one = materialize(rows.groupBy(F.col("_fp").alias("fp")).agg(first.alias("first")), "prints")
+    fp, row = free_name(docs, "_fp"), free_name(docs, "_row")
+    rows = materialize(fingerprints(docs, docs.columns, width, fp).withColumn(row, F.monotonically_increasing_id()), "rows")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", F.col(row).alias("row")))
+    one = materialize(rows.groupBy(F.col(fp).alias("fp")).agg(first.alias("first")), "prints")
     groups = one.join(link(one, radius), "fp", "left").groupBy(F.coalesce("label", "fp").alias("label")).agg(F.min("first").alias("first"))
-    return rows.join(groups.select(F.col("first._row").alias("_row")), "_row", "left_semi").select(*docs.columns)
+    return rows.join(groups.select(F.col("first.row").alias(row)), row, "left_semi").select(*docs.columns)

@@ -61,7 +61,7 @@ def test_run_equals_brute_force(spark, tmp_path):
 
 def test_all_stages_but_the_last_keep_the_columns(spark, tmp_path):
     fixture(spark, tmp_path)
-    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").selectExpr("*", "'x' AS extra")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").selectExpr("*", "'x' AS extra", "1 AS score", "2 AS _fp", "3 AS ids", "4 AS spans", "5 AS lang_pred", "6 AS fp", "7 AS key")
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, str(tmp_path))
         if name != "tokens":
