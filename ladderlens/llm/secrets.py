@@ -7,7 +7,10 @@ a deterministic probabilistic automaton.  Characters that say nothing about a
 format are read as classes (digit, lower, upper, mark).  Every run of
 credential characters in a text is scored by each automaton: the mean, over
 its characters, of log likelihood under the format against a plain model of
-text.  A run above ``threshold`` is a ``format`` span.
+text.  A credential may be joined to other characters of its run: it starts at
+the run's start, after a separator or at a format's literal start, and ends at
+the run's end or before a separator.  From each start, the longest part above
+``threshold`` is a ``format`` span; the next one starts after it.
 
 Defined results: a null text counts as empty and has no span.  Spans are in
 code points, end exclusive, by start and then kind as in KINDS.  Repeated rows
@@ -19,7 +22,9 @@ from __future__ import annotations
 import math
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -30,6 +35,8 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # runs are maximal, so this equals [0-9a-f]+ of 16 and more
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+SEPARATORS = frozenset("+/_.=-")
+SHORTEST = 16
 
 #: Public credential formats as (name, literal start, length of the rest, alphabet of the rest).
 FORMATS = [
@@ -158,16 +165,20 @@ def infer(examples: list[str], alpha: float = 0.05) -> Automaton:
     return Automaton(moves, [ends[s] / arrive[s] for s in red], start)
 
 
-def plain_model(text: str) -> float:
-    """Log-probability of a run of text under a plain model: words are letters of one case, after each other."""
-    total, before = 0.0, ""
+def plain_steps(text: str) -> Iterator[float]:
+    """What each character adds to the log-probability of plain_model."""
+    before = ""
     for ch in text:
         now = symbol(ch)
         now = "l" if now in "az" else now
         same = 0.9 if now == before else 0.04
-        total += math.log(same / {"l": 8, "A": 8, "0": 10}.get(now, 1))
+        yield math.log(same / {"l": 8, "A": 8, "0": 10}.get(now, 1))
         before = now
-    return total
+
+
+def plain_model(text: str) -> float:
+    """Log-probability of a run of text under a plain model: words are letters of one case, after each other."""
+    return sum(plain_steps(text))
 
 
 def format_score(automata: list[Automaton], run: str) -> float:
@@ -176,15 +187,87 @@ def format_score(automata: list[Automaton], run: str) -> float:
     return -math.inf if best == -math.inf else (best - plain_model(run)) / len(run)
 
 
+class Walks:
+    """Walks of an automaton along a run, from several starts.
+
+    A walk that reaches a state at a place where an earlier one was in it too
+    goes on with that one's steps, so all walks together take few.
+    """
+
+    def __init__(self, automaton: Automaton, run: str, plain: list[float], threshold: float) -> None:
+        self.automaton, self.run, self.plain, self.threshold = automaton, run, plain, threshold
+        self.seen: dict[tuple[int, int], tuple[int, float]] = {}  # (place, state): walk, its log-likelihood there
+        self.walks: list[tuple[list[int], list[float], tuple[int, int, float] | None]] = []
+
+    def longest(self, at: int, need: float) -> int:
+        """Where the longest part from ``at`` ends whose log-likelihood, less those of the plain model and the threshold, is ``need`` or more; 0 if none."""
+        a, run, own = self.automaton, self.run, []
+        if not run.startswith(a.start, at):
+            return 0
+        i, state, total, into = at + len(a.start), 0, LITERAL * len(a.start), None
+        while True:
+            if (i, state) in self.seen:
+                k, there = self.seen[i, state]
+                into = (k, i, total - there)
+                break
+            self.seen[i, state] = (len(self.walks), total)
+            if a.stop[state] > 0 and (i == len(run) or run[i] in SEPARATORS):
+                own.append((i, total + math.log(a.stop[state]) - self.plain[i] - self.threshold * i))
+            ch = symbol(run[i]) if i < len(run) else ""
+            step = a.moves[state].get(ch)
+            if step is None:
+                break
+            state, i = step[0], i + 1
+            total += math.log(step[1]) - math.log(SIZE.get(ch, 1))
+        ends, scores = [], []  # later ends first; an earlier one only with a higher score
+        for end, score in reversed(own):
+            if not scores or score > scores[-1]:
+                ends.append(end)
+                scores.append(score)
+        self.walks.append((ends, scores, into))
+        tail, k, least = [], len(self.walks) - 1, at
+        while True:
+            tail.append((k, least, need))
+            if self.walks[k][2] is None:
+                break
+            k, least, more = self.walks[k][2]
+            need -= more
+        for k, least, need in reversed(tail):
+            ends, scores, _ = self.walks[k]
+            x = bisect_left(scores, need)
+            if x < len(ends) and ends[x] >= least:
+                return ends[x]
+        return 0
+
+
+def format_parts(automata: list[Automaton], run: str, threshold: float) -> Iterator[tuple[int, int]]:
+    """(start, end) of the credentials in a run."""
+    starts = {0, *(i + 1 for i, ch in enumerate(run) if ch in SEPARATORS)}
+    for x in {a.start for a in automata} - {""}:
+        i = run.find(x)
+        while i >= 0:
+            starts.add(i)
+            i = run.find(x, i + 1)
+    plain = list(accumulate(plain_steps(run), initial=0.0))
+    walks, done = [Walks(a, run, plain, threshold) for a in automata], 0
+    for at in sorted(starts):
+        if at < done or len(run) - at < SHORTEST:
+            continue
+        first = plain[at + 1] - plain[at] - plain_model(run[at])  # the first character has none before it
+        end = max(w.longest(at, -plain[at] - first - threshold * at - 1e-9) for w in walks)
+        if end - at >= SHORTEST and not run[at:end].isalpha() and not run[at:end].isdigit():
+            done = end
+            yield at, end
+
+
 def spans(text: str, automata: list[Automaton], threshold: float) -> list[tuple[int, int, str]]:
     """(start, end, kind) of all spans of a text."""
     found = [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
     found += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text) if len(m[0]) >= 18]
     found += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
     for m in CANDIDATE.finditer(text):
-        run = m[0]
-        if not run.isalpha() and not run.isdigit() and format_score(automata, run) >= threshold:
-            found.append((m.start(), m.end(), "format"))
+        if not m[0].isalpha() and not m[0].isdigit():
+            found += [(m.start() + a, m.start() + b, "format") for a, b in format_parts(automata, m[0], threshold)]
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 

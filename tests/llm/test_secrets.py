@@ -42,3 +42,31 @@ def test_rows(spark):
     got = secrets.scan(docs, ["doc_id"]).collect()
     assert len(got) == 5 and sum(len(r["spans"]) for r in got) == 1
     assert secrets.scan(docs.limit(0), ["doc_id"]).count() == 0
+
+
+def test_joined_credentials_are_found():
+    automata, r = secrets.trained(), random.Random(12)
+    for name, start, n, alphabet in secrets.FORMATS:
+        for _ in range(40):
+            key = start + "".join(r.choice(alphabet) for _ in range(n))
+            if not key[-1].isalnum() or secrets.format_score(automata, key) < 0.1:
+                continue
+            for before, after in (("KEY=", ""), ("path/to/", ""), ("", "."), ("see.", "/index.html"), ("name_", "="), ("a-", "...")):
+                text = f"say {before}{key}{after} here"
+                at = text.index(key)
+                found = [s for s in secrets.spans(text, automata, 0.1) if s[2] == "format"]
+                assert any(a <= at and at + len(key) <= b for a, b, _ in found), (name, text, found)
+                assert key not in secrets.redacted(text, secrets.spans(text, automata, 0.1), "*")
+    two = "ghp_" + "a1B2c3D4e5F6" * 3
+    assert [text for text in (f"{two}={two}",) if len([s for s in secrets.spans(text, automata, 0.1) if s[2] == "format"]) == 2]
+
+
+def test_parts_equal_whole_runs_and_long_runs_end():
+    automata, r = secrets.trained(), random.Random(13)
+    for _, start, n, alphabet in secrets.FORMATS:
+        for _ in range(50):
+            key = start + "".join(r.choice(alphabet) for _ in range(n))
+            if secrets.format_score(automata, key) >= 0.1:
+                assert (0, len(key), "format") in secrets.spans(key, automata, 0.1)
+    for unit in ("AKIA", "a-", "xoxb-", "AIza", "0f_", "ghp_a"):
+        secrets.spans(unit * 20_000, automata, 0.1)
