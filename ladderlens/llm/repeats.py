@@ -347,22 +347,27 @@ def _match(length: int):
     return run
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, key (long, in the order of documents, equal only for equal rows) and data (the bytes of the text)."""
+def keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """doc_id, key (long, in the order of documents, equal only for equal rows) and data (the bytes of the text); and whether keys may be repeated."""
     docs = docs.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"").cast("binary")).alias("data"))
     ids = docs.groupBy("doc_id").count()
     if not ids.where("count > 1 or doc_id is null").limit(1).count():
-        return docs.withColumn("key", F.col("doc_id").cast("long"))
+        return docs.withColumn("key", F.col("doc_id").cast("long")), False
     docs = docs.withColumn("h", F.xxhash64("data"))
     pairs = docs.select("doc_id", "h").distinct().orderBy(F.col("doc_id").asc_nulls_last(), "h")
     ranks = docs.sparkSession.createDataFrame(pairs.rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1])), "id long, g long, key long")
-    return docs.join(ranks, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("g"))).select("doc_id", "data", "key")
+    return docs.join(ranks, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("g"))).select("doc_id", "data", "key"), True
 
 
-def marks(docs: DataFrame, length: int, block: int = BLOCK) -> DataFrame:
-    """(key, s, e): spans of removed bytes, which may touch or overlap, from keyed documents."""
+def marks(docs: DataFrame, length: int, block: int = BLOCK, repeated: bool = True) -> DataFrame:
+    """(key, s, e): spans of removed bytes, which may touch or overlap, from keyed documents.
+
+    Where keys may be repeated, one row of each is read.
+    """
     spark = docs.sparkSession
     texts = docs.select("key", "data").where(F.octet_length("data") >= length)
+    if repeated:
+        texts = materialize(texts.groupBy("key").agg(F.first("data").alias("data")), "texts")
     buckets = max(8, (texts.agg(F.sum(F.octet_length("data"))).first()[0] or 0) // BUCKET_BYTES)
     seen = texts.mapInPandas(_report_hot(length, block), "a long, n long, total long").groupBy("a").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
     seen = materialize(seen, "anchors")
@@ -397,8 +402,8 @@ def deduplicate(
     the schema of what it returns.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    docs = keyed(docs)
-    spans = marks(docs, length, block).groupBy("key").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    docs, repeated = keyed(docs)
+    spans = marks(docs, length, block, repeated).groupBy("key").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

@@ -91,3 +91,13 @@ def test_rows(spark):
         by.setdefault(g[0], []).append(g[1:])
     assert len(set(by[1])) == 1 and by[None][0][1] == len(b) and by[3] == by[4] == [(0, 0, 0, hashlib.sha256(b"").hexdigest())]
     assert run(spark, []) == []
+
+
+def test_repeated_rows_equal_brute_force(spark):
+    r = random.Random(8)
+    docs = list(enumerate(corpus(r, 20, 800)))
+    cut = brute([(k, t.encode()) for k, t in docs], 100)
+    rows = [(k, t) for k, t in docs for _ in range(1 + k % 3)]
+    want = sorted(((k, *digest(t.encode(), cut[k])) for k, t in rows), key=str)
+    assert any(n > 200 and not gone for _, n, gone, _, _ in want[1:])
+    assert run(spark, rows) == want
