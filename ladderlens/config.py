@@ -30,6 +30,8 @@ class EngineConfig:
     capture_sizes: tuple[int, ...] = (1000, 2000, 5000)
     bootstrap_replicates: int = 200
     bootstrap_block: int = 8
+    simulation_paths: int = 100
+    simulation_days: int = 365
     share_tolerance: float = 0.05
     seed: int = 42
 

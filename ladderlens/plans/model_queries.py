@@ -13,7 +13,7 @@ from ladderlens.config import SMALL, EngineConfig
 from ladderlens.functions import numeric
 from ladderlens.operators import model, pairs, stats
 from ladderlens.plans.inputs import rounded, supplier_weeks, user_days
-from ladderlens.plans.stat_queries import GROWTH_SQL, head
+from ladderlens.plans.stat_queries import GROWTH_SQL, first_rank_line, head
 from ladderlens.registry import query
 
 SIGMA_SQL = """
@@ -375,21 +375,27 @@ def m12(spark, d):
 
 @query("m37_simulation")
 def m37(spark, d):
-    """Paths of ranked shares: geometric steps with drift and noise by rank, then made to sum to 1."""
-    start = user_days(spark, d).groupBy("rank").agg(F.avg("share").alias("w")).where("rank <= 50").agg(F.sort_array(F.collect_list(F.struct("rank", "w"))).alias("w"))  # 50 ranks
-    paths = spark.range(8, numPartitions=4).crossJoin(F.broadcast(start)).select(F.col("id").alias("path"), F.transform("w", lambda x: x["w"]).alias("w"))
+    """Paths of the first day's shares by rank: geometric steps with the drift line's kappa and eta and the funnel's sigma, then made to sum to 1. Day 0 is the start."""
+    daily, config = user_days(spark, d), EngineConfig()
+    first = daily.join(F.broadcast(daily.agg(F.min("date").alias("date"))), "date").groupBy("rank").agg(F.avg("share").alias("w"))
+    start = first.agg(F.sort_array(F.collect_list(F.struct("rank", "w"))).alias("w"))  # a list of one day's ranks
+    line = pairs.growth_pairs(daily, "date", "share", "rank", [1]).agg(F.regr_intercept("g", "rank").alias("kappa"), (-F.regr_slope("g", "rank")).alias("eta"))
+    sigma = first_rank_line(spark, d).select(F.sqrt(F.greatest("slope", F.lit(1e-12))).alias("sigma"))
+    given = start.crossJoin(line).crossJoin(sigma)
+    ids = spark.range(config.simulation_paths, numPartitions=max(1, config.simulation_paths // 4))
+    paths = ids.crossJoin(F.broadcast(given)).select(F.col("id").alias("path"), F.transform("w", lambda x: x["rank"]).alias("rank"), F.transform("w", lambda x: x["w"]).alias("w"), "kappa", "eta", "sigma")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for path, w in zip(frame["path"], frame["w"], strict=True):
-                r = np.random.default_rng(np.random.SeedSequence([SMALL.seed, path]))
-                rank = np.arange(1, len(w) + 1)
-                w, rows = np.asarray(w, float) / np.sum(w), []
-                for day in range(1, 31):
-                    w = np.maximum(w * np.exp(0.01 - 0.0005 * rank + 0.1 * np.sqrt(np.log(rank)) * r.standard_normal(len(w))), 1e-12)
-                    w /= w.sum()
-                    rows.append(pd.DataFrame({"path": path, "day": day, "rank": rank, "share": w}))
-                yield pd.concat(rows)
+            for path, rank, w, kappa, eta, sigma in zip(*(frame[c] for c in frame.columns), strict=True):
+                r = np.random.default_rng(np.random.SeedSequence([config.seed, path]))
+                rank, w = np.asarray(rank, int), np.maximum(np.asarray(w, float), 1e-12)
+                w, drift, vol = w / w.sum(), kappa - eta * rank, sigma * np.sqrt(np.log(rank))
+                for day in range(config.simulation_days):
+                    if day:
+                        w = np.maximum(w * np.exp(drift + vol * r.standard_normal(len(w))), 1e-12)
+                        w /= w.sum()
+                    yield pd.DataFrame({"path": path, "day": day, "rank": rank, "share": w})
 
     return paths.mapInPandas(run, "path long, day int, rank int, share double")
 

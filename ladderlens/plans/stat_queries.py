@@ -218,6 +218,14 @@ def m29(spark, d):
     return fit.mapInPandas(value, "slope double, r2 double, n long, p double")
 
 
+def first_rank_line(spark, d):
+    daily = user_days(spark, d)
+    first = daily.groupBy("endpoint_id").agg(F.min_by("rank", "date").alias("rank"))
+    v = pairs.growth_pairs(daily, "date", "share", "rank", [1]).groupBy("endpoint_id").agg(F.var_samp("g").alias("v"))
+    by_rank = v.join(first, "endpoint_id").where("v > 0 and rank > 1").groupBy("rank").agg(F.avg("v").alias("y"))
+    return stats.weighted_line(by_rank, F.ln("rank"), F.col("y"), F.col("y"))
+
+
 @query(
     "m33_first_rank_funnel",
     f"""WITH {DAYS_SQL}, o AS (SELECT endpoint_id, min_by(rank, date) AS rank FROM daily GROUP BY 1), g AS (SELECT a.endpoint_id, ln(b.share) - ln(a.share) AS g FROM daily a JOIN daily b ON b.endpoint_id = a.endpoint_id AND b.date = a.date + 1),
@@ -226,11 +234,7 @@ def m29(spark, d):
 )
 def m33(spark, d):
     """Variance of each endpoint's daily growth on the log of its first rank, weighted by the variance."""
-    daily = user_days(spark, d)
-    first = daily.groupBy("endpoint_id").agg(F.min_by("rank", "date").alias("rank"))
-    v = pairs.growth_pairs(daily, "date", "share", "rank", [1]).groupBy("endpoint_id").agg(F.var_samp("g").alias("v"))
-    by_rank = v.join(first, "endpoint_id").where("v > 0 and rank > 1").groupBy("rank").agg(F.avg("v").alias("y"))
-    return stats.weighted_line(by_rank, F.ln("rank"), F.col("y"), F.col("y")).select("n", *rounded("slope", "intercept"))
+    return first_rank_line(spark, d).select("n", *rounded("slope", "intercept"))
 
 
 @query("m34_drift_line", f"WITH {DAYS_SQL}, g AS (SELECT a.rank, ln(b.share) - ln(a.share) AS g FROM daily a JOIN daily b ON b.endpoint_id = a.endpoint_id AND b.date = a.date + 1) SELECT round(regr_intercept(g, rank), 6) AS kappa, round(-regr_slope(g, rank), 6) AS eta, count(*) AS n FROM g")

@@ -16,3 +16,14 @@ def test_bootstrap_has_all_replicates_and_the_share_of_the_top(spark):
     assert all(r["p10"] <= r["p50"] <= r["p90"] for r in rows)
     (top,) = [r for r in rows if r["series"] == "top_share"]
     assert top["replicates"] == 200 and 0 < top["p10"] <= top["p90"] <= 1 + 1e-9
+
+
+def test_simulation_has_all_first_day_ranks_paths_and_days(spark):
+    from pyspark.sql import functions as F
+
+    from ladderlens.plans.inputs import user_days
+
+    got = catalog.QUERIES["m37_simulation"](spark, SF)
+    n = user_days(spark, SF).orderBy("date").groupBy("date").count().orderBy("date").first()["count"]
+    assert got.count() == 100 * 365 * n
+    assert got.groupBy("path", "day").agg(F.sum("share").alias("s")).where("abs(s - 1) > 1e-9").count() == 0
