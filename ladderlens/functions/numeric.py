@@ -47,22 +47,19 @@ def huber_mean(x: np.ndarray, w: np.ndarray | None = None, k: float = 1.345, rou
 
 
 def trimmed_interp(x: np.ndarray, w: np.ndarray, trim: float) -> float:
-    """Weighted trimmed mean in which the edge values keep a part of their weight."""
+    """Weighted mean of what lies between the quantiles trim and 1 - trim.
+
+    Sorted values lie side by side on the line from 0 to 1, each as wide as its
+    share of the weight, and count by the part of that which is inside.  Where
+    nothing is inside (trim 0.5 or more) it is the value at the middle.
+    """
     order = np.argsort(x, kind="stable")
-    x, w = np.asarray(x, float)[order], np.asarray(w, float)[order] / np.sum(w)
-    cum = np.cumsum(w)
-    keep = (cum >= trim) & (cum <= 1 - trim)
-    if not keep.any():
-        return float(np.average(x, weights=w))
-    values, weights = list(x[keep]), list(w[keep])
-    low, high = np.flatnonzero(cum < trim), np.flatnonzero(cum > 1 - trim)
-    if len(low) and low[-1] + 1 < len(x):
-        values.append(x[low[-1] + 1])
-        weights.append(trim - cum[low[-1]])
-    if len(high):
-        values.append(x[high[0]])
-        weights.append(cum[high[0]] - (1 - trim))
-    return float(np.average(values, weights=weights))
+    x, w = np.asarray(x, float)[order], np.asarray(w, float)[order]
+    edges = np.append(0.0, np.cumsum(w)) / w.sum()
+    inside = np.diff(np.clip(edges, min(trim, 0.5), max(1 - trim, 0.5)))
+    if inside.sum() <= 0:
+        return float(x[min(np.searchsorted(edges[1:], 0.5), len(x) - 1)])
+    return float(np.average(x, weights=inside))
 
 
 def incomplete_beta(a: float, b: float, x: float) -> float:
@@ -158,13 +155,47 @@ def choose_tail(k: np.ndarray, g: np.ndarray, w: np.ndarray, k0: int, anchored:
     return family, *fits[family][:2]
 
 
+def held_out_loss(k: np.ndarray, g: np.ndarray, w: np.ndarray, k0: int, family: str, folds: int = 5, anchored: bool = False) -> float:
+    """Weighted squared error on ranks from k0 on, each predicted by a fit that has not seen its block of ranks.
+
+    Blocks are runs of neighbouring ranks, of five at least.  Where the fit is
+    anchored, rank k0 is in every training set, as the anchor is.
+    """
+    own = k >= k0
+    k, g, w = k[own], g[own], w[own]
+    block = np.arange(len(k)) // max(5, -(-len(k) // folds))
+    loss = 0.0
+    for b in np.unique(block):
+        test = (block == b) & ~((k == k0) & anchored)
+        a, shape, _ = fit_tail(k[~test], g[~test], w[~test], k0, family, anchored)
+        loss += float((w[test] * (g[test] + a * TAILS[family](k[test].astype(float), k0, shape)) ** 2).sum())
+    return loss
+
+
+def keep_head(g: np.ndarray, m: int, protect: int) -> np.ndarray:
+    """Drifts with sum 0 and a tail that never decreases; the first ``protect`` keep their values if they can.
+
+    What the sum lacks goes to the last m ranks.  Then the ranks after the head
+    take their isotonic fit, which has the same sum, so the whole still sums to
+    0.  A tail that never decreases has convex prefix sums: they start below 0
+    where the head ends and reach 0 at the last rank, so they are below 0 in
+    between, without any further shift.  Only the head can break that: one with
+    a prefix sum of 0 or more is first lowered by the least constant that helps.
+    """
+    protect = min(protect, len(g) - 1)
+    over = float((np.cumsum(g[:protect]) / np.arange(1, protect + 1)).max(initial=-math.inf))
+    g = g - over - 1e-9 if over >= 0 else g.copy()
+    m = min(m, len(g) - protect)
+    g[len(g) - m :] -= g.sum() / m
+    return np.append(g[:protect], pava(g[protect:], np.ones(len(g) - protect)))
+
+
 def stationary(g: np.ndarray, variant: str, m: int, protect: int = 1000) -> tuple[np.ndarray, bool]:
     """Drifts shifted so that they sum to 0 with negative prefix sums, and whether that came out.
 
     variant ``uplift``: the sum goes to the last m ranks.  ``shift``: all are
     lowered until prefix sums are negative, then the sum goes to the last m.
-    ``tail``: only ranks beyond protect are lowered, the sum goes to the last m,
-    the tail is made monotone and the last rank takes the rest.
+    ``tail``: the head keeps its drifts (``keep_head``).
     """
     g, n = np.array(g, float), len(g)
     m = min(m, n - 1)
@@ -178,18 +209,8 @@ def stationary(g: np.ndarray, variant: str, m: int, protect: int = 1000) -> tupl
         slack[slack <= 0] = slack[slack > 0].min()
         g -= max(0.0, float(((1e-12 + np.cumsum(g) - g.sum() * share / m) / slack)[:-1].max())) + 1e-12
     elif variant == "tail":
-        protect, prefix = min(protect, n - 1), np.cumsum(g)[:-1]
-        top = int(prefix.argmax()) + 1
-        if prefix[top - 1] >= -1e-12:
-            if top > protect:
-                far = k[:-1] > protect
-                g[protect:] -= max(0.0, float(((prefix[far] + 1e-12) / np.maximum(1, k[:-1][far] - protect)).max()))
-            else:
-                g -= max(0.0, float((prefix / k[:-1]).max())) + 1e-12
-        g[n - m :] += max(0.0, -g.sum() / m)
-        g[protect:] = np.maximum.accumulate(np.append(g[protect - 1], g[protect:]))[1:]
-        g[-1] = max(g[-1] - g.sum(), g[-2])
-        return g, bool((np.cumsum(g)[:-1] < -1e-12).all() and abs(g.sum()) <= 1e-7)
+        g = keep_head(g, m, protect)
+        return g, bool((np.cumsum(g)[:-1] < 0).all() and abs(g.sum()) <= 1e-7)
     else:
         raise ValueError(variant)
     g[n - m :] -= g.sum() / m

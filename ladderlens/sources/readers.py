@@ -5,10 +5,13 @@ from __future__ import annotations
 import os
 from collections.abc import Iterable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ladderlens.operators import panels
+
 DATE = r"(\d{4}-\d{2}-\d{2})"
 
 #: Names that a column may have, the first present wins.
@@ -100,8 +103,7 @@ def fill_panel(df: DataFrame, most_null: float = 0.25) -> DataFrame:
     if "share" not in good:
         out = out.drop("share").withColumn("share", F.try_divide("metric_value", "total_metric"))
     if "rank" not in good:
-        order = Window.partitionBy("date").orderBy(F.desc("metric_value"), "endpoint_id")
-        out = out.drop("rank").withColumn("rank", F.row_number().over(order))
+        out = panels.ranked(out.drop("rank"), "date", "metric_value", "rank", ties=[F.col("endpoint_id")])
     return out.select("date", "endpoint_id", "metric_value", "total_metric", "share", "rank")
 
 
@@ -119,17 +121,30 @@ def standardize_long(df: DataFrame, mapping: dict[str, str] | None = None) -> Da
     metric = F.greatest(F.col("metric_value").cast("double"), F.lit(0.0))
     totals = df.groupBy("date").agg(F.round(F.sum(metric), 2).alias("_total"))
     out = df.join(totals, "date").select(F.col("endpoint_id").cast("string").alias("id"), F.col("date").alias("time"), F.try_divide(metric, "_total").alias("share"), metric.alias("metric"))
-    return out.select("id", "time", F.rank().over(Window.partitionBy("time").orderBy(F.desc("metric"))).alias("rank"), "share", "metric")
+    return panels.ranked(out, "time", "metric", "rank", "rank").select("id", "time", "rank", "share", "metric")
+
+
+def find_path(spark: SparkSession, name: str, roots: Iterable[str] = ("", "~", "data", "data/raw")) -> str:
+    """The first of roots/name that Spark can list, else a file of that name anywhere below the roots.
+
+    Spark does the looking, so roots may be in any store that it reads; no file is opened.
+    """
 
+    def files(path: str, **options) -> DataFrame | None:
+        try:
+            return spark.read.format("binaryFile").options(**options).load(path).select("path")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
 
-def find_path(name: str, roots: Iterable[str] = ("", "~", "data", "data/rank-diffusion")) -> str:
-    """The first of roots/name that is there, else a file of that name anywhere below the roots."""
+    roots = [os.path.expanduser(r) for r in roots]
     for root in roots:
-        path = os.path.expanduser(os.path.join(root, name))
-        if os.path.exists(path):
+        path = os.path.join(root, name)
+        if files(path) is not None:
             return path
     for root in filter(None, roots):
-        for folder, _, files in os.walk(os.path.expanduser(root) if root != "~" else ""):
-            if os.path.basename(name) in files:
-                return os.path.join(folder, os.path.basename(name))
+        below = files(root, recursiveFileLookup=True, pathGlobFilter=os.path.basename(name))
+        if below is not None and (found := below.agg(F.min("path")).first()[0]):
+            return found
     raise FileNotFoundError(name)

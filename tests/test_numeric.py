@@ -39,6 +39,32 @@ def test_stationary_drifts_sum_to_zero(variant):
     assert ok and abs(g.sum()) < 1e-7 and (np.cumsum(g)[:-1] < 0).all()
 
 
+@settings(deadline=None, max_examples=60)
+@given(st.lists(st.floats(-3, 1), min_size=12, max_size=40), st.integers(1, 6), st.integers(1, 8))
+def test_tail_variant_keeps_the_head_and_never_falls_after_it(g, m, protect):
+    g = np.array(g)
+    out, ok = numeric.stationary(g, "tail", m, protect)
+    assert abs(out.sum()) < 1e-7 and (np.diff(out[protect:]) >= -1e-9).all()
+    if (np.cumsum(g[:protect]) < -1e-9).all():
+        assert ok and np.allclose(out[:protect], g[:protect])
+        lifted = g.copy()
+        lifted[-m:] -= g.sum() / m
+        assert np.allclose(out[protect:], slow_iso(lifted[protect:], np.ones(len(g) - protect)), atol=1e-7)
+
+
+@settings(deadline=None, max_examples=60)
+@given(st.lists(st.tuples(st.integers(-20, 20), st.integers(1, 9)), min_size=1, max_size=15), st.sampled_from([0.0, 0.1, 0.25, 0.4]))
+def test_trimmed_mean_equals_that_of_repeated_values(rows, trim):
+    x, w = (np.array(v, float) for v in zip(*rows, strict=True))
+    many = np.sort(np.repeat(x, w.astype(int) * 20))  # the weight as copies, so that the cut falls between two
+    cut = round(trim * len(many))
+    assert math.isclose(numeric.trimmed_interp(x, w, trim), many[cut : len(many) - cut].mean(), abs_tol=1e-9)
+
+
+def test_trimming_all_leaves_the_middle():
+    assert numeric.trimmed_interp(np.array([3.0, 1, 2]), np.ones(3), 0.5) == 2
+
+
 def test_infeasible_uplift():
     assert not numeric.stationary(np.ones(50), "uplift", 5)[1]
 
