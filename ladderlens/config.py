@@ -26,6 +26,7 @@ class EngineConfig:
     protect: int = 1000
     lambda_share: float = 1.0
     uplift_grid: tuple[int, ...] = (50, 100, 200, 500, 1000, 2500, 5000)
+    uplift_least: int = 50
     capture_windows: tuple[int, ...] = (4, 13, 26, 52)
     capture_sizes: tuple[int, ...] = (1000, 2000, 5000)
     bootstrap_replicates: int = 200
@@ -37,4 +38,4 @@ class EngineConfig:
 
 
 #: Sizes that suit the small test tables.
-SMALL = EngineConfig(min_rows_per_day=135, min_rows_bad_day=130, min_rows_per_week=75, k_head=50, k0=25, protect=60, uplift_grid=(5, 10, 20, 50, 100), capture_windows=(4, 13, 26), capture_sizes=(10, 20, 50), bootstrap_replicates=8)
+SMALL = EngineConfig(min_rows_per_day=135, min_rows_bad_day=130, min_rows_per_week=75, k_head=50, k0=25, protect=60, uplift_grid=(5, 10, 20, 50, 100), uplift_least=5, capture_windows=(4, 13, 26), capture_sizes=(10, 20, 50))

@@ -30,14 +30,23 @@ def new_and_returning(panel: DataFrame, period: str, gaps: tuple[int, int] = (4,
 def transitions(panel: DataFrame, period: str, rank: str, days: int, states: int, off_list: int = OFF_LIST) -> DataFrame:
     """(weekday, from_rank, to_rank, n, p): moves over ``days``; ranks beyond states, and absence, are off_list.
 
-    Sparse: rows exist only for moves that occur, and endpoints off the list at both ends don't count.
+    Sparse: rows exist only for moves that occur, and endpoints off the list at
+    both ends don't count.  Range frames of one row look both ways over one
+    exchange by endpoint: each row is the start of its own move, and the end of
+    one from off the list if its endpoint was not there before.
     """
-    own = panel.where(F.col(rank) <= states).select(period, "endpoint_id", F.col(rank).alias("from_rank"))
-    after = own.select(F.date_sub(period, days).alias(period), "endpoint_id", F.col("from_rank").alias("to_rank"))
-    dates = panel.select(period).distinct()
-    both = dates.join(dates.select(F.date_sub(period, days).alias(period)), period, "left_semi")
-    moves = own.join(after, [period, "endpoint_id"], "full").join(F.broadcast(both), period, "left_semi")
-    n = moves.groupBy(F.date_format(period, "EEEE").alias("weekday"), F.coalesce("from_rank", F.lit(off_list)).alias("from_rank"), F.coalesce("to_rank", F.lit(off_list)).alias("to_rank")).agg(F.count("*").alias("n"))
+    own = panel.where(F.col(rank) <= states).select(F.col(period).alias("_to"), "endpoint_id", F.col(rank).alias("_rank"))
+    order = Window.partitionBy("endpoint_id").orderBy(F.unix_date("_to"))
+    seen = own.select(
+        "_to", "_rank", F.first("_rank").over(order.rangeBetween(days, days)).alias("_next"), F.first("_rank").over(order.rangeBetween(-days, -days)).alias("_before")
+    )
+    off = F.lit(off_list)
+    move = F.struct(F.col("_to").alias("at"), F.col("_rank").alias("from_rank"), F.coalesce("_next", off).alias("to_rank"))
+    entry = F.when(F.col("_before").isNull(), F.struct(F.date_sub("_to", days).alias("at"), off.alias("from_rank"), F.col("_rank").alias("to_rank")))
+    moves = seen.select(F.inline(F.array_compact(F.array(move, entry))))
+    dates = panel.select(F.col(period).alias("at")).distinct()
+    both = dates.join(dates.select(F.date_sub("at", days).alias("at")), "at", "left_semi")  # a row for each date
+    n = moves.join(F.broadcast(both), "at", "left_semi").groupBy(F.date_format("at", "EEEE").alias("weekday"), "from_rank", "to_rank").agg(F.count("*").alias("n"))
     return n.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("weekday", "from_rank")))
 
 

@@ -42,12 +42,19 @@ def schedule(head: DataFrame, sizes: Sequence[int], k0: int, alpha: float) -> Da
     return running_max(out.withColumn("g", F.when(F.col("k") < k0, F.col("_head")).otherwise(tail)), "g", ["candidate", "n"]).select("candidate", "n", "k", "g")
 
 
-def uplifted(schedules: DataFrame, uplifts: Sequence[int]) -> DataFrame:
+def uplift_sizes(n: Column, fixed: Sequence[int], least: int) -> Column:
+    """The uplifts m for a size n: a fixed list, a twentieth and a tenth of n (``least`` at least), and all ranks but one."""
+    own = [F.greatest(F.lit(least), F.floor(n / parts).cast("int")) for parts in (20, 10)]
+    return F.array_distinct(F.array(*map(F.lit, fixed), *own, n.cast("int") - 1))
+
+
+def uplifted(schedules: DataFrame, uplifts: Column) -> DataFrame:
     """Each schedule with each uplift m < n: its sum, spread over the last m ranks, is taken off; and prefix sums.
 
-    feasible: the sum was negative, and every prefix sum but the whole is.
+    uplifts is an array.  feasible: the sum was negative, and every prefix sum
+    but the whole is.
     """
-    own = schedules.withColumn("m", F.explode(F.array(*map(F.lit, uplifts)))).where("m < n")
+    own = schedules.withColumn("m", F.explode(uplifts)).where("m < n")
     whole = Window.partitionBy("candidate", "n", "m")
     total = F.sum("g").over(whole)
     own = own.withColumn("_s", total).withColumn("g", F.col("g") - F.when(F.col("k") > F.col("n") - F.col("m"), F.col("_s") / F.col("m")).otherwise(0.0))

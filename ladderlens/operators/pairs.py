@@ -78,11 +78,18 @@ def standardized(g: Column, rank: Column) -> Column:
     return F.when(rank > 1, g / F.sqrt(F.ln(rank)))
 
 
-def rank_gaps(panel: DataFrame, period: str, value: str, rank: str) -> DataFrame:
-    """Log gap to the next rank of the same period."""
-    order = Window.partitionBy(period).orderBy(rank)
+def rank_gaps(panel: DataFrame, period: str, value: str, rank: str, block: int = 4096) -> DataFrame:
+    """Log gap to the next rank of the same period.
+
+    Periods are cut into blocks of ranks; a block's first rank is copied to the
+    block before, so that each task holds a block and every rank meets its next.
+    """
+    at = F.floor(F.col(rank) / block)
+    cut = panel.withColumn("_block", F.explode(F.array_distinct(F.array(at, F.floor((F.col(rank) - 1) / block)))))
+    order = Window.partitionBy(period, "_block").orderBy(rank)
     nxt = F.when(F.lead(rank).over(order) == F.col(rank) + 1, F.lead(value).over(order))
-    return panel.withColumn("gap", F.ln(value) - F.ln(nxt)).where("gap is not null")
+    out = cut.withColumn("gap", F.ln(value) - F.ln(nxt)).where(F.col("gap").isNotNull() & (F.col("_block") == at))
+    return out.drop("_block")
 
 
 def leakage(panel: DataFrame, period: str, value: str, rank: str, horizons: Sequence[int], days: int = 1) -> DataFrame:

@@ -44,35 +44,73 @@ def shares(df: DataFrame, period: str, metric: str, total: str, share: str, deci
     return df.join(totals, period).withColumn(share, F.try_divide(metric, total))
 
 
-def ranked(df: DataFrame, period: str, metric: str, name: str, kind: str = "row_number", ties: Sequence[Column] = ()) -> DataFrame:
-    """df with a rank in each period, largest first.
-
-    kind: ``row_number`` (unique; ties by the columns in ties), ``rank`` or ``dense_rank``.
-    """
-    over = Window.partitionBy(period).orderBy(F.desc(metric), *(ties if kind == "row_number" else ()))
-    return df.withColumn(name, getattr(F, kind)().over(over))
+#: Slices of a metric for each doubling of it.
+SLICES = 16
 
 
-def ranked_wide(df: DataFrame, period: str, metric: str, name: str, ties: Sequence[Column] = (), slices: int = 16) -> DataFrame:
-    """As ranked by row_number, for periods too large for one task.
+def sliced(df: DataFrame, metric: str, tie: Column | None = None) -> DataFrame:
+    """df with _slice and _part, which cut the values of metric into ranges that larger values come first in, and _near.
 
-    A period is cut into slices of the metric (slices for each doubling).
-    Rows are numbered within a slice, and each slice starts where the larger
-    ones end; their counts are a small table.
+    A whole number up to 4096, as counts often are, is a part of its own.  As
+    all its rows are ties, _near cuts those further, by the first characters of
+    the tie-breaking text.
+    """
+    x = F.col(metric).cast("double")
+    size = F.floor(F.log2(F.abs(x)) * SLICES)
+    at = F.when(x.isNull(), -2_000_000_000).when(F.isnan(x), 2_000_000_000).when(x == 0, -100_000).when(x > 0, size).otherwise(-200_000 - size)
+    small = F.abs(x) <= 4096
+    out = df.withColumn("_slice", at.cast("int")).withColumn("_part", F.when(small, 2 * F.floor(x) + (x > F.floor(x)).cast("int")).otherwise(0).cast("int"))
+    near = F.when(small & (x == F.floor(x)), F.substring(tie.cast("string"), 1, 2)) if tie is not None else F.lit(None).cast("string")
+    return out.withColumn("_near", F.coalesce(near, F.lit("")))
+
+
+def ranked(df: DataFrame, period: str, metric: str, name: str, kind: str = "row_number", ties: Sequence[Column] = (), split: bool = True) -> DataFrame:
+    """df with a rank in each period, largest first; no task holds a whole period.
+
+    kind: ``row_number`` (unique; ties by the columns in ties), ``rank`` or
+    ``dense_rank``.  A period is cut into slices of the metric; rows are
+    numbered within a slice, and each slice starts where the larger ones end:
+    their counts are a small table.  split: ties are cut by the text of the
+    first of ties too, which must be in the order of that text.  The other two
+    kinds number the distinct values, which the rows then look up.
     """
-    at = F.when(F.col(metric) > 0, F.floor(F.log2(metric) * slices)).otherwise(F.lit(-100_000)).cast("int")
-    cut = df.withColumn("_slice", at)
-    counts = cut.groupBy(period, "_slice").count()
-    before = Window.partitionBy(period).orderBy(F.desc("_slice")).rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(period, "_slice", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
-    within = Window.partitionBy(period, "_slice").orderBy(F.desc(metric), *ties)
-    return cut.withColumn("_n", F.row_number().over(within)).join(starts, [period, "_slice"]).withColumn(name, (F.col("_start") + F.col("_n")).cast("int")).drop("_slice", "_n", "_start")
-
-
-def top_n(df: DataFrame, period: str, metric: str, n: int, ties: Sequence[Column]) -> DataFrame:
-    """The n largest rows of each period; within ties the first by ties.  rank is dense."""
-    over = Window.partitionBy(period).orderBy(F.desc(metric), *ties)
-    cut = df.withColumn("_n", F.row_number().over(over)).where(F.col("_n") <= n).drop("_n")
+    if kind != "row_number":
+        return _ranked_values(df, period, metric, name, kind)
+    cut = sliced(df, metric, ties[0] if ties and split else None)
+    keys = [period, "_slice", "_part", "_near"]
+    edges = cut.groupBy(*keys).agg(F.count("*").alias("_count"))
+    edges = edges.select(*keys, F.coalesce(F.sum("_count").over(larger(period)), F.lit(0)).alias("_start"))
+    within = Window.partitionBy(*keys).orderBy(F.desc(metric), *ties)
+    numbered = cut.withColumn("_n", F.row_number().over(within)).join(edges, keys)
+    return numbered.withColumn(name, (F.col("_start") + F.col("_n")).cast("int")).select(*df.columns, name)
+
+
+def larger(period: str) -> Window:
+    """The slices of a period before a slice."""
+    return Window.partitionBy(period).orderBy(F.desc("_slice"), F.desc("_part"), "_near").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _ranked_values(df: DataFrame, period: str, metric: str, name: str, kind: str) -> DataFrame:
+    values = sliced(df.groupBy(F.col(period).alias("_period"), F.col(metric).alias("_value")).agg(F.count("*").alias("_rows")), "_value")
+    step = F.col("_rows") if kind == "rank" else F.lit(1)
+    keys = ["_period", "_slice", "_part", "_near"]
+    edges = values.groupBy(*keys).agg(F.sum(step).alias("_count")).select(*keys, F.coalesce(F.sum("_count").over(larger("_period")), F.lit(0)).alias("_start"))
+    before = Window.partitionBy(*keys).orderBy(F.desc("_value")).rowsBetween(Window.unboundedPreceding, -1)
+    numbered = values.withColumn("_n", F.coalesce(F.sum(step).over(before), F.lit(0)) + 1).join(edges, keys)
+    numbered = numbered.select("_period", "_value", (F.col("_start") + F.col("_n")).cast("int").alias(name))
+    return df.join(numbered, (F.col(period) == F.col("_period")) & F.col(metric).eqNullSafe(F.col("_value"))).select(*df.columns, name)
+
+
+def top_n(df: DataFrame, period: str, metric: str, n: int, ties: Sequence[Column], salts: int = 64) -> DataFrame:
+    """The n largest rows of each period; within ties the first by ties.  rank is dense.
+
+    The n largest of each of some parts of a period come first, so that the
+    last cut reads salts x n rows a period at most.
+    """
+    order = [F.desc(metric), *ties]
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)))
+    first = salted.withColumn("_n", F.row_number().over(Window.partitionBy(period, "_salt").orderBy(*order))).where(F.col("_n") <= n).drop("_n", "_salt")
+    cut = first.withColumn("_n", F.row_number().over(Window.partitionBy(period).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
     return cut.withColumn("rank", F.dense_rank().over(Window.partitionBy(period).orderBy(F.desc(metric))))
 
 
@@ -80,35 +118,45 @@ def previous_rank(df: DataFrame, period: str, metric: str, name: str, days: int
     """Unique rank whose ties go to the endpoint that ranked higher ``days`` before, then by id."""
     first = ranked(df, period, metric, "_rank", ties=[F.col("endpoint_id")])
     before = first.select(F.date_add(period, days).alias(period), "endpoint_id", F.col("_rank").alias("_before"))
-    return ranked(df.join(before, [period, "endpoint_id"], "left"), period, metric, name, ties=[F.asc_nulls_last("_before"), F.col("endpoint_id")]).drop("_before")
+    return ranked(df.join(before, [period, "endpoint_id"], "left"), period, metric, name, ties=[F.asc_nulls_last("_before"), F.col("endpoint_id")], split=False).drop("_before")
 
 
-def panel(own: DataFrame, names: tuple[str, str, str, str, str], wide: bool = False, decimals: int = 2) -> DataFrame:
+def panel(own: DataFrame, names: tuple[str, str, str, str, str], decimals: int = 2) -> DataFrame:
     """own (period, endpoint_id, metric) with the period's total, each row's share and its unique rank; ties by id.
 
-    names are those of the period, metric, total, share and rank.  Totals and
-    ranks come from one exchange by period.  wide is for periods that are too
-    large for one task: totals are summed before the shuffle, and ranks are
-    given out within slices of the metric.
+    names are those of the period, metric, total, share and rank.  Counts and
+    sums of slices of the metric, which Spark adds up before the shuffle, give
+    both the totals and where each slice's ranks start.
     """
     period, metric, total, share, rank = names
-    if wide:
-        return ranked_wide(shares(own, period, metric, total, share, decimals), period, metric, rank, ties=[F.col("endpoint_id")])
-    whole = Window.partitionBy(period)
-    out = own.withColumn(total, F.round(F.sum(metric).over(whole), decimals)).withColumn(share, F.try_divide(metric, total))
-    return out.withColumn(rank, F.row_number().over(whole.orderBy(F.desc(metric), "endpoint_id")))
+    cut = sliced(own, metric, F.col("endpoint_id"))
+    keys = [period, "_slice", "_part", "_near"]
+    edges = cut.groupBy(*keys).agg(F.count("*").alias("_count"), F.sum(metric).alias("_sum"))
+    start = F.coalesce(F.sum("_count").over(larger(period)), F.lit(0))
+    edges = edges.select(*keys, start.alias("_start"), F.round(F.sum("_sum").over(Window.partitionBy(period)), decimals).alias(total))
+    within = Window.partitionBy(*keys).orderBy(F.desc(metric), "endpoint_id")
+    out = cut.withColumn("_n", F.row_number().over(within)).join(edges, keys)
+    return out.select(*own.columns, total, F.try_divide(metric, total).alias(share), (F.col("_start") + F.col("_n")).cast("int").alias(rank))
+
+
+def thinned_starts(df: DataFrame, period: str, n: int = 12) -> DataFrame:
+    """(period, i): n periods, evenly spaced, with their ordinals; all if there are fewer."""
+    order = Window.orderBy(period)  # a row for each period
+    numbered = df.select(period).distinct().select(period, F.row_number().over(order).cast("long").alias("i"), F.count("*").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_all"))
+    picks = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: F.floor(1 + j * (F.col("_all") - 1) / float(n - 1)))
+    return numbered.where(F.array_contains(picks, F.col("i"))).select(period, "i")
 
 
-def daily_panel(df: DataFrame, date: Column, endpoint: Column, metric: Column, wide: bool = False) -> DataFrame:
+def daily_panel(df: DataFrame, date: Column, endpoint: Column, metric: Column) -> DataFrame:
     """date, endpoint_id, metric_value, total_metric, share, rank of positive rows."""
     own = positive(activity(df, F.to_date(date), endpoint, metric, ("date", "endpoint_id", "metric_value")), "metric_value", ["date", "endpoint_id"])
-    return panel(own, ("date", "metric_value", "total_metric", "share", "rank"), wide)
+    return panel(own, ("date", "metric_value", "total_metric", "share", "rank"))
 
 
-def weekly_panel(df: DataFrame, date: Column, endpoint: Column, metric: Column, wide: bool = False) -> DataFrame:
+def weekly_panel(df: DataFrame, date: Column, endpoint: Column, metric: Column) -> DataFrame:
     """week_start, endpoint_id, weekly_metric, weekly_total, weekly_share, rank_w of positive rows."""
     own = positive(activity(df, week_of(date), endpoint, metric, ("week_start", "endpoint_id", "weekly_metric")), "weekly_metric", ["week_start", "endpoint_id"])
-    return panel(own, ("week_start", "weekly_metric", "weekly_total", "weekly_share", "rank_w"), wide)
+    return panel(own, ("week_start", "weekly_metric", "weekly_total", "weekly_share", "rank_w"))
 
 
 def weekly_of_daily(daily: DataFrame) -> DataFrame:

@@ -74,10 +74,10 @@ def weighted_line(df: DataFrame, x: Column, y: Column, w: Column, group: Sequenc
     )
 
 
-def power_law(df: DataFrame, rank: str, value: str, segments: Sequence[tuple[int, int]]) -> DataFrame:
-    """(low, high): slope of ln(value) on ln(rank) in each segment, its standard error, R2 and n."""
+def power_law(df: DataFrame, rank: str, value: str, segments: Sequence[tuple[int, int]], group: Sequence[str] = ()) -> DataFrame:
+    """(group, low, high): slope of ln(value) on ln(rank) in each segment, its standard error, R2 and n."""
     own = df.withColumn("_s", F.explode(F.array(*[F.struct(F.lit(a).alias("low"), F.lit(b).alias("high")) for a, b in segments])))
-    own = own.where(F.col(rank).between(F.col("_s.low"), F.col("_s.high")) & (F.col(value) > 0)).select("_s.low", "_s.high", F.ln(rank).alias("x"), F.ln(value).alias("y"))
-    out = own.groupBy("low", "high").agg(F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"), F.regr_r2("y", "x").alias("r2"), F.count("*").alias("n"), F.regr_sxx("y", "x").alias("_xx"), F.regr_syy("y", "x").alias("_yy"))
+    own = own.where(F.col(rank).between(F.col("_s.low"), F.col("_s.high")) & (F.col(value) > 0)).select(*group, "_s.low", "_s.high", F.ln(rank).alias("x"), F.ln(value).alias("y"))
+    out = own.groupBy(*group, "low", "high").agg(F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"), F.regr_r2("y", "x").alias("r2"), F.count("*").alias("n"), F.regr_sxx("y", "x").alias("_xx"), F.regr_syy("y", "x").alias("_yy"))
     error = F.sqrt(F.greatest(F.lit(0.0), 1 - F.col("r2")) * F.col("_yy") / F.nullif((F.col("n") - 2) * F.col("_xx"), F.lit(0.0)))
-    return out.select("low", "high", (-F.col("slope")).alias("alpha"), error.alias("std_error"), "intercept", "r2", "n")
+    return out.select(*group, "low", "high", (-F.col("slope")).alias("alpha"), error.alias("std_error"), "intercept", "r2", "n")

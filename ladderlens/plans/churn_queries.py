@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ladderlens.config import SMALL
-from ladderlens.operators import churn
+from ladderlens.operators import churn, panels
 from ladderlens.plans.inputs import DAYS_SQL, PARTS, SUPPLIERS, part_weeks, rounded, supplier_weeks, user_days
 from ladderlens.registry import query
 
@@ -23,14 +23,14 @@ def w9(spark, d):
 
 @query(
     "m36_transitions",
-    f"""WITH {DAYS_SQL}, s AS (SELECT date, endpoint_id, rank FROM daily WHERE rank <= 30), b AS (SELECT DISTINCT date FROM daily WHERE date + 7 IN (SELECT date FROM daily)),
+    f"""WITH {DAYS_SQL}, s AS (SELECT date, endpoint_id, rank FROM daily WHERE rank <= 2000), b AS (SELECT DISTINCT date FROM daily WHERE date + 7 IN (SELECT date FROM daily)),
     m AS (SELECT coalesce(x.date, y.date - 7) AS date, coalesce(x.rank, 2001) AS from_rank, coalesce(y.rank, 2001) AS to_rank FROM s x FULL JOIN s y ON y.endpoint_id = x.endpoint_id AND y.date = x.date + 7),
     n AS (SELECT strftime(date, '%A') AS weekday, from_rank, to_rank, count(*) AS n FROM m WHERE date IN (SELECT date FROM b) GROUP BY 1, 2, 3)
     SELECT weekday, from_rank, to_rank, n, round(n / sum(n) OVER (PARTITION BY weekday, from_rank), 6) AS p FROM n""",
 )
 def m36(spark, d):
     """Moves between ranks over seven days, by weekday; 2001 is off the list."""
-    return churn.transitions(user_days(spark, d), "date", "rank", 7, 30).select("weekday", "from_rank", "to_rank", "n", *rounded("p"))
+    return churn.transitions(user_days(spark, d), "date", "rank", 7, churn.OFF_LIST - 1).select("weekday", "from_rank", "to_rank", "n", *rounded("p"))
 
 
 CAPTURE_SQL = f"""{SUPPLIERS},
@@ -81,7 +81,7 @@ def j16(spark, d):
 
 
 COVER_SQL = f"""{SUPPLIERS},
-s AS (SELECT week_start FROM (SELECT week_start, row_number() OVER (ORDER BY week_start) AS i FROM (SELECT DISTINCT week_start FROM weekly)) WHERE i % 40 = 1),
+s AS (SELECT week_start FROM (SELECT week_start, row_number() OVER (ORDER BY week_start) AS i, count(*) OVER () AS n FROM (SELECT DISTINCT week_start FROM weekly)) WHERE list_contains(list_transform(range(12), lambda j: CAST(floor(1 + j * (n - 1) / 11.0) AS BIGINT)), i)),
 c AS (
   SELECT k, m.week_start AS start_week, w.week_start, sum(w.weekly_share) AS coverage, count(*) AS n_present
   FROM (SELECT unnest([10, 20, 50]) AS k) g JOIN weekly m ON m.rank_w <= g.k AND m.week_start IN (SELECT week_start FROM s) JOIN weekly w ON w.endpoint_id = m.endpoint_id AND w.week_start >= m.week_start GROUP BY 1, 2, 3)"""
@@ -89,8 +89,7 @@ c AS (
 
 def covered(spark, d):
     weekly = supplier_weeks(spark, d)
-    starts = churn.numbered_periods(weekly, "week_start", "i").where("i % 40 = 1")
-    return churn.coverage(weekly, starts, SMALL.capture_sizes)
+    return churn.coverage(weekly, panels.thinned_starts(weekly, "week_start"), SMALL.capture_sizes)
 
 
 @query("j17_follow_fixed_lists", f"WITH {COVER_SQL} SELECT k, start_week, week_start, round(coverage, 6) AS coverage, n_present FROM c")

@@ -24,8 +24,8 @@ gap_g AS (SELECT k, n, bar_g, mhat, r, sigma2, -sigma2 / 2 * r AS big_g, -sigma2
 
 
 def with_sigma(own):
-    """A head with the trimmed mean of its variances as sigma2, and a candidate column."""
-    own = own.withColumn("candidate", F.lit(0))
+    """Heads with the trimmed mean of their variances as sigma2; a head without candidates is candidate 0."""
+    own = own if "candidate" in own.columns else own.withColumn("candidate", F.lit(0))
     s2 = stats.trimmed_mean(own.where("v is not null"), "v", "n", SMALL.trim, ["candidate"]).select("candidate", F.round("trimmed", 9).alias("sigma2"))
     return own.join(s2, "candidate")
 
@@ -34,6 +34,12 @@ def gap_drift(spark, d, k_max=50):
     return model.drift_from_gaps(with_sigma(head(spark, d, k_max)), F.col("sigma2"))
 
 
+def gap_drifts(spark, d, sizes):
+    """The gap drift of heads of several sizes, from one panel; the size is the candidate."""
+    own = head(spark, d, max(sizes)).withColumn("candidate", F.explode(F.array(*map(F.lit, sizes)))).where("k <= candidate")
+    return model.drift_from_gaps(with_sigma(own), F.col("sigma2"))
+
+
 @query("m4_drift_from_gaps", f"WITH {GROWTH_SQL}, {SIGMA_SQL} SELECT k, round(r, 5) AS r, round(big_g, 5) AS big_g, round(g, 5) AS g FROM gap_g")
 def m4(spark, d):
     return gap_drift(spark, d).select("k", *rounded("r", "big_g", "g", digits=5))
@@ -126,33 +132,55 @@ def tails(own, starts, anchored: bool):
     return own.select("candidate", "k", "g", "w").groupBy("candidate").applyInPandas(fit, TAIL_FIELDS)
 
 
-def negative_head(spark, d, k_max=50):
-    """The monotone head's drift, lowered so that its last rank is below 0."""
-    own = isotonic(gap_drift(spark, d, k_max).withColumn("w", F.lit(1.0)), "g", "w")
+def lowered(own):
+    """Monotone drifts of each candidate, lowered so that the last rank is below 0."""
+    own = isotonic(own.withColumn("w", F.lit(1.0)), "g", "w")
     return own.select("candidate", "k", (F.col("iso") - F.max("iso").over(Window.partitionBy("candidate")) - 0.01).alias("g"), F.lit(1.0).alias("w"))
 
 
+def negative_head(spark, d, k_max=50):
+    return lowered(gap_drift(spark, d, k_max))
+
+
+def negative_heads(spark, d, sizes):
+    return lowered(gap_drifts(spark, d, sizes))
+
+
 @query("m14_tail_fits")
 def m14_fits(spark, d):
     """Power and logarithmic tails, anchored at each start rank."""
     return tails(negative_head(spark, d), [5, 10, 25], True)
 
 
+def held_out(own, starts):
+    """(candidate, k0, family, loss): errors of every family from every start rank on blocks of ranks that its fits have not seen."""
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("k")
+        k, g, w = pdf["k"].to_numpy(), pdf["g"].to_numpy(float), pdf["w"].to_numpy(float)
+        rows = []
+        for family in numeric.TAILS:
+            try:
+                rows.append((int(pdf["candidate"].iloc[0]), int(pdf["k0"].iloc[0]), family, numeric.held_out_loss(k, g, w, int(pdf["k0"].iloc[0]), family)))
+            except ValueError:
+                continue
+        return pd.DataFrame(rows, columns=["candidate", "k0", "family", "loss"])
+
+    own = own.select("candidate", "k", "g", "w").withColumn("k0", F.explode(F.array(*map(F.lit, starts))))
+    return own.groupBy("candidate", "k0").applyInPandas(fit, "candidate int, k0 int, family string, loss double")
+
+
 @query("m15_tail_choice")
 def m15(spark, d):
-    """The family and start rank with the least squared error."""
-    order = Window.partitionBy("candidate").orderBy("sse", F.desc("family"), "k0")
-    return tails(negative_head(spark, d), [5, 10, 25], False).withColumn("n", F.row_number().over(order)).where("n = 1").drop("n")
+    """For each start rank, the family that predicts held-out blocks of ranks best; power wins ties."""
+    order = Window.partitionBy("candidate", "k0").orderBy("loss", F.desc("family"))
+    return held_out(negative_head(spark, d), [5, 10, 25]).withColumn("n", F.row_number().over(order)).where("n = 1").drop("n")
 
 
 @query("m24_tail_windows")
 def m24(spark, d):
-    """Tails fitted to larger heads."""
-    out = None
-    for k_max in (50, 80):
-        one = tails(negative_head(spark, d, k_max), [10], True).withColumn("k_max", F.lit(k_max))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Tails fitted to heads of several sizes, each of which is a candidate."""
+    return tails(negative_heads(spark, d, (50, 80)), [10], True).withColumnRenamed("candidate", "k_max")
 
 
 SCHEDULE_SQL = f"""{GROWTH_SQL}, {SIGMA_SQL},
@@ -189,30 +217,33 @@ def a19(spark, d):
     )
 
 
-# a simple falling schedule for which the oracle can follow every step
-PLAIN_SQL = """
-plain AS (SELECT n, k, -0.5 * power(k, -0.7) AS g FROM (SELECT n, unnest(generate_series(1, n)) AS k FROM (SELECT unnest([100, 200, 400]) AS n))),
-up AS (SELECT n, m, k, g - CASE WHEN k > n - m THEN s / m ELSE 0 END AS g, s FROM (SELECT p.n, k, g, u.m, sum(g) OVER (PARTITION BY p.n, u.m) AS s FROM plain p JOIN (SELECT unnest([5, 10, 20, 50, 100]) AS m) u ON u.m < p.n)),
+# every uplift of the fitted schedules, and the curves of those that come out
+PLAIN_SQL = f"""{SCHEDULE_SQL},
+ups AS (SELECT DISTINCT n, m FROM (SELECT n, unnest([5, 10, 20, 50, 100, greatest(5, n // 20), greatest(5, n // 10), n - 1]) AS m FROM (SELECT unnest([100, 200, 400]) AS n)) WHERE m < n),
+up AS (SELECT n, m, k, g - CASE WHEN k > n - m THEN s / m ELSE 0 END AS g, s FROM (SELECT p.n, k, g, u.m, sum(g) OVER (PARTITION BY p.n, u.m) AS s FROM sched p JOIN ups u ON u.n = p.n)),
 pre AS (SELECT *, sum(g) OVER (PARTITION BY n, m ORDER BY k ROWS UNBOUNDED PRECEDING) AS big_g FROM up),
 ok AS (SELECT n, m, bool_and(s < 0 AND (k = n OR big_g < 0)) AS feasible FROM pre GROUP BY 1, 2),
-rates AS (SELECT n, m, k, g, big_g, CASE WHEN k < n THEN -2 * big_g / 0.4 END AS r FROM pre JOIN ok USING (n, m) WHERE feasible),
-line AS (SELECT *, -3.0 - coalesce(sum(1 / r) OVER (PARTITION BY n, m ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS m_k FROM rates),
+rates AS (SELECT n, m, k, g, big_g, CASE WHEN k < n THEN -2 * big_g / (SELECT sigma2 FROM s2) END AS r FROM pre JOIN ok USING (n, m) WHERE feasible),
+line AS (SELECT *, (SELECT round(mhat, 9) FROM head WHERE k = 1) - coalesce(sum(1 / r) OVER (PARTITION BY n, m ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS m_k FROM rates),
 model AS (SELECT *, exp(m_k - max(m_k) OVER (PARTITION BY n, m)) / sum(exp(m_k)) OVER (PARTITION BY n, m) * exp(max(m_k) OVER (PARTITION BY n, m)) AS mce FROM line)"""
 
 
-def plain_candidates(spark):
-    own = spark.createDataFrame([(0, 100), (0, 200), (0, 400)], "candidate int, n int").withColumn("k", F.explode(F.sequence(F.lit(1), "n"))).withColumn("g", -0.5 * F.pow("k", F.lit(-0.7)))
-    return model.uplifted(own, SMALL.uplift_grid)
+def plain_candidates(spark, d):
+    """Every uplift of the schedules of the gap drift, with sigma2 and the first log share m1."""
+    own = gap_drift(spark, d)
+    scale = own.groupBy("candidate").agg(F.max("sigma2").alias("sigma2"), F.round(F.max(F.when(F.col("k") == 1, F.col("mhat"))), 9).alias("m1"))
+    uplifts = model.uplift_sizes(F.col("n"), SMALL.uplift_grid, SMALL.uplift_least)
+    return model.uplifted(schedules(spark, d), uplifts).join(F.broadcast(scale), "candidate")  # a row for each candidate
 
 
-def plain_models(spark):
-    return model.curves(plain_candidates(spark).where("feasible"), F.lit(0.4), F.lit(-3.0))
+def plain_models(spark, d):
+    return model.curves(plain_candidates(spark, d).where("feasible"), F.col("sigma2"), F.col("m1"))
 
 
 @query("m17_stationarity", f"WITH {PLAIN_SQL} SELECT n, m, feasible FROM ok")
 def m17(spark, d):
     """Which uplifts make a schedule stationary with negative prefix sums."""
-    return plain_candidates(spark).select("n", "m", "feasible").distinct()
+    return plain_candidates(spark, d).select("n", "m", "feasible").distinct()
 
 
 @query("m17_variants")
@@ -232,36 +263,36 @@ def m17_variants(spark, d):
 
 @query("m18_gap_rates", f"WITH {PLAIN_SQL} SELECT n, m, k, round(r, 5) AS r, round(m_k, 5) AS m_k FROM model")
 def m18(spark, d):
-    return plain_models(spark).select("n", "m", "k", *rounded("r", "m_k", digits=5))
+    return plain_models(spark, d).select("n", "m", "k", *rounded("r", "m_k", digits=5))
 
 
 @query("m19_curve_weights", f"WITH {PLAIN_SQL} SELECT n, m, k, round(mce, 8) AS mce FROM model")
 def m19(spark, d):
-    return plain_models(spark).select("n", "m", "k", *rounded("mce", digits=8))
+    return plain_models(spark, d).select("n", "m", "k", *rounded("mce", digits=8))
 
 
-@query("w11_prefix_sums", f"WITH {PLAIN_SQL} SELECT n, m, k, round(big_g, 6) AS big_g FROM pre WHERE k < n")
+@query("w11_prefix_sums", f"WITH {PLAIN_SQL} SELECT n, m, k, round(big_g, 4) AS big_g FROM pre WHERE k < n")
 def w11(spark, d):
-    return plain_candidates(spark).where("k < n").select("n", "m", "k", *rounded("big_g"))
+    return plain_candidates(spark, d).where("k < n").select("n", "m", "k", *rounded("big_g", digits=4))
 
 
 @query("w12_reverse_sums", f"WITH {PLAIN_SQL} SELECT n, m, k, round(sum(1 / r) OVER (PARTITION BY n, m ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 5) AS rest FROM rates WHERE k < n")
 def w12(spark, d):
     """What is left of the curve's fall from each rank on."""
     rest = Window.partitionBy("n", "m").orderBy("k").rowsBetween(0, Window.unboundedFollowing)
-    return plain_models(spark).where("k < n").select("n", "m", "k", F.round(F.sum("rho").over(rest), 5).alias("rest"))
+    return plain_models(spark, d).where("k < n").select("n", "m", "k", F.round(F.sum("rho").over(rest), 5).alias("rest"))
 
 
 @query("w13_curve_recursion", f"WITH {PLAIN_SQL} SELECT n, m, round(min(m_k), 4) AS lowest, round(max(m_k), 4) AS highest FROM model GROUP BY 1, 2")
 def w13(spark, d):
-    return plain_models(spark).groupBy("n", "m").agg(F.round(F.min("m_k"), 4).alias("lowest"), F.round(F.max("m_k"), 4).alias("highest"))
+    return plain_models(spark, d).groupBy("n", "m").agg(F.round(F.min("m_k"), 4).alias("lowest"), F.round(F.max("m_k"), 4).alias("highest"))
 
 
-FIT_SQL = f"{GROWTH_SQL}, {PLAIN_SQL}, top AS (SELECT avg(s) AS top_share FROM (SELECT sum(weekly_share) FILTER (rank_w <= 50) AS s FROM weekly GROUP BY week_start)), fit AS (SELECT n, m, sqrt(avg((m_k - h.mhat) * (m_k - h.mhat))) AS rmse, sum(mce) AS modelled FROM model JOIN (SELECT k, mhat FROM head) h USING (k) WHERE k <= 50 GROUP BY 1, 2)"
+FIT_SQL = f"{PLAIN_SQL}, top AS (SELECT avg(s) AS top_share FROM (SELECT sum(weekly_share) FILTER (rank_w <= 50) AS s FROM weekly GROUP BY week_start)), fit AS (SELECT n, m, sqrt(avg((m_k - h.mhat) * (m_k - h.mhat))) AS rmse, sum(mce) AS modelled FROM model JOIN (SELECT k, mhat FROM head) h USING (k) WHERE k <= 50 GROUP BY 1, 2)"
 
 
 def plain_scores(spark, d):
-    return model.scores(plain_models(spark), head(spark, d).withColumn("candidate", F.lit(0)), stats.top_share(supplier_weeks(spark, d), SMALL.k_head), SMALL.k_head, SMALL.lambda_share)
+    return model.scores(plain_models(spark, d), head(spark, d).withColumn("candidate", F.lit(0)), stats.top_share(supplier_weeks(spark, d), SMALL.k_head), SMALL.k_head, SMALL.lambda_share)
 
 
 @query("m20_scores", f"WITH {FIT_SQL} SELECT n, m, round(rmse, 5) AS rmse, round(abs(modelled - top_share), 6) AS share_gap, round(rmse + abs(modelled - top_share), 5) AS score FROM fit, top")
@@ -275,50 +306,51 @@ def t4(spark, d):
     return plain_scores(spark, d).orderBy("score", "n", "m").limit(5).select("n", "m", *rounded("score", digits=5))
 
 
-@query("j20_parameter_grid", "SELECT n, m FROM (SELECT unnest([100, 200, 400]) AS n), (SELECT unnest([5, 10, 20, 50, 100]) AS m) WHERE m < n")
+@query("j20_parameter_grid", "SELECT DISTINCT n, m FROM (SELECT n, unnest([5, 10, 20, 50, 100, greatest(5, n // 20), greatest(5, n // 10), n - 1]) AS m FROM (SELECT unnest([100, 200, 400]) AS n)) WHERE m < n")
 def j20(spark, d):
-    return spark.createDataFrame([(100,), (200,), (400,)], "n int").withColumn("m", F.explode(F.array(*map(F.lit, SMALL.uplift_grid)))).where("m < n")
+    return spark.createDataFrame([(100,), (200,), (400,)], "n int").withColumn("m", F.explode(model.uplift_sizes(F.col("n"), SMALL.uplift_grid, SMALL.uplift_least))).where("m < n")
 
 
 @query("m40_acceptance", f"WITH {PLAIN_SQL}, c AS (SELECT n, m, bool_and(coalesce(r > 0, true)) AS rates_positive, abs(sum(mce) - 1) < 1e-8 AS sums_to_one, bool_and(coalesce(m_k > nx, true)) AS falling FROM (SELECT *, lead(m_k) OVER (PARTITION BY n, m ORDER BY k) AS nx FROM model) GROUP BY 1, 2) SELECT * FROM c")
 def m40(spark, d):
     """Checks of each model: positive rates, weights that sum to 1, a falling curve."""
-    own = plain_models(spark).withColumn("_next", F.lead("m_k").over(Window.partitionBy("n", "m").orderBy("k")))
+    own = plain_models(spark, d).withColumn("_next", F.lead("m_k").over(Window.partitionBy("n", "m").orderBy("k")))
     return own.groupBy("n", "m").agg(F.bool_and(F.coalesce(F.col("r") > 0, F.lit(True))).alias("rates_positive"), (F.abs(F.sum("mce") - 1) < 1e-8).alias("sums_to_one"), F.bool_and(F.coalesce(F.col("m_k") > F.col("_next"), F.lit(True))).alias("falling"))
 
 
-def fitted(spark, d, sizes=(100, 200, 400), k_max=50):
-    """Models of all sizes and uplifts from a head's own drift, variance and first log share."""
-    own = gap_drift(spark, d, k_max)
-    grid = model.uplifted(model.schedule(negative_head(spark, d, k_max), sizes, SMALL.k0, 0.5), SMALL.uplift_grid).where("feasible")
+def fitted(own, sizes=(100, 200, 400)):
+    """Models of all sizes and uplifts from each candidate's own drift, variance and first log share."""
+    grid = model.uplifted(model.schedule(lowered(own), sizes, SMALL.k0, 0.5), model.uplift_sizes(F.col("n"), SMALL.uplift_grid, SMALL.uplift_least)).where("feasible")
     scale = own.groupBy("candidate").agg(F.max("sigma2").alias("sigma2"), F.max(F.when(F.col("k") == 1, F.col("mhat"))).alias("m1"))
-    models = model.curves(grid.join(F.broadcast(scale), "candidate"), F.col("sigma2"), F.col("m1"))
-    return models, own
+    return model.curves(grid.join(F.broadcast(scale), "candidate"), F.col("sigma2"), F.col("m1"))
 
 
 @query("m21_selection_grid")
 def m21(spark, d):
     """All feasible sizes and uplifts with their scores, best first; ranked from 1."""
-    models, own = fitted(spark, d)
-    out = model.scores(models, own, stats.top_share(supplier_weeks(spark, d), SMALL.k_head), SMALL.k_head)
+    own = gap_drift(spark, d)
+    out = model.scores(fitted(own), own, stats.top_share(supplier_weeks(spark, d), SMALL.k_head), SMALL.k_head)
     return out.withColumn("place", F.row_number().over(Window.partitionBy("candidate").orderBy("score", "n", "m")))
 
 
 @query("m22_first_feasible_curve")
 def m22(spark, d):
     """The curve of each size with its least feasible uplift."""
-    return model.first_feasible(fitted(spark, d)[0]).select("n", "m", "k", "m_k", "mce")
+    return model.first_feasible(fitted(gap_drift(spark, d))).select("n", "m", "k", "m_k", "mce")
 
 
 @query("m23_head_sensitivity")
 def m23(spark, d):
-    """Best score for heads of several sizes, each refitted."""
-    out = None
-    for k_max in (30, 50, 70):  # a fixed list of settings
-        models, own = fitted(spark, d, (100, 200), k_max)
-        one = model.scores(models, own, stats.top_share(supplier_weeks(spark, d), k_max), k_max).agg(F.min("score").alias("score"), F.min_by("n", "score").alias("n"), F.min_by("m", "score").alias("m")).withColumn("k_max", F.lit(k_max))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Best score for heads of several sizes, each refitted; all sizes come from one panel and run side by side."""
+    sizes, weekly = (30, 50, 70), supplier_weeks(spark, d)
+    own = gap_drifts(spark, d, sizes)
+    models = fitted(own, (100, 200))
+    met = models.where("k <= candidate").join(own.select("candidate", "k", "mhat"), ["candidate", "k"])
+    fit = met.groupBy("candidate", "n", "m").agg(F.sqrt(F.avg((F.col("m_k") - F.col("mhat")) ** 2)).alias("rmse"), F.sum("mce").alias("modelled_share"))
+    sums = weekly.groupBy("week_start").agg(*[F.sum(F.when(F.col("rank_w") <= k, F.col("weekly_share"))).alias(str(k)) for k in sizes])
+    top = sums.agg(*[F.avg(str(k)).alias(str(k)) for k in sizes]).select(F.inline(F.array(*[F.struct(F.lit(k).alias("candidate"), F.col(str(k)).alias("top_share")) for k in sizes])))
+    out = fit.join(F.broadcast(top), "candidate").withColumn("score", F.col("rmse") + F.abs(F.col("modelled_share") - F.col("top_share")))
+    return out.groupBy(F.col("candidate").alias("k_max")).agg(F.min("score").alias("score"), F.min_by("n", "score").alias("n"), F.min_by("m", "score").alias("m"))
 
 
 @query("m25_robust_refit")

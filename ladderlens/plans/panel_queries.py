@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ladderlens.config import SMALL
@@ -238,7 +237,7 @@ def w3(spark, d):
 def w4(spark, d):
     """Unique ranks of periods that no task holds as a whole."""
     own = part_weeks(spark, d).drop("rank_w")
-    return panels.ranked_wide(own, "week_start", "weekly_metric", "rank_w", ties=[F.col("endpoint_id")]).select("week_start", "endpoint_id", "rank_w")
+    return panels.ranked(own, "week_start", "weekly_metric", "rank_w", ties=[F.col("endpoint_id")]).select("week_start", "endpoint_id", "rank_w")
 
 
 @query(
@@ -286,11 +285,7 @@ def t2(spark, d):
 )
 def t6(spark, d):
     """Twelve start weeks, evenly spaced."""
-    weeks = supplier_weeks(spark, d).select("week_start").distinct()
-    order = Window.orderBy("week_start")  # a row for each week
-    numbered = weeks.select("week_start", F.row_number().over(order).cast("long").alias("i"), F.count("*").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("n"))
-    picks = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda j: F.floor(1 + j * (F.col("n") - 1) / 11.0))
-    return numbered.where(F.array_contains(picks, F.col("i"))).select("week_start", "i")
+    return panels.thinned_starts(supplier_weeks(spark, d), "week_start")
 
 
 @query(
@@ -312,11 +307,11 @@ def u2(spark, d):
 
 @query(
     "u3_missing_dates",
-    "WITH o AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM orders WHERE o_custkey % 10 = 0), s AS (SELECT min(date) AS a, max(date) AS b FROM o) SELECT CAST(t.d AS DATE) AS date FROM s, unnest(generate_series(CAST(a AS TIMESTAMP), CAST(b AS TIMESTAMP), INTERVAL 1 DAY)) AS t(d) WHERE CAST(t.d AS DATE) NOT IN (SELECT date FROM o)",
+    "WITH o AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM orders), s AS (SELECT min(date) AS a, max(date) AS b FROM o) SELECT CAST(t.d AS DATE) AS date FROM s, unnest(generate_series(CAST(a AS TIMESTAMP), CAST(b AS TIMESTAMP), INTERVAL 1 DAY)) AS t(d) WHERE CAST(t.d AS DATE) NOT IN (SELECT date FROM o)",
 )
 def u3(spark, d):
-    """Calendar dates without an order of some customers."""
-    return panels.missing_dates(table(spark, d, "orders").where("o_custkey % 10 = 0").select(F.to_date("o_orderdate").alias("date")), "date")
+    """Calendar dates without an order."""
+    return panels.missing_dates(table(spark, d, "orders").select(F.to_date("o_orderdate").alias("date")), "date")
 
 
 @query("u5_unpivot", f"WITH {SUPPLIERS}, s AS (SELECT rank_w AS k, round(avg(weekly_share), 9) AS mean, round(median(weekly_share), 9) AS middle FROM weekly GROUP BY 1) UNPIVOT s ON mean, middle INTO NAME type VALUE value")

@@ -160,34 +160,42 @@ def m10(spark, d):
     return tests.withColumn("chosen", F.row_number().over(order) == 1)
 
 
+SEGMENTS = [(1, 10), (11, 50), (51, 1000)]
+
+
+def share_curves(spark, d):
+    """(curve, rank_w, y): mean and median share by rank."""
+    own = supplier_weeks(spark, d).groupBy("rank_w").agg(F.avg("weekly_share").alias("mean"), F.median("weekly_share").alias("median"))
+    return own.unpivot("rank_w", ["mean", "median"], "curve", "y")
+
+
 @query(
     "m27_power_law",
-    f"""WITH {SUPPLIERS}, s AS (SELECT rank_w, avg(weekly_share) AS y FROM weekly GROUP BY 1), p AS (SELECT low, high, ln(rank_w) AS x, ln(y) AS y FROM s JOIN (VALUES (1, 10), (11, 50), (51, 1000)) v(low, high) ON rank_w BETWEEN low AND high)
-    SELECT low, high, round(-regr_slope(y, x), 6) AS alpha, round(sqrt(greatest(0, 1 - regr_r2(y, x)) * regr_syy(y, x) / ((count(*) - 2) * regr_sxx(y, x))), 6) AS std_error, round(regr_intercept(y, x), 6) AS intercept, round(regr_r2(y, x), 6) AS r2, count(*) AS n FROM p GROUP BY 1, 2 HAVING count(*) > 2""",
+    f"""WITH {SUPPLIERS}, s AS (SELECT rank_w, avg(weekly_share) AS mean, median(weekly_share) AS median FROM weekly GROUP BY 1), c AS (UNPIVOT s ON mean, median INTO NAME curve VALUE y),
+    p AS (SELECT curve, low, high, ln(rank_w) AS x, ln(y) AS y FROM c JOIN (VALUES (1, 10), (11, 50), (51, 1000)) v(low, high) ON rank_w BETWEEN low AND high)
+    SELECT curve, low, high, round(-regr_slope(y, x), 6) AS alpha, round(sqrt(greatest(0, 1 - regr_r2(y, x)) * regr_syy(y, x) / ((count(*) - 2) * regr_sxx(y, x))), 6) AS std_error, round(regr_intercept(y, x), 6) AS intercept, round(regr_r2(y, x), 6) AS r2, count(*) AS n FROM p GROUP BY 1, 2, 3 HAVING count(*) > 2""",
 )
 def m27(spark, d):
-    """Slopes of log share on log rank in three segments."""
-    means = supplier_weeks(spark, d).groupBy("rank_w").agg(F.avg("weekly_share").alias("y"))
-    return stats.power_law(means, "rank_w", "y", [(1, 10), (11, 50), (51, 1000)]).where("n > 2").select("low", "high", *rounded("alpha", "std_error", "intercept", "r2"), "n")
+    """Slopes of log share on log rank in three segments, of the mean and of the median curve."""
+    return stats.power_law(share_curves(spark, d), "rank_w", "y", SEGMENTS, ["curve"]).where("n > 2").select("curve", "low", "high", *rounded("alpha", "std_error", "intercept", "r2"), "n")
 
 
 @query("m27_confidence")
 def m27_confidence(spark, d):
     """95 % intervals of those slopes."""
-    means = supplier_weeks(spark, d).groupBy("rank_w").agg(F.avg("weekly_share").alias("y"))
-    fits = stats.power_law(means, "rank_w", "y", [(1, 10), (11, 50), (51, 1000)]).where("n > 2").select("low", "high", "alpha", "std_error", "n")
+    fits = stats.power_law(share_curves(spark, d), "rank_w", "y", SEGMENTS, ["curve"]).where("n > 2").select("curve", "low", "high", "alpha", "std_error", "n")
 
     def bounds(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             t = np.array([numeric.t_quantile(0.05, n - 2) for n in frame["n"]])
             yield frame.assign(ci_low=frame["alpha"] - t * frame["std_error"], ci_high=frame["alpha"] + t * frame["std_error"])
 
-    return fits.mapInPandas(bounds, "low int, high int, alpha double, std_error double, n long, ci_low double, ci_high double")
+    return fits.mapInPandas(bounds, "curve string, low int, high int, alpha double, std_error double, n long, ci_low double, ci_high double")
 
 
 WLS = """
-p AS (SELECT {x} AS x, {y} AS y, {w} AS w FROM {source}),
-s AS (SELECT count(*) AS n, sum(ln(w)) AS lw, sum(w) AS sw, sum(w * x) AS sx, sum(w * y) AS sy, sum(w * x * x) AS sxx, sum(w * x * y) AS sxy, sum(w * y * y) AS syy FROM p),
+p AS (SELECT {span} AS span, {x} AS x, {y} AS y, {w} AS w FROM {source}),
+s AS (SELECT span, count(*) AS n, sum(ln(w)) AS lw, sum(w) AS sw, sum(w * x) AS sx, sum(w * y) AS sy, sum(w * x * x) AS sxx, sum(w * x * y) AS sxy, sum(w * y * y) AS syy FROM p GROUP BY 1),
 l AS (SELECT *, (sw * sxy - sx * sy) / (sw * sxx - sx * sx) AS slope FROM s), i AS (SELECT *, (sy - slope * sx) / sw AS intercept FROM l),
 r AS (SELECT *, syy - intercept * sy - slope * sxy AS rss, syy - sy * sy / sw AS rss0 FROM i),
 k AS (SELECT *, 0.5 * (lw - n * (ln(2 * pi()) + 1 - ln(n) + ln(rss))) AS ll, 0.5 * (lw - n * (ln(2 * pi()) + 1 - ln(n) + ln(rss0))) AS ll0 FROM r)"""
@@ -195,13 +203,15 @@ k AS (SELECT *, 0.5 * (lw - n * (ln(2 * pi()) + 1 - ln(n) + ln(rss))) AS ll, 0.5
 
 @query(
     "m28_variance_funnel",
-    f"WITH {GROWTH_SQL}, {WLS.format(x='ln(k)', y='v', w='greatest(n - 1, 1)', source='rank_stats WHERE v IS NOT NULL')} SELECT n, round(slope, 6) AS slope, round(intercept, 6) AS intercept, round(1 - rss / rss0, 5) AS r2, round(6 - 2 * ll, 4) AS aic, round(3 * ln(n) - 2 * ll, 4) AS bic, round(4 - 2 * ll0, 4) AS aic_constant, round(2 * ln(n) - 2 * ll0, 4) AS bic_constant FROM k",
+    f"WITH {GROWTH_SQL}, {WLS.format(span='v.span', x='ln(k)', y='v', w='greatest(n - 1, 1)', source='rank_stats JOIN (VALUES (0, 1, 1000000000), (1, 1, 50), (2, 2, 50)) v(span, a, b) ON k BETWEEN a AND b WHERE v IS NOT NULL').replace('SELECT v.span AS span', 'SELECT span')} SELECT CASE span WHEN 0 THEN 'all' WHEN 1 THEN 'head' ELSE 'from 2' END AS span, n, round(slope, 6) AS slope, round(intercept, 6) AS intercept, round(1 - rss / rss0, 5) AS r2, round(6 - 2 * ll, 4) AS aic, round(3 * ln(n) - 2 * ll, 4) AS bic, round(4 - 2 * ll0, 4) AS aic_constant, round(2 * ln(n) - 2 * ll0, 4) AS bic_constant FROM k",
 )
 def m28(spark, d):
-    """Variance of growth on log rank, against a constant."""
+    """Variance of growth on log rank, against a constant: over all ranks, those of the head, and those from 2 on."""
     own = stats.rank_summary(week_growth(supplier_weeks(spark, d)), "rank_w", "g")
-    fit = stats.weighted_line(own, F.ln("k"), F.col("variance"), F.greatest(F.col("n") - 1, F.lit(1)))
-    return fit.select("n", *rounded("slope", "intercept"), *rounded("r2", digits=5), *rounded("aic", "bic", "aic_constant", "bic_constant", digits=4))
+    k, spans = F.col("k"), {"all": F.lit(True), "head": F.col("k") <= SMALL.k_head, "from 2": F.col("k").between(2, SMALL.k_head)}
+    own = own.withColumn("span", F.explode(F.array_compact(F.array(*[F.when(ok, F.lit(name)) for name, ok in spans.items()]))))
+    fit = stats.weighted_line(own, F.ln(k), F.col("variance"), F.greatest(F.col("n") - 1, F.lit(1)), ["span"])
+    return fit.select("span", "n", *rounded("slope", "intercept"), *rounded("r2", digits=5), *rounded("aic", "bic", "aic_constant", "bic_constant", digits=4))
 
 
 @query("m29_slope_test")
@@ -229,7 +239,7 @@ def first_rank_line(spark, d):
 @query(
     "m33_first_rank_funnel",
     f"""WITH {DAYS_SQL}, o AS (SELECT endpoint_id, min_by(rank, date) AS rank FROM daily GROUP BY 1), g AS (SELECT a.endpoint_id, ln(b.share) - ln(a.share) AS g FROM daily a JOIN daily b ON b.endpoint_id = a.endpoint_id AND b.date = a.date + 1),
-    v AS (SELECT endpoint_id, var_samp(g) AS v FROM g GROUP BY 1), q AS (SELECT rank, avg(v) AS y FROM v JOIN o USING (endpoint_id) WHERE v > 0 AND rank > 1 GROUP BY 1), {WLS.format(x='ln(rank)', y='y', w='y', source='q')}
+    v AS (SELECT endpoint_id, var_samp(g) AS v FROM g GROUP BY 1), q AS (SELECT rank, avg(v) AS y FROM v JOIN o USING (endpoint_id) WHERE v > 0 AND rank > 1 GROUP BY 1), {WLS.format(span='0', x='ln(rank)', y='y', w='y', source='q')}
     SELECT n, round(slope, 6) AS slope, round(intercept, 6) AS intercept FROM k""",
 )
 def m33(spark, d):
@@ -263,14 +273,31 @@ def m35(spark, d):
     l AS (SELECT lag(rank) OVER w AS prev_rank, y - lag(y) OVER w AS g FROM f WINDOW w AS (PARTITION BY endpoint_id ORDER BY date)) SELECT prev_rank, count(*) AS n, round(avg(g), 6) AS mean_g, round(stddev_samp(g), 6) AS sd_g FROM l WHERE g IS NOT NULL GROUP BY 1""",
 )
 def m38(spark, d):
-    """Growth by the rank of the day before, entries and exits included."""
+    """Growth by the rank of the day before, entries and exits included.
+
+    Days are numbered among those that the panel has.  An endpoint's row stands
+    for the step to it (an entry if the row before is not of the day before)
+    and for the step from it if that is an exit; what is off the list on both
+    days has growth 0 and is only counted.  So no grid of dates is made.
+    """
     daily = user_days(spark, d)
-    dates = daily.agg(F.sort_array(F.collect_set("date")).alias("dates"))
-    full = daily.select("endpoint_id").distinct().crossJoin(F.broadcast(dates)).select("endpoint_id", F.explode("dates").alias("date")).join(daily, ["date", "endpoint_id"], "left")
-    order = Window.partitionBy("endpoint_id").orderBy("date")
-    own = full.select("endpoint_id", "date", F.coalesce("rank", F.lit(churn.OFF_LIST)).alias("rank"), F.ln(F.coalesce("share", F.lit(0.0)) + 1e-12).alias("y"))
-    own = own.select(F.lag("rank").over(order).alias("prev_rank"), (F.col("y") - F.lag("y").over(order)).alias("g")).where("g is not null")
-    return own.groupBy("prev_rank").agg(F.count("*").alias("n"), F.round(F.avg("g"), 6).alias("mean_g"), F.round(F.stddev_samp("g"), 6).alias("sd_g"))
+    days = churn.numbered_periods(daily, "date", "at")
+    span = days.agg(F.max("at").alias("last"))
+    floor = F.ln(F.lit(1e-12))
+    order = Window.partitionBy("endpoint_id").orderBy("at")
+    rows = daily.join(F.broadcast(days), "date").crossJoin(F.broadcast(span)).select("endpoint_id", "at", "last", "rank", F.ln(F.col("share") + 1e-12).alias("y"))  # a row for each day, and one
+    met = rows.withColumn("stays", F.coalesce(F.lead("at").over(order) == F.col("at") + 1, F.lit(False)))
+    met = met.withColumn("came", F.coalesce(F.lag("at").over(order) == F.col("at") - 1, F.lit(False))).withColumn("old_rank", F.lag("rank").over(order)).withColumn("old_y", F.lag("y").over(order))
+    off = F.lit(churn.OFF_LIST)
+    step_in = F.when(F.col("at") > 1, F.struct(F.when(F.col("came"), F.col("old_rank")).otherwise(off).alias("prev_rank"), (F.col("y") - F.when(F.col("came"), F.col("old_y")).otherwise(floor)).alias("g")))
+    step_out = F.when(~F.col("stays") & (F.col("at") < F.col("last")), F.struct(F.col("rank").alias("prev_rank"), (floor - F.col("y")).alias("g")))
+    steps = met.select(F.inline(F.array_compact(F.array(step_in, step_out))))
+    sums = steps.groupBy("prev_rank").agg(F.count("*").alias("n"), F.sum("g").alias("s"), F.sum(F.col("g") * F.col("g")).alias("q"))
+    all_steps = daily.agg(F.count_distinct("endpoint_id").alias("ids")).crossJoin(span).select((F.col("ids") * (F.col("last") - 1)).alias("steps"))
+    idle = steps.agg(F.count("*").alias("n")).crossJoin(all_steps).select(off.alias("prev_rank"), (F.col("steps") - F.col("n")).alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("q")).where("n > 0")
+    out = sums.unionByName(idle).groupBy("prev_rank").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
+    spread = F.sqrt(F.greatest(F.col("q") - F.col("s") ** 2 / F.col("n"), F.lit(0.0)) / F.nullif(F.col("n") - 1, F.lit(0)))
+    return out.select("prev_rank", "n", F.round(F.col("s") / F.col("n"), 6).alias("mean_g"), F.round(spread, 6).alias("sd_g"))
 
 
 @query("m30_slope_and_curvature")

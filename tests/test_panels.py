@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ladderlens.operators import churn, pairs, panels, stats
@@ -27,7 +28,6 @@ def test_four_ranks_of_ties(spark):
     assert of(panels.ranked(*args, "dense_rank")) == [1, 1, 2, 2, 3]
     assert of(panels.ranked(*args, "rank")) == [1, 1, 3, 3, 5]
     assert of(panels.ranked(*args, ties=[F.col("endpoint_id")])) == [1, 2, 3, 4, 5]
-    assert of(panels.ranked_wide(*args, ties=[F.col("endpoint_id")])) == [1, 2, 3, 4, 5]
 
 
 def test_ties_go_to_who_led_the_week_before(spark):
@@ -36,11 +36,36 @@ def test_ties_go_to_who_led_the_week_before(spark):
     assert got == {"d": 1, "c": 2, "a": 3}
 
 
-def test_wide_ranks_equal_plain_ones(spark):
-    df = spark.range(3000).select(F.lit(DAY).alias("p"), F.col("id").cast("string").alias("endpoint_id"), F.when(F.col("id") % 50 == 0, 0.0).otherwise(F.pmod(F.xxhash64("id"), F.lit(700)) / 7.0).alias("x"))
+def test_sliced_ranks_equal_windows_over_whole_periods(spark):
+    x = F.when(F.col("id") % 50 == 0, 0.0).when(F.col("id") % 51 == 0, None).when(F.col("id") % 53 == 0, float("nan")).when(F.col("id") % 3 == 0, F.pmod("id", F.lit(4)).cast("double")).otherwise(F.pmod(F.xxhash64("id"), F.lit(700)) / 7.0 - 20)
+    df = spark.range(3000).select(F.expr("date '2024-01-01' + cast(id % 2 as int)").alias("p"), F.col("id").cast("string").alias("endpoint_id"), x.alias("x"))
     ties = [F.col("endpoint_id")]
-    a, b = (f(df, "p", "x", "r", ties=ties).select("endpoint_id", "r") for f in (panels.ranked, panels.ranked_wide))
-    assert a.exceptAll(b).count() == 0 and b.count() == 3000
+    for kind in ("row_number", "rank", "dense_rank"):
+        order = Window.partitionBy("p").orderBy(F.desc("x"), *(ties if kind == "row_number" else ()))
+        want = df.select("endpoint_id", getattr(F, kind)().over(order).alias("r"))
+        got = panels.ranked(df, "p", "x", "r", kind, ties).select("endpoint_id", "r")
+        assert got.exceptAll(want).count() == 0 and got.count() == 3000
+
+
+def test_panel_totals_and_ranks(spark):
+    df = spark.range(500).select(F.lit(DAY).alias("p"), F.col("id").cast("string").alias("endpoint_id"), F.pmod(F.xxhash64("id"), F.lit(30)).cast("double").alias("x"))
+    got = panels.panel(df, ("p", "x", "t", "s", "r"))
+    order = Window.partitionBy("p").orderBy(F.desc("x"), "endpoint_id")
+    want = df.withColumn("t", F.sum("x").over(Window.partitionBy("p"))).withColumn("s", F.col("x") / F.col("t")).withColumn("r", F.row_number().over(order))
+    assert got.select(want.columns).exceptAll(want).count() == 0 and got.count() == 500
+
+
+def test_gaps_across_blocks_of_ranks(spark):
+    df = spark.range(1, 40).where("id <> 20").select(F.lit(DAY).alias("p"), F.exp(-F.col("id") / 1.0).alias("v"), F.col("id").cast("int").alias("r"))
+    got = {r["r"]: round(r["gap"], 9) for r in pairs.rank_gaps(df, "p", "v", "r", block=5).collect()}
+    assert got == {k: 1.0 for k in range(1, 39) if k not in (19, 20)}
+
+
+def test_top_of_a_period_by_parts(spark):
+    df = spark.range(300).select(F.lit(DAY).alias("p"), F.col("id").cast("string").alias("endpoint_id"), (F.col("id") % 7).alias("x"))
+    got = sorted((r["x"], r["endpoint_id"], r["rank"]) for r in panels.top_n(df, "p", "x", 50, [F.col("endpoint_id")], salts=5).collect())
+    want = sorted([(i % 7, str(i)) for i in range(300)], key=lambda v: (-v[0], v[1]))[:50]
+    assert got == sorted((x, i, 7 - x) for x, i in want)
 
 
 def test_positive_drops_zeros_nulls_and_nan(spark):
@@ -125,9 +150,10 @@ def test_sources(spark, tmp_path):
     assert readers.read_any(spark, f"{tmp_path}/t.csv").first()["likes"] == 2
     b.createOrReplaceTempView("dump_view")
     assert readers.read_any(spark, "nowhere.parquet", "dump_view").count() == 1
-    assert readers.find_path("t.csv", [str(tmp_path)]) == f"{tmp_path}/t.csv"
+    assert readers.find_path(spark, "t.csv", [str(tmp_path)]) == f"{tmp_path}/t.csv"
+    assert readers.find_path(spark, "2024-01-02.parquet/*.parquet", [f"{tmp_path}/none", f"{tmp_path}/dump"]).startswith(f"{tmp_path}/dump")
     with pytest.raises(FileNotFoundError):
-        readers.find_path("none.csv", [str(tmp_path)])
+        readers.find_path(spark, "none.csv", [str(tmp_path)])
     with pytest.raises(ValueError, match="endpoint"):
         readers.resolve_columns(b.select("date", "likes"))
 
