@@ -59,9 +59,9 @@ def sliced(df: DataFrame, metric: str, tie: Column | None = None) -> DataFrame:
     size = F.floor(F.log2(F.abs(x)) * SLICES)
     at = F.when(x.isNull(), -2_000_000_000).when(F.isnan(x), 2_000_000_000).when(x == 0, -100_000).when(x > 0, size).otherwise(-200_000 - size)
     small = F.abs(x) <= 4096
-    out = df.withColumn("_slice", at.cast("int")).withColumn("_part", F.when(small, 2 * F.floor(x) + (x > F.floor(x)).cast("int")).otherwise(0).cast("int"))
-    near = F.when(small & (x == F.floor(x)), F.substring(tie.cast("string"), 1, 2)) if tie is not None else F.lit(None).cast("string")
-    return out.withColumn("_near", F.coalesce(near, F.lit("")))
+    part = F.when(small, 2 * F.floor(x) + (x > F.floor(x)).cast("int")).otherwise(0).cast("int")
+    near = F.lit("") if tie is None else F.when(small & (x == F.floor(x)), F.substring(tie.cast("string"), 1, 2)).otherwise("")
+    return df.select("*", at.cast("int").alias("_slice"), part.alias("_part"), F.coalesce(near, F.lit("")).alias("_near"))
 
 
 def ranked(df: DataFrame, period: str, metric: str, name: str, kind: str = "row_number", ties: Sequence[Column] = (), split: bool = True) -> DataFrame:
@@ -133,9 +133,10 @@ def panel(own: DataFrame, names: tuple[str, str, str, str, str], decimals: int =
     keys = [period, "_slice", "_part", "_near"]
     edges = cut.groupBy(*keys).agg(F.count("*").alias("_count"), F.sum(metric).alias("_sum"))
     start = F.coalesce(F.sum("_count").over(larger(period)), F.lit(0))
-    edges = edges.select(*keys, start.alias("_start"), F.round(F.sum("_sum").over(Window.partitionBy(period)), decimals).alias(total))
+    whole = larger(period).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    edges = edges.select(*keys, start.alias("_start"), F.round(F.sum("_sum").over(whole), decimals).alias(total))
     within = Window.partitionBy(*keys).orderBy(F.desc(metric), "endpoint_id")
-    out = cut.withColumn("_n", F.row_number().over(within)).join(edges, keys)
+    out = cut.select("*", F.row_number().over(within).alias("_n")).join(edges, keys)
     return out.select(*own.columns, total, F.try_divide(metric, total).alias(share), (F.col("_start") + F.col("_n")).cast("int").alias(rank))
 
 

@@ -191,9 +191,9 @@ tail AS (SELECT n, k, CASE WHEN k < 25 THEN h ELSE max(CASE WHEN k = 25 THEN h E
 sched AS (SELECT n, k, max(g) OVER (PARTITION BY n ORDER BY k ROWS UNBOUNDED PRECEDING) AS g FROM tail)"""
 
 
-def schedules(spark, d):
+def schedules(spark, d, own=None):
     """Schedules of three sizes from the gap drift."""
-    own = gap_drift(spark, d).withColumn("g", F.round(F.col("g") - 0.02, 9))
+    own = (own or gap_drift(spark, d)).withColumn("g", F.round(F.col("g") - 0.02, 9))
     return model.schedule(own, [100, 200, 400], SMALL.k0, 0.5)
 
 
@@ -233,7 +233,7 @@ def plain_candidates(spark, d):
     own = gap_drift(spark, d)
     scale = own.groupBy("candidate").agg(F.max("sigma2").alias("sigma2"), F.round(F.max(F.when(F.col("k") == 1, F.col("mhat"))), 9).alias("m1"))
     uplifts = model.uplift_sizes(F.col("n"), SMALL.uplift_grid, SMALL.uplift_least)
-    return model.uplifted(schedules(spark, d), uplifts).join(F.broadcast(scale), "candidate")  # a row for each candidate
+    return model.uplifted(schedules(spark, d, own), uplifts).join(F.broadcast(scale), "candidate")  # a row for each candidate
 
 
 def plain_models(spark, d):
