@@ -2,35 +2,63 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 import zlib
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of a table that may be broadcast, once they have been counted.
+BROADCAST_ROWS = 1_000_000
+#: For each open scope, the folders written in it.
+_written: list[list[str]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one only if the session names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='ladderlens-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    """The folder that all executors share: the session's checkpoint folder, else one below its warehouse."""
+    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it again.
 
     This cuts the lineage: the work behind df runs once, and what it made
-    outlives any executor.
+    outlives any executor.  The table stays until its scope ends (``scope``),
+    or until the folder is cleared.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _written:
+        _written[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, paths: Sequence[str]) -> None:
+    """Delete folders of the shared store."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[list[str]]:
+    """Tables that are materialized within it are deleted at its end; take a path off the list to keep it."""
+    _written.append([])
+    try:
+        yield _written[-1]
+    finally:
+        remove(spark, _written.pop())
+
+
+def hand_on(path: str) -> None:
+    """Let a path outlive the innermost scope; it belongs to the one around it, if any."""
+    if len(_written) > 1:
+        _written[-2].append(path)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of jobs that are over."""
     import gc
@@ -39,6 +67,16 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def with_few(df: DataFrame, few: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join with a written table that should be small: broadcast if its rows, counted first, are few, else by Spark's choice."""
+    return df.join(F.broadcast(few) if few.count() <= BROADCAST_ROWS else few, on, how)
+
+
+def fields(df: DataFrame, names: Sequence[str]) -> str:
+    """The schema of some columns, as text."""
+    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names)
+
+
 def id_bucket(doc_id: Column, n: int) -> Column:
     """crc32 of doc_id as text, modulo n (null stays null)."""
     return F.crc32(doc_id.cast("string")) % n
