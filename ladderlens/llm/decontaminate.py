@@ -8,17 +8,23 @@ algorithm computes the least edit distance of the item to any substring of the
 text around the hit.  Items and texts are compared lower-cased and with runs
 of white space as one blank; positions are in that form.
 
-Items shorter than ``min_chars`` in that form are never matched, as they say
-nothing.  The items are read in blocks of bounded size, each of which goes to
-the tasks; all texts are searched for every block.
-
-Defined results: null and empty texts and items match nothing.  Items that
-occur twice give a row each.  Repeated document rows give their rows again.
-Other columns are ignored, whatever their names.
+An item too short for an edit must be found unchanged, from one word boundary
+to another.  Of several best matches in a text, the first counts.
+
+The items are read in blocks of bounded size.  A block goes to the tasks, which
+search all texts for it, and is dropped before the next one is sent, so neither
+the driver nor a task ever holds more than a block.
+
+Defined results: null and empty texts and items, and those of white space
+alone, match nothing.  Items that occur twice give a row each.  Repeated
+document rows give their rows again.  Texts of any length are searched whole.
+No items, or no documents, give no matches.  Other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import ahocorasick
@@ -26,6 +32,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ladderlens.llm.common import fields, materialize
+
 #: Characters of items that go to the tasks at once.
 BLOCK_CHARS = 4_000_000
 
@@ -34,6 +42,20 @@ def normal(text: str) -> str:
     return " ".join(text.lower().split())
 
 
+def original_end(text: str, end: int) -> int:
+    """Where the first ``end`` characters of the normal form of text end in text itself."""
+    seen = 0
+    for word in re.finditer(r"\S+", text):
+        seen += 1 if seen else 0
+        if seen >= end > 0:
+            return word.start()
+        for i, ch in enumerate(word[0], word.start() + 1):
+            seen += len(ch.lower())
+            if seen >= end:
+                return i
+    return len(text)
+
+
 def pieces(item: str, errors: int) -> list[tuple[int, str]]:
     """(offset, piece): errors + 1 pieces that cover the item."""
     edges = [i * len(item) // (errors + 1) for i in range(errors + 2)]
@@ -68,6 +90,11 @@ def distance(item: str, text: str) -> tuple[int, int]:
     return best, end
 
 
+def at_words(text: str, a: int, b: int) -> bool:
+    """Whether no word goes on past either end of text[a:b]."""
+    return not (a > 0 and text[a - 1].isalnum() and text[a].isalnum()) and not (b < len(text) and text[b].isalnum() and text[b - 1].isalnum())
+
+
 class Matcher:
     """The pieces of all items of a block."""
 
@@ -92,6 +119,10 @@ class Matcher:
         for last, (size, places) in self.hits.iter(text):
             for k, offset in places:
                 _, item, errors = self.items[k]
+                if not errors:
+                    if k not in found and at_words(text, last + 1 - size, last + 1):
+                        found[k] = (0, last + 1)
+                    continue
                 start = last + 1 - size - offset  # where the item would start without edits
                 slot = start // (errors + 1)  # near starts share a window
                 if (k, slot) in seen or found.get(k, (1, 0))[0] == 0:
@@ -104,12 +135,12 @@ class Matcher:
         return [(self.items[k][0], e, end, self.items[k][2]) for k, (e, end) in sorted(found.items())]
 
 
-def item_blocks(items: DataFrame, min_chars: int, block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str]]]:
+def item_blocks(items: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str]]]:
     """The items in normal form, block by block; the driver holds one block at a time."""
     block, size = [], 0
     for row in items.select("item_id", "text").where(F.col("text").isNotNull()).toLocalIterator():
         text = normal(row["text"])
-        if len(text) < min_chars:
+        if not text:
             continue
         block.append((row["item_id"], text))
         size += len(text)
@@ -120,33 +151,53 @@ def item_blocks(items: DataFrame, min_chars: int, block_chars: int = BLOCK_CHARS
         yield block
 
 
-def contaminated(docs: DataFrame, items: DataFrame, error_rate: float = 0.08, min_chars: int = 40, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """A row (doc_id, item_id, edits, allowed, match_end) for each item found in a document."""
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}, edits int, allowed int, match_end long"
+#: The block that a Python worker has last seen, the error rate, and their matcher.
+_last: list = [None, 0.0, None]
+
+
+def matcher_of(block: list[tuple[int, str]], error_rate: float) -> Matcher:
+    """One matcher for all tasks of a Python worker that search for a block."""
+    if _last[0] is not block or _last[1] != error_rate:
+        _last[:] = [block, error_rate, Matcher(block, error_rate)]
+    return _last[2]
+
+
+def contaminated(docs: DataFrame, items: DataFrame, error_rate: float = 0.08, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """A row (doc_id, item_id, edits, allowed, match_end) for each item found in a document.
+
+    match_end is where the best match ends in the text, in code points.
+    """
+    schema = f"{fields(docs, ['doc_id'])}, {fields(items, ['item_id'])}, edits int, allowed int, match_end long"
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text").where(F.col("text").isNotNull())
-    out = spark.createDataFrame([], schema)
-    for block in item_blocks(items, min_chars, block_chars):
-        shared = spark.sparkContext.broadcast(block)  # block_chars and one item at most
-
-        def run(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            matcher = Matcher(shared.value, error_rate)
+    out, last = spark.createDataFrame([], schema), None
+    for block in item_blocks(items, block_chars):
+        if last is not None:
+            out = materialize(out, "matches")
+            last.destroy()
+        last = spark.sparkContext.broadcast(block)  # block_chars and one item at most
+
+        def run(frames: Iterator[pd.DataFrame], shared=last) -> Iterator[pd.DataFrame]:
+            matcher = matcher_of(shared.value, error_rate)
             for frame in frames:
-                rows = [(doc, key, edits, allowed, end) for doc, text in zip(frame["doc_id"], frame["text"], strict=True) for key, edits, end, allowed in matcher.matches(normal(text))]
+                rows = [(doc, key, edits, allowed, original_end(text, end)) for doc, text in zip(frame["doc_id"], frame["text"], strict=True) for key, edits, end, allowed in matcher.matches(normal(text))]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "edits", "allowed", "match_end"])
 
         out = out.unionByName(docs.mapInPandas(run, schema))
     return out
 
 
-def clean(docs: DataFrame, items: DataFrame, error_rate: float = 0.08, min_chars: int = 40, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, error_rate: float = 0.08, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of docs in whose text no item is found."""
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in docs.columns)
-    for block in item_blocks(items, min_chars, block_chars):
-        shared = docs.sparkSession.sparkContext.broadcast(block)  # block_chars and one item at most
-
-        def run(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            matcher = Matcher(shared.value, error_rate)
+    schema, last = fields(docs, docs.columns), None
+    for block in item_blocks(items, block_chars):
+        if last is not None:
+            docs = materialize(docs, "clean")
+            last.destroy()
+        last = docs.sparkSession.sparkContext.broadcast(block)  # block_chars and one item at most
+
+        def run(frames: Iterator[pd.DataFrame], shared=last) -> Iterator[pd.DataFrame]:
+            matcher = matcher_of(shared.value, error_rate)
             for frame in frames:
                 yield frame[[not isinstance(t, str) or not matcher.matches(normal(t)) for t in frame["text"]]]
 

@@ -51,3 +51,32 @@ def test_rows(spark):
     two = d.contaminated(docs, items.union(items), block_chars=10).collect()
     assert len(two) == 6
     assert d.contaminated(docs, items.limit(0)).count() == 0 and d.contaminated(docs.limit(0), items).count() == 0
+
+
+def test_short_items_are_found_unchanged_between_word_boundaries(spark):
+    docs = spark.createDataFrame([(1, "it is Forty  two, he said"), (2, "forty twos"), (3, "fort two"), (4, "x" * 300_000 + " forty\ntwo")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "forty two"), (8, " \n "), (9, "a question of 28 characters")], "item_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"], r["match_end"]) for r in d.contaminated(docs, items).collect())
+    assert got == [(1, 7, 16), (4, 7, 300_010)]
+    assert sorted(r["doc_id"] for r in d.clean(docs, items).collect()) == [2, 3]
+    some = spark.createDataFrame([(1, "well, a question of 28 characters, then")], "doc_id long, text string")
+    assert [(r["item_id"], r["edits"]) for r in d.contaminated(some, items).collect()] == [(9, 0)]
+
+
+def test_ends_are_those_of_the_text():
+    text = "  \u0130stanbul \n and\tMORE "
+    normal = d.normal(text)
+    for word in ("and", "more"):
+        end = normal.index(word) + len(word)
+        assert text[: d.original_end(text, end)].lower().endswith(word)
+
+
+def test_blocks_of_items_give_what_one_block_gives(spark):
+    r = random.Random(5)
+    items = [(i, " ".join(r.choice("stone river cloud lantern market winter".split()) for _ in range(9))) for i in range(12)]
+    rows = [(i, " ".join([r.choice(items)[1] if r.random() < 0.5 else "plain", "text", edit(r, r.choice(items)[1], 2)])) for i in range(30)]
+    docs, items = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    one, many = (sorted(map(tuple, d.contaminated(docs, items, block_chars=n).collect())) for n in (10**6, 100))
+    assert one == many and one
+    one, many = (sorted(map(tuple, d.clean(docs, items, block_chars=n).collect())) for n in (10**6, 100))
+    assert one == many
