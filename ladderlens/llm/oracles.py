@@ -95,20 +95,26 @@ def language_sql(smoothing: float = 0.5) -> str:
     bound on rows, which the tables that this is run on don't reach.
     """
     half = 1 << 32
-    orders = " UNION ALL ".join(
-        f"SELECT doc_id, {n * langid.MIX[0] % half} AS salt, CAST('0x' || hex(b[p:p + {n - 1}]) AS UBIGINT) AS code FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - {n - 2})) AS p FROM d)" for n in langid.ORDERS
-    )
+    code = "c[p]::UBIGINT"
+    orders = []
+    for n in langid.ORDERS:
+        if n > 1:
+            code = f"(({code}) * {langid.MIX[0]} + c[p + {n - 1}]) % {half}"
+        orders.append(f"SELECT doc_id, {n * langid.MIX[1] % half} AS salt, {code} AS code FROM (SELECT doc_id, c, unnest(range(1, len(c) - {n - 2})) AS p FROM d)")
+    orders = " UNION ALL ".join(orders)
     step = "list_reduce(list_concat([CAST({0} AS BIGINT)], range(8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)"
     crc = "list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda a, b: xor(v[CAST(xor(a, b) & 255 AS BIGINT) + 1], a >> 8))"
     return rf"""
 WITH crc AS (SELECT list({step.format("i")} ORDER BY i) AS v FROM (SELECT unnest(range(256)) AS i)),
-d AS (SELECT doc_id, text, lang, encode(lower(coalesce(text, ''))) AS b, coalesce(xor({crc}, 4294967295) % 4 = 2, false) AS held_out FROM documents, crc),
-grams AS (SELECT doc_id, (((xor(m, m >> 13) * {langid.MIX[2]}::UBIGINT) % {half}) >> {32 - langid.BITS}) AS bucket FROM (SELECT doc_id, (((code + salt) % {half}) * {langid.MIX[1]}::UBIGINT) % {half} AS m FROM ({orders}))),
+d AS (SELECT doc_id, text, lang, list_transform(list_filter(regexp_extract_all(lower(coalesce(text, '')), '(?s).'), lambda x: x <> ''), lambda x: CAST(unicode(x) AS UBIGINT)) AS c, coalesce(xor({crc}, 4294967295) % 4 = 2, false) AS held_out FROM documents, crc),
+grams AS (SELECT doc_id, (((xor(m, m >> 13) * {langid.MIX[3]}::UBIGINT) % {half}) >> {32 - langid.BITS}) AS bucket FROM (SELECT doc_id, (((code + salt) % {half}) * {langid.MIX[2]}::UBIGINT) % {half} AS m FROM ({orders}))),
 counts AS (SELECT doc_id, bucket, count(*) AS n FROM grams GROUP BY 1, 2),
-trained AS (SELECT lang, bucket, sum(n) AS n FROM counts JOIN d USING (doc_id) WHERE NOT held_out AND lang IS NOT NULL AND text IS NOT NULL GROUP BY 1, 2),
+used AS (SELECT doc_id, lang FROM d WHERE NOT held_out AND lang IS NOT NULL AND text IS NOT NULL),
+prior AS (SELECT lang, ln(count(*) / (SELECT count(*) FROM used)) AS w FROM used GROUP BY 1),
+trained AS (SELECT lang, bucket, sum(n) AS n FROM counts JOIN used USING (doc_id) GROUP BY 1, 2),
 total AS (SELECT lang, sum(n) + {_number(smoothing)} * {langid.BUCKETS} AS total FROM trained GROUP BY 1),
 logp AS (SELECT t.lang, g.bucket, ln((coalesce(n, 0) + {_number(smoothing)}) / total) AS w FROM total t CROSS JOIN (SELECT unnest(range({langid.BUCKETS}))::UBIGINT AS bucket) g LEFT JOIN trained x ON x.lang = t.lang AND x.bucket = g.bucket),
-sums AS (SELECT doc_id, lang, sum(n * w) AS s FROM counts JOIN logp USING (bucket) GROUP BY 1, 2),
+sums AS (SELECT doc_id, lang, s + w AS s FROM (SELECT doc_id, lang, sum(n * w) AS s FROM counts JOIN logp USING (bucket) GROUP BY 1, 2) JOIN prior USING (lang)),
 best AS (SELECT doc_id, arg_min(lang, (-s, lang)) AS lang_pred, 1 / sum(exp(s - top)) AS score FROM (SELECT *, max(s) OVER (PARTITION BY doc_id) AS top FROM sums) GROUP BY 1)
 SELECT doc_id, held_out, CASE WHEN letters THEN lang_pred ELSE 'und' END AS lang_pred, CASE WHEN letters THEN round(score, 6) ELSE 0 END AS score
 FROM (SELECT *, regexp_matches(coalesce(text, ''), '\pL') AS letters FROM d) LEFT JOIN best USING (doc_id)"""
