@@ -4,14 +4,14 @@ A document is a bag of passages of PASSAGE bytes.  Each passage is encoded as
 shares of character classes, of hashed byte pairs and of distinct words, and
 then by a hidden layer.  Gated attention, tanh(V h) * sigmoid(U h), weighs the
 passages of a document; a logistic unit scores the weighted sum.  Only labels
-of documents are learned from.  Training takes a bounded sample of labelled
-documents and at most ``train_passages`` evenly spaced passages of each;
-scoring takes every passage of every text.
+of documents are learned from.  Training takes a bounded sample of the distinct
+labelled texts, with all of their passages; scoring takes every passage of
+every text.
 
 Defined results: a null or empty text is one passage without characters and
 gets a score like any other.  Without labels of both kinds every score is the
 share of label 1 (1.0 without any label).  Rows without a label don't train; a
-document with several labels trains once for each.  Repeated rows each get
+text trains once for each label that it has, however many rows have both.  Repeated rows each get
 their own row; columns other than the text are never inputs of a score.
 """
 
@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ladderlens.llm.common import fields, materialize
+
 PASSAGE = 512
 PAIRS = 64
 
@@ -139,35 +141,44 @@ def train(bags: list[np.ndarray], labels: np.ndarray, epochs: int = 40, batch: i
     return model
 
 
-def fit(labelled: DataFrame, max_documents: int = 5000, train_passages: int = 64) -> Model:
-    """Learn from rows with ``text`` and ``quality``.
+def sampled(labelled: DataFrame, max_texts: int, max_passages: int) -> DataFrame:
+    """(text, quality): about max_texts distinct pairs at most, which have max_passages passages at most in all.
 
-    About max_documents of them at most train, chosen by a hash of the text,
-    with train_passages passages each at most, so the driver gets a bounded
-    number of features.
+    Pairs are taken in the order of a hash; one that no longer fits is left
+    out.  Only hashes and sizes of the pairs are counted and collected, and
+    only rows of the chosen pairs are shuffled with their texts, of which Spark
+    keeps one before the shuffle.
     """
     labelled = labelled.select("text", F.col("quality").cast("int").alias("quality")).where("quality is not null")
-    total = labelled.count()
-    if total > max_documents:
-        labelled = labelled.where(F.pmod(F.xxhash64("text", F.lit(9)), F.lit(1 << 30)) < int(max_documents / total * (1 << 30)))
+    labelled = labelled.withColumns({"h1": F.xxhash64("text", "quality", F.lit(9)), "h2": F.xxhash64("text", "quality", F.lit(10))})
+    passages = F.greatest(F.lit(1), F.ceil(F.coalesce(F.octet_length("text"), F.lit(0)) / PASSAGE))
+    pairs = materialize(labelled.groupBy("h1", "h2").agg(F.max(passages).alias("passages")), "labelled")
+    share = min(1.0, max_texts / max(1, pairs.count()))
+    rows = pairs.where(F.pmod("h1", F.lit(1 << 30)) < int(share * (1 << 30))).collect()  # about max_texts
+    room, chosen = max_passages, []
+    for r in sorted(rows, key=lambda r: (r["h1"], r["h2"])):
+        if r["passages"] <= room:
+            room -= r["passages"]
+            chosen.append((r["h1"], r["h2"]))
+    few = labelled.sparkSession.createDataFrame(chosen, "h1 long, h2 long")
+    picked = labelled.join(F.broadcast(few), ["h1", "h2"])  # about max_texts rows
+    return picked.groupBy("h1", "h2").agg(F.first("text").alias("text"), F.first("quality").alias("quality")).select("text", "quality")
+
+
+def fit(labelled: DataFrame, max_texts: int = 5000, max_passages: int = 200_000) -> Model:
+    """Learn from rows with ``text`` and ``quality``, of which ``sampled`` bounds how many the driver gets."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = []
-            for text in frame["text"]:
-                x = encode(text)
-                if len(x) > train_passages:
-                    x = x[np.linspace(0, len(x) - 1, train_passages).astype(int)]
-                out.append(x.tobytes())
-            yield pd.DataFrame({"x": out, "quality": frame["quality"].to_numpy()})
+            yield pd.DataFrame({"x": [encode(t).tobytes() for t in frame["text"]], "quality": frame["quality"].to_numpy()})
 
-    rows = sorted((r["x"], r["quality"]) for r in labelled.mapInPandas(run, "x binary, quality int").collect())
+    rows = sampled(labelled, max_texts, max_passages).mapInPandas(run, "x binary, quality int").collect()
+    rows = sorted((r["x"], r["quality"]) for r in rows)
     return train([np.frombuffer(bytes(x), np.float32).reshape(-1, N_FEATURES) for x, _ in rows], np.array([float(q == 1) for _, q in rows]))
 
 
 def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """The columns in keep, and score, of every row."""
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # some thousand numbers
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -183,7 +194,7 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
             scores += _scores(shared.value, held)
             yield frame[keep].assign(score=scores)
 
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInPandas(run, f"{schema}, score double")
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInPandas(run, f"{fields(docs, keep)}, score double")
 
 
 def _scores(model: Model, held: list[np.ndarray]) -> list[float]:

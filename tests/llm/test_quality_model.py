@@ -48,6 +48,29 @@ def test_held_out_accuracy(spark):
     assert all(np.allclose(model.p[k], again.p[k]) for k in model.p)
 
 
+def test_samples_are_distinct_and_bounded(spark):
+    rows = [("copy", 1)] * 400 + [("copy", 0)] + [(f"text {i} " + "x" * 3000, i % 2) for i in range(300)] + [("y" * 10**6, 1), (None, 1), ("z", None)]
+    df = spark.createDataFrame(rows, "text string, quality int")
+    all_ = q.sampled(df, 10**6, 10**6).collect()
+    assert len(all_) == 304 and sum(r["text"] == "copy" for r in all_) == 2
+    few = q.sampled(df, 10**6, 100).collect()
+    assert 10 < sum(len(q.encode(r["text"])) for r in few) <= 100 and all(r["text"] != "y" * 10**6 for r in few)
+    assert 60 < len(q.sampled(df, 100, 10**6).collect()) < 140
+
+
+def test_scores_equal_a_plain_loop():
+    """Gated attention as it is stated, one passage at a time."""
+    bags = [q.encode(t) for t in ("one text " * 200, "", "#### " * 300 + "é", "w")]
+    model = q.train(bags * 10, np.array([1.0, 0, 0, 1] * 10), epochs=2)
+    p = model.p
+    for x, got in zip(bags, model.score(np.concatenate(bags).astype(float), np.cumsum([0, *map(len, bags)])[:-1]), strict=True):
+        h = [np.tanh(p["W"].T @ ((row - model.mean) / model.scale) + p["b"]) for row in x.astype(float)]
+        e = [float(p["w"] @ (np.tanh(p["V"].T @ v) / (1 + np.exp(-(p["U"].T @ v))))) for v in h]
+        weight = np.exp(e) / np.exp(e).sum()
+        z = sum(a * v for a, v in zip(weight, h, strict=True))
+        assert abs(got - 1 / (1 + np.exp(-(p["c"] @ z + p["d"][0])))) < 1e-9
+
+
 def test_rows(spark):
     df = spark.createDataFrame([(1, None, 1), (1, None, 1), (2, "", None), (None, "x" * 200_000, 1)], "doc_id long, text string, score int")
     got = q.score(df, q.fit(df.selectExpr("text", "score as quality")), ["doc_id"]).collect()
