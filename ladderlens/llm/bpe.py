@@ -1,19 +1,21 @@
 """Byte-level BPE encoding and decoding with overlapping chunks.
 
-A text longer than ``chunk`` characters is cut into chunks that overlap, which
-Spark deals out so that they are pre-tokenised in parallel.  A chunk in the
-middle of a text may start inside a pre-token, so its first boundaries can be
-wrong; but from the first boundary that two neighbours share they agree for
-good, as where a pre-token ends depends only on what follows its start.  The
-stitching step keeps each chunk from that point on (and pre-tokenises on from
-the last sure boundary where the overlap has none), and then the pieces are
-encoded.  Shorter texts are a single chunk and need no exchange.  Decoding
-concatenates the raw bytes of the ids.
+Every text is cut into chunks of ``chunk`` characters that overlap, and each
+chunk is pre-tokenised on its own.  A chunk in the middle of a text may start
+inside a pre-token, so its first boundaries can be wrong; but from the first
+boundary that two neighbours share they agree for good, as where a pre-token
+ends depends only on what follows its start.  The stitching step keeps each
+chunk from that point on (and pre-tokenises on from the last sure boundary
+where the overlap has none), and then the pieces are encoded.  Where a text has
+several chunks, Spark deals them out over all tasks; the chunk of a text that
+has one takes the same steps where it is.  Decoding concatenates the raw bytes
+of the ids.
 
 Defined results: a null text encodes as an empty one, to no ids.  Repeated
 rows each get their own row.  Only the columns named in ``keep`` and the text
 are read, so others may have any name.  A text is at most what a Spark string
 can hold; one document's ids meet in one task, as its hash needs them in order.
+An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +31,9 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CHUNK, OVERLAP = 1 << 15, 1 << 9
+from ladderlens.llm.common import fields
+
+CHUNK, OVERLAP = 1 << 14, 1 << 9
 #: A boundary is sure if this many characters follow it: a contraction is looked up over three.
 MARGIN = 4
 CACHED = 1 << 17
@@ -42,14 +46,13 @@ class Codec:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks_file.splitlines() if line)}
         self.bytes_of = {str(i): b for b, i in ranks.items()}
         self.find = regex.compile(pattern)
-        merges = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe
+        whole = tiktoken.Encoding("pieces", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})  # one match: the piece
 
         class Known(dict):
             def __missing__(self, piece: str) -> str:
                 if len(self) >= CACHED:
                     self.clear()
-                data = piece.encode("utf-8", "replace")
-                out = self[piece] = " ".join(map(str, merges.encode_single_piece(data)))
+                out = self[piece] = " ".join(map(str, whole.encode_ordinary(piece)))
                 return out
 
         self.known = Known()
@@ -112,24 +115,29 @@ def encode(
     pattern: str,
     keep: list[str],
     derive: Callable[[Codec, str], dict] = digest_nothing,
-    fields: str = "ids array<int>",
+    derived: str = "ids array<int>",
     chunk: int = CHUNK,
     overlap: int = OVERLAP,
 ) -> DataFrame:
     """The columns in keep and what derive makes of the ids (by default, the ids).
 
-    derive gets the codec and the decimal ids joined by a space; fields is the
+    derive gets the codec and the decimal ids joined by a space; derived is the
     schema of what it returns.  ranks_path is read by the driver; the file, of
     about a megabyte, goes to the tasks.
     """
     with open(ranks_path, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast((f.read(), pattern))
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", " + fields
+    schema = f"{fields(docs, keep)}, {derived}" if keep else derived
+
+    def ids_of(codec: Codec, parts: list[str], starts: list[np.ndarray]) -> str:
+        text = "".join(p[:chunk] for p in parts)
+        edges = [*stitch(codec.find, text, starts, chunk, overlap).tolist(), len(text)]
+        return codec.encode_pieces([text[a:b] for a, b in zip(edges, edges[1:])])  # noqa: B905
 
-    def whole(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def here(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codec = codec_of(*shared.value)
         for frame in frames:
-            rows = [derive(codec, codec.encode_pieces(codec.find.findall(t))) for t in frame["_text"]]
+            rows = [derive(codec, ids_of(codec, [t], [boundaries(codec.find, t)])) for t in frame["_text"]]
             yield pd.concat([frame[keep].reset_index(drop=True), pd.DataFrame(rows)], axis=1)
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -142,23 +150,25 @@ def encode(
     def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         find = regex.compile(shared.value[1])
         for frame in frames:
-            yield frame.assign(_starts=[boundaries(find, b) for b in frame["_body"]])
+            yield frame.assign(_starts=[boundaries(find, b).astype(np.int32).tobytes() for b in frame["_body"]])
 
     def join(frame: pd.DataFrame) -> pd.DataFrame:
         codec = codec_of(*shared.value)
-        parts = frame.sort_values("_no").drop_duplicates("_no")
-        text = "".join(b[:chunk] for b in parts["_body"])
-        starts = stitch(codec.find, text, [np.asarray(s) + n * chunk for s, n in zip(parts["_starts"], parts["_no"], strict=True)], chunk, overlap)
-        edges = [*starts.tolist(), len(text)]
-        row = derive(codec, codec.encode_pieces([text[a:b] for a, b in zip(edges, edges[1:])]))  # noqa: B905
-        same = frame[frame["_no"] == 0][keep].reset_index(drop=True)
-        return pd.concat([same, pd.DataFrame([row] * len(same))], axis=1)[[*keep, *row]]
-
-    docs = docs.select(*keep, F.coalesce("text", F.lit("")).alias("_text")) if "text" not in keep else docs.select(*keep).withColumn("_text", F.coalesce("text", F.lit("")))
+        parts = frame.sort_values("_no")
+        starts = [np.frombuffer(s, np.int32) + n * chunk for s, n in zip(parts["_starts"], parts["_no"].tolist(), strict=True)]
+        row = derive(codec, ids_of(codec, list(parts["_body"]), starts))
+        return pd.concat([parts[[*keep, "_rows"]].head(1).reset_index(drop=True), pd.DataFrame([row])], axis=1)
+
+    docs = docs.select(*keep, F.coalesce("text", F.lit("")).alias("_text"))
     size = F.char_length("_text")
-    short = docs.where(size <= chunk).mapInPandas(whole, schema)
-    own = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    short = docs.where(size <= chunk).mapInPandas(here, schema)
+    own = f"{fields(docs, keep)}, " if keep else ""
     long = docs.where(size > chunk).withColumn("_h1", F.xxhash64("_text")).withColumn("_h2", F.xxhash64("_text", F.lit(1)))
-    chunks = long.mapInPandas(cut, f"{own}, _h1 long, _h2 long, _no int, _body string").repartition("_h1", "_h2", "_no")
-    stitched = chunks.mapInPandas(split, f"{own}, _h1 long, _h2 long, _no int, _body string, _starts array<long>")
-    return short.unionByName(stitched.groupBy(*(c for c in keep if c != "text"), "_h1", "_h2").applyInPandas(join, schema))
+    # equal rows, which Spark counts before the shuffle, are one text from here on
+    plain = [c for c in keep if c != "text"]
+    chunks = long.mapInPandas(cut, f"{own}_h1 long, _h2 long, _no int, _body string")
+    chunks = chunks.groupBy(*keep, "_h1", "_h2", "_no").agg(F.first("_body").alias("_body"), F.count("*").alias("_rows"))
+    pieces = chunks.mapInPandas(split, f"{own}_h1 long, _h2 long, _no int, _body string, _rows long, _starts binary")
+    made = pieces.groupBy(*plain, "_h1", "_h2").applyInPandas(join, f"{own}_rows long, {derived}")
+    each = made.withColumn("_row", F.explode(F.sequence(F.lit(1), "_rows"))).drop("_row", "_rows")
+    return short.unionByName(each)
