@@ -28,7 +28,7 @@ def _text(x: str) -> str:
 
 
 def quality_sql(risk: float = 0.01, error: float = 0.05) -> str:
-    """op7: measures, exact binomial bounds for each stratum, rule and cutoff, and the verdicts."""
+    """op7: measures, exact binomial bounds for each stratum and step of the ladder, and the verdicts."""
     grid = ", ".join(f"({_text(name)}, {order}, {i}, {_number(c)})" for order, (name, cutoffs) in enumerate(quality_rules.CUTOFFS.items()) for i, c in enumerate(cutoffs))
     return rf"""
 WITH t AS (SELECT doc_id, coalesce(lang, '?') AS lang, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[^ 	-
@@ -39,7 +39,7 @@ rep AS (SELECT doc_id, count(DISTINCT k + o) AS n_repeat_words FROM tri, (VALUES
 lines AS (SELECT doc_id, list_filter(string_split(x, chr(10)), lambda l: regexp_matches(l, '[^ 	-
 ]')) AS l FROM t),
 m AS (
-  SELECT t.doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda v: length(v))), 0) AS BIGINT) AS word_chars,
+  SELECT t.doc_id, lang, x, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda v: length(v))), 0) AS BIGINT) AS word_chars,
     CAST(length(regexp_replace(x, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words
   FROM t JOIN lines USING (doc_id) LEFT JOIN rep USING (doc_id)),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, lang || '/' || CASE WHEN n_words < 200 THEN 'short' WHEN n_words < 1000 THEN 'middle' ELSE 'long' END AS stratum FROM m),
@@ -48,15 +48,16 @@ val AS (
   SELECT doc_id, stratum, base_failed, rule, value FROM (
     SELECT doc_id, stratum, base_failed, n_symbols / nullif(n_words, 0) AS symbols, n_repeat_words / nullif(n_words, 0) AS repeats, n_dup_lines / nullif(n_words, 0) AS duplicate_lines,
       word_chars / nullif(n_words, 0) AS long_words, -(word_chars / nullif(n_words, 0)) AS short_words FROM f) UNPIVOT (value FOR rule IN (symbols, repeats, duplicate_lines, long_words, short_words))),
-good AS (SELECT v.* FROM val v JOIN labels USING (doc_id) WHERE quality = 1 AND NOT base_failed),
-cnt AS (SELECT stratum, rule, ord, i, cutoff, count(*) AS n, count(*) FILTER (value > cutoff) AS k FROM good JOIN grid USING (rule) GROUP BY ALL),
-each AS (SELECT {_number(error)} / greatest(count(*), 1) AS e FROM (SELECT DISTINCT stratum, rule FROM cnt)),
+hit AS (SELECT doc_id, i, max(CASE WHEN value > cutoff THEN 1 ELSE 0 END) AS gone FROM val JOIN grid USING (rule) GROUP BY 1, 2),
+good AS (SELECT stratum, any_value(doc_id) AS doc_id FROM f WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY stratum, x),
+cnt AS (SELECT stratum, i, count(*) AS n, sum(gone) AS k FROM good JOIN hit USING (doc_id) GROUP BY ALL),
+each AS (SELECT {_number(error)} / greatest(count(DISTINCT stratum), 1) AS e FROM cnt),
 ok AS (
-  SELECT *, k <= {_number(risk)} * n AND k < n AND list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - CASE WHEN j = 0 THEN 0 ELSE lgamma(j + 1) END - lgamma(n - j + 1) + j * ln({_number(risk)}) + (n - j) * ln(1 - {_number(risk)})))) <= e AS fine
+  SELECT *, k <= {_number(risk)} * n AND k < n AND list_sum(list_transform(range(0, CAST(k AS BIGINT) + 1), lambda j: exp(lgamma(n + 1) - CASE WHEN j = 0 THEN 0 ELSE lgamma(j + 1) END - lgamma(n - j + 1) + j * ln({_number(risk)}) + (n - j) * ln(1 - {_number(risk)})))) <= e AS fine
   FROM cnt, each),
-run AS (SELECT *, bool_and(fine) OVER (PARTITION BY stratum, rule ORDER BY i ROWS UNBOUNDED PRECEDING) AS proven FROM ok),
-chosen AS (SELECT stratum, rule, ord, max_by(cutoff, i) AS cutoff FROM run WHERE proven GROUP BY ALL),
-bad AS (SELECT doc_id, string_agg(rule, ',' ORDER BY ord) AS failed_rules FROM val JOIN chosen USING (stratum, rule) WHERE value > cutoff GROUP BY 1)
+run AS (SELECT *, bool_and(fine) OVER (PARTITION BY stratum ORDER BY i ROWS UNBOUNDED PRECEDING) AS proven FROM ok),
+chosen AS (SELECT stratum, max(i) AS i FROM run WHERE proven GROUP BY 1),
+bad AS (SELECT doc_id, string_agg(rule, ',' ORDER BY ord) AS failed_rules FROM val JOIN chosen USING (stratum) JOIN grid USING (rule, i) WHERE value > cutoff GROUP BY 1)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND failed_rules IS NULL AS kept, coalesce(failed_rules, '') AS failed_rules
 FROM f LEFT JOIN bad USING (doc_id)"""
 

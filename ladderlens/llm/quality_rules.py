@@ -1,62 +1,73 @@
 """Quality rules with risk-controlled thresholds.
 
-Each rule rejects texts whose measure is past a cutoff.  The cutoffs come from
-labelled texts that no other step learns from: for each stratum and rule, the
-cutoffs are tried from the mildest to the strictest, and the exact binomial
-(Clopper-Pearson) upper bound of the share of good texts that the cutoff
-rejects must stay within ``risk``.  The first one that fails ends the search
-(fixed-sequence testing, which needs no correction within a rule), and the
-error probability is split evenly over all strata and rules (Bonferroni).  So
-with probability 1 - error no cutoff rejects more than ``risk`` of the good
-texts of its stratum.  Where too few labels prove that, the rule stays off.
-
-A stratum is a language and a class of length; labels are summed in Spark to
-counts for each stratum, rule and grid point, which is all the driver sees.
+Each rule rejects texts whose measure is past a cutoff.  A ladder of rule sets
+goes from mild to strict: on each step every rule has the cutoff of that step,
+and a text is rejected if any rule rejects it.  Labelled texts that no other
+step learns from decide how far a stratum climbs: from the mildest step on, the
+exact binomial (Clopper-Pearson) upper bound of the share of good texts that
+the whole step rejects must stay within ``risk``.  The first step that fails
+ends the climb (fixed-sequence testing, which needs no correction within a
+stratum), and the error probability is split evenly over the strata
+(Bonferroni).  So with probability 1 - error the verdict rejects no more than
+``risk`` of the good texts of any stratum that pass the base rules.  Where too
+few labels prove that, the rules stay off.
+
+A stratum is a language and a class of length.  The trials of the bound are the
+distinct good texts of a stratum: copies of a text, and of a label, are one.
+Spark sums them to counts for each stratum and step, which is all that the
+driver sees.
 
 Defined results: a null text has no words and fails the base rules.  A null
-language is a stratum of its own.  A document with several labels counts once
-for each.  Repeated rows each get their own row; columns other than doc_id,
-text and lang are ignored, whatever their names.
+language is a stratum of its own.  A text is good if any of its rows has a
+label 1.  Without labels all rules are off.  Texts of any length are measured
+whole.  An empty table gives no rows.  Repeated rows each get their own row;
+columns other than doc_id, text and lang are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ladderlens.llm.common import materialize
+from ladderlens.llm.common import fields, materialize
 
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-#: Cutoffs of each rule, from mild to strict.
+#: Cutoffs of each rule, a column for each step of the ladder, from mild to strict.
 CUTOFFS = {
-    "symbols": [1.0, 0.8, 0.6, 0.5, 0.4, 0.3, 0.2, 0.15, 0.1, 0.05, 0.02],
-    "repeats": [0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2, 0.15, 0.1, 0.05],
-    "duplicate_lines": [0.2, 0.1, 0.05, 0.03, 0.02, 0.01, 0.005, 0.002],
-    "long_words": [30.0, 20.0, 15.0, 12.0, 11.0, 10.0, 9.0, 8.5, 8.0, 7.5, 7.0],
-    "short_words": [-1.5, -2.0, -2.5, -3.0, -3.5, -4.0, -4.5, -5.0],
+    "symbols": [1.0, 0.8, 0.6, 0.5, 0.4, 0.3, 0.2, 0.15, 0.1, 0.07, 0.05],
+    "repeats": [0.9, 0.8, 0.7, 0.6, 0.5, 0.45, 0.4, 0.35, 0.3, 0.25, 0.2],
+    "duplicate_lines": [0.5, 0.3, 0.2, 0.15, 0.1, 0.08, 0.06, 0.05, 0.04, 0.03, 0.02],
+    "long_words": [30.0, 25.0, 20.0, 17.0, 15.0, 14.0, 13.0, 12.0, 11.0, 10.0, 9.5],
+    "short_words": [-1.5, -1.8, -2.0, -2.2, -2.4, -2.6, -2.7, -2.8, -2.9, -3.0, -3.1],
 }
+STEPS = len(CUTOFFS["symbols"])
 
 
-def rules() -> dict[str, tuple[Column, list[float]]]:
-    """name: (measure, cutoffs); a rule rejects what is above its cutoff."""
+def values() -> dict[str, Column]:
+    """The measure that each rule compares; a rule rejects what is above its cutoff."""
     words = F.col("n_words").cast("double")
-    values = {
+    return {
         "symbols": F.try_divide("n_symbols", words),
         "repeats": F.try_divide("n_repeat_words", words),
         "duplicate_lines": F.try_divide("n_dup_lines", words),
         "long_words": F.try_divide("word_chars", words),
         "short_words": -F.try_divide("word_chars", words),
     }
-    return {name: (values[name], cutoffs) for name, cutoffs in CUTOFFS.items()}
+
+
+def rejected_by(step: int) -> dict[str, Column]:
+    """Which rules of a step reject."""
+    return {name: F.coalesce(value > CUTOFFS[name][step], F.lit(False)) for name, value in values().items()}
 
 
 def measure(text: str | None) -> tuple[int, int, int, int, int]:
@@ -93,7 +104,7 @@ def repeat_words(words: list[bytes]) -> int:
 
 def measures(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The columns in keep, and the measures, of every row."""
-    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + [f"{m} long" for m in MEASURES])
+    schema = ", ".join([fields(docs, keep), *(f"{m} long" for m in MEASURES)])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -128,44 +139,45 @@ def upper_bound(rejected: int, n: int, error: float) -> float:
     return high
 
 
-def choose(counts: dict[tuple[str, str], tuple[int, list[int]]], risk: float, error: float) -> dict[tuple[str, str], int]:
-    """For each (stratum, rule): the index of its strictest proven cutoff, if any.
+def choose(counts: dict[str, tuple[int, list[int]]], risk: float, error: float) -> dict[str, int]:
+    """For each stratum: the strictest step that it may take, if any.
 
-    counts has the number of good texts and how many of them each cutoff rejects.
+    counts has the number of good texts and how many of them each step rejects.
     """
     each = error / max(1, len(counts))
     out = {}
-    for key, (n, rejected) in counts.items():
-        for i, k in enumerate(rejected):
+    for stratum, (n, rejected) in counts.items():
+        for step, k in enumerate(rejected):
             if n == 0 or k > risk * n or upper_bound(k, n, each) > risk:
                 break
-            out[key] = i
+            out[stratum] = step
     return out
 
 
 def calibrate(measured: DataFrame, labels: DataFrame, risk: float = 0.01, error: float = 0.05) -> DataFrame:
-    """(stratum, rule, cutoff) for the rules that are on, learned from labels (doc_id, quality)."""
-    spark = measured.sparkSession
-    table = rules()
-    good = measured.where(~base_failed()).join(labels.where("quality = 1").select("doc_id"), "doc_id").select(stratum().alias("stratum"), "*")
-    sums = [F.count_if(value > c).alias(f"{name}_{i}") for name, (value, cutoffs) in table.items() for i, c in enumerate(cutoffs)]
+    """(stratum, step) for the strata whose rules are on, learned from labels (doc_id, quality).
+
+    measured has h1 and h2, hashes of the text.
+    """
+    ids = labels.where("quality = 1").select("doc_id").distinct()
+    good = measured.where(~base_failed()).join(ids, "doc_id").select(stratum().alias("stratum"), "h1", "h2", *MEASURES).dropDuplicates(["stratum", "h1", "h2"])
+    sums = [F.count_if(reduce(lambda a, b: a | b, rejected_by(i).values())).alias(str(i)) for i in range(STEPS)]
     rows = good.groupBy("stratum").agg(F.count("*").alias("n"), *sums).collect()  # languages x lengths rows
-    counts = {(r["stratum"], name): (r["n"], [r[f"{name}_{i}"] for i in range(len(cutoffs))]) for r in rows for name, (_, cutoffs) in table.items()}
-    chosen = [(s, name, float(table[name][1][i])) for (s, name), i in sorted(choose(counts, risk, error).items())]
-    return spark.createDataFrame(chosen, "stratum string, rule string, cutoff double")
+    chosen = choose({r["stratum"]: (r["n"], [r[str(i)] for i in range(STEPS)]) for r in rows}, risk, error)
+    return measured.sparkSession.createDataFrame(sorted(chosen.items()), "stratum string, step int")
 
 
-def apply_rules(measured: DataFrame, cutoffs: DataFrame) -> DataFrame:
+def apply_rules(measured: DataFrame, steps: DataFrame) -> DataFrame:
     """measured with base_failed, kept and the names of the rules that reject (failed_rules)."""
-    wide = cutoffs.groupBy("stratum").pivot("rule", list(rules())).agg(F.first("cutoff"))
-    wide = wide.select(F.col("stratum").alias("_stratum"), *[F.col(r).alias(f"_{r}") for r in rules()])
-    out = measured.withColumn("_stratum", stratum()).join(F.broadcast(wide), "_stratum", "left")  # languages x lengths rows
-    failed = F.array_compact(F.array(*(F.when(value > F.col(f"_{name}"), F.lit(name)) for name, (value, _) in rules().items())))
+    out = measured.withColumn("_stratum", stratum()).join(F.broadcast(steps.select(F.col("stratum").alias("_stratum"), F.col("step").alias("_step"))), "_stratum", "left")  # languages x lengths rows
+    cutoff = {name: F.get(F.array(*map(F.lit, cuts)), F.col("_step")) for name, cuts in CUTOFFS.items()}
+    failed = F.array_compact(F.array(*(F.when(value > cutoff[name], F.lit(name)) for name, value in values().items())))
     out = out.withColumn("base_failed", base_failed()).withColumn("failed_rules", F.array_join(failed, ","))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("failed_rules") == "")).drop("_stratum", *[f"_{r}" for r in rules()])
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("failed_rules") == "")).drop("_stratum", "_step")
 
 
 def quality(docs: DataFrame, labels: DataFrame, risk: float = 0.01, error: float = 0.05) -> DataFrame:
     """doc_id, the measures, base_failed, kept and failed_rules of every row."""
-    measured = materialize(measures(docs.select("doc_id", "text", "lang"), ["doc_id", "lang"]), "measures")
-    return apply_rules(measured, calibrate(measured, labels, risk, error)).drop("lang")
+    docs = docs.select("doc_id", "text", "lang", F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2"))
+    measured = materialize(measures(docs, ["doc_id", "lang", "h1", "h2"]), "measures")
+    return apply_rules(measured, calibrate(measured, labels, risk, error)).drop("lang", "h1", "h2")
