@@ -33,10 +33,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ladderlens.llm.common import materialize
+from ladderlens.llm.common import fields, materialize, with_few
 from ladderlens.llm.components import components
 
 BLOCK = 16_384
+#: A fingerprint with more than one in so many of the rows is joined by broadcast.
+HOT = 1000
 
 
 def fingerprint(text: str | None, width: int = 4) -> int:
@@ -57,13 +59,11 @@ def fingerprint(text: str | None, width: int = 4) -> int:
 
 def fingerprints(docs: DataFrame, keep: list[str], width: int = 4, name: str = "fp") -> DataFrame:
     """The columns in keep, and the fingerprint, of every row."""
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             yield frame[keep].assign(**{name: np.array([fingerprint(t, width) for t in frame["text"]], np.int64)})
 
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInPandas(run, f"{schema}, `{name}` long")
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInPandas(run, f"{fields(docs, keep)}, `{name}` long")
 
 
 def masks(n: int, radius: int, bucket: int = 4096) -> list[int]:
@@ -148,14 +148,15 @@ def stars(fps: np.ndarray, bucket: np.ndarray, radius: int) -> tuple[np.ndarray,
 
 def link(prints: DataFrame, radius: int = 4, block: int = BLOCK) -> DataFrame:
     """(fp, label) for the distinct fingerprints in prints that have a link to another one."""
-    prints = prints.select("fp").distinct()
+    prints = materialize(prints.select("fp").distinct(), "distinct")
     tables = masks(prints.count(), radius)
     keyed = prints.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in tables))).alias("t", "key"))
-    large = keyed.groupBy("t", "key").count().where(F.col("count") > 2 * block).select("t", "key", F.ceil(F.col("count") / block).cast("int").alias("parts"))
+    large = keyed.groupBy("t", "key").count().where(F.col("count") > 2 * block)  # summed up before the shuffle
+    large = materialize(large.select("t", "key", F.ceil(F.col("count") / block).cast("int").alias("parts")), "large")
     groups = max(1, keyed.count() // block)
     part = F.pmod(F.xxhash64("fp", F.lit(3)), F.col("parts")).cast("int")
     pair = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.concat_ws("-", F.least(o, part).cast("string"), F.greatest(o, part).cast("string")))
-    dealt = keyed.join(large, ["t", "key"], "left").select(
+    dealt = with_few(keyed, large, ["t", "key"], "left").select(
         "fp",
         F.xxhash64("t", "key").alias("bucket"),
         F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(""))).otherwise(pair)).alias("pair"),
@@ -176,8 +177,14 @@ def link(prints: DataFrame, radius: int = 4, block: int = BLOCK) -> DataFrame:
 def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFrame:
     """doc_id, fp and component_id (smallest doc_id reachable) of every row."""
     rows = materialize(fingerprints(docs, ["doc_id"], width), "prints")
-    one = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    one = rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
     linked = one.join(link(rows, radius), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     linked = materialize(linked, "groups")
     least = linked.groupBy("label").agg(F.min("least").alias("component_id"))
-    return rows.join(linked.join(least, "label").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    found = materialize(linked.join(least, "label").select("fp", "component_id", "rows"), "found")
+    # fingerprints that many rows share go to the rows, of which no task should get all; there are HOT of them at most
+    total = found.agg(F.sum("rows")).first()[0] or 0
+    hot = found.where(F.col("rows") * HOT > total).select("fp", F.struct("component_id").alias("hot"))
+    own = rows.join(F.broadcast(hot), "fp", "left")
+    cold = own.where("hot is null").select("doc_id", "fp").join(found.where(F.col("rows") * HOT <= total).select("fp", "component_id"), "fp")
+    return own.where("hot is not null").select("doc_id", "fp", "hot.component_id").unionByName(cold.select("doc_id", "fp", "component_id"))

@@ -41,6 +41,8 @@ def test_fingerprint_equals_the_definition():
         text = " ".join(r.choice(["Ab", "é", "İ", "x\x85y", "zz z", "\n\x0b", "Q"]) for _ in range(r.randint(0, 12)))
         assert simhash.fingerprint(text) % 2**64 == slow_print(text)
     assert simhash.fingerprint(None) == 0
+    long = " ".join(r.choice(["ab", "é", "zz", "Q"]) + str(r.randrange(9)) for _ in range(70_000))  # more shingles than are hashed at once
+    assert simhash.fingerprint(long) % 2**64 == slow_print(long)
 
 
 def some_prints(n, seed):
