@@ -42,7 +42,7 @@ def slow_run(spark, docs, tmp_path):
     item = decontaminate.normal(ITEM)
     left = [r for r in left if decontaminate.distance(item, decontaminate.normal(r[1]))[0] > int(0.08 * len(item))]
     automata = secrets.trained()
-    left = [(i, secrets.redacted(t, secrets.spans(t, automata, 0.1), "[SECRET]"), lang, source) for i, t, lang, source in left]
+    left = [(i, secrets.redacted(t, secrets.spans(t, automata, secrets.THRESHOLD), "[SECRET]"), lang, source) for i, t, lang, source in left]
     with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
         codec = bpe.Codec(f.read(), public_tokenizers.PATTERN)
     return [(i, lang, source, len(t), [int(x) for x in codec.encode_pieces(codec.find.findall(t)).split()]) for i, t, lang, source in left]
@@ -71,5 +71,5 @@ def test_all_stages_but_the_last_keep_the_columns(spark, tmp_path):
 
 def test_redaction():
     text = f"a {KEY}, password: hunter2hunter2 b"
-    assert secrets.redacted(text, secrets.spans(text, secrets.trained(), 0.1), "*") == "a *, * b"
+    assert secrets.redacted(text, secrets.spans(text, secrets.trained(), secrets.THRESHOLD), "*") == "a *, * b"
     assert secrets.redacted("ab", [], "*") == "ab"
