@@ -44,5 +44,48 @@ def test_rows(spark):
     assert sharding.shard(df.limit(0), 3).count() == 0
 
 
+def test_all_three_sizes_are_balanced(spark):
+    r = random.Random(7)
+    docs = [(i, (r.choice(["ab ", "abcdefgh ", "x y z "]) * int(r.paretovariate(1.2) * 8))[:4000]) for i in range(8000)]
+    docs += [(None, "null id") for _ in range(100)]
+    got = sharding.shard(spark.createDataFrame(docs, "doc_id long, text string"), 10).collect()
+    check(docs, got, 10)
+    size, rows = Counter(), Counter()
+    for x in got:
+        size[x["shard"]] += x["size"]
+        rows[x["shard"]] += 1
+    for load in (size, rows):
+        assert max(load.values()) < 1.02 * min(load.values())
+
+
+def test_packing_equals_a_plain_loop():
+    """Vector bin packing as it is stated, one shard at a time."""
+    r = np.random.default_rng(3)
+    for shards in (2, 3, 7):
+        sizes = r.pareto(1.5, (60, 3)) + 0.01
+        share = (sizes / sizes.sum(axis=0) * shards).tolist()
+        left, want = [[1.0] * 3 for _ in range(shards)], {}
+        for i in sorted(range(60), key=lambda i: (-sum(share[i]), -share[i][0], i)):
+            room = [[a - b for a, b in zip(left[s], share[i], strict=True)] for s in range(shards)]
+            able, able_bytes = [s for s in range(shards) if min(room[s]) >= 0], [s for s in range(shards) if room[s][0] >= 0]
+            if able:
+                want[i] = max(able, key=lambda s: sum(a * b for a, b in zip(left[s], share[i], strict=True)))
+            elif able_bytes:
+                want[i] = max(able_bytes, key=lambda s: min(room[s]))
+            else:
+                want[i] = max(range(shards), key=lambda s: room[s][0])
+            left[want[i]] = room[want[i]]
+        assert sharding.place(sizes, shards).tolist() == [want[i] for i in range(60)]
+
+
+def test_exchanges_keep_rows_and_bring_bytes_together():
+    r = np.random.default_rng(4)
+    sizes = np.stack([r.integers(1, 900, 500), r.integers(1, 90, 500), np.where(np.arange(500) % 9, 1, 5)], axis=1).astype(float)
+    before = r.integers(0, 4, 500)
+    after = sharding.even_out(sizes, before, 4)
+    load, rows = ([np.bincount(x, sizes[:, k], 4) for x in (before, after)] for k in (0, 2))
+    assert (rows[0] == rows[1]).all() and np.ptp(load[1]) <= 2 < np.ptp(load[0])
+
+
 def test_place_takes_the_highest_dot_product():
     assert sharding.place(np.array([[8.0, 1, 1], [4, 1, 1], [4, 1, 1]]), 2).tolist() == [0, 1, 1]
