@@ -46,7 +46,7 @@ def test_rows(spark):
 
 def test_all_three_sizes_are_balanced(spark):
     r = random.Random(7)
-    docs = [(i, (r.choice(["ab ", "abcdefgh ", "x y z "]) * int(r.paretovariate(1.2) * 8))[:4000]) for i in range(8000)]
+    docs = [(i, f"{i} " + (r.choice(["ab ", "abcdefgh ", "x y z "]) * int(r.paretovariate(1.2) * 8))[:4000]) for i in range(8000)]
     docs += [(None, "null id") for _ in range(100)]
     got = sharding.shard(spark.createDataFrame(docs, "doc_id long, text string"), 10).collect()
     check(docs, got, 10)
