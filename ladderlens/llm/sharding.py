@@ -9,10 +9,11 @@ groups than places an item is a few of them.  So the number of items is bounded
 whatever the input.  The driver places the items, largest first, each in the
 shard where the dot product of its size with the shard's residual capacity is
 highest, among those that have room for it in all three dimensions.  Where none
-has, bytes decide: of the shards with room for those, the one whose tightest
-dimension is least overfull takes it.  At last, exchanges of items with equal
-rows between the shard of most and that of least bytes even out what is left.
-So shards come out with nearly equal bytes (law ``bytes``), and with tokens and
+has, the shard whose tightest dimension is least overfull takes it; a second
+packing asks for room in bytes there.  Exchanges of items with equal rows
+between the shard of most and that of least bytes then even out what is left,
+and of the two packings the one with more equal bytes stays, or, if both have
+them equal, the one with more equal rows and tokens.  So shards come out with nearly equal bytes (law ``bytes``), and with tokens and
 rows as equal as the groups let them be.
 
 A group of more bytes than a shard's even share can't stay together under that
@@ -44,7 +45,7 @@ OVERHEAD = 16
 CELLS = 64
 
 
-def place(sizes: np.ndarray, shards: int) -> np.ndarray:
+def place(sizes: np.ndarray, shards: int, bytes_first: bool = False) -> np.ndarray:
     """Shard of each item (row of sizes), by vector bin packing."""
     total = np.maximum(sizes.sum(axis=0), 1)
     share = sizes / total * shards  # of one shard's capacity, in each dimension
@@ -52,11 +53,11 @@ def place(sizes: np.ndarray, shards: int) -> np.ndarray:
     out = np.zeros(len(sizes), np.int64)
     for i in np.lexsort((np.arange(len(sizes)), -share[:, 0], -share.sum(axis=1))):
         room = residual - share[i]
-        fits, bytes_fit = (room >= 0).all(axis=1), room[:, 0] >= 0
+        fits, able = (room >= 0).all(axis=1), (room[:, 0] >= 0) | (not bytes_first)
         if fits.any():
             best = np.where(fits, residual @ share[i], -np.inf).argmax()
-        elif bytes_fit.any():
-            best = np.where(bytes_fit, room.min(axis=1), -np.inf).argmax()
+        elif able.any():
+            best = np.where(able, room.min(axis=1), -np.inf).argmax()
         else:
             best = room[:, 0].argmax()
         out[i], residual[best] = best, room[best]
@@ -86,6 +87,17 @@ def even_out(sizes: np.ndarray, out: np.ndarray, shards: int, rounds: int = 20)
     return out
 
 
+def pack(sizes: np.ndarray, shards: int) -> np.ndarray:
+    """The better of two packings, evened out."""
+
+    def unevenness(out: np.ndarray) -> tuple[float, float]:
+        loads = np.stack([np.bincount(out, column, shards) for column in sizes.T])
+        spread = np.ptp(loads, axis=1) / np.maximum(loads.mean(axis=1), 1)
+        return round(float(spread[0]), 3), float(spread[1:].max(initial=0))
+
+    return min((even_out(sizes, place(sizes, shards, first), shards) for first in (False, True)), key=unevenness)
+
+
 def shard(docs: DataFrame, shards: int, items: int = ITEMS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard of every row."""
     spark = docs.sparkSession
@@ -115,7 +127,7 @@ def shard(docs: DataFrame, shards: int, items: int = ITEMS) -> DataFrame:
     cells = cells.sort_values(["item", "cell"]).reset_index(drop=True)
     packed = cells.groupby("item", sort=True)[["bytes", "tokens", "rows"]].sum()
     sizes = packed.to_numpy(np.float64)
-    where = even_out(sizes, place(sizes, shards), shards)
+    where = pack(sizes, shards)
     cells["shard"] = cells["item"].map(dict(zip(packed.index, where.tolist(), strict=True))).astype("int32")
     cells["base"] = (cells.groupby("shard")["rows"].cumsum() - cells["rows"]).astype("int64") if len(cells) else cells["rows"]
     plan = spark.createDataFrame(list(cells[["item", "cell", "shard", "base"]].itertuples(index=False, name=None)), "item string, cell int, shard int, base long")

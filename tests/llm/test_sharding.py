@@ -61,13 +61,13 @@ def test_all_three_sizes_are_balanced(spark):
 def test_packing_equals_a_plain_loop():
     """Vector bin packing as it is stated, one shard at a time."""
     r = np.random.default_rng(3)
-    for shards in (2, 3, 7):
+    for shards, bytes_first in ((2, True), (3, True), (7, True), (3, False), (7, False)):
         sizes = r.pareto(1.5, (60, 3)) + 0.01
         share = (sizes / sizes.sum(axis=0) * shards).tolist()
         left, want = [[1.0] * 3 for _ in range(shards)], {}
         for i in sorted(range(60), key=lambda i: (-sum(share[i]), -share[i][0], i)):
             room = [[a - b for a, b in zip(left[s], share[i], strict=True)] for s in range(shards)]
-            able, able_bytes = [s for s in range(shards) if min(room[s]) >= 0], [s for s in range(shards) if room[s][0] >= 0]
+            able, able_bytes = [s for s in range(shards) if min(room[s]) >= 0], [s for s in range(shards) if room[s][0] >= 0 or not bytes_first]
             if able:
                 want[i] = max(able, key=lambda s: sum(a * b for a, b in zip(left[s], share[i], strict=True)))
             elif able_bytes:
@@ -75,7 +75,7 @@ def test_packing_equals_a_plain_loop():
             else:
                 want[i] = max(range(shards), key=lambda s: room[s][0])
             left[want[i]] = room[want[i]]
-        assert sharding.place(sizes, shards).tolist() == [want[i] for i in range(60)]
+        assert sharding.place(sizes, shards, bytes_first).tolist() == [want[i] for i in range(60)]
 
 
 def test_exchanges_keep_rows_and_bring_bytes_together():
