@@ -3,30 +3,34 @@
 A byte is removed if a string of ``length`` bytes around it also starts
 earlier: in a document with a smaller doc_id, or earlier in the same one.
 
+What is removed is decided by matching statistics alone (``resolve``): texts
+that come first are indexed by a run-compressed Burrows-Wheeler transform with
+samples at both ends of each run, later ones are streamed against the index,
+and where the longest match is ``length`` bytes or more, the window is marked.
+Hashes only choose which texts meet:
+
 1. Each window of ``length`` bytes has an anchor: its least-hashed ``GRAM``
-   bytes.  Neighbouring windows with the same anchor are a run, and equal
-   windows have equal anchors, so only runs whose anchor occurs again can hold
-   a match.  Tasks keep one entry for equal runs and send the entries packed.
-2. Runs meet by anchor.  Where a run (all bytes of its windows) occurs again,
-   the later ones are matches as a whole.  Runs that share an anchor, but not
-   all bytes, are matched in step 3.
-3. The texts of those runs are indexed, bucket by bucket: suffix order by
-   prefix doubling, run-compressed Burrows-Wheeler transform, and the earliest
-   position for each interval of suffixes with ``length`` bytes in common,
-   sampled at the interval's end.  The texts are streamed backwards through
-   the index, all at once, one LF step a byte; where the match reaches
-   ``length`` bytes and its interval has an earlier sample, the window is
-   marked.
+   bytes.  Neighbouring windows with the same anchor are a run.  Equal windows
+   have equal anchors, so a window can only match one of a run with its anchor.
+2. A task resolves the runs of its own documents that share an anchor, so that
+   copies are gone before the shuffle.  Of windows without a mark it sends
+   where they are, packed by anchor.
+3. Runs whose anchor came from several places are read again, meet by anchor in
+   buckets, and are resolved there.
 4. Marks meet the texts by document.
 
 An anchor with too large a share of all runs would gather in one task; such
 anchors are found first (each task reports those with a large share of its own
-runs, of which there can be few), and their runs are dealt by whole windows.
+runs, of which there can be few), and what is left of their runs is dealt by
+whole windows.
 
 Defined results: a null text counts as empty.  Rows that share both doc_id and
 text are one document and all get its result; rows that share a doc_id alone
-are ordered by a hash of the text; null ids come last.  Other columns are
-ignored, whatever their names.
+are ordered by a hash of the text; null ids come last.  An id of another type
+than integers counts by its place in the order of all ids.  Texts of any length
+are searched whole, and an empty table gives no rows; the spans of a document
+meet in its row, as what is kept of it does.  Other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -38,21 +42,24 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ladderlens.llm.common import materialize, release
+from ladderlens.llm.common import fields, materialize, release
 
 GRAM = 24
 #: Bytes of text that are anchored at once; positions within take 20 bits.
 BLOCK = 1 << 19
 LOW = np.uint64((1 << 20) - 1)
 #: Entries that a task holds before it sends them.
-HELD = 2_000_000
-#: Text for each bucket of steps 2 and 3.
-BUCKET_BYTES = 4 << 20
+HELD = 400_000
+#: Text for each bucket of steps 2 and 3, and for the indexes that are made at once.
+BUCKET_BYTES, BATCH_BYTES = 4 << 20, 2 << 20
 #: An anchor with this share of all runs is dealt by windows.
 HOT_SHARE, HOT_LEAST = 1 / 2000, 500
 
-RUN = np.dtype([("a", "<u8"), ("c", "<u8"), ("d", "<i8"), ("p", "<u4"), ("n", "u1")])
+#: A run: anchor, document (d and h), first window, number of windows (or of marked bytes).
+RUN = np.dtype([("a", "<u8"), ("d", "<i8"), ("h", "<i8"), ("p", "<u4"), ("n", "<u4")])
+KEY = ["d", "h"]
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -98,23 +105,23 @@ def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int)
 
 
 def blocks(frame: pd.DataFrame, length: int, size: int) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(bytes, starts, ends, document key, offset in the document) of the texts of a batch, cut into blocks."""
-    parts, keys, offsets, total = [], [], [], 0
+    """(bytes, starts, ends, row in the batch, offset in the document) of the texts of a batch, cut into blocks."""
+    parts, rows, offsets, total = [], [], [], 0
 
     def made():
         ends = np.cumsum([len(p) for p in parts])
-        return b"".join(parts), ends - [len(p) for p in parts], ends, np.array(keys, np.int64), np.array(offsets, np.int64)
+        return b"".join(parts), ends - [len(p) for p in parts], ends, np.array(rows, np.int64), np.array(offsets, np.int64)
 
-    for key, text in zip(frame["key"], frame["data"], strict=True):
+    for row, text in enumerate(frame["data"]):
         for at in range(0, max(1, len(text) - length + 1), size):
             part = text[at : at + size + length - 1]
             if len(part) < length:
                 continue
             if total + len(part) > size and parts:
                 yield made()
-                parts, keys, offsets, total = [], [], [], 0
+                parts, rows, offsets, total = [], [], [], 0
             parts.append(part)
-            keys.append(key)
+            rows.append(row)
             offsets.append(at)
             total += len(part)
     if parts:
@@ -150,18 +157,241 @@ def bucket_of(a: np.ndarray, buckets: int) -> np.ndarray:
     return (((a * MIX[0]) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
 
 
-def merged(d: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Intervals (d, s, e), those that touch made one."""
-    if not len(d):
-        return d, s, e
-    order = np.lexsort((s, d))
-    d, s, e = d[order], s[order], e[order]
-    new = np.concatenate([[True], d[1:] != d[:-1]])
+def merged(rows: np.ndarray) -> np.ndarray:
+    """Marks (RUN, of n bytes from p on), those that touch or overlap made one."""
+    if not len(rows):
+        return rows
+    rows = rows[np.lexsort((rows["p"], rows["h"], rows["d"]))]
+    new = np.concatenate([[True], (rows["d"][1:] != rows["d"][:-1]) | (rows["h"][1:] != rows["h"][:-1])])
+    s, e = rows["p"].astype(np.int64), rows["p"].astype(np.int64) + rows["n"]
     group = np.cumsum(new)
     big = int(e.max()) + 1
-    reach = np.maximum.accumulate(e + group * big) - group * big  # furthest end so far within d
+    reach = np.maximum.accumulate(e + group * big) - group * big  # furthest end so far within a document
     head = np.flatnonzero(new | np.concatenate([[False], s[1:] > reach[:-1]]))
-    return d[head], s[head], np.append(reach[head[1:] - 1], reach[-1])
+    out = rows[head].copy()
+    out["n"] = np.append(reach[head[1:] - 1], reach[-1]) - s[head]
+    return out
+
+
+class RunLengthIndex:
+    """Run-compressed Burrows-Wheeler transform of texts, with samples at the first and last place of each run."""
+
+    def __init__(self, texts: list[bytes]) -> None:
+        sizes = np.array([len(t) for t in texts], np.int64)
+        count, n = len(texts), int(sizes.sum()) + len(texts)
+        ends = np.cumsum(sizes + 1) - 1  # where each text's end mark is
+        data = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
+        which = np.repeat(np.arange(count), sizes + 1)
+        left = ends[which] - np.arange(n)  # bytes to the end mark
+        order = self._suffix_order(data, which, left, count)
+        whole = np.concatenate([[True], which[1:] != which[:-1]])
+        letter = np.where(whole, 256, np.roll(data, 1).astype(np.int64))[order]  # the byte before, or 256 for a whole text
+        head = np.flatnonzero(np.concatenate([[True], letter[1:] != letter[:-1]]))
+        last = np.append(head[1:], n) - 1
+        self.start, self.last, self.letter = head, last, letter[head]
+        self.at_start, self.at_last = order[head], order[last]  # the samples: places in the texts
+        self.data, self.left = np.concatenate([data, np.zeros(16, np.uint8)]), left
+        size = last - head + 1
+        below = np.concatenate([[0], np.cumsum(np.bincount(letter[letter < 256], minlength=256))])[:-1] + count
+        by = np.argsort(self.letter, kind="stable")
+        before = np.cumsum(size[by]) - size[by]
+        first = np.searchsorted(self.letter[by], np.arange(258))
+        base = np.zeros(len(head), np.int64)
+        base[by] = before - before[np.minimum(first[self.letter[by]], len(by) - 1)]
+        self.base = base + np.where(self.letter < 256, below[np.minimum(self.letter, 255)], 0)
+        self.by_letter = self.letter[by] * (len(head) + 1) + by  # runs by letter, then place
+
+    @staticmethod
+    def _suffix_order(data: np.ndarray, which: np.ndarray, left: np.ndarray, count: int) -> np.ndarray:
+        """Places in the order of their suffixes, by prefix doubling; an end mark is below all bytes, and marks are in the order of texts."""
+        n = len(data)
+        padded = np.concatenate([data, np.zeros(7, np.uint8)]).astype(np.int64)
+        key = np.zeros(n, np.int64)
+        for i in range(7):
+            key = (key << 8) | np.where(left > i, padded[i : i + n], 0)
+        key = (key << 3) | np.minimum(left, 7)
+        known, most = 7, int(left.max(initial=0)) + 1
+        while True:
+            order = np.argsort(key)
+            ordered = key[order]
+            rank = np.empty(n, np.int64)
+            rank[order] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]))
+            if known > most:
+                return np.lexsort((which, rank))
+            after = np.full(n, -1, np.int64)
+            after[:-known] = rank[known:]
+            key = rank * (n + count) + np.where(left >= known, after + count, which)
+            known *= 2
+
+    def matches(self, texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
+        """(text, offset) of each place of texts at which a string of ``length`` bytes of the index starts.
+
+        All texts are streamed backwards at once, one byte a step, with the
+        longest match of what has been read.  If a run's letter goes on with
+        the match, LF follows it.  Else the match goes over to the last place
+        of the run with that letter before, or the first one of the run after,
+        whose sample shares more bytes with the text.
+        """
+        sizes = np.array([len(t) for t in texts], np.int64)
+        begin = np.cumsum(sizes) - sizes
+        q = np.concatenate([np.frombuffer(b"".join(texts), np.uint8), np.zeros(16, np.uint8)])
+        text = np.argsort(-sizes, kind="stable")
+        descending = -sizes[text]
+        at, matched, runs, found = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), len(self.start), []
+        for done in range(int(sizes.max(initial=0))):
+            go = int(np.searchsorted(descending, -done, side="left"))
+            text, at, matched = text[:go], at[:go], matched[:go]
+            here = begin[text] + sizes[text] - 1 - done
+            c = q[here].astype(np.int64)
+            run = np.searchsorted(self.start, at, side="right") - 1
+            off = np.flatnonzero(self.letter[run] != c)
+            if len(off):
+                place = np.searchsorted(self.by_letter, c[off] * (runs + 1) + run[off])
+                best, share = np.full(len(off), -1, np.int64), np.full(len(off), -1, np.int64)
+                for step, sample, edge in ((-1, self.at_last, self.last), (0, self.at_start, self.start)):
+                    near = place + step
+                    own = self.by_letter[np.clip(near, 0, runs - 1)]
+                    ok = (near >= 0) & (near < runs) & (own // (runs + 1) == c[off])
+                    k = own[ok] % (runs + 1)
+                    common = self._common(q, here[off[ok]] + 1, sample[k], matched[off[ok]])
+                    better = common > share[ok]
+                    rows = np.flatnonzero(ok)[better]
+                    share[rows], best[rows] = common[better], edge[k[better]]
+                at[off], matched[off] = np.maximum(best, 0), share  # a share of -1: the letter is nowhere
+                run[off] = np.searchsorted(self.start, at[off], side="right") - 1
+            lost = matched < 0
+            at = np.where(lost, 0, self.base[run] + at - self.start[run])
+            matched = np.where(lost, 0, matched + 1)
+            hit = np.flatnonzero(matched >= length)
+            if len(hit):
+                found.append(np.stack([text[hit], sizes[text[hit]] - 1 - done]))
+        both = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+        return both[0], both[1]
+
+    def _common(self, q: np.ndarray, here: np.ndarray, sample: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """Bytes that q has from here on in common with the index's texts from a sample on, most at most."""
+        most = np.minimum(most, self.left[sample])
+        out, todo, step = np.zeros(len(here), np.int64), np.arange(len(here)), np.arange(16)
+        while len(todo):
+            same = q[(here[todo] + out[todo])[:, None] + step] == self.data[(sample[todo] + out[todo])[:, None] + step]
+            run = np.where(same.all(axis=1), 16, same.argmin(axis=1))
+            out[todo] += run
+            todo = todo[(run == 16) & (out[todo] < most[todo])]
+        return np.minimum(out, most)
+
+
+def resolve(rows: np.ndarray, texts: list[bytes], length: int) -> np.ndarray:
+    """Marks (RUN: length bytes from p on) of the windows of runs that an earlier run with the same anchor has too.
+
+    texts are the bytes of the runs.  Runs with one anchor that have the same
+    bytes are one text; of the later ones, one is streamed for all.  The texts
+    of an anchor, in the order of their first places, are halved again and
+    again: the first half is indexed, the second is streamed against it, and
+    both are halved.  As other anchors can't match, one index takes the halves
+    of many anchors.
+    """
+    order = np.lexsort((rows["p"], rows["h"], rows["d"], rows["a"]))
+    rows, texts = rows[order], [texts[i] for i in order.tolist()]
+    if not len(rows):
+        return rows
+    rows, texts = _once(rows, texts)
+    new = np.concatenate([[True], rows["a"][1:] != rows["a"][:-1]])
+    size = np.cumsum([len(t) for t in texts])
+    heads, cuts = np.flatnonzero(new), [0]
+    for head in heads[1:].tolist():
+        if size[head - 1] - (size[cuts[-1] - 1] if cuts[-1] else 0) >= BATCH_BYTES:
+            cuts.append(head)
+    cuts.append(len(rows))
+    return np.concatenate([_resolve(rows[a:b], texts[a:b], length) for a, b in zip(cuts, cuts[1:])])  # noqa: B905
+
+
+def _once(rows: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
+    """Sorted runs without windows that a row before has of the same document (as repeated rows do)."""
+    e = rows["p"].astype(np.int64) + rows["n"]
+    same = np.concatenate([[False], (rows["a"][1:] == rows["a"][:-1]) & (rows["d"][1:] == rows["d"][:-1]) & (rows["h"][1:] == rows["h"][:-1])])
+    if not same.any():
+        return rows, texts
+    group, big = np.cumsum(~same), int(e.max()) + 1
+    reach = np.maximum.accumulate(e + group * big) - group * big
+    cut = np.where(same, np.clip(np.append(0, reach[:-1]) - rows["p"].astype(np.int64), 0, rows["n"].astype(np.int64)), 0)
+    rows = rows.copy()
+    rows["p"] += cut.astype(np.uint32)
+    rows["n"] -= cut.astype(np.uint32)
+    keep = np.flatnonzero(rows["n"] > 0)
+    return rows[keep], [texts[i][cut[i] :] for i in keep.tolist()]
+
+
+def _resolve(rows: np.ndarray, texts: list[bytes], length: int) -> np.ndarray:
+    boxed = np.empty(len(texts), object)
+    boxed[:] = texts
+    code = pd.factorize(boxed)[0]  # by the bytes themselves
+    first = np.unique(code, return_index=True)[1]  # of each text, its first run
+    nth = pd.Series(code).groupby(code).cumcount().to_numpy()
+    second = np.flatnonzero(nth == 1)
+    anchor = rows["a"][first]
+    by = np.lexsort((first, anchor))
+    head = np.concatenate([[True], anchor[by][1:] != anchor[by][:-1]])
+    begin = np.flatnonzero(head)
+    place = np.empty(len(first), np.int64)  # of each text among those of its anchor
+    place[by] = np.arange(len(by)) - begin[np.cumsum(head) - 1]
+    many = np.diff(np.append(begin, len(by)))
+    group = np.empty(len(first), np.int64)
+    group[by] = np.cumsum(head) - 1
+    windows = rows["n"][first].astype(np.int64)
+    base = np.cumsum(windows) - windows
+    marked = np.zeros(int(windows.sum()), bool)  # of each window of each text
+    copied = np.zeros(len(marked), bool)  # the same, where it is the second run with that text
+    copies = code[second]
+    step = np.array([(~p & (p + 1)).bit_length() - 1 for p in place[copies].tolist()], np.int64)  # the lowest halving at which the text is in a first half
+    for level in range(max(1, int(many.max() - 1).bit_length(), int(step.max(initial=0)) + 1)):
+        half = place >> level
+        own = copies[step == level]
+        for b in np.unique(np.concatenate([half[half % 2 == 1] - 1, half[own]])).tolist():
+            left = np.bincount(np.repeat(np.arange(len(windows)), windows)[~marked], minlength=len(windows)) > 0
+            later, again = np.flatnonzero((half == b + 1) & left), own[half[own] == b]
+            indexed = np.flatnonzero((half == b) & left & np.isin(group, np.concatenate([group[later], group[again]])))
+            if not len(indexed):
+                continue
+            index = RunLengthIndex([texts[first[i]] for i in indexed.tolist()])
+            t, at = index.matches([texts[first[i]] for i in np.concatenate([later, again]).tolist()], length)
+            is_copy = t >= len(later)
+            marked[base[later[t[~is_copy]]] + at[~is_copy]] = True
+            copied[base[again[t[is_copy] - len(later)]] + at[is_copy]] = True
+    out = []
+    for runs, flags in ((first, marked), (np.flatnonzero(nth > 0), copied)):
+        n = windows[code[runs]]
+        at = np.repeat(base[code[runs]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        hit = np.flatnonzero(flags[at])
+        of = np.repeat(np.arange(len(runs)), n)[hit]
+        mark = rows[runs[of]].copy()
+        mark["p"] += (at[hit] - base[code[runs[of]]]).astype(np.uint32)
+        mark["n"] = length
+        out.append(mark)
+    return np.concatenate(out)
+
+
+def without(rows: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The parts of runs whose windows have no mark, and for each the run that it is of."""
+    n = rows["n"].astype(np.int64)
+    run = np.repeat(np.arange(len(rows)), n)
+    at = rows["p"][run].astype(np.int64) + np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
+    names = ["d", "h", "p"]
+    window = np.zeros(len(run) + len(marks), np.dtype([(x, RUN[x]) for x in names]))
+    for x in ("d", "h"):
+        window[x] = np.concatenate([rows[x][run], marks[x]])
+    window["p"] = np.concatenate([at, marks["p"]])
+    order = np.lexsort((np.arange(len(window)) < len(run), window["p"], window["h"], window["d"]))  # a mark comes before its windows
+    ordered, is_mark = window[order], order >= len(run)
+    equal = np.concatenate([[False], ordered[1:] == ordered[:-1]])
+    gone = np.zeros(len(run), bool)
+    head = np.maximum.accumulate(np.where(equal, 0, np.arange(len(order))))
+    gone[order[~is_mark]] = is_mark[head][~is_mark]
+    left = np.flatnonzero(~gone)
+    new = np.concatenate([[True], (run[left][1:] != run[left][:-1]) | (left[1:] != left[:-1] + 1)]) if len(left) else np.zeros(0, bool)
+    first = np.flatnonzero(new)
+    out = rows[run[left[first]]].copy()
+    out["p"], out["n"] = at[left[first]], np.diff(np.append(first, len(left)))
+    return out, run[left[first]]
 
 
 def _packed(rows: np.ndarray, bucket: np.ndarray, kind: int) -> pd.DataFrame:
@@ -171,36 +401,52 @@ def _packed(rows: np.ndarray, bucket: np.ndarray, kind: int) -> pd.DataFrame:
     return pd.DataFrame({"bucket": value.astype(np.int64), "kind": kind, "rows": [x.tobytes() for x in np.split(rows, head[1:])] if len(value) else []})
 
 
+def shared(values: np.ndarray) -> np.ndarray:
+    """Which values occur more than once."""
+    _, at, count = np.unique(values, return_inverse=True, return_counts=True)
+    return count[at] > 1
+
+
 def _send_runs(length: int, buckets: int, hot: np.ndarray, block: int):
-    def flush(held: list[np.ndarray]) -> Iterator[pd.DataFrame]:
-        rows = np.concatenate(held)
-        rows = rows[np.lexsort((rows["p"], rows["d"], rows["c"], rows["a"]))]
-        first = np.concatenate([[True], (rows["a"][1:] != rows["a"][:-1]) | (rows["c"][1:] != rows["c"][:-1])])
-        own = rows[first]
-        yield _packed(own, bucket_of(own["a"], buckets), 0)
-        d, s, e = merged(*interval(rows[~first], length))
-        marks = np.zeros(len(d), RUN)
-        marks["d"], marks["p"], marks["a"] = d, s, e
-        yield _packed(marks, bucket_of(d.view(np.uint64) * MIX[1], buckets), 1)
+    """Step 2, for the documents of a task: marks (kind 1), and runs without a mark (kind 0)."""
+
+    def flush(held: list[tuple[np.ndarray, bytes, np.ndarray]]) -> Iterator[pd.DataFrame]:
+        rows = np.concatenate([r for r, _, _ in held])
+        block_of = np.repeat(np.arange(len(held)), [len(r) for r, _, _ in held])
+        start = np.concatenate([s for _, _, s in held])
+
+        def text(i: int, skip: int = 0, n: int = 0) -> bytes:
+            a = int(start[i]) + skip
+            return held[block_of[i]][1][a : a + (n or int(rows["n"][i])) + length - 1]
+
+        often = np.flatnonzero(shared(rows["a"]))
+        marks = resolve(rows[often], [text(i) for i in often.tolist()], length)
+        some, of = without(rows[often], marks)
+        other = np.flatnonzero(~np.isin(np.arange(len(rows)), often))
+        left, source = np.concatenate([rows[other], some]), np.concatenate([other, often[of]])
+        split = np.flatnonzero(np.isin(left["a"], hot))
+        if len(split):  # each window is a run of its own
+            n = left["n"][split].astype(np.int64)
+            window = np.repeat(left[split], n)
+            window["p"] += (np.arange(len(window)) - np.repeat(np.cumsum(n) - n, n)).astype(np.uint32)
+            window["n"] = 1
+            skip = window["p"].astype(np.int64) - rows["p"][np.repeat(source[split], n)]
+            window["a"] = [xxhash.xxh3_64_intdigest(text(i, k, 1), 1) for i, k in zip(np.repeat(source[split], n).tolist(), skip.tolist(), strict=True)]
+            left = np.concatenate([np.delete(left, split), window])
+        yield _packed(left, bucket_of(left["a"], buckets), 0)
+        marks = merged(marks)
+        yield _packed(marks, bucket_of(marks["d"].view(np.uint64) * MIX[1] if len(marks) else marks["a"], buckets), 1)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, n = [], 0
-        digest = xxhash.xxh3_64_intdigest
         for frame in frames:
-            for data, starts, ends, keys, offsets in blocks(frame, length, block):
+            d, h = frame["d"].to_numpy(np.int64), frame["h"].to_numpy(np.int64)
+            for data, starts, ends, numbers, offsets in blocks(frame, length, block):
                 at, size, a = anchors(np.frombuffer(data, np.uint8), starts, ends, length)
-                often = np.isin(a, hot)
-                if often.any():  # each window is a run of its own
-                    wide = np.repeat(at[often], size[often])
-                    wide += np.arange(len(wide)) - np.repeat(np.cumsum(size[often]) - size[often], size[often])
-                    a = np.concatenate([a[~often], np.array([digest(data[i : i + length], 1) for i in wide.tolist()], np.uint64)])
-                    at = np.concatenate([at[~often], wide])
-                    size = np.concatenate([size[~often], np.ones(len(wide), np.int64)])
                 rows = np.zeros(len(at), RUN)
                 of = np.searchsorted(ends, at, side="right")
-                rows["a"], rows["n"], rows["d"], rows["p"] = a, size, keys[of], at - starts[of] + offsets[of]
-                rows["c"] = [digest(data[i:j]) for i, j in zip(at.tolist(), (at + size + length - 1).tolist(), strict=True)]
-                held.append(rows)
+                rows["a"], rows["n"], rows["d"], rows["h"], rows["p"] = a, size, d[numbers[of]], h[numbers[of]], at - starts[of] + offsets[of]
+                held.append((rows, data, at))
                 n += len(rows)
                 if n >= HELD:
                     yield from flush(held)
@@ -211,163 +457,60 @@ def _send_runs(length: int, buckets: int, hot: np.ndarray, block: int):
     return run
 
 
-def interval(rows: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return rows["d"], rows["p"].astype(np.int64), rows["p"].astype(np.int64) + rows["n"] + length - 1
-
+def _as_frame(rows: np.ndarray, kind: str) -> pd.DataFrame:
+    own = {"d": rows["d"], "h": rows["h"], "s": rows["p"].astype(np.int64), "n": rows["n"].astype(np.int64)}
+    return pd.DataFrame(own | ({"a": rows["a"].view(np.int64) if len(rows) else []} if kind == "run" else {})).astype("int64")
 
-def _marks(d: np.ndarray, s: np.ndarray, e: np.ndarray) -> pd.DataFrame:
-    return pd.DataFrame({"key": d, "s": s, "e": e, "n": 0, "a": 0})
 
-
-def _meet(length: int):
-    """Step 2, for a bucket: marks (n = 0), and runs to index (n windows from s on, anchor a)."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        read = lambda kind: np.frombuffer(b"".join(frame["rows"][frame["kind"] == kind]), RUN)
-        done = read(1)
-        rows = read(0)
-        rows = rows[np.lexsort((rows["p"], rows["d"], rows["c"], rows["a"]))]
-        new = np.concatenate([[True], rows["a"][1:] != rows["a"][:-1]]) if len(rows) else np.zeros(0, bool)
-        first = new | np.concatenate([[False], rows["c"][1:] != rows["c"][:-1]]) if len(rows) else new
-        d, s, e = interval(rows[~first], length)
-        d, s, e = merged(np.concatenate([d, done["d"]]), np.concatenate([s, done["p"].astype(np.int64)]), np.concatenate([e, done["a"].astype(np.int64)]))
-        group = np.cumsum(new) - 1
-        several = np.bincount(group[first], minlength=1)[group] > 1 if len(rows) else new
-        index = rows[first & several]
-        out = pd.DataFrame({"key": index["d"], "s": index["p"].astype(np.int64), "e": 0, "n": index["n"].astype(np.int64), "a": index["a"].view(np.int64) if len(index) else []})
-        return pd.concat([_marks(d, s, e), out]).astype("int64")
-
-    return run
-
-
-class RunLengthIndex:
-    """Run-compressed Burrows-Wheeler transform of texts, in their order, with samples."""
-
-    def __init__(self, texts: list[bytes], length: int) -> None:
-        sizes = np.array([len(t) for t in texts], np.int64)
-        count, n = len(texts), int(sizes.sum()) + len(texts)
-        self.ends = np.cumsum(sizes + 1) - 1  # where each text's end mark is
-        self.sizes, self.length = sizes, length
-        data = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
-        which = np.repeat(np.arange(count), sizes + 1)
-        left = self.ends[which] - np.arange(n)  # bytes to the end mark
-        # ranks by 7 bytes, then 14 and so on; an end mark is below all bytes, and marks are in the order of texts
-        padded = np.concatenate([data, np.zeros(7, np.uint8)]).astype(np.int64)
-        key = np.zeros(n, np.int64)
-        for i in range(7):
-            key = (key << 8) | np.where(left > i, padded[i : i + n], 0)
-        key = (key << 3) | np.minimum(left, 7)
-        order = np.argsort(key)
-        rank = self._ranks(key, order)
-        known, half = 7, None
-        while True:
-            if known * 2 > length and half is None:
-                half = (known, rank)
-            if half and known > sizes.max(initial=0) + 1:
-                break
-            after = np.full(n, -1, np.int64)
-            after[:-known] = rank[known:]
-            second = np.where(left >= known, after + count, which)
-            key = rank * (n + count) + second
-            order = np.argsort(key)
-            rank = self._ranks(key, order)
-            known *= 2
-        order = np.lexsort((which, rank))
-        whole = np.concatenate([[True], which[1:] != which[:-1]])
-        letter = np.where(whole, 256, np.roll(data, 1).astype(np.int64))[order]  # the byte before, or 256 for a whole text
-        head = np.flatnonzero(np.concatenate([[True], letter[1:] != letter[:-1]]))
-        self.run_start, self.run_letter = head, letter[head]
-        run_size = np.diff(np.append(head, n))
-        below = np.concatenate([[0], np.cumsum(np.bincount(letter[letter < 256], minlength=256))])[:-1] + count
-        by = np.argsort(self.run_letter, kind="stable")
-        before = np.cumsum(run_size[by]) - run_size[by]
-        first = np.searchsorted(self.run_letter[by], np.arange(258))
-        base = np.zeros(len(head), np.int64)
-        letters = self.run_letter[by]
-        base[by] = before - before[np.minimum(first[letters], len(by) - 1)]
-        self.run_base = base + np.where(self.run_letter < 256, below[np.minimum(self.run_letter, 255)], 0)
-        # intervals of suffixes with `length` bytes in common, and the earliest position of each
-        known, rank = half
-        full = left[order] >= length
-        at = order[full]
-        one, two = rank[at], rank[np.minimum(at + length - known, n - 1)]
-        new = np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])]) if len(at) else np.zeros(0, bool)
-        self.interval = np.flatnonzero(full)[new]
-        self.sample = np.minimum.reduceat(at, np.flatnonzero(new)) if len(at) else at
-
-    @staticmethod
-    def _ranks(key: np.ndarray, order: np.ndarray) -> np.ndarray:
-        sorted_key = key[order]
-        rank = np.empty(len(key), np.int64)
-        rank[order] = np.cumsum(np.concatenate([[0], sorted_key[1:] != sorted_key[:-1]]))
-        return rank
-
-    def step(self, at: np.ndarray) -> np.ndarray:
-        """LF: from each suffix's place to that of the suffix one byte longer."""
-        run = np.searchsorted(self.run_start, at, side="right") - 1
-        return self.run_base[run] + at - self.run_start[run]
-
-    def repeated(self) -> np.ndarray:
-        """(text, offset) of each window of ``length`` bytes that also starts earlier, streaming all texts backwards."""
-        text = np.argsort(-self.sizes, kind="stable")
-        at, found = text.copy(), []  # the end marks are first in suffix order, in the order of texts
-        for matched in range(1, int(self.sizes.max(initial=0)) + 1):
-            go = int(np.searchsorted(-self.sizes[text], -matched, side="right"))
-            text, at = text[:go], self.step(at[:go])
-            if matched >= self.length:
-                own = self.ends[text] - matched
-                hit = self.sample[np.searchsorted(self.interval, at, side="right") - 1] < own
-                if hit.any():
-                    found.append(np.stack([text[hit], (self.sizes[text] - matched)[hit]], axis=1))
-        return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+def _meet(frame: pd.DataFrame) -> pd.DataFrame:
+    """For a bucket: marks (a is null), and the runs that share an anchor."""
+    read = lambda kind: np.frombuffer(b"".join(frame["rows"][frame["kind"] == kind]), RUN)
+    rows, marks = read(0), merged(read(1))
+    met = _as_frame(rows[shared(rows["a"])], "run")
+    return pd.concat([met, _as_frame(marks, "mark").assign(a=None)]).astype({"a": "Int64"})
 
 
 def _read_texts(length: int, buckets: int):
-    """The bytes of the runs to index, packed by bucket."""
+    """The bytes of the runs that meet, by bucket."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
-            for key, data, runs in zip(frame["key"], frame["data"], frame["runs"], strict=True):
-                a = np.array([r["a"] for r in runs], np.int64).view(np.uint64)
-                for r, b in zip(runs, bucket_of(a, buckets).tolist(), strict=True):
-                    out.append((b, key, r["s"], data[r["s"] : r["s"] + r["n"] + length - 1]))
-            yield pd.DataFrame(out, columns=["bucket", "key", "s", "data"])
+            for d, h, data, runs in zip(frame["d"], frame["h"], frame["data"], frame["runs"], strict=True):
+                a = np.array([r["a"] for r in runs], np.int64)
+                for r, b in zip(runs, bucket_of(a.view(np.uint64), buckets).tolist(), strict=True):
+                    out.append((b, d, h, r["s"], r["a"], data[r["s"] : r["s"] + r["n"] + length - 1]))
+            yield pd.DataFrame(out, columns=["bucket", "d", "h", "s", "a", "data"])
 
     return run
 
 
 def _match(length: int):
+    """Step 3, for a bucket."""
+
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["key", "s"])
-        hits = RunLengthIndex(list(frame["data"]), length).repeated()
-        d, s = frame["key"].to_numpy()[hits[:, 0]], frame["s"].to_numpy()[hits[:, 0]] + hits[:, 1]
-        return _marks(*merged(d, s, s + length))[["key", "s", "e"]].astype("int64")
+        rows = np.zeros(len(frame), RUN)
+        rows["a"], rows["d"], rows["h"], rows["p"] = frame["a"].to_numpy(np.int64).view(np.uint64), frame["d"], frame["h"], frame["s"]
+        rows["n"] = frame["data"].map(len).to_numpy() - length + 1
+        return _as_frame(merged(resolve(rows, list(frame["data"]), length)), "mark")
 
     return run
 
 
-def keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
-    """doc_id, key (long, in the order of documents, equal only for equal rows) and data (the bytes of the text); and whether keys may be repeated."""
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, d and h (longs, in the order of documents and equal only for equal rows) and data (the bytes of the text)."""
     docs = docs.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"").cast("binary")).alias("data"))
-    ids = docs.groupBy("doc_id").count()
-    if not ids.where("count > 1 or doc_id is null").limit(1).count():
-        return docs.withColumn("key", F.col("doc_id").cast("long")), False
     docs = docs.withColumn("h", F.xxhash64("data"))
-    pairs = docs.select("doc_id", "h").distinct().orderBy(F.col("doc_id").asc_nulls_last(), "h")
-    ranks = docs.sparkSession.createDataFrame(pairs.rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1])), "id long, g long, key long")
-    return docs.join(ranks, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("g"))).select("doc_id", "data", "key"), True
+    if isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        return docs.withColumn("d", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)))
+    ids = docs.select(F.col("doc_id").alias("id")).where("id is not null").distinct().orderBy("id").withColumn("d", F.monotonically_increasing_id())
+    return docs.join(materialize(ids, "ids"), F.col("doc_id") == F.col("id"), "left").select("doc_id", "data", "h", F.coalesce("d", F.lit((1 << 63) - 1)).alias("d"))
 
 
-def marks(docs: DataFrame, length: int, block: int = BLOCK, repeated: bool = True) -> DataFrame:
-    """(key, s, e): spans of removed bytes, which may touch or overlap, from keyed documents.
-
-    Where keys may be repeated, one row of each is read.
-    """
+def marks(docs: DataFrame, length: int, block: int = BLOCK) -> DataFrame:
+    """(d, h, s, n): spans of n removed bytes, which may touch or overlap, from keyed documents."""
     spark = docs.sparkSession
-    texts = docs.select("key", "data").where(F.octet_length("data") >= length)
-    if repeated:
-        texts = materialize(texts.groupBy("key").agg(F.first("data").alias("data")), "texts")
+    texts = docs.select(*KEY, "data").where(F.octet_length("data") >= length)
     buckets = max(8, (texts.agg(F.sum(F.octet_length("data"))).first()[0] or 0) // BUCKET_BYTES)
     seen = texts.mapInPandas(_report_hot(length, block), "a long, n long, total long").groupBy("a").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
     seen = materialize(seen, "anchors")
@@ -375,13 +518,13 @@ def marks(docs: DataFrame, length: int, block: int = BLOCK, repeated: bool = Tru
     floor = max(HOT_LEAST, HOT_SHARE / 2 * total)  # so 2 / HOT_SHARE anchors at most
     hot = np.array([r["a"] for r in seen.where(F.col("n") >= floor).select("a").collect()], np.int64).view(np.uint64)
     sent = texts.mapInPandas(_send_runs(length, buckets, hot, block), "bucket long, kind int, rows binary")
-    met = materialize(sent.groupBy("bucket").applyInPandas(_meet(length), "key long, s long, e long, n long, a long"), "runs")
+    met = materialize(sent.groupBy("bucket").applyInPandas(_meet, "d long, h long, s long, n long, a long"), "runs")
     release(spark)
-    runs = met.where("n > 0").groupBy("key").agg(F.collect_list(F.struct("s", "n", "a")).alias("runs"))
-    read = texts.join(runs, "key").mapInPandas(_read_texts(length, buckets), "bucket long, key long, s long, data binary")
-    more = materialize(read.groupBy("bucket").applyInPandas(_match(length), "key long, s long, e long"), "matches")
+    runs = met.where("a is not null").groupBy(*KEY).agg(F.collect_list(F.struct("s", "n", "a")).alias("runs"))
+    read = texts.join(runs, KEY).mapInPandas(_read_texts(length, buckets), "bucket long, d long, h long, s long, a long, data binary")
+    more = materialize(read.groupBy("bucket").applyInPandas(_match(length), "d long, h long, s long, n long"), "matches")
     release(spark)
-    return met.where("n = 0").select("key", "s", "e").unionByName(more)
+    return met.where("a is null").select(*KEY, "s", "n").unionByName(more)
 
 
 def kept_text(data: bytes, spans: list[tuple[int, int]]) -> dict:
@@ -393,26 +536,27 @@ def deduplicate(
     docs: DataFrame,
     length: int = 100,
     derive: Callable[[bytes, list[tuple[int, int]]], dict] = kept_text,
-    fields: str = "kept binary, spans array<struct<start: long, end: long>>",
+    derived: str = "kept binary, spans array<struct<start: long, end: long>>",
     block: int = BLOCK,
 ) -> DataFrame:
     """doc_id and what derive makes of each text and its removed spans (by default, the bytes kept and the spans).
 
-    derive gets the bytes of the text and the maximal removed spans; fields is
+    derive gets the bytes of the text and the maximal removed spans; derived is
     the schema of what it returns.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    docs, repeated = keyed(docs)
-    spans = marks(docs, length, block, repeated).groupBy("key").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    schema = f"{fields(docs, ['doc_id'])}, {derived}"
+    docs = keyed(docs)
+    spans = marks(docs, length, block).groupBy(*KEY).agg(F.collect_list(F.struct("s", "n")).alias("spans"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
             for data, found in zip(frame["data"], frame["spans"], strict=True):
-                found = [] if found is None else found
-                s, e = (np.array([r[k] for r in found], np.int64) for k in "se")
-                _, s, e = merged(np.zeros(len(s), np.int64), s, e)
-                out.append(derive(bytes(data), list(zip(s.tolist(), e.tolist(), strict=True))))
+                rows = np.zeros(0 if found is None else len(found), RUN)
+                if len(rows):
+                    rows["p"], rows["n"] = [r["s"] for r in found], [r["n"] for r in found]
+                rows = merged(rows)
+                out.append(derive(bytes(data), [(a, a + n) for a, n in zip(rows["p"].tolist(), rows["n"].tolist(), strict=True)]))
             yield pd.concat([frame[["doc_id"]].reset_index(drop=True), pd.DataFrame(out)], axis=1)
 
-    return docs.join(spans, "key", "left").select("doc_id", "data", "spans").mapInPandas(run, f"doc_id {kind}, {fields}")
+    return docs.join(spans, KEY, "left").select("doc_id", "data", "spans").mapInPandas(run, schema)

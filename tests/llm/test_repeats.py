@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import numpy as np
+
 from ladderlens.llm import queries, repeats
 
 
@@ -37,33 +39,68 @@ def corpus(r, n, size):
     return out
 
 
-def test_index_equals_brute_force():
+def some_texts(r, base, n, most=20):
+    out = []
+    for _ in range(n):
+        i = r.randint(0, 100)
+        out.append(bytes(r.choice(b"ab") for _ in range(r.randint(0, most))) + base[i : i + r.randint(0, 150)])
+    return [t for t in out if t]
+
+
+def test_matches_of_an_index_equal_brute_force():
     r = random.Random(1)
-    for it in range(300):
-        length = 100 if it % 20 == 0 else r.choice([7, 10, 16])
+    for _ in range(200):
+        length = r.choice([1, 3, 7, 10, 40])
         base = bytes(r.choice(b"ab\0\xff") for _ in range(150))
-        texts = []
-        for _ in range(r.randint(1, 8)):
-            i = r.randint(0, 100)
-            texts.append(bytes(r.choice(b"ab") for _ in range(r.randint(1, 20))) + base[i : i + r.randint(0, 150)])
-        cut, seen = [], set()
-        for t, x in enumerate(texts):
-            for o in range(len(x) - length + 1):
-                if x[o : o + length] in seen:
-                    cut.append((t, o))
-                seen.add(x[o : o + length])
-        assert sorted(map(tuple, repeats.RunLengthIndex(texts, length).repeated().tolist())) == cut
+        indexed, streamed = some_texts(r, base, 6) or [b"x"], some_texts(r, base, 8)
+        t, at = repeats.RunLengthIndex(indexed).matches(streamed, length)
+        want = [(i, o) for i, x in enumerate(streamed) for o in range(len(x) - length + 1) if any(x[o : o + length] in y for y in indexed)]
+        assert sorted(zip(t.tolist(), at.tolist(), strict=True)) == want
+
+
+def test_transform_is_run_compressed():
+    text = bytes(random.Random(2).choices(b"abcdefgh", k=200))
+    one, many = repeats.RunLengthIndex([text]), repeats.RunLengthIndex([text] * 50)
+    assert len(many.start) <= len(one.start) + 2  # runs don't grow with copies
+
+
+def test_resolved_runs_equal_brute_force(monkeypatch):
+    r = random.Random(4)
+    for it in range(120):
+        monkeypatch.setattr(repeats, "BATCH_BYTES", r.choice([1, 300, 10**6]))
+        length, rows, texts = 12, [], []
+        for a in range(r.randint(1, 4)):
+            base = bytes(r.sample(range(256), 60))  # no string twice in a text
+            for _ in range(r.randint(1, 14)):
+                i = r.randint(0, 40)
+                x = bytearray(base[i : i + r.randint(length, 30)])
+                if len(x) < length:
+                    continue
+                if r.random() < 0.4:
+                    x[r.randrange(len(x))] = base[-1]
+                rows.append((a * 7 + 1, r.randint(0, 5), 0, r.randint(0, 3) * 10_000 + 100 * len(rows), len(x) - length + 1))
+                texts.append(bytes(x))
+        rows = np.array(rows, repeats.RUN)
+        seen, want = {}, set()
+        for i in sorted(range(len(rows)), key=lambda i: tuple(rows[i][x] for x in "adhp")):
+            own = {texts[i][o : o + length]: o for o in range(int(rows["n"][i]))}
+            want |= {(int(rows["d"][i]), int(rows["p"][i]) + o) for w, o in own.items() if (int(rows["a"][i]), w) in seen}
+            seen |= {(int(rows["a"][i]), w): 1 for w in own}
+        got = repeats.resolve(rows, texts, length)
+        assert sorted(zip(got["d"].tolist(), got["p"].tolist(), strict=True)) == sorted(want)
+        left, of = repeats.without(rows, got)
+        kept = sorted((int(x["d"]), int(x["p"]) + k) for x in left for k in range(int(x["n"])))
+        assert kept == sorted((int(x["d"]), int(x["p"]) + k) for x in rows for k in range(int(x["n"])) if (int(x["d"]), int(x["p"]) + k) not in want)
+        assert (rows["a"][of] == left["a"]).all()
 
 
 def test_intervals_merge():
-    import numpy as np
+    rows = np.array([(0, 1, 0, 5, 4), (0, 1, 0, 0, 3), (0, 0, 0, 7, 2), (0, 1, 0, 2, 3), (0, 0, 0, 1, 2), (0, 0, 1, 2, 2)], repeats.RUN)
+    assert [(int(x["d"]), int(x["h"]), int(x["p"]), int(x["n"])) for x in repeats.merged(rows)] == [(0, 0, 1, 2), (0, 0, 7, 2), (0, 1, 2, 2), (1, 0, 0, 9)]
 
-    d, s, e = repeats.merged(*(np.array(x) for x in ([1, 1, 0, 1, 0], [5, 0, 7, 2, 1], [9, 3, 9, 5, 3])))
-    assert list(zip(d.tolist(), s.tolist(), e.tolist(), strict=True)) == [(0, 1, 3), (0, 7, 9), (1, 0, 9)]
 
-
-def run(spark, docs, block=repeats.BLOCK):
-    df = spark.createDataFrame([(*d, b"x") for d in docs], "doc_id long, text string, data binary").repartition(3)
+def run(spark, docs, block=repeats.BLOCK, kind="long"):
+    df = spark.createDataFrame([(*d, b"x", 1) for d in docs], f"doc_id {kind}, text string, data binary, d int").repartition(3)
     return sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeats.deduplicate(df, 100, queries.repeats_digest, queries.REPEATS_FIELDS, block).collect()), key=str)
 
 
@@ -76,6 +113,8 @@ def test_documents_equal_brute_force(spark, monkeypatch):
     assert run(spark, docs) == want
     monkeypatch.setattr(repeats, "HOT_LEAST", 5)  # many anchors dealt by windows
     assert run(spark, docs) == want
+    monkeypatch.setattr(repeats, "HELD", 20)
+    assert run(spark, docs) == want
     monkeypatch.setattr(repeats, "HOT_LEAST", 10**9)
     monkeypatch.setattr(repeats, "BUCKET_BYTES", 1000)
     assert run(spark, docs, 256) == want  # texts cut into pieces
@@ -101,3 +140,9 @@ def test_repeated_rows_equal_brute_force(spark):
     want = sorted(((k, *digest(t.encode(), cut[k])) for k, t in rows), key=str)
     assert any(n > 200 and not gone for _, n, gone, _, _ in want[1:])
     assert run(spark, rows) == want
+
+
+def test_ids_of_text_count_in_their_order(spark):
+    a, b = "first text, long enough to hold a window of a hundred bytes, " * 3, "another long text, which is not like the first one in any of its many words " * 3
+    by = {g[0]: g[2] for g in run(spark, [("b", a), ("a", a), (None, b), ("z", b)], kind="string")}
+    assert by["b"] == len(a.encode()) and by[None] == len(b) and 0 < by["a"] < len(a) and by["a"] + len(b) > by["z"] > 0
