@@ -36,6 +36,7 @@ whatever their names.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -53,7 +54,7 @@ LOW = np.uint64((1 << 20) - 1)
 #: Entries that a task holds before it sends them.
 HELD = 400_000
 #: Text for each bucket of steps 2 and 3, and for the indexes that are made at once.
-BUCKET_BYTES, BATCH_BYTES = 4 << 20, 2 << 20
+BUCKET_BYTES, BATCH_BYTES = 4 << 20, 4 << 20
 #: An anchor with this share of all runs is dealt by windows.
 HOT_SHARE, HOT_LEAST = 1 / 2000, 500
 
@@ -174,43 +175,48 @@ def merged(rows: np.ndarray) -> np.ndarray:
 
 
 class RunLengthIndex:
-    """Run-compressed Burrows-Wheeler transform of texts, with samples at the first and last place of each run."""
+    """Run-compressed Burrows-Wheeler transform of texts, with samples at the first and last place of each run.
 
-    def __init__(self, texts: list[bytes]) -> None:
+    Each text has a tag, which is a part of all its letters: texts with
+    different tags have none in common.
+    """
+
+    def __init__(self, texts: list[bytes], tags: np.ndarray) -> None:
         sizes = np.array([len(t) for t in texts], np.int64)
         count, n = len(texts), int(sizes.sum()) + len(texts)
         ends = np.cumsum(sizes + 1) - 1  # where each text's end mark is
         data = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
         which = np.repeat(np.arange(count), sizes + 1)
         left = ends[which] - np.arange(n)  # bytes to the end mark
-        order = self._suffix_order(data, which, left, count)
+        tag = np.asarray(tags, np.int64)[which]
+        order = self._suffix_order(data, tag, which, left, count)
         whole = np.concatenate([[True], which[1:] != which[:-1]])
-        letter = np.where(whole, 256, np.roll(data, 1).astype(np.int64))[order]  # the byte before, or 256 for a whole text
+        letters = tag << 8 | data
+        letter = np.where(whole, -1, np.roll(letters, 1))[order]  # the letter before, or -1 for a whole text
         head = np.flatnonzero(np.concatenate([[True], letter[1:] != letter[:-1]]))
         last = np.append(head[1:], n) - 1
         self.start, self.last, self.letter = head, last, letter[head]
         self.at_start, self.at_last = order[head], order[last]  # the samples: places in the texts
         self.data, self.left = np.concatenate([data, np.zeros(16, np.uint8)]), left
+        # LF: suffixes that start with a letter follow the end marks and all smaller letters, in the order of the runs
         size = last - head + 1
-        below = np.concatenate([[0], np.cumsum(np.bincount(letter[letter < 256], minlength=256))])[:-1] + count
         by = np.argsort(self.letter, kind="stable")
+        marks = int((self.letter < 0).sum())
         before = np.cumsum(size[by]) - size[by]
-        first = np.searchsorted(self.letter[by], np.arange(258))
-        base = np.zeros(len(head), np.int64)
-        base[by] = before - before[np.minimum(first[self.letter[by]], len(by) - 1)]
-        self.base = base + np.where(self.letter < 256, below[np.minimum(self.letter, 255)], 0)
+        self.base = np.empty(len(head), np.int64)
+        self.base[by] = before - before[marks] + count if marks < len(by) else 0
         self.by_letter = self.letter[by] * (len(head) + 1) + by  # runs by letter, then place
 
     @staticmethod
-    def _suffix_order(data: np.ndarray, which: np.ndarray, left: np.ndarray, count: int) -> np.ndarray:
-        """Places in the order of their suffixes, by prefix doubling; an end mark is below all bytes, and marks are in the order of texts."""
-        n = len(data)
-        padded = np.concatenate([data, np.zeros(7, np.uint8)]).astype(np.int64)
-        key = np.zeros(n, np.int64)
-        for i in range(7):
+    def _suffix_order(data: np.ndarray, tag: np.ndarray, which: np.ndarray, left: np.ndarray, count: int) -> np.ndarray:
+        """Places in the order of their suffixes, by prefix doubling; an end mark is below all letters, and marks are in the order of texts."""
+        n, known = len(data), 5
+        padded = np.concatenate([data, np.zeros(known, np.uint8)]).astype(np.int64)
+        key = tag.copy()
+        for i in range(known):
             key = (key << 8) | np.where(left > i, padded[i : i + n], 0)
-        key = (key << 3) | np.minimum(left, 7)
-        known, most = 7, int(left.max(initial=0)) + 1
+        key = np.where(left > 0, (key << 3) | np.minimum(left, known), 0)
+        most = int(left.max(initial=0)) + 1
         while True:
             order = np.argsort(key)
             ordered = key[order]
@@ -223,7 +229,7 @@ class RunLengthIndex:
             key = rank * (n + count) + np.where(left >= known, after + count, which)
             known *= 2
 
-    def matches(self, texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
+    def matches(self, texts: list[bytes], tags: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
         """(text, offset) of each place of texts at which a string of ``length`` bytes of the index starts.
 
         All texts are streamed backwards at once, one byte a step, with the
@@ -235,6 +241,7 @@ class RunLengthIndex:
         sizes = np.array([len(t) for t in texts], np.int64)
         begin = np.cumsum(sizes) - sizes
         q = np.concatenate([np.frombuffer(b"".join(texts), np.uint8), np.zeros(16, np.uint8)])
+        high = np.asarray(tags, np.int64) << 8
         text = np.argsort(-sizes, kind="stable")
         descending = -sizes[text]
         at, matched, runs, found = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), len(self.start), []
@@ -242,7 +249,7 @@ class RunLengthIndex:
             go = int(np.searchsorted(descending, -done, side="left"))
             text, at, matched = text[:go], at[:go], matched[:go]
             here = begin[text] + sizes[text] - 1 - done
-            c = q[here].astype(np.int64)
+            c = high[text] | q[here]
             run = np.searchsorted(self.start, at, side="right") - 1
             off = np.flatnonzero(self.letter[run] != c)
             if len(off):
@@ -280,37 +287,72 @@ class RunLengthIndex:
         return np.minimum(out, most)
 
 
-def resolve(rows: np.ndarray, texts: list[bytes], length: int) -> np.ndarray:
-    """Marks (RUN: length bytes from p on) of the windows of runs that an earlier run with the same anchor has too.
-
-    texts are the bytes of the runs.  Runs with one anchor that have the same
-    bytes are one text; of the later ones, one is streamed for all.  The texts
-    of an anchor, in the order of their first places, are halved again and
+class Resolved(NamedTuple):
+    """Runs in order, for each the one that was given, and for each of their windows, one run after the other, whether it has a mark."""
+
+    rows: np.ndarray
+    source: np.ndarray
+    marked: np.ndarray
+
+    def stretches(self, marked: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(run, first window within it, windows) of each stretch of a run whose windows all have a mark, or all have none."""
+        n = self.rows["n"].astype(np.int64)
+        begin = np.cumsum(n) - n
+        run = np.repeat(np.arange(len(n)), n)
+        at = np.flatnonzero(self.marked == marked)
+        new = np.concatenate([[True], (run[at][1:] != run[at][:-1]) | (at[1:] != at[:-1] + 1)]) if len(at) else np.zeros(0, bool)
+        first = np.flatnonzero(new)
+        return run[at[first]], at[first] - begin[run[at[first]]], np.diff(np.append(first, len(at)))
+
+    def marks(self, length: int) -> np.ndarray:
+        """Spans of marked bytes (RUN)."""
+        run, skip, n = self.stretches(True)
+        out = self.rows[run].copy()
+        out["p"] += skip.astype(np.uint32)
+        out["n"] = n + length - 1
+        return out
+
+    def rest(self) -> tuple[np.ndarray, np.ndarray]:
+        """Runs of the windows without a mark, and for each the given one that it is of."""
+        run, skip, n = self.stretches(False)
+        out = self.rows[run].copy()
+        out["p"] += skip.astype(np.uint32)
+        out["n"] = n
+        return out, self.source[run]
+
+
+def resolve(rows: np.ndarray, texts: list[bytes], length: int) -> Resolved:
+    """Which windows of runs an earlier run with the same anchor has too.
+
+    texts are the bytes of the runs.  Runs that have the same bytes are one text
+    with several places, each of which but the first repeats it whole.  The
+    texts of an anchor, in the order of their first places, are halved again and
     again: the first half is indexed, the second is streamed against it, and
-    both are halved.  As other anchors can't match, one index takes the halves
-    of many anchors.
+    both are halved.  As other anchors can't match, and tags keep the halves of
+    one anchor apart, each halving takes a single index.
     """
     order = np.lexsort((rows["p"], rows["h"], rows["d"], rows["a"]))
     rows, texts = rows[order], [texts[i] for i in order.tolist()]
-    if not len(rows):
-        return rows
-    rows, texts = _once(rows, texts)
-    new = np.concatenate([[True], rows["a"][1:] != rows["a"][:-1]])
+    rows, texts, kept = _once(rows, texts)
     size = np.cumsum([len(t) for t in texts])
-    heads, cuts = np.flatnonzero(new), [0]
-    for head in heads[1:].tolist():
-        if size[head - 1] - (size[cuts[-1] - 1] if cuts[-1] else 0) >= BATCH_BYTES:
+    cuts, sent = [0], 0
+    for head in (np.flatnonzero(rows["a"][1:] != rows["a"][:-1]) + 1).tolist():
+        if size[head - 1] - sent >= BATCH_BYTES:
             cuts.append(head)
+            sent = size[head - 1]
     cuts.append(len(rows))
-    return np.concatenate([_resolve(rows[a:b], texts[a:b], length) for a, b in zip(cuts, cuts[1:])])  # noqa: B905
+    flags = [_marked(rows[a:b], texts[a:b], length) for a, b in zip(cuts, cuts[1:]) if b > a]  # noqa: B905
+    return Resolved(rows, order[kept], np.concatenate(flags) if flags else np.zeros(0, bool))
 
 
-def _once(rows: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
-    """Sorted runs without windows that a row before has of the same document (as repeated rows do)."""
-    e = rows["p"].astype(np.int64) + rows["n"]
-    same = np.concatenate([[False], (rows["a"][1:] == rows["a"][:-1]) & (rows["d"][1:] == rows["d"][:-1]) & (rows["h"][1:] == rows["h"][:-1])])
+def _once(rows: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """Sorted runs without windows that a row before has of the same document (as repeated rows do), and which are left."""
+    whole = np.arange(len(rows))
+    same = np.zeros(len(rows), bool)
+    same[1:] = (rows["a"][1:] == rows["a"][:-1]) & (rows["d"][1:] == rows["d"][:-1]) & (rows["h"][1:] == rows["h"][:-1])
     if not same.any():
-        return rows, texts
+        return rows, texts, whole
+    e = rows["p"].astype(np.int64) + rows["n"]
     group, big = np.cumsum(~same), int(e.max()) + 1
     reach = np.maximum.accumulate(e + group * big) - group * big
     cut = np.where(same, np.clip(np.append(0, reach[:-1]) - rows["p"].astype(np.int64), 0, rows["n"].astype(np.int64)), 0)
@@ -318,16 +360,15 @@ def _once(rows: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, list[bytes]
     rows["p"] += cut.astype(np.uint32)
     rows["n"] -= cut.astype(np.uint32)
     keep = np.flatnonzero(rows["n"] > 0)
-    return rows[keep], [texts[i][cut[i] :] for i in keep.tolist()]
+    return rows[keep], [texts[i][cut[i] :] for i in keep.tolist()], keep
 
 
-def _resolve(rows: np.ndarray, texts: list[bytes], length: int) -> np.ndarray:
+def _marked(rows: np.ndarray, texts: list[bytes], length: int) -> np.ndarray:
+    """For each window of sorted runs, whether an earlier run with the same anchor has it."""
     boxed = np.empty(len(texts), object)
     boxed[:] = texts
     code = pd.factorize(boxed)[0]  # by the bytes themselves
     first = np.unique(code, return_index=True)[1]  # of each text, its first run
-    nth = pd.Series(code).groupby(code).cumcount().to_numpy()
-    second = np.flatnonzero(nth == 1)
     anchor = rows["a"][first]
     by = np.lexsort((first, anchor))
     head = np.concatenate([[True], anchor[by][1:] != anchor[by][:-1]])
@@ -340,58 +381,23 @@ def _resolve(rows: np.ndarray, texts: list[bytes], length: int) -> np.ndarray:
     windows = rows["n"][first].astype(np.int64)
     base = np.cumsum(windows) - windows
     marked = np.zeros(int(windows.sum()), bool)  # of each window of each text
-    copied = np.zeros(len(marked), bool)  # the same, where it is the second run with that text
-    copies = code[second]
-    step = np.array([(~p & (p + 1)).bit_length() - 1 for p in place[copies].tolist()], np.int64)  # the lowest halving at which the text is in a first half
-    for level in range(max(1, int(many.max() - 1).bit_length(), int(step.max(initial=0)) + 1)):
+    of_text = np.repeat(np.arange(len(windows)), windows)
+    for level in range(int(many.max() - 1).bit_length()):
         half = place >> level
-        own = copies[step == level]
-        for b in np.unique(np.concatenate([half[half % 2 == 1] - 1, half[own]])).tolist():
-            left = np.bincount(np.repeat(np.arange(len(windows)), windows)[~marked], minlength=len(windows)) > 0
-            later, again = np.flatnonzero((half == b + 1) & left), own[half[own] == b]
-            indexed = np.flatnonzero((half == b) & left & np.isin(group, np.concatenate([group[later], group[again]])))
-            if not len(indexed):
-                continue
-            index = RunLengthIndex([texts[first[i]] for i in indexed.tolist()])
-            t, at = index.matches([texts[first[i]] for i in np.concatenate([later, again]).tolist()], length)
-            is_copy = t >= len(later)
-            marked[base[later[t[~is_copy]]] + at[~is_copy]] = True
-            copied[base[again[t[is_copy] - len(later)]] + at[is_copy]] = True
-    out = []
-    for runs, flags in ((first, marked), (np.flatnonzero(nth > 0), copied)):
-        n = windows[code[runs]]
-        at = np.repeat(base[code[runs]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        hit = np.flatnonzero(flags[at])
-        of = np.repeat(np.arange(len(runs)), n)[hit]
-        mark = rows[runs[of]].copy()
-        mark["p"] += (at[hit] - base[code[runs[of]]]).astype(np.uint32)
-        mark["n"] = length
-        out.append(mark)
-    return np.concatenate(out)
-
-
-def without(rows: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The parts of runs whose windows have no mark, and for each the run that it is of."""
-    n = rows["n"].astype(np.int64)
-    run = np.repeat(np.arange(len(rows)), n)
-    at = rows["p"][run].astype(np.int64) + np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
-    names = ["d", "h", "p"]
-    window = np.zeros(len(run) + len(marks), np.dtype([(x, RUN[x]) for x in names]))
-    for x in ("d", "h"):
-        window[x] = np.concatenate([rows[x][run], marks[x]])
-    window["p"] = np.concatenate([at, marks["p"]])
-    order = np.lexsort((np.arange(len(window)) < len(run), window["p"], window["h"], window["d"]))  # a mark comes before its windows
-    ordered, is_mark = window[order], order >= len(run)
-    equal = np.concatenate([[False], ordered[1:] == ordered[:-1]])
-    gone = np.zeros(len(run), bool)
-    head = np.maximum.accumulate(np.where(equal, 0, np.arange(len(order))))
-    gone[order[~is_mark]] = is_mark[head][~is_mark]
-    left = np.flatnonzero(~gone)
-    new = np.concatenate([[True], (run[left][1:] != run[left][:-1]) | (left[1:] != left[:-1] + 1)]) if len(left) else np.zeros(0, bool)
-    first = np.flatnonzero(new)
-    out = rows[run[left[first]]].copy()
-    out["p"], out["n"] = at[left[first]], np.diff(np.append(first, len(left)))
-    return out, run[left[first]]
+        tag, block = half >> 1, group * (len(place) + 1) + (half >> 1)
+        left = np.bincount(of_text[~marked], minlength=len(windows)) > 0
+        later = np.flatnonzero((half & 1 == 1) & left)
+        indexed = np.flatnonzero((half & 1 == 0) & left & np.isin(block, block[later]))
+        if not len(indexed):
+            continue
+        index = RunLengthIndex([texts[first[i]] for i in indexed.tolist()], tag[indexed])
+        t, at = index.matches([texts[first[i]] for i in later.tolist()], tag[later], length)
+        marked[base[later[t]] + at] = True
+    n = windows[code]
+    at = np.repeat(base[code] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    again = np.ones(len(rows), bool)
+    again[first] = False
+    return marked[at] | np.repeat(again, n)
 
 
 def _packed(rows: np.ndarray, bucket: np.ndarray, kind: int) -> pd.DataFrame:
@@ -420,8 +426,8 @@ def _send_runs(length: int, buckets: int, hot: np.ndarray, block: int):
             return held[block_of[i]][1][a : a + (n or int(rows["n"][i])) + length - 1]
 
         often = np.flatnonzero(shared(rows["a"]))
-        marks = resolve(rows[often], [text(i) for i in often.tolist()], length)
-        some, of = without(rows[often], marks)
+        own = resolve(rows[often], [text(i) for i in often.tolist()], length)
+        some, of = own.rest()
         other = np.flatnonzero(~np.isin(np.arange(len(rows)), often))
         left, source = np.concatenate([rows[other], some]), np.concatenate([other, often[of]])
         split = np.flatnonzero(np.isin(left["a"], hot))
@@ -434,7 +440,7 @@ def _send_runs(length: int, buckets: int, hot: np.ndarray, block: int):
             window["a"] = [xxhash.xxh3_64_intdigest(text(i, k, 1), 1) for i, k in zip(np.repeat(source[split], n).tolist(), skip.tolist(), strict=True)]
             left = np.concatenate([np.delete(left, split), window])
         yield _packed(left, bucket_of(left["a"], buckets), 0)
-        marks = merged(marks)
+        marks = merged(own.marks(length))
         yield _packed(marks, bucket_of(marks["d"].view(np.uint64) * MIX[1] if len(marks) else marks["a"], buckets), 1)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -492,7 +498,7 @@ def _match(length: int):
         rows = np.zeros(len(frame), RUN)
         rows["a"], rows["d"], rows["h"], rows["p"] = frame["a"].to_numpy(np.int64).view(np.uint64), frame["d"], frame["h"], frame["s"]
         rows["n"] = frame["data"].map(len).to_numpy() - length + 1
-        return _as_frame(merged(resolve(rows, list(frame["data"]), length)), "mark")
+        return _as_frame(merged(resolve(rows, list(frame["data"]), length).marks(length)), "mark")
 
     return run
 

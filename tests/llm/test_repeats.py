@@ -53,14 +53,15 @@ def test_matches_of_an_index_equal_brute_force():
         length = r.choice([1, 3, 7, 10, 40])
         base = bytes(r.choice(b"ab\0\xff") for _ in range(150))
         indexed, streamed = some_texts(r, base, 6) or [b"x"], some_texts(r, base, 8)
-        t, at = repeats.RunLengthIndex(indexed).matches(streamed, length)
-        want = [(i, o) for i, x in enumerate(streamed) for o in range(len(x) - length + 1) if any(x[o : o + length] in y for y in indexed)]
+        one, two = (np.array([r.randint(0, 2) for _ in x]) for x in (indexed, streamed))
+        t, at = repeats.RunLengthIndex(indexed, one).matches(streamed, two, length)
+        want = [(i, o) for i, x in enumerate(streamed) for o in range(len(x) - length + 1) if any(x[o : o + length] in y for y, tag in zip(indexed, one, strict=True) if tag == two[i])]
         assert sorted(zip(t.tolist(), at.tolist(), strict=True)) == want
 
 
 def test_transform_is_run_compressed():
     text = bytes(random.Random(2).choices(b"abcdefgh", k=200))
-    one, many = repeats.RunLengthIndex([text]), repeats.RunLengthIndex([text] * 50)
+    one, many = repeats.RunLengthIndex([text], [0]), repeats.RunLengthIndex([text] * 50, [0] * 50)
     assert len(many.start) <= len(one.start) + 2  # runs don't grow with copies
 
 
@@ -87,11 +88,13 @@ def test_resolved_runs_equal_brute_force(monkeypatch):
             want |= {(int(rows["d"][i]), int(rows["p"][i]) + o) for w, o in own.items() if (int(rows["a"][i]), w) in seen}
             seen |= {(int(rows["a"][i]), w): 1 for w in own}
         got = repeats.resolve(rows, texts, length)
-        assert sorted(zip(got["d"].tolist(), got["p"].tolist(), strict=True)) == sorted(want)
-        left, of = repeats.without(rows, got)
+        assert sorted((int(x["d"]), int(x["p"]) + k) for x in got.marks(length) for k in range(int(x["n"]) - length + 1)) == sorted(want)
+        left, of = got.rest()
         kept = sorted((int(x["d"]), int(x["p"]) + k) for x in left for k in range(int(x["n"])))
         assert kept == sorted((int(x["d"]), int(x["p"]) + k) for x in rows for k in range(int(x["n"])) if (int(x["d"]), int(x["p"]) + k) not in want)
-        assert (rows["a"][of] == left["a"]).all()
+        assert (rows["a"][of] == left["a"]).all() and (rows["d"][of] == left["d"]).all() and (rows["p"][of] <= left["p"]).all()
+    none = repeats.resolve(np.zeros(0, repeats.RUN), [], 12)
+    assert not len(none.marks(12)) and not len(none.rest()[0])
 
 
 def test_intervals_merge():
