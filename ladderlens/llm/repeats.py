@@ -54,7 +54,7 @@ LOW = np.uint64((1 << 20) - 1)
 #: Entries that a task holds before it sends them.
 HELD = 400_000
 #: Text for each bucket of steps 2 and 3, and for the indexes that are made at once.
-BUCKET_BYTES, BATCH_BYTES = 4 << 20, 4 << 20
+BUCKET_BYTES, BATCH_BYTES = 8 << 20, 8 << 20
 #: An anchor with this share of all runs is dealt by windows.
 HOT_SHARE, HOT_LEAST = 1 / 2000, 500
 
