@@ -477,16 +477,29 @@ def _meet(frame: pd.DataFrame) -> pd.DataFrame:
 
 
 def _read_texts(length: int, buckets: int):
-    """The bytes of the runs that meet, by bucket."""
+    """The runs that meet, with their bytes, packed by bucket; of equal ones of a batch the bytes go once."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
+            count = frame["s"].map(len).to_numpy()
+            rows = np.zeros(int(count.sum()), RUN)
+            if not len(rows):
+                continue
+            rows["d"], rows["h"] = np.repeat(frame["d"].to_numpy(np.int64), count), np.repeat(frame["h"].to_numpy(np.int64), count)
+            rows["p"], rows["n"], rows["a"] = np.concatenate(list(frame["s"])), np.concatenate(list(frame["n"])), np.concatenate(list(frame["a"])).astype(np.int64).view(np.uint64)
+            boxed = np.empty(len(rows), object)
+            boxed[:] = [data[a : a + n + length - 1] for data, s, m in zip(frame["data"], frame["s"], frame["n"], strict=True) for a, n in zip(s.tolist(), m.tolist(), strict=True)]
+            code, texts = pd.factorize(boxed)
+            bucket = bucket_of(rows["a"], buckets)
+            order = np.lexsort((code, bucket))
+            rows, code, bucket = rows[order], code[order], bucket[order]
+            head = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
             out = []
-            for d, h, data, runs in zip(frame["d"], frame["h"], frame["data"], frame["runs"], strict=True):
-                a = np.array([r["a"] for r in runs], np.int64)
-                for r, b in zip(runs, bucket_of(a.view(np.uint64), buckets).tolist(), strict=True):
-                    out.append((b, d, h, r["s"], r["a"], data[r["s"] : r["s"] + r["n"] + length - 1]))
-            yield pd.DataFrame(out, columns=["bucket", "d", "h", "s", "a", "data"])
+            for a, b in zip(head.tolist(), [*head[1:].tolist(), len(rows)], strict=True):
+                own, which = np.unique(code[a:b], return_inverse=True)
+                parts = [texts[i] for i in own.tolist()]
+                out.append((int(bucket[a]), rows[a:b].tobytes(), which.astype(np.int32).tobytes(), np.array([len(x) for x in parts], np.int32).tobytes(), b"".join(parts)))
+            yield pd.DataFrame(out, columns=["bucket", "rows", "which", "sizes", "texts"])
 
     return run
 
@@ -495,10 +508,12 @@ def _match(length: int):
     """Step 3, for a bucket."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        rows = np.zeros(len(frame), RUN)
-        rows["a"], rows["d"], rows["h"], rows["p"] = frame["a"].to_numpy(np.int64).view(np.uint64), frame["d"], frame["h"], frame["s"]
-        rows["n"] = frame["data"].map(len).to_numpy() - length + 1
-        return _as_frame(merged(resolve(rows, list(frame["data"]), length).marks(length)), "mark")
+        rows, texts = np.frombuffer(b"".join(frame["rows"]), RUN), []
+        for which, sizes, joined in zip(frame["which"], frame["sizes"], frame["texts"], strict=True):
+            ends = np.cumsum(np.frombuffer(sizes, np.int32)).tolist()
+            own = [joined[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+            texts += [own[i] for i in np.frombuffer(which, np.int32).tolist()]
+        return _as_frame(merged(resolve(rows, texts, length).marks(length)), "mark")
 
     return run
 
@@ -527,7 +542,8 @@ def marks(docs: DataFrame, length: int, block: int = BLOCK) -> DataFrame:
     met = materialize(sent.groupBy("bucket").applyInPandas(_meet, "d long, h long, s long, n long, a long"), "runs")
     release(spark)
     runs = met.where("a is not null").groupBy(*KEY).agg(F.collect_list(F.struct("s", "n", "a")).alias("runs"))
-    read = texts.join(runs, KEY).mapInPandas(_read_texts(length, buckets), "bucket long, d long, h long, s long, a long, data binary")
+    read = texts.join(runs, KEY).select(*KEY, "data", "runs.s", "runs.n", "runs.a")
+    read = read.mapInPandas(_read_texts(length, buckets), "bucket long, rows binary, which binary, sizes binary, texts binary")
     more = materialize(read.groupBy("bucket").applyInPandas(_match(length), "d long, h long, s long, n long"), "matches")
     release(spark)
     return met.where("a is null").select(*KEY, "s", "n").unionByName(more)
@@ -557,12 +573,12 @@ def deduplicate(
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
-            for data, found in zip(frame["data"], frame["spans"], strict=True):
-                rows = np.zeros(0 if found is None else len(found), RUN)
+            for data, s, n in zip(frame["data"], frame["s"], frame["n"], strict=True):
+                rows = np.zeros(0 if s is None else len(s), RUN)
                 if len(rows):
-                    rows["p"], rows["n"] = [r["s"] for r in found], [r["n"] for r in found]
-                rows = merged(rows)
+                    rows["p"], rows["n"] = s, n
+                    rows = merged(rows)
                 out.append(derive(bytes(data), [(a, a + n) for a, n in zip(rows["p"].tolist(), rows["n"].tolist(), strict=True)]))
             yield pd.concat([frame[["doc_id"]].reset_index(drop=True), pd.DataFrame(out)], axis=1)
 
-    return docs.join(spans, KEY, "left").select("doc_id", "data", "spans").mapInPandas(run, schema)
+    return docs.join(spans, KEY, "left").select("doc_id", "data", "spans.s", "spans.n").mapInPandas(run, schema)
