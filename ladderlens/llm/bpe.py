@@ -37,6 +37,8 @@ CHUNK, OVERLAP = 1 << 14, 1 << 9
 #: A boundary is sure if this many characters follow it: a contraction is looked up over three.
 MARGIN = 4
 CACHED = 1 << 17
+#: Texts whose ids a task holds before it hands them on.
+AT_ONCE = 256
 
 
 class Codec:
@@ -137,8 +139,10 @@ def encode(
     def here(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codec = codec_of(*shared.value)
         for frame in frames:
-            rows = [derive(codec, ids_of(codec, [t], [boundaries(codec.find, t)])) for t in frame["_text"]]
-            yield pd.concat([frame[keep].reset_index(drop=True), pd.DataFrame(rows)], axis=1)
+            for at in range(0, len(frame), AT_ONCE):
+                part = frame.iloc[at : at + AT_ONCE]
+                rows = [derive(codec, ids_of(codec, [t], [boundaries(codec.find, t)])) for t in part["_text"]]
+                yield pd.concat([part[keep].reset_index(drop=True), pd.DataFrame(rows)], axis=1)
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

@@ -33,7 +33,7 @@ BUCKETS = 1 << BITS
 ORDERS = (1, 2, 3)
 LETTER = regex.compile(r"\p{L}")
 #: Code points that are hashed at once, and numbers that are gathered at once.
-PIECE, GATHERED = 1 << 20, 1 << 22
+PIECE, GATHERED = 1 << 20, 1 << 18
 #: Multipliers of the hash: from one code point to the next, for the order of the n-gram, before and after the shift.
 MIX = (0x01000193, 0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35)
 
