@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a table that may be broadcast, once they have been counted.
 BROADCAST_ROWS = 1_000_000
+#: Whether the shuffle files of a job are deleted at its end.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: For each open scope, the folders written in it.
 _written: list[list[str]] = []
 
@@ -26,11 +28,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
     This cuts the lineage: the work behind df runs once, and what it made
     outlives any executor.  The table stays until its scope ends (``scope``),
-    or until the folder is cleared.
+    or until the folder is cleared.  The shuffle files of the work go as soon
+    as the table is written.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before) if before else spark.conf.unset(CLEAN_UP)
     if _written:
         _written[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -59,14 +67,6 @@ def hand_on(path: str) -> None:
         _written[-2].append(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of jobs that are over."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def with_few(df: DataFrame, few: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """A join with a written table that should be small: broadcast if its rows, counted first, are few, else by Spark's choice."""
     return df.join(F.broadcast(few) if few.count() <= BROADCAST_ROWS else few, on, how)

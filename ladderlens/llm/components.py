@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ladderlens.llm.common import hand_on, materialize, release, scope
+from ladderlens.llm.common import hand_on, materialize, scope
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -30,7 +30,6 @@ def components(links: DataFrame) -> DataFrame:
             step = materialize(step, "labels")
             moved = step.where("moved").limit(1).count()
             labels = step.select("node", "label")
-            release(spark)
             if not moved:
                 hand_on(written.pop())
                 return labels
