@@ -49,7 +49,7 @@ from ladderlens.llm.common import fields, materialize
 
 GRAM = 24
 #: Bytes of text that are anchored at once; positions within take 20 bits.
-BLOCK = 1 << 19
+BLOCK = 1 << 16
 LOW = np.uint64((1 << 20) - 1)
 #: Entries that a task holds before it sends them.
 HELD = 400_000
