@@ -196,6 +196,7 @@ class RunLengthIndex:
         head = np.flatnonzero(np.concatenate([[True], letter[1:] != letter[:-1]]))
         last = np.append(head[1:], n) - 1
         self.start, self.last, self.letter = head, last, letter[head]
+        self.run = np.repeat(np.arange(len(head), dtype=np.int32), last - head + 1)  # the run of each place
         self.at_start, self.at_last = order[head], order[last]  # the samples: places in the texts
         self.data, self.left = np.concatenate([data, np.zeros(16, np.uint8)]), left
         # LF: suffixes that start with a letter follow the end marks and all smaller letters, in the order of the runs
@@ -209,24 +210,37 @@ class RunLengthIndex:
 
     @staticmethod
     def _suffix_order(data: np.ndarray, tag: np.ndarray, which: np.ndarray, left: np.ndarray, count: int) -> np.ndarray:
-        """Places in the order of their suffixes, by prefix doubling; an end mark is below all letters, and marks are in the order of texts."""
-        n, known = len(data), 5
-        padded = np.concatenate([data, np.zeros(known, np.uint8)]).astype(np.int64)
-        key = tag.copy()
+        """Places in the order of their suffixes; an end mark is below all letters, and marks are in the order of texts.
+
+        By prefix doubling: as many bytes as a number holds come first, then only
+        suffixes that still have equals are sorted again.  The rank of a suffix
+        is the first slot of its equals.
+        """
+        n, used = len(data), np.bincount(data[left > 0], minlength=256) > 0
+        code = np.cumsum(used)  # 1 and up, in the order of bytes
+        bits = int(code[-1]).bit_length()
+        known = max(1, (62 - int(tag.max(initial=0)).bit_length()) // max(1, bits))
+        padded = np.concatenate([np.where(left > 0, code[data], 0), np.zeros(known, np.int64)])
+        key, inside = tag.copy(), np.ones(n, bool)
         for i in range(known):
-            key = (key << 8) | np.where(left > i, padded[i : i + n], 0)
-        key = np.where(left > 0, (key << 3) | np.minimum(left, known), 0)
-        most = int(left.max(initial=0)) + 1
+            inside &= left > i
+            key = (key << bits) | np.where(inside, padded[i : i + n], 0)
+        key[left == 0] = 0
+        slots, rank = np.arange(n), np.empty(n, np.int64)
+        order = at = np.argsort(key)
+        key = key[at]
         while True:
-            order = np.argsort(key)
-            ordered = key[order]
-            rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]))
-            if known > most:
-                return np.lexsort((which, rank))
-            after = np.full(n, -1, np.int64)
-            after[:-known] = rank[known:]
-            key = rank * (n + count) + np.where(left >= known, after + count, which)
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            size = np.diff(np.append(first, len(key)))
+            rank[at] = np.repeat(slots[first], size)
+            slots = slots[np.repeat(size > 1, size)]
+            if not len(slots):
+                return order
+            at = order[slots]
+            key = rank[at] * (n + count) + np.where(left[at] >= known, rank[np.minimum(at + known, n - 1)] + count, which[at])
+            by = np.argsort(key)
+            at, key = at[by], key[by]
+            order[slots] = at
             known *= 2
 
     def matches(self, texts: list[bytes], tags: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -247,10 +261,12 @@ class RunLengthIndex:
         at, matched, runs, found = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), len(self.start), []
         for done in range(int(sizes.max(initial=0))):
             go = int(np.searchsorted(descending, -done, side="left"))
-            text, at, matched = text[:go], at[:go], matched[:go]
+            text, at, matched, descending = text[:go], at[:go], matched[:go], descending[:go]
+            if not go:
+                break
             here = begin[text] + sizes[text] - 1 - done
             c = high[text] | q[here]
-            run = np.searchsorted(self.start, at, side="right") - 1
+            run = self.run[at]
             off = np.flatnonzero(self.letter[run] != c)
             if len(off):
                 place = np.searchsorted(self.by_letter, c[off] * (runs + 1) + run[off])
@@ -265,13 +281,16 @@ class RunLengthIndex:
                     rows = np.flatnonzero(ok)[better]
                     share[rows], best[rows] = common[better], edge[k[better]]
                 at[off], matched[off] = np.maximum(best, 0), share  # a share of -1: the letter is nowhere
-                run[off] = np.searchsorted(self.start, at[off], side="right") - 1
+                run[off] = self.run[at[off]]
             lost = matched < 0
             at = np.where(lost, 0, self.base[run] + at - self.start[run])
             matched = np.where(lost, 0, matched + 1)
             hit = np.flatnonzero(matched >= length)
             if len(hit):
                 found.append(np.stack([text[hit], sizes[text[hit]] - 1 - done]))
+            if done % 8 == 7:  # texts of which too little is left for a match of that length are over
+                live = np.flatnonzero(matched + sizes[text] - 1 - done >= length)
+                text, at, matched, descending = text[live], at[live], matched[live], descending[live]
         both = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
         return both[0], both[1]
 
