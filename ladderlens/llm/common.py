@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructField, StructType
 
 #: Rows of a table that may be broadcast, once they have been counted.
 BROADCAST_ROWS = 1_000_000
@@ -77,6 +81,40 @@ def fields(df: DataFrame, names: Sequence[str]) -> str:
     return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names)
 
 
+def named(name: str) -> Column:
+    """The column of that name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+#: The input columns of a batch -> values by derived column, and the row that each belongs to (None: one for each row, in order).
+Derive = Callable[[list[pa.Array]], tuple[dict[str, Sequence], Sequence[int] | None]]
+
+
+def beside(df: DataFrame, keep: Sequence[str], inputs: Sequence[str], derived: StructType, start: Callable[[], Derive]) -> DataFrame:
+    """The columns in keep, with what a function derives from the input columns of each batch.
+
+    Kept columns pass through as Arrow arrays: no value, null or type of theirs
+    is changed.  start is called once a task and gives the function.
+    """
+    keep, inputs = list(keep), list(inputs)
+    columns = [named(c).alias(f"k{i}") for i, c in enumerate(keep)] + [named(c).alias(f"i{i}") for i, c in enumerate(inputs)]
+    schema = StructType([StructField(c, df.schema[c].dataType, True) for c in keep] + derived.fields)
+    types = {f.name: to_arrow_type(f.dataType) for f in derived}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        derive = start()
+        for batch in batches:
+            values, rows = derive([batch.column(len(keep) + i) for i in range(len(inputs))])
+            kept = [batch.column(i) for i in range(len(keep))]
+            if rows is not None:
+                at = pa.array(np.asarray(rows, np.int64))
+                kept = [k.take(at) for k in kept]
+            made = [v if isinstance(v := values[name], pa.Array) else pa.array(v, kind, from_pandas=False) for name, kind in types.items()]
+            yield pa.RecordBatch.from_arrays(kept + made, names=[*keep, *types])
+
+    return df.select(*columns).mapInArrow(run, schema)
+
+
 def id_bucket(doc_id: Column, n: int) -> Column:
     """crc32 of doc_id as text, modulo n (null stays null)."""
     return F.crc32(doc_id.cast("string")) % n

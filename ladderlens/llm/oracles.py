@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ladderlens.llm import langid, licenses, quality_rules
+from ladderlens.llm import langid, licenses, merkle, quality_rules
 
 REPEATS = """
 WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
@@ -17,6 +17,12 @@ FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN (SELECT doc_id, CAST(sum(z - a) A
 """
 
 
+_STEP = "list_reduce(list_concat([CAST(i AS BIGINT)], range(8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)"
+#: A table with the values of one byte, and crc32 of doc_id as text where that table is joined.
+CRC_TABLE = f"crc AS (SELECT list({_STEP} ORDER BY i) AS v FROM (SELECT unnest(range(256)) AS i))"
+CRC = "xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda a, b: xor(v[CAST(xor(a, b) & 255 AS BIGINT) + 1], a >> 8)), 4294967295)"
+
+
 def _number(x: float) -> str:
     """A literal that DuckDB reads as a double."""
     text = repr(float(x))
@@ -103,11 +109,9 @@ def language_sql(smoothing: float = 0.5) -> str:
             code = f"(({code}) * {langid.MIX[0]} + c[p + {n - 1}]) % {half}"
         orders.append(f"SELECT doc_id, {n * langid.MIX[1] % half} AS salt, {code} AS code FROM (SELECT doc_id, c, unnest(range(1, len(c) - {n - 2})) AS p FROM d)")
     orders = " UNION ALL ".join(orders)
-    step = "list_reduce(list_concat([CAST({0} AS BIGINT)], range(8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)"
-    crc = "list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda a, b: xor(v[CAST(xor(a, b) & 255 AS BIGINT) + 1], a >> 8))"
     return rf"""
-WITH crc AS (SELECT list({step.format("i")} ORDER BY i) AS v FROM (SELECT unnest(range(256)) AS i)),
-d AS (SELECT doc_id, text, lang, list_transform(list_filter(regexp_extract_all(lower(coalesce(text, '')), '(?s).'), lambda x: x <> ''), lambda x: CAST(unicode(x) AS UBIGINT)) AS c, coalesce(xor({crc}, 4294967295) % 4 = 2, false) AS held_out FROM documents, crc),
+WITH {CRC_TABLE},
+d AS (SELECT doc_id, text, lang, list_transform(list_filter(regexp_extract_all(lower(coalesce(text, '')), '(?s).'), lambda x: x <> ''), lambda x: CAST(unicode(x) AS UBIGINT)) AS c, coalesce({CRC} % 4 = 2, false) AS held_out FROM documents, crc),
 grams AS (SELECT doc_id, (((xor(m, m >> 13) * {langid.MIX[3]}::UBIGINT) % {half}) >> {32 - langid.BITS}) AS bucket FROM (SELECT doc_id, (((code + salt) % {half}) * {langid.MIX[2]}::UBIGINT) % {half} AS m FROM ({orders}))),
 counts AS (SELECT doc_id, bucket, count(*) AS n FROM grams GROUP BY 1, 2),
 used AS (SELECT doc_id, lang FROM d WHERE NOT held_out AND lang IS NOT NULL AND text IS NOT NULL),
@@ -121,5 +125,40 @@ SELECT doc_id, held_out, CASE WHEN letters THEN lang_pred ELSE 'und' END AS lang
 FROM (SELECT *, regexp_matches(coalesce(text, ''), '\pL') AS letters FROM d) LEFT JOIN best USING (doc_id)"""
 
 
+def manifest_sql(fanout: int = 16, levels: int = 7) -> str:
+    """op12: leaves, the trees of sources and the one above, proofs, and the roots that changed leaves fold to; up to fanout ** levels rows a tree.
+
+    Each step takes every row one level up: d is its own node, f what its
+    changed leaf folds to, and p its siblings so far.
+    """
+
+    def enc(c: str) -> str:
+        return f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR) END"
+
+    def climb(name: str, start: str, carry: str) -> str:
+        """CTEs name0 .. name<levels> from rows with (k, idx, n, d, f, p)."""
+        out, size = [f"{name}0 AS ({start})"], "n"
+        for i in range(levels):
+            at, i_in = f"{name}{i}", f"CAST(idx % {fanout} AS INTEGER)"
+            out.append(f"{name}_run{i} AS (SELECT k, idx // {fanout} AS up, string_agg(d, '' ORDER BY idx) AS run FROM (SELECT DISTINCT k, idx, d FROM {at}) GROUP BY 1, 2)")
+            cut = f"run[1:64 * {i_in}]", f"run[64 * {i_in} + 65:]"
+            more = f"{size} > 1"
+            out.append(
+                f"{name}{i + 1} AS (SELECT {carry} k, idx // {fanout} AS idx, ({size} + {fanout - 1}) // {fanout} AS n, CASE WHEN {more} THEN sha256(run) ELSE d END AS d, CASE WHEN {more} THEN sha256({cut[0]} || f || {cut[1]}) ELSE f END AS f,"
+                f" CASE WHEN {more} THEN p || {cut[0]} || {cut[1]} ELSE p END AS p FROM {at} JOIN {name}_run{i} USING (k) WHERE idx // {fanout} = up)"
+            )
+        return ",\n".join(out)
+
+    fields = lambda text: " || ".join(enc(c) for c in ("doc_id", "source", "lang", "n_chars", text))
+    lower = f"translate(text, '{merkle.UPPER}', '{merkle.UPPER.lower()}')"
+    return f"""
+WITH {CRC_TABLE},
+h AS (SELECT doc_id, source, sha256({fields("text")}) AS leaf, CASE WHEN {CRC} % 5 = 0 THEN sha256({fields(lower)}) END AS bad FROM documents, crc),
+{climb("s", "SELECT doc_id, leaf, coalesce('=' || source, '') AS k, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY source) AS n, leaf AS d, coalesce(bad, leaf) AS f, '' AS p FROM h", "doc_id, leaf,")},
+sub AS (SELECT k AS grp, any_value(d) AS d FROM s{levels} GROUP BY 1),
+{climb("r", "SELECT doc_id, leaf, s.d AS subroot, 0 AS k, o.idx, o.n, s.d, s.f, s.p FROM s" + str(levels) + " s JOIN (SELECT grp, row_number() OVER (ORDER BY encode(grp)) - 1 AS idx, count(*) OVER () AS n FROM sub) o ON s.k = o.grp", "doc_id, leaf, subroot,")}
+SELECT doc_id, leaf, subroot, d AS root, sha256(p) AS proof_sha256, f AS folded_root, f = d AS verified FROM r{levels}"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": license_sql(), "op5_suffix_dedup": REPEATS, "op10_language_id": language_sql(), "op7_quality_rules": quality_sql()}
+    return {"op1_license_scan": license_sql(), "op5_suffix_dedup": REPEATS, "op10_language_id": language_sql(), "op7_quality_rules": quality_sql(), "op12_merkle_manifest": manifest_sql()}

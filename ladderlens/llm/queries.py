@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ladderlens.llm import bpe, decontaminate, langid, licenses, quality_model, quality_rules, repeats, secrets, sharding, simhash
+from ladderlens.llm import bpe, decontaminate, langid, licenses, merkle, quality_model, quality_rules, repeats, secrets, sharding, simhash
 from ladderlens.llm.common import id_bucket
 from ladderlens.llm.oracles import oracle_sql  # noqa: F401
 
@@ -116,6 +116,13 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, proof and roots of every document; where crc32(doc_id) mod 5 is 0, a leaf of the text in lower case is checked."""
+    lower = F.translate("text", merkle.UPPER, merkle.UPPER.lower())
+    claim = merkle.leaf([lower if c == "text" else F.col(c) for c in merkle.FIELDS])
+    return merkle.verify(documents(spark, sf_dir), F.when(id_bucket(F.col("doc_id"), 5) == 0, claim))
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_vector_shards": op2_vector_shards,
@@ -127,4 +134,5 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_quality_model": op9_quality_model,
     "op10_language_id": op10_language_id,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
