@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ladderlens.llm import bpe, decontaminate, langid, licenses, merkle, quality_model, quality_rules, repeats, secrets, sharding, simhash
+from ladderlens.llm import bpe, decontaminate, langid, licenses, merkle, quality_model, quality_rules, repeats, secrets, sharding, simhash, whitening
 from ladderlens.llm.common import id_bucket
 from ladderlens.llm.oracles import oracle_sql  # noqa: F401
 
@@ -123,6 +123,11 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify(documents(spark, sf_dir), F.when(id_bucket(F.col("doc_id"), 5) == 0, claim))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every finite vector on the first four whitened components."""
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), ["vec_id"])
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_vector_shards": op2_vector_shards,
@@ -135,4 +140,5 @@ QUERIES = {
     "op9_quality_model": op9_quality_model,
     "op10_language_id": op10_language_id,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_whitening": op13_whitening,
 }
