@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ladderlens.llm import bpe, decontaminate, langid, licenses, merkle, quality_model, quality_rules, repeats, secrets, sharding, simhash, whitening
+from ladderlens.llm import bpe, decontaminate, langid, licenses, merkle, quality_model, quality_rules, repeats, secrets, sharding, simhash, toxicity, whitening
 from ladderlens.llm.common import id_bucket
 from ladderlens.llm.oracles import oracle_sql  # noqa: F401
 
@@ -116,6 +116,15 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from labels where crc32(doc_id) mod 5 is not 0."""
+    docs = documents(spark, sf_dir)
+    held = F.coalesce(id_bucket(F.col("doc_id"), 5) == 0, F.lit(False))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    out = toxicity.score(docs, toxicity.fit(docs.where(~held).join(labels, "doc_id")), ["doc_id"])
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, proof and roots of every document; where crc32(doc_id) mod 5 is 0, a leaf of the text in lower case is checked."""
     lower = F.translate("text", merkle.UPPER, merkle.UPPER.lower())
@@ -139,6 +148,7 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_quality_model": op9_quality_model,
     "op10_language_id": op10_language_id,
+    "op11_toxicity": op11_toxicity,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_whitening": op13_whitening,
 }
