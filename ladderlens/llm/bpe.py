@@ -21,17 +21,19 @@ An empty table gives no rows.
 from __future__ import annotations
 
 import base64
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from ladderlens.llm.common import fields
+from ladderlens.llm.common import beside, each, named
 
 CHUNK, OVERLAP = 1 << 15, 1 << 9
 #: A boundary is sure if this many characters follow it: a contraction is looked up over three.
@@ -129,50 +131,48 @@ def encode(
     """
     with open(ranks_path, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast((f.read(), pattern))
-    schema = f"{fields(docs, keep)}, {derived}" if keep else derived
+    made = StructType.fromDDL(derived)
 
     def ids_of(codec: Codec, parts: list[str], starts: list[np.ndarray]) -> str:
         text = "".join(p[:chunk] for p in parts)
         edges = [*stitch(codec.find, text, starts, chunk, overlap).tolist(), len(text)]
         return codec.encode_pieces([text[a:b] for a, b in zip(edges, edges[1:])])  # noqa: B905
 
-    def here(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def here():
         codec = codec_of(*shared.value)
-        for frame in frames:
-            for at in range(0, len(frame), AT_ONCE):
-                part = frame.iloc[at : at + AT_ONCE]
-                rows = [derive(codec, ids_of(codec, [t], [boundaries(codec.find, t)])) for t in part["_text"]]
-                yield pd.concat([part[keep].reset_index(drop=True), pd.DataFrame(rows)], axis=1)
-
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for row, text in zip(frame.drop(columns="_text").to_dict("records"), frame["_text"], strict=True):
-                for at in range(0, len(text), 64 * chunk):
-                    n = range(at, min(len(text), at + 64 * chunk), chunk)
-                    yield pd.DataFrame([row | {"_no": i // chunk, "_body": text[i : i + chunk + overlap]} for i in n])
-
-    def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+        def of(columns: list[pa.Array]):
+            rows = [derive(codec, ids_of(codec, [t], [boundaries(codec.find, t)])) for t in each(columns[0])]
+            return {f.name: [r[f.name] for r in rows] for f in made}, None
+
+        return of
+
+    def cut(columns: list[pa.Array]):
+        chunks = [(row, at // chunk, text[at : at + chunk + overlap]) for row, text in enumerate(each(columns[0])) for at in range(0, len(text), chunk)]
+        return {"_no": [no for _, no, _ in chunks], "_body": [body for *_, body in chunks]}, [row for row, *_ in chunks]
+
+    def split():
         find = regex.compile(shared.value[1])
-        for frame in frames:
-            yield frame.assign(_starts=[boundaries(find, b).astype(np.int32).tobytes() for b in frame["_body"]])
+        return lambda columns: ({"_starts": [boundaries(find, b).astype(np.int32).tobytes() for b in each(columns[0])]}, None)
 
     def join(frame: pd.DataFrame) -> pd.DataFrame:
         codec = codec_of(*shared.value)
         parts = frame.sort_values("_no")
         starts = [np.frombuffer(s, np.int32) + n * chunk for s, n in zip(parts["_starts"], parts["_no"].tolist(), strict=True)]
         row = derive(codec, ids_of(codec, list(parts["_body"]), starts))
-        return pd.concat([parts[[*keep, "_rows"]].head(1).reset_index(drop=True), pd.DataFrame([row])], axis=1)
+        return pd.concat([parts[[*names, "_rows"]].head(1).reset_index(drop=True), pd.DataFrame([row])], axis=1)
 
-    docs = docs.select(*keep, F.coalesce("text", F.lit("")).alias("_text"))
+    names = [f"_k{i}" for i in range(len(keep))]  # any name may come; those of groups may have no backtick
+    docs = docs.select(*(named(c).alias(k) for c, k in zip(keep, names, strict=True)), F.coalesce("text", F.lit("")).alias("_text"))
     size = F.char_length("_text")
-    short = docs.where(size <= chunk).mapInPandas(here, schema)
-    own = f"{fields(docs, keep)}, " if keep else ""
+    short = beside(docs.where(size <= chunk), names, ["_text"], made, here, AT_ONCE)
     long = docs.where(size > chunk).withColumn("_h1", F.xxhash64("_text")).withColumn("_h2", F.xxhash64("_text", F.lit(1)))
     # equal rows, which Spark counts before the shuffle, are one text from here on
-    plain = [c for c in keep if c != "text"]
-    chunks = long.mapInPandas(cut, f"{own}_h1 long, _h2 long, _no int, _body string")
-    chunks = chunks.groupBy(*keep, "_h1", "_h2", "_no").agg(F.first("_body").alias("_body"), F.count("*").alias("_rows"))
-    pieces = chunks.mapInPandas(split, f"{own}_h1 long, _h2 long, _no int, _body string, _rows long, _starts binary")
-    made = pieces.groupBy(*plain, "_h1", "_h2").applyInPandas(join, f"{own}_rows long, {derived}")
-    each = made.withColumn("_row", F.explode(F.sequence(F.lit(1), "_rows"))).drop("_row", "_rows")
-    return short.unionByName(each)
+    plain = [k for c, k in zip(keep, names, strict=True) if c != "text"]
+    chunks = beside(long, [*names, "_h1", "_h2"], ["_text"], "_no int, _body string", lambda: cut, AT_ONCE)
+    chunks = chunks.groupBy(*names, "_h1", "_h2", "_no").agg(F.first("_body").alias("_body"), F.count("*").alias("_rows"))
+    pieces = beside(chunks, chunks.columns, ["_body"], "_starts binary", split)
+    whole = StructType([*(docs.schema[k] for k in names), StructField("_rows", LongType()), *made])
+    found = pieces.groupBy(*plain, "_h1", "_h2").applyInPandas(join, whole)  # a group has one value of each kept column
+    copies = found.withColumn("_row", F.explode(F.sequence(F.lit(1), "_rows"))).drop("_row", "_rows")
+    return short.unionByName(copies).toDF(*keep, *made.names)

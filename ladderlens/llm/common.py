@@ -76,11 +76,6 @@ def with_few(df: DataFrame, few: DataFrame, on: list[str], how: str = "inner") -
     return df.join(F.broadcast(few) if few.count() <= BROADCAST_ROWS else few, on, how)
 
 
-def fields(df: DataFrame, names: Sequence[str]) -> str:
-    """The schema of some columns, as text."""
-    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names)
-
-
 def named(name: str) -> Column:
     """The column of that name, whatever characters it has."""
     return F.col("`" + name.replace("`", "``") + "`")
@@ -90,21 +85,23 @@ def named(name: str) -> Column:
 Derive = Callable[[list[pa.Array]], tuple[dict[str, Sequence], Sequence[int] | None]]
 
 
-def beside(df: DataFrame, keep: Sequence[str], inputs: Sequence[str], derived: StructType, start: Callable[[], Derive]) -> DataFrame:
-    """The columns in keep, with what a function derives from the input columns of each batch.
+def beside(df: DataFrame, keep: Sequence[str], inputs: Sequence[str], derived: StructType | str, start: Callable[[], Derive], at_once: int = 1 << 30) -> DataFrame:
+    """The columns in keep, with what a function derives from the input columns of each batch, of at_once rows at most.
 
     Kept columns pass through as Arrow arrays: no value, null or type of theirs
     is changed.  start is called once a task and gives the function.
     """
-    keep, inputs = list(keep), list(inputs)
-    columns = [named(c).alias(f"k{i}") for i, c in enumerate(keep)] + [named(c).alias(f"i{i}") for i, c in enumerate(inputs)]
+    keep, sent = list(keep), list(dict.fromkeys([*keep, *inputs]))
+    places = [sent.index(c) for c in inputs]
+    columns = [named(c).alias(f"c{i}") for i, c in enumerate(sent)]
+    derived = StructType.fromDDL(derived) if isinstance(derived, str) else derived
     schema = StructType([StructField(c, df.schema[c].dataType, True) for c in keep] + derived.fields)
     types = {f.name: to_arrow_type(f.dataType) for f in derived}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         derive = start()
-        for batch in batches:
-            values, rows = derive([batch.column(len(keep) + i) for i in range(len(inputs))])
+        for batch in (b.slice(at, at_once) for b in batches for at in range(0, b.num_rows, at_once)):
+            values, rows = derive([batch.column(i) for i in places])
             kept = [batch.column(i) for i in range(len(keep))]
             if rows is not None:
                 at = pa.array(np.asarray(rows, np.int64))
@@ -115,6 +112,11 @@ def beside(df: DataFrame, keep: Sequence[str], inputs: Sequence[str], derived: S
     return df.select(*columns).mapInArrow(run, schema)
 
 
+def each(text: pa.Array) -> Iterator[str | None]:
+    """The values of a column of texts, one at a time."""
+    return (value.as_py() for value in text)
+
+
 def id_bucket(doc_id: Column, n: int) -> Column:
     """crc32 of doc_id as text, modulo n (null stays null)."""
     return F.crc32(doc_id.cast("string")) % n

@@ -28,11 +28,12 @@ import re
 from collections.abc import Iterator
 
 import ahocorasick
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from ladderlens.llm.common import fields, materialize
+from ladderlens.llm.common import beside, each, materialize
 
 #: Characters of items that go to the tasks at once.
 BLOCK_CHARS = 4_000_000
@@ -167,7 +168,9 @@ def contaminated(docs: DataFrame, items: DataFrame, error_rate: float = 0.08, bl
 
     match_end is where the best match ends in the text, in code points.
     """
-    schema = f"{fields(docs, ['doc_id'])}, {fields(items, ['item_id'])}, edits int, allowed int, match_end long"
+    numbers = [StructField("edits", IntegerType()), StructField("allowed", IntegerType()), StructField("match_end", LongType())]
+    found = StructType([StructField("item_id", items.schema["item_id"].dataType), *numbers])
+    schema = StructType([StructField("doc_id", docs.schema["doc_id"].dataType), *found])
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text").where(F.col("text").isNotNull())
     out, last = spark.createDataFrame([], schema), None
@@ -177,29 +180,31 @@ def contaminated(docs: DataFrame, items: DataFrame, error_rate: float = 0.08, bl
             last.destroy()
         last = spark.sparkContext.broadcast(block)  # block_chars and one item at most
 
-        def run(frames: Iterator[pd.DataFrame], shared=last) -> Iterator[pd.DataFrame]:
+        def start(shared=last):
             matcher = matcher_of(shared.value, error_rate)
-            for frame in frames:
-                rows = [(doc, key, edits, allowed, original_end(text, end)) for doc, text in zip(frame["doc_id"], frame["text"], strict=True) for key, edits, end, allowed in matcher.matches(normal(text))]
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "edits", "allowed", "match_end"])
 
-        out = out.unionByName(docs.mapInPandas(run, schema))
+            def derive(columns: list[pa.Array]):
+                rows = [(i, key, edits, allowed, original_end(text, end)) for i, text in enumerate(each(columns[0])) for key, edits, end, allowed in matcher.matches(normal(text))]
+                return {f.name: [r[k] for r in rows] for k, f in enumerate(found, 1)}, [r[0] for r in rows]
+
+            return derive
+
+        out = out.unionByName(beside(docs, ["doc_id"], ["text"], found, start))
     return out
 
 
 def clean(docs: DataFrame, items: DataFrame, error_rate: float = 0.08, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of docs in whose text no item is found."""
-    schema, last = fields(docs, docs.columns), None
+    last = None
     for block in item_blocks(items, block_chars):
         if last is not None:
             docs = materialize(docs, "clean")
             last.destroy()
         last = docs.sparkSession.sparkContext.broadcast(block)  # block_chars and one item at most
 
-        def run(frames: Iterator[pd.DataFrame], shared=last) -> Iterator[pd.DataFrame]:
+        def start(shared=last):
             matcher = matcher_of(shared.value, error_rate)
-            for frame in frames:
-                yield frame[[not isinstance(t, str) or not matcher.matches(normal(t)) for t in frame["text"]]]
+            return lambda columns: ({}, [i for i, t in enumerate(each(columns[0])) if t is None or not matcher.matches(normal(t))])
 
-        docs = docs.mapInPandas(run, schema)
+        docs = beside(docs, docs.columns, ["text"], StructType([]), start)
     return docs

@@ -22,11 +22,13 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from ladderlens.llm.common import fields
+from ladderlens.llm.common import beside
 
 BITS = 15
 BUCKETS = 1 << BITS
@@ -130,17 +132,16 @@ def predict(docs: DataFrame, model: Model, keep: list[str], names: tuple[str, st
     """The columns in keep, with the predicted language and its posterior under the given names."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages floats
 
-    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        langs = shared.value.langs
-        for frame in frames:
-            found, scores = np.full(len(frame), "und", object), np.zeros(len(frame))
-            told = [i for i, t in enumerate(frame["text"]) if langs and isinstance(t, str) and LETTER.search(t)]
-            if told:
-                logs = log_posteriors([frame["text"].iloc[i].lower() for i in told], shared.value)
-                p = np.exp(logs - logs.max(axis=1, keepdims=True))
-                found[told] = np.array(langs, object)[p.argmax(axis=1)]
-                scores[told] = p.max(axis=1) / p.sum(axis=1)
-            yield frame[keep].assign(**dict(zip(names, (found, scores), strict=True)))
-
-    cols = list(dict.fromkeys([*keep, "text"]))
-    return docs.select(*cols).mapInPandas(score, f"{fields(docs, keep)}, `{names[0]}` string, `{names[1]}` double")
+    def derive(columns: list[pa.Array]):
+        langs, texts = shared.value.langs, columns[0].to_pylist()
+        found, scores = np.full(len(texts), "und", object), np.zeros(len(texts))
+        told = [i for i, t in enumerate(texts) if langs and t is not None and LETTER.search(t)]
+        if told:
+            logs = log_posteriors([texts[i].lower() for i in told], shared.value)
+            p = np.exp(logs - logs.max(axis=1, keepdims=True))
+            found[told] = np.array(langs, object)[p.argmax(axis=1)]
+            scores[told] = p.max(axis=1) / p.sum(axis=1)
+        return dict(zip(names, (found, scores), strict=True)), None
+
+    made = StructType([StructField(names[0], StringType()), StructField(names[1], DoubleType())])
+    return beside(docs, keep, ["text"], made, lambda: derive)

@@ -21,10 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ladderlens.llm.common import fields, materialize
+from ladderlens.llm.common import beside, each, materialize
 
 PASSAGE = 512
 PAIRS = 64
@@ -181,20 +182,18 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """The columns in keep, and score, of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # some thousand numbers
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            scores: list[float] = []
-            held, count = [], 0
-            for text in frame["text"]:
-                held.append(encode(text))
-                count += len(held[-1])
-                if count >= 4096:
-                    scores += _scores(shared.value, held)
-                    held, count = [], 0
-            scores += _scores(shared.value, held)
-            yield frame[keep].assign(score=scores)
-
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInPandas(run, f"{fields(docs, keep)}, score double")
+    def derive(columns: list[pa.Array]):
+        scores: list[float] = []
+        held, count = [], 0
+        for text in each(columns[0]):
+            held.append(encode(text))
+            count += len(held[-1])
+            if count >= 4096:
+                scores += _scores(shared.value, held)
+                held, count = [], 0
+        return {"score": scores + _scores(shared.value, held)}, None
+
+    return beside(docs, keep, ["text"], "score double", lambda: derive)
 
 
 def _scores(model: Model, held: list[np.ndarray]) -> list[float]:

@@ -27,15 +27,14 @@ columns other than doc_id, text and lang are ignored, whatever their names.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ladderlens.llm.common import fields, materialize
+from ladderlens.llm.common import beside, each, materialize
 
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -104,14 +103,12 @@ def repeat_words(words: list[bytes]) -> int:
 
 def measures(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The columns in keep, and the measures, of every row."""
-    schema = ", ".join([fields(docs, keep), *(f"{m} long" for m in MEASURES)])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            got = np.array([measure(t) for t in frame["text"]], np.int64).reshape(-1, len(MEASURES))
-            yield frame[keep].assign(**{m: got[:, i] for i, m in enumerate(MEASURES)})
+    def derive(columns: list[pa.Array]):
+        got = np.array([measure(t) for t in each(columns[0])], np.int64).reshape(-1, len(MEASURES))
+        return {m: got[:, i] for i, m in enumerate(MEASURES)}, None
 
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInPandas(run, schema)
+    return beside(docs, keep, ["text"], ", ".join(f"{m} long" for m in MEASURES), lambda: derive)
 
 
 def base_failed() -> Column:

@@ -40,12 +40,14 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.types import StructType
 
-from ladderlens.llm.common import fields, materialize
+from ladderlens.llm.common import beside, materialize
 
 GRAM = 24
 #: Bytes of text that are anchored at once; positions within take 20 bits.
@@ -582,19 +584,19 @@ def deduplicate(
     derive gets the bytes of the text and the maximal removed spans; derived is
     the schema of what it returns.
     """
-    schema = f"{fields(docs, ['doc_id'])}, {derived}"
+    made = StructType.fromDDL(derived)
     docs = keyed(docs)
     spans = marks(docs, length, block).groupBy(*KEY).agg(F.collect_list(F.struct("s", "n")).alias("spans"))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for data, s, n in zip(frame["data"], frame["s"], frame["n"], strict=True):
-                rows = np.zeros(0 if s is None else len(s), RUN)
-                if len(rows):
-                    rows["p"], rows["n"] = s, n
-                    rows = merged(rows)
-                out.append(derive(bytes(data), [(a, a + n) for a, n in zip(rows["p"].tolist(), rows["n"].tolist(), strict=True)]))
-            yield pd.concat([frame[["doc_id"]].reset_index(drop=True), pd.DataFrame(out)], axis=1)
-
-    return docs.join(spans, KEY, "left").select("doc_id", "data", "spans.s", "spans.n").mapInPandas(run, schema)
+    def of(columns: list[pa.Array]):
+        out = []
+        for data, s, n in zip(*columns, strict=True):
+            rows = np.zeros(len(s) if s.is_valid else 0, RUN)
+            if len(rows):
+                rows["p"], rows["n"] = s.values.to_numpy(), n.values.to_numpy()
+                rows = merged(rows)
+            out.append(derive(data.as_py(), [(a, a + n) for a, n in zip(rows["p"].tolist(), rows["n"].tolist(), strict=True)]))
+        return {f.name: [r[f.name] for r in out] for f in made}, None
+
+    found = docs.join(spans, KEY, "left").select("doc_id", "data", "spans.s", "spans.n")
+    return beside(found, ["doc_id"], ["data", "s", "n"], made, lambda: of)

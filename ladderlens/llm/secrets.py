@@ -31,9 +31,11 @@ from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from itertools import accumulate
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StringType, StructField, StructType
 
+from ladderlens.llm.common import beside, each, named
 from ladderlens.llm.licenses import OTHER, PLAIN, TEMPLATES
 
 KINDS = ("assign", "access", "hex", "format")
@@ -46,6 +48,8 @@ SEPARATORS = frozenset("+/_.=-")
 SHORTEST = 16
 #: Least mean log-likelihood ratio of a credential.
 THRESHOLD = 0.5
+#: Text that repeats itself: places between repeats at most, and characters in a row that show it.
+PERIODS, PERIODIC = 8, 3
 
 UPPER, LOWER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 ALNUM, HEXES = UPPER + LOWER + DIGITS, "0123456789abcdef"
@@ -233,20 +237,30 @@ def letter_pairs() -> dict[tuple[str, str], float]:
 
 
 def plain_steps(text: str) -> Iterator[float]:
-    """What each character adds to the log-probability of plain_model."""
-    pairs, before, old = letter_pairs(), "", ""
-    for ch in text:
+    """What each character adds to the log-probability of plain_model.
+
+    Once PERIODIC characters in a row are those some places before, with PERIODS
+    places at most, the next one is likely to go on so.
+    """
+    pairs, before, old, repeats = letter_pairs(), "", "", [0] * (PERIODS + 1)
+    for i, ch in enumerate(text):
+        again, period = max((n, -p) for p, n in enumerate(repeats) if p)
+        for p in range(1, PERIODS + 1):
+            repeats[p] = repeats[p] + 1 if i >= p and text[i - p] == ch else 0
         now = "l" if ch.islower() else "A" if ch.isupper() else "0" if ch.isdigit() else ch
         same = now == before or (before == "A" and now == "l")
         if same and now in "lA" and (pair := (old.lower(), ch.lower())) in pairs:
-            yield math.log(0.9) + pairs[pair]
+            step = math.log(0.9) + pairs[pair]
         else:
-            yield math.log((0.9 if same else 0.04) / {"l": 26, "A": 26, "0": 10}.get(now, 1))
+            step = math.log((0.9 if same else 0.04) / {"l": 26, "A": 26, "0": 10}.get(now, 1))
+        if again >= PERIODIC:
+            step = math.log(0.1 * math.exp(step) + (0.9 if text[i + period] == ch else 0.0))
+        yield step
         before, old = now, ch
 
 
 def plain_model(text: str) -> float:
-    """Log-probability of a run of text under a plain model: words, whose letters follow each other as in sentences."""
+    """Log-probability of a run of text under a plain model: words, whose letters follow each other as in sentences, and what repeats itself."""
     return sum(plain_steps(text))
 
 
@@ -344,15 +358,11 @@ def trained(alpha: float = 0.05) -> tuple[Automaton, ...]:
 def scan(docs: DataFrame, keep: list[str], threshold: float = THRESHOLD, automata: Sequence[Automaton] | None = None, text: str = "text") -> DataFrame:
     """The columns in keep, and ``spans``: an array of (start, end, kind)."""
     automata = automata or trained()
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = [[{"start": a, "end": b, "kind": k} for a, b, k in spans(t, automata, threshold)] if isinstance(t, str) else [] for t in frame[text]]
-            yield frame[keep].assign(spans=out)
+    def derive(columns: list[pa.Array]):
+        return {"spans": [[{"start": a, "end": b, "kind": k} for a, b, k in spans(t, automata, threshold)] if t else [] for t in each(columns[0])]}, None
 
-    cols = list(dict.fromkeys([*keep, text]))
-    return docs.select(*cols).mapInPandas(run, f"{schema}, spans array<struct<start: int, end: int, kind: string>>")
+    return beside(docs, keep, [text], "spans array<struct<start: int, end: int, kind: string>>", lambda: derive)
 
 
 def redacted(text: str, found: list[tuple[int, int, str]], mark: str) -> str:
@@ -368,10 +378,9 @@ def redacted(text: str, found: list[tuple[int, int, str]], mark: str) -> str:
 def redact(docs: DataFrame, mark: str = "[SECRET]", threshold: float = THRESHOLD, automata: Sequence[Automaton] | None = None, text: str = "text") -> DataFrame:
     """All rows of docs; every secret in the text is replaced by mark."""
     automata = automata or trained()
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in docs.columns)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield frame.assign(**{text: [redacted(t, spans(t, automata, threshold), mark) if isinstance(t, str) else None for t in frame[text]]})
+    def derive(columns: list[pa.Array]):
+        return {text: [redacted(t, spans(t, automata, threshold), mark) if t else t for t in each(columns[0])]}, None
 
-    return docs.mapInPandas(run, schema)
+    rest = [c for c in docs.columns if c != text]
+    return beside(docs, rest, [text], StructType([StructField(text, StringType())]), lambda: derive).select(*map(named, docs.columns))

@@ -32,8 +32,9 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from ladderlens.llm.common import fields, materialize, with_few
+from ladderlens.llm.common import beside, each, materialize, with_few
 from ladderlens.llm.components import components
 
 BLOCK = 16_384
@@ -59,11 +60,7 @@ def fingerprint(text: str | None, width: int = 4) -> int:
 
 def fingerprints(docs: DataFrame, keep: list[str], width: int = 4, name: str = "fp") -> DataFrame:
     """The columns in keep, and the fingerprint, of every row."""
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield frame[keep].assign(**{name: np.array([fingerprint(t, width) for t in frame["text"]], np.int64)})
-
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInPandas(run, f"{fields(docs, keep)}, `{name}` long")
+    return beside(docs, keep, ["text"], StructType([StructField(name, LongType())]), lambda: lambda columns: ({name: [fingerprint(t, width) for t in each(columns[0])]}, None))
 
 
 def masks(n: int, radius: int, bucket: int = 4096) -> list[int]:
