@@ -121,7 +121,7 @@ def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     held = F.coalesce(id_bucket(F.col("doc_id"), 5) == 0, F.lit(False))
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    out = toxicity.score(docs, toxicity.fit(docs.where(~held).join(labels, "doc_id")), ["doc_id"])
+    out = toxicity.score(docs, toxicity.fit(docs.where(~held), labels), ["doc_id"])
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
 
 

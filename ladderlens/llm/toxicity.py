@@ -1,9 +1,9 @@
 """Toxicity: maximum-scoring segments of token log-odds, calibrated as extremes.
 
 Tokens are runs of letters in lower case.  Learning counts in how many toxic
-and other texts each token is.  A text is counted by one context of the token
-in it (the words beside it; that with the least hash), and each context once,
-so that near copies and boilerplate don't add up.  A Dirichlet prior in
+and other texts each token is.  A toxic text is counted by one context of the
+token in it (the words beside it; that with the least hash), and each context
+once, so that near copies and boilerplate don't add up to a toxic word.  A Dirichlet prior in
 proportion to the counts of both kinds, of a PRIOR part of their size, gives
 each token its log-odds and their standard error; tokens of LEAST_Z errors
 above 0, and of log-odds of LEAST_ODDS, are significant.  All others score as
@@ -28,6 +28,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -127,21 +128,27 @@ class Model:
         return self.constant if self.constant is not None else 1 / (1 + math.exp(-(self.slope * evidence + self.offset)))
 
 
-def sample(labelled: DataFrame, max_texts: int) -> DataFrame:
-    """(text, toxic): about max_texts of the distinct pairs at most, chosen by a hash."""
-    rows = labelled.select("text", (F.col("toxic") == 1).cast("int").alias("toxic")).where("toxic is not null and text is not null")
-    rows = rows.withColumns({"h1": F.xxhash64("text", "toxic", F.lit(3)), "h2": F.xxhash64("text", "toxic", F.lit(4))})
-    share = min(1.0, max_texts / max(1, rows.select("h1", "h2").distinct().count()))
-    rows = rows.where(F.pmod("h1", F.lit(1 << 30)) < int(share * (1 << 30)))
-    return rows.groupBy("h1", "h2").agg(F.first("text").alias("text"), F.first("toxic").alias("toxic")).select("text", "toxic")
+def sample(docs: DataFrame, labels: DataFrame, max_texts: int) -> DataFrame:
+    """(text, toxic): about max_texts of the distinct pairs at most, chosen by a hash.
+
+    Only hashes of texts meet their labels; the few chosen ones go to the
+    texts, so that the others are not shuffled.
+    """
+    hashed = docs.where("text is not null").select("doc_id", "text", F.xxhash64("text", F.lit(3)).alias("h1"), F.xxhash64("text", F.lit(4)).alias("h2"))
+    own = labels.where("toxic is not null").select("doc_id", (F.col("toxic") == 1).cast("int").alias("toxic")).distinct()
+    pairs = materialize(hashed.select("doc_id", "h1", "h2").distinct().join(own, "doc_id").select("h1", "h2", "toxic").distinct(), "labelled")
+    share = min(1.0, max_texts / max(1, pairs.count()))
+    few = pairs.where(F.pmod("h1", F.lit(1 << 30)) < int(share * (1 << 30)))
+    rows = hashed.join(F.broadcast(few), ["h1", "h2"])  # about max_texts rows
+    return rows.groupBy("h1", "h2", "toxic").agg(F.first("text").alias("text")).select("text", "toxic")
 
 
 def _contexts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(word, toxic, context) of each token of a text, once a batch."""
+    """(word, context) of each token of a text, once a batch."""
     known: dict[str, int] = {}
     for frame in frames:
         parts = []
-        for text, toxic in zip(frame["text"], frame["toxic"], strict=True):
+        for text in frame["text"]:
             own = tokens(text)
             if own:
                 codes = np.array([known.get(w) or known.setdefault(w, zlib.crc32(w.encode("utf-8", "replace"))) for w in own], np.uint64)
@@ -150,17 +157,25 @@ def _contexts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 for word, context in zip(own, (beside_ * np.uint64(0xFF51AFD7ED558CCD) ^ codes).view(np.int64).tolist(), strict=True):
                     if context < least.get(word, 1 << 63):
                         least[word] = context
-                parts.append(pd.DataFrame({"word": list(least), "toxic": np.int32(toxic), "context": list(least.values())}))
+                parts.append(pd.DataFrame({"word": list(least), "context": list(least.values())}))
         if parts:
             yield pd.concat(parts).drop_duplicates()
         known.clear()
 
 
+def _counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(word, y0): texts of a batch that have a token."""
+    for frame in frames:
+        seen = Counter(w for text in frame["text"] for w in set(tokens(text)))
+        yield pd.DataFrame({"word": pd.Series(list(seen), dtype=object), "y0": pd.Series(list(seen.values()), dtype="int64")})
+
+
 def learn(texts: DataFrame) -> Model:
     """Significant tokens of (text, toxic), their scores, and what all others score."""
     with scope(texts.sparkSession):
-        counts = texts.mapInPandas(_contexts, "word string, toxic int, context long").distinct().groupBy("word").agg(F.sum("toxic").alias("y1"), F.sum(1 - F.col("toxic")).alias("y0"))
-        counts = materialize(counts, "words")
+        own = texts.where("toxic = 1").mapInPandas(_contexts, "word string, context long").distinct().select("word", F.lit(1).alias("y1"), F.lit(0).cast("long").alias("y0"))
+        others = texts.where("toxic = 0").mapInPandas(_counted, "word string, y0 long").select("word", F.lit(0).alias("y1"), "y0")
+        counts = materialize(own.unionByName(others).groupBy("word").agg(F.sum("y1").alias("y1"), F.sum("y0").alias("y0")), "words")
         n1, n0 = counts.agg(F.sum("y1"), F.sum("y0")).first()
         if not n1 or not n0:
             return Model()
@@ -217,10 +232,10 @@ def calibrate(model: Model, rows: list[tuple[int, int, list[float]]]) -> Model:
     return model
 
 
-def fit(labelled: DataFrame, max_texts: int = 40_000) -> Model:
-    """Learn from rows with ``text`` and ``toxic``, of which about max_texts distinct ones train at most."""
-    with scope(labelled.sparkSession):
-        texts = materialize(sample(labelled, max_texts), "training")
+def fit(docs: DataFrame, labels: DataFrame, max_texts: int = 40_000) -> Model:
+    """Learn from (doc_id, text) and (doc_id, toxic); about max_texts distinct texts train at most."""
+    with scope(docs.sparkSession):
+        texts = materialize(sample(docs, labels, max_texts), "training")
         model = learn(texts)
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

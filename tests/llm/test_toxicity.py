@@ -54,7 +54,8 @@ def test_held_out_texts_and_passages(spark):
     rows = some_docs(700)
     copies = [(10_000 + i, "strange copied plover words " * 3 + str(i), 1) for i in range(300)]  # near copies with a wrong label
     df = spark.createDataFrame(rows + copies, "doc_id long, text string, toxic int")
-    model = t.fit(df.where("doc_id < 500 or doc_id >= 10000"))
+    training = df.where("doc_id < 500 or doc_id >= 10000")
+    model = t.fit(training, df)
     assert set(model.table) == set(INSULTS) and model.drift < 0 and 0.5 < model.rate < 1.5
     got = {x["doc_id"]: x for x in t.score(df, model, ["doc_id"]).collect()}
     held = [r for r in rows if r[0] >= 500]
@@ -66,7 +67,7 @@ def test_held_out_texts_and_passages(spark):
             assert (passage["start"], passage["end"]) == (places[0][0], places[-1][1]) and passage["chance"] <= t.ALPHA
         else:
             assert got[i]["passages"] == []
-    again = t.fit(df.where("doc_id < 500 or doc_id >= 10000").repartition(3))
+    again = t.fit(training.repartition(3), df)
     assert again.table == model.table and abs(again.slope - model.slope) < 1e-9
 
 
@@ -95,10 +96,10 @@ def test_chances_hold_on_random_tokens():
 
 def test_rows(spark):
     df = spark.createDataFrame([(2**60 + 1, None, 1), (2**60, "", 0), (None, "12 -- 34", None), (1, "oaf " * 50_000, 1), (1, "oaf " * 50_000, 1)], "doc_id long, text string, toxic int").selectExpr("*", "1 as score", "2 as `pas``sages`")
-    model = t.fit(df)
+    model = t.fit(df, df)
     got = t.score(df, model, ["doc_id", "pas`sages"]).collect()
     assert sorted(map(str, (r["doc_id"] for r in got))) == sorted(map(str, (2**60 + 1, 2**60, None, 1, 1)))
     assert all(0 <= r["score"] <= 1 for r in got) and all(r["pas`sages"] == 2 for r in got)
-    assert t.fit(df.limit(0)).constant == 0.0 and t.score(df.limit(0), model, ["doc_id"]).count() == 0
-    only = t.fit(df.where("toxic = 1"))
+    assert t.fit(df.limit(0), df).constant == 0.0 and t.score(df.limit(0), model, ["doc_id"]).count() == 0
+    only = t.fit(df, df.where("toxic = 1"))
     assert {r["score"] for r in t.score(df, only, ["doc_id"]).collect()} == {1.0}
