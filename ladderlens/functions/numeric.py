@@ -7,6 +7,9 @@ from collections.abc import Callable
 
 import numpy as np
 
+#: How far below 0, as a part of the largest drift, a prefix sum is pushed at each rank.
+MARGIN = 1e-10
+
 
 def pava(y: np.ndarray, w: np.ndarray) -> np.ndarray:
     """Weighted least-squares fit that never decreases."""
@@ -190,28 +193,40 @@ def keep_head(g: np.ndarray, m: int, protect: int) -> np.ndarray:
     return np.append(g[:protect], pava(g[protect:], np.ones(len(g) - protect)))
 
 
+def least_shift(g: np.ndarray, m: int) -> float:
+    """The least c >= 0 by which all drifts must fall, so that prefix sums don't rise above 0 once the sum has gone to the last m.
+
+    Before the last m ranks, a prefix of j ranks then sums to j (mean - c), so c
+    is at least every such mean.  A prefix that ends among the last m is minus
+    the sum of what follows: of j ranks with mean x that is
+    j (x - c + (n c - S) / m), where S is the sum of all.  It is 0 or more if
+    c (n - m) is at least S - m x, for the least such x.
+    """
+    n = len(g)
+    need = float((np.cumsum(g[: n - m]) / np.arange(1, n - m + 1)).max(initial=0.0))
+    if m > 1:
+        after = float((np.cumsum(g[: n - m : -1]) / np.arange(1, m)).min())
+        need = max(need, (float(g.sum()) - m * after) / (n - m))
+    return need
+
+
 def stationary(g: np.ndarray, variant: str, m: int, protect: int = 1000) -> tuple[np.ndarray, bool]:
     """Drifts shifted so that they sum to 0 with negative prefix sums, and whether that came out.
 
     variant ``uplift``: the sum goes to the last m ranks.  ``shift``: all are
-    lowered until prefix sums are negative, then the sum goes to the last m.
-    ``tail``: the head keeps its drifts (``keep_head``).
+    lowered first, by the least constant with which that gives negative prefix
+    sums.  ``tail``: the head keeps its drifts (``keep_head``).
     """
     g, n = np.array(g, float), len(g)
     m = min(m, n - 1)
-    k = np.arange(1, n + 1)
-    if variant == "uplift":
-        if g.sum() >= 0:
-            return g, False
-    elif variant == "shift":
-        share = np.maximum(0, k - (n - m))
-        slack = k - n / m * share
-        slack[slack <= 0] = slack[slack > 0].min()
-        g -= max(0.0, float(((1e-12 + np.cumsum(g) - g.sum() * share / m) / slack)[:-1].max())) + 1e-12
-    elif variant == "tail":
+    if variant == "tail":
         g = keep_head(g, m, protect)
         return g, bool((np.cumsum(g)[:-1] < 0).all() and abs(g.sum()) <= 1e-7)
-    else:
+    if variant == "uplift" and g.sum() >= 0:
+        return g, False
+    if variant == "shift":
+        g -= least_shift(g, m) + MARGIN * (1 + float(np.abs(g).max()))
+    elif variant != "uplift":
         raise ValueError(variant)
     g[n - m :] -= g.sum() / m
     return g, bool((np.cumsum(g)[:-1] < 0).all() and abs(g.sum()) <= 1e-9)

@@ -42,6 +42,13 @@ def schedule(head: DataFrame, sizes: Sequence[int], k0: int, alpha: float) -> Da
     return running_max(out.withColumn("g", F.when(F.col("k") < k0, F.col("_head")).otherwise(tail)), "g", ["candidate", "n"]).select("candidate", "n", "k", "g")
 
 
+def held(head: DataFrame, n: int) -> DataFrame:
+    """(candidate, n, k, g) for k up to n: ranks that the head lacks take the drift of the one before."""
+    ranks = head.select("candidate").distinct().withColumn("n", F.lit(n)).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(n))))
+    order = Window.partitionBy("candidate").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    return ranks.join(head.select("candidate", "k", "g"), ["candidate", "k"], "left").withColumn("g", F.last("g", ignorenulls=True).over(order)).select("candidate", "n", "k", "g")
+
+
 def uplift_sizes(n: Column, fixed: Sequence[int], least: int) -> Column:
     """The uplifts m for a size n: a fixed list, a twentieth and a tenth of n (``least`` at least), and all ranks but one."""
     own = [F.greatest(F.lit(least), F.floor(n / parts).cast("int")) for parts in (20, 10)]
@@ -62,6 +69,30 @@ def uplifted(schedules: DataFrame, uplifts: Column) -> DataFrame:
     return own.withColumn("feasible", (F.col("_s") < 0) & (F.max(F.when(F.col("k") < F.col("n"), F.col("big_g"))).over(whole) < 0)).drop("_s")
 
 
+def shifted(schedules: DataFrame, m: Column, margin: float = 1e-10) -> DataFrame:
+    """Schedules lowered by the least constant with which prefix sums stay below 0 once the sum has gone to the last m ranks; and prefix sums.
+
+    The constant is the largest mean of a prefix before those ranks, or what
+    the least mean of the ranks after any of them asks for
+    (``numeric.least_shift``).  k runs from 1 to n without gaps.
+    """
+    whole = Window.partitionBy("candidate", "n")
+    order = whole.orderBy("k")
+    k, n = F.col("k"), F.col("n")
+    own = schedules.withColumn("m", F.least(m, n - 1)).withColumn("_s", F.sum("g").over(whole)).withColumn("_most", F.max(F.abs("g")).over(whole))
+    before = F.sum("g").over(order.rowsBetween(Window.unboundedPreceding, 0)) / k
+    after = F.sum("g").over(order.rowsBetween(1, Window.unboundedFollowing)) / (n - k)
+    own = own.withColumn("_before", F.when(k <= n - F.col("m"), before)).withColumn("_after", F.when((k > n - F.col("m")) & (k < n), after))
+    tail = (F.col("_s") - F.col("m") * F.min("_after").over(whole)) / (n - F.col("m"))
+    need = F.greatest(F.lit(0.0), F.max("_before").over(whole), tail) + margin * (1 + F.col("_most"))
+    own = own.withColumn("_c", need)
+    lift = F.when(k > n - F.col("m"), (F.col("_s") - n * F.col("_c")) / F.col("m")).otherwise(0.0)
+    own = own.withColumn("g", F.col("g") - F.col("_c") - lift)
+    own = own.withColumn("big_g", F.sum("g").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    feasible = (F.max(F.when(k < n, F.col("big_g"))).over(whole) < 0) & (F.abs(F.sum("g").over(whole)) <= 1e-9)
+    return own.withColumn("feasible", feasible).drop("_s", "_most", "_before", "_after", "_c")
+
+
 def first_feasible(candidates: DataFrame) -> DataFrame:
     """The rows of each (candidate, n) with its least feasible m."""
     least = F.min(F.when(F.col("feasible"), F.col("m"))).over(Window.partitionBy("candidate", "n"))

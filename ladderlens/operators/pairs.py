@@ -78,8 +78,8 @@ def standardized(g: Column, rank: Column) -> Column:
     return F.when(rank > 1, g / F.sqrt(F.ln(rank)))
 
 
-def rank_gaps(panel: DataFrame, period: str, value: str, rank: str, block: int = 4096) -> DataFrame:
-    """Log gap to the next rank of the same period.
+def rank_gaps(panel: DataFrame, period: str, value: str, rank: str, block: int = 4096, how: str = "inner") -> DataFrame:
+    """Log gap to the next rank of the same period; how="left" keeps rows without one.
 
     Periods are cut into blocks of ranks; a block's first rank is copied to the
     block before, so that each task holds a block and every rank meets its next.
@@ -88,7 +88,7 @@ def rank_gaps(panel: DataFrame, period: str, value: str, rank: str, block: int =
     cut = panel.withColumn("_block", F.explode(F.array_distinct(F.array(at, F.floor((F.col(rank) - 1) / block)))))
     order = Window.partitionBy(period, "_block").orderBy(rank)
     nxt = F.when(F.lead(rank).over(order) == F.col(rank) + 1, F.lead(value).over(order))
-    out = cut.withColumn("gap", F.ln(value) - F.ln(nxt)).where(F.col("gap").isNotNull() & (F.col("_block") == at))
+    out = cut.withColumn("gap", F.ln(value) - F.ln(nxt)).where((F.col("_block") == at) & (F.col("gap").isNotNull() | F.lit(how == "left")))
     return out.drop("_block")
 
 

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ladderlens.operators.quantiles import quantiles
+
 
 def week_of(date: Column | str) -> Column:
     """The Monday of a date's week."""
@@ -185,8 +187,8 @@ def full_head_periods(df: DataFrame, period: str, rank: str, k: int) -> DataFram
 
 
 def winsorize(df: DataFrame, value: str, q: float) -> DataFrame:
-    """value cut at its global q-quantile."""
-    cut = df.agg(F.percentile(value, q).alias("_cut"))  # one row
+    """value cut at its global q-quantile, which is found by counts of slices; they read df some times, so it should be a table."""
+    cut = quantiles(df, value, [q]).agg(F.max("q").alias("_cut"))  # one row
     return df.crossJoin(F.broadcast(cut)).withColumn(value, F.least(value, "_cut")).drop("_cut")
 
 

@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ladderlens.operators import pairs
+from ladderlens.operators.quantiles import quantiles
+
 
 def rank_summary(df: DataFrame, rank: str, value: str, least: int = 1) -> DataFrame:
     """(k, mean, middle, variance, n) of value for each rank with at least so many rows."""
@@ -14,12 +17,31 @@ def rank_summary(df: DataFrame, rank: str, value: str, least: int = 1) -> DataFr
     return out.where(F.col("n") >= least)
 
 
-def head_table(weekly: DataFrame, growth: DataFrame, gaps: DataFrame, k_max: int) -> DataFrame:
-    """(k, bar_g, v, n, delta, mhat): mean growth and its variance, mean log gap, mean log share, by rank."""
-    g = rank_summary(growth, "rank_w", "g").select("k", F.col("mean").alias("bar_g"), F.col("variance").alias("v"), "n")
-    gap = gaps.groupBy(F.col("rank_w").alias("k")).agg(F.avg("gap").alias("delta"))
-    m = weekly.groupBy(F.col("rank_w").alias("k")).agg(F.avg(F.ln("weekly_share")).alias("mhat"))
-    return m.where(F.col("k") <= k_max).join(g, "k", "left").join(gap, "k", "left")
+def rank_table(panel: DataFrame, period: str, value: str, rank: str, k_max: int, days: int) -> DataFrame:
+    """A row for each rank k up to k_max, from one pass over the panel.
+
+    bar_g, tilde_g, v, n: mean, median, variance and number of growths to
+    ``days`` later; delta: mean log gap to the next rank; mhat: mean log value;
+    value_sum and periods: the sum of the values, and how many there are.
+    """
+    own = pairs.growth_pairs(panel, period, value, rank, [1], days, "left")
+    own = pairs.rank_gaps(own, period, value, rank, how="left").where(F.col(rank) <= k_max)
+    return own.groupBy(F.col(rank).alias("k")).agg(
+        F.avg("g").alias("bar_g"),
+        F.median("g").alias("tilde_g"),  # a rank has a value a period
+        F.var_samp("g").alias("v"),
+        F.nullif(F.count("g"), F.lit(0)).alias("n"),
+        F.avg("gap").alias("delta"),
+        F.avg(F.ln(value)).alias("mhat"),
+        F.sum(value).alias("value_sum"),
+        F.count("*").alias("periods"),
+    )
+
+
+def share_of_top(ranks: DataFrame, k: int) -> DataFrame:
+    """One row: the mean over periods of the share of the top k, from a rank table of shares; every period has a rank 1."""
+    top = F.sum(F.when(F.col("k") <= k, F.col("value_sum")))
+    return ranks.agg((top / F.max(F.when(F.col("k") == 1, F.col("periods")))).alias("top_share"))
 
 
 def top_share(weekly: DataFrame, k: int) -> DataFrame:
@@ -47,10 +69,10 @@ def weighted_median(df: DataFrame, value: str, weight: str, group: Sequence[str]
 
 
 def brown_forsythe(df: DataFrame, group: Column, value: str) -> DataFrame:
-    """One row: F of the groups' spread around their medians, with its degrees of freedom."""
+    """One row: F of the groups' spread around their medians, with its degrees of freedom; there are few groups, of any size."""
     own = df.select(group.alias("_g"), F.col(value).alias("_x"))
-    mid = own.groupBy("_g").agg(F.median("_x").alias("_mid"))
-    z = own.join(mid, "_g").select("_g", F.abs(F.col("_x") - F.col("_mid")).alias("z"))
+    mid = quantiles(own, "_x", [0.5], ["_g"]).select("_g", F.col("q").alias("_mid"))
+    z = own.join(F.broadcast(mid), "_g").select("_g", F.abs(F.col("_x") - F.col("_mid")).alias("z"))
     by = z.groupBy("_g").agg(F.count("*").alias("n"), F.avg("z").alias("mean"), F.sum(F.col("z") * F.col("z")).alias("squares"))
     whole = by.agg(F.count("*").alias("groups"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("mean")).alias("total"), F.sum(F.col("n") * F.col("mean") ** 2).alias("between"), F.sum("squares").alias("squares"))
     between = F.col("between") - F.col("total") ** 2 / F.col("n")

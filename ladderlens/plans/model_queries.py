@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ladderlens.config import SMALL, EngineConfig
-from ladderlens.functions import numeric
-from ladderlens.operators import model, pairs, stats
+from ladderlens.functions import numeric, pooling
+from ladderlens.functions.spline import smoothing_spline
+from ladderlens.operators import isotone, model, pairs, stats
 from ladderlens.plans.inputs import rounded, supplier_weeks, user_days
 from ladderlens.plans.stat_queries import GROWTH_SQL, first_rank_line, head
 from ladderlens.registry import query
+from ladderlens.tables import keep
 
 SIGMA_SQL = """
 o AS (SELECT k, v, n, sum(n) OVER (ORDER BY v, k ROWS UNBOUNDED PRECEDING) / sum(n) OVER () AS cw FROM head WHERE v IS NOT NULL),
@@ -34,10 +37,14 @@ def gap_drift(spark, d, k_max=50):
     return model.drift_from_gaps(with_sigma(head(spark, d, k_max)), F.col("sigma2"))
 
 
+def heads(spark, d, sizes):
+    """Heads of several sizes, from one rank table; the size is the candidate."""
+    return head(spark, d, max(sizes)).withColumn("candidate", F.explode(F.array(*map(F.lit, sizes)))).where("k <= candidate")
+
+
 def gap_drifts(spark, d, sizes):
     """The gap drift of heads of several sizes, from one panel; the size is the candidate."""
-    own = head(spark, d, max(sizes)).withColumn("candidate", F.explode(F.array(*map(F.lit, sizes)))).where("k <= candidate")
-    return model.drift_from_gaps(with_sigma(own), F.col("sigma2"))
+    return model.drift_from_gaps(with_sigma(heads(spark, d, sizes)), F.col("sigma2"))
 
 
 @query("m4_drift_from_gaps", f"WITH {GROWTH_SQL}, {SIGMA_SQL} SELECT k, round(r, 5) AS r, round(big_g, 5) AS big_g, round(g, 5) AS g FROM gap_g")
@@ -50,16 +57,6 @@ def w15(spark, d):
     return gap_drift(spark, d).select("k", *rounded("g", digits=5))
 
 
-def isotonic(own, value: str, weight: str, penalty: float = 0.0):
-    """own (candidate, k, value, weight) with iso, its monotone fit in k; a candidate is a task."""
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("k")
-        return pd.DataFrame({"candidate": pdf["candidate"], "k": pdf["k"], "iso": numeric.pava_tv(pdf[value].to_numpy(float), pdf[weight].to_numpy(float), penalty)})
-
-    return own.select("candidate", "k", value, weight).groupBy("candidate").applyInPandas(fit, "candidate int, k int, iso double")
-
-
 ISO_SQL = """
 pre AS (SELECT k, row_number() OVER (ORDER BY k) AS i, sum(w) OVER (ORDER BY k ROWS UNBOUNDED PRECEDING) AS cw, sum(w * y) OVER (ORDER BY k ROWS UNBOUNDED PRECEDING) AS cy, w, y FROM src),
 blocks AS (SELECT a.i AS i, b.i AS j, (b.cy - a.cy + a.w * a.y) / (b.cw - a.cw + a.w) AS m FROM pre a JOIN pre b ON b.i >= a.i),
@@ -69,7 +66,13 @@ iso AS (SELECT p.k, max(x.m) AS iso FROM pre p JOIN (SELECT p2.i AS at, b.i, min
 @query("m1_isotonic", f"WITH {GROWTH_SQL}, src AS (SELECT k, bar_g AS y, n AS w FROM head WHERE bar_g IS NOT NULL), {ISO_SQL} SELECT k, round(iso, 6) AS iso FROM iso")
 def m1(spark, d):
     """Mean growth made monotone in rank, weighted by counts."""
-    return isotonic(head(spark, d).where("bar_g is not null").withColumn("candidate", F.lit(0)), "bar_g", "n").select("k", *rounded("iso"))
+    return isotone.monotone(head(spark, d), "bar_g", "n", []).select("k", *rounded("iso"))
+
+
+def around_market(own):
+    """Mean growth less the market's, which is its weighted mean over the ranks of a candidate, as y."""
+    whole = Window.partitionBy("candidate")
+    return own.where("bar_g is not null").withColumn("y", F.col("bar_g") - F.sum(F.col("bar_g") * F.col("n")).over(whole) / F.sum("n").over(whole))
 
 
 @query(
@@ -79,16 +82,46 @@ def m1(spark, d):
 )
 def m2(spark, d):
     """Monotone drifts around the market's growth, with a penalty on total variation."""
-    own = head(spark, d).where("bar_g is not null").withColumn("candidate", F.lit(0))
-    gamma = own.agg((F.sum(F.col("bar_g") * F.col("n")) / F.sum("n")).alias("gamma"))
-    return isotonic(own.crossJoin(F.broadcast(gamma)).withColumn("y", F.col("bar_g") - F.col("gamma")), "y", "n", 2.0).select("k", *rounded("iso"))
+    return isotone.monotone(around_market(head(spark, d).withColumn("candidate", F.lit(0))), "y", "n", penalty=2.0).select("k", *rounded("iso"))
+
+
+@query("m2_robust_isotonic")
+def m2_robust(spark, d):
+    """The same with Huber's loss, for heads of several sizes and several widths of the part that is squared."""
+    sizes, widths = (50, 80), (0.1, 0.5, 1.0)
+    own = keep(around_market(heads(spark, d, sizes)), "drifts")
+    fits = [isotone.monotone(own, "y", "n", penalty=2.0, loss=pooling.Huber(width)).withColumn("width", F.lit(width)) for width in widths]
+    return reduce(DataFrame.unionByName, fits).select(F.col("candidate").alias("k_max"), "width", "k", *rounded("iso"))
+
+
+@query(
+    "m2_needs_robust",
+    f"WITH {GROWTH_SQL}, m AS (SELECT abs(h.bar_g - r.tilde_g) AS gap FROM head h JOIN rank_stats r USING (k)), c AS (SELECT median(gap) AS c FROM m), s AS (SELECT median(abs(gap - c)) AS mad FROM m, c) SELECT round(avg(CASE WHEN gap > 3 * mad THEN 1.0 ELSE 0.0 END), 6) AS far, avg(CASE WHEN gap > 3 * mad THEN 1.0 ELSE 0.0 END) > 0.25 AS robust FROM m, s",
+)
+def m2_needs_robust(spark, d):
+    """Whether means and medians of growth differ so often that the robust loss is called for."""
+    gaps = head(spark, d).where("bar_g is not null").select(F.abs(F.col("bar_g") - F.col("tilde_g")).alias("gap"))
+    middle = gaps.agg(F.median("gap").alias("c"))  # of a row a rank
+    spread = gaps.crossJoin(F.broadcast(middle)).agg(F.median(F.abs(F.col("gap") - F.col("c"))).alias("mad"))
+    far = gaps.crossJoin(F.broadcast(spread)).agg(F.avg((F.col("gap") > 3 * F.col("mad")).cast("double")).alias("far"))
+    return far.select(F.round("far", 6).alias("far"), (F.col("far") > 0.25).alias("robust"))
+
+
+@query("m3_fused_drift")
+def m3(spark, d):
+    """Drifts of few levels, by a penalty on steps, and their monotone fit, for heads of several sizes and several penalties."""
+    own = around_market(heads(spark, d, (30, 50, 80)))
+    smooth = keep(isotone.fused(own, "y", "n", [0.01, 0.05, 0.2, 1.0]), "fused")
+    weights = own.select("candidate", "k", "n")
+    iso = isotone.monotone(smooth.join(weights, ["candidate", "k"]), "smooth", "n", ["candidate", "part"])
+    return smooth.join(iso, ["candidate", "part", "k"]).select(F.col("candidate").alias("k_max"), "part", "k", *rounded("penalty", "smooth", "iso"))
 
 
 @query("m5_combined_drift", f"WITH {GROWTH_SQL}, {SIGMA_SQL}, src AS (SELECT k, coalesce(bar_g, g) AS y, CASE WHEN bar_g IS NULL THEN 1.0 ELSE n END AS w FROM gap_g), {ISO_SQL} SELECT k, round(iso, 5) AS iso FROM iso")
 def m5(spark, d):
     """Observed mean growth where there is any, gap drift elsewhere, made monotone."""
     own = gap_drift(spark, d).select("candidate", "k", F.coalesce("bar_g", "g").alias("y"), F.when(F.col("bar_g").isNull(), 1.0).otherwise(F.col("n")).alias("w"))
-    return isotonic(own, "y", "w").select("k", *rounded("iso", digits=5))
+    return isotone.monotone(own, "y", "w").select("k", *rounded("iso", digits=5))
 
 
 @query("m6_market_growth", f"WITH {GROWTH_SQL} SELECT round(sum(bar_g * n) / sum(n), 6) AS gamma_mean, round(median(bar_g), 6) AS gamma_median FROM head")
@@ -134,7 +167,7 @@ def tails(own, starts, anchored: bool):
 
 def lowered(own):
     """Monotone drifts of each candidate, lowered so that the last rank is below 0."""
-    own = isotonic(own.withColumn("w", F.lit(1.0)), "g", "w")
+    own = isotone.monotone(own.withColumn("w", F.lit(1.0)), "g", "w")
     return own.select("candidate", "k", (F.col("iso") - F.max("iso").over(Window.partitionBy("candidate")) - 0.01).alias("g"), F.lit(1.0).alias("w"))
 
 
@@ -228,9 +261,9 @@ line AS (SELECT *, (SELECT round(mhat, 9) FROM head WHERE k = 1) - coalesce(sum(
 model AS (SELECT *, exp(m_k - max(m_k) OVER (PARTITION BY n, m)) / sum(exp(m_k)) OVER (PARTITION BY n, m) * exp(max(m_k) OVER (PARTITION BY n, m)) AS mce FROM line)"""
 
 
-def plain_candidates(spark, d):
+def plain_candidates(spark, d, own=None):
     """Every uplift of the schedules of the gap drift, with sigma2 and the first log share m1."""
-    own = gap_drift(spark, d)
+    own = own or gap_drift(spark, d)
     scale = own.groupBy("candidate").agg(F.max("sigma2").alias("sigma2"), F.round(F.max(F.when(F.col("k") == 1, F.col("mhat"))), 9).alias("m1"))
     uplifts = model.uplift_sizes(F.col("n"), SMALL.uplift_grid, SMALL.uplift_least)
     return model.uplifted(schedules(spark, d, own), uplifts).join(F.broadcast(scale), "candidate")  # a row for each candidate
@@ -246,19 +279,31 @@ def m17(spark, d):
     return plain_candidates(spark, d).select("n", "m", "feasible").distinct()
 
 
+@query(
+    "m17_least_shift",
+    f"""WITH {SCHEDULE_SQL},
+    p AS (SELECT n, n // 10 AS m, k, g, sum(g) OVER w AS s, sum(g) OVER (w ORDER BY k ROWS UNBOUNDED PRECEDING) / k AS before, sum(g) OVER (w ORDER BY k ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) / nullif(n - k, 0) AS after, max(abs(g)) OVER w AS most FROM sched WINDOW w AS (PARTITION BY n)),
+    c AS (SELECT n, greatest(0, max(before) FILTER (k <= n - m), (max(s) - max(m) * min(after) FILTER (k > n - m AND k < n)) / max(n - m)) + 1e-10 * (1 + max(most)) AS c FROM p GROUP BY 1)
+    SELECT n, m, k, round(g - c - CASE WHEN k > n - m THEN (s - n * c) / m ELSE 0 END, 5) AS g FROM p JOIN c USING (n)""",
+)
+def m17_shift(spark, d):
+    """Schedules lowered by the least constant with which the sum may go to the last tenth of the ranks."""
+    return model.shifted(schedules(spark, d), F.floor(F.col("n") / 10).cast("int")).select("n", "m", "k", *rounded("g", digits=5))
+
+
 @query("m17_variants")
 def m17_variants(spark, d):
     """Every way of making a schedule stationary, and whether it came out."""
+    own, tenth = schedules(spark, d), F.floor(F.col("n") / 10).cast("int")
+    summed = lambda df, variant: df.groupBy("n").agg(F.lit(variant).alias("variant"), F.bool_and("feasible").alias("ok"), F.sum("g").alias("sum_g"), F.max(F.when(F.col("k") < F.col("n"), F.col("big_g"))).alias("max_prefix"))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         g, n = pdf.sort_values("k")["g"].to_numpy(float), int(pdf["n"].iloc[0])
-        rows = []
-        for variant in ("uplift", "shift", "tail"):
-            out, ok = numeric.stationary(g, variant, n // 10, SMALL.protect)
-            rows.append((n, variant, ok, float(out.sum()), float(np.cumsum(out)[:-1].max())))
-        return pd.DataFrame(rows, columns=["n", "variant", "ok", "sum_g", "max_prefix"])
+        out, ok = numeric.stationary(g, "tail", n // 10, SMALL.protect)
+        return pd.DataFrame([(n, "tail", ok, float(out.sum()), float(np.cumsum(out)[:-1].max()))], columns=["n", "variant", "ok", "sum_g", "max_prefix"])
 
-    return schedules(spark, d).groupBy("n").applyInPandas(fit, "n int, variant string, ok boolean, sum_g double, max_prefix double")
+    tail = own.groupBy("n").applyInPandas(fit, "n int, variant string, ok boolean, sum_g double, max_prefix double")
+    return summed(model.uplifted(own, F.array(tenth)), "uplift").unionByName(summed(model.shifted(own, tenth), "shift")).unionByName(tail)
 
 
 @query("m18_gap_rates", f"WITH {PLAIN_SQL} SELECT n, m, k, round(r, 5) AS r, round(m_k, 5) AS m_k FROM model")
@@ -292,7 +337,9 @@ FIT_SQL = f"{PLAIN_SQL}, top AS (SELECT avg(s) AS top_share FROM (SELECT sum(wee
 
 
 def plain_scores(spark, d):
-    return model.scores(plain_models(spark, d), head(spark, d).withColumn("candidate", F.lit(0)), stats.top_share(supplier_weeks(spark, d), SMALL.k_head), SMALL.k_head, SMALL.lambda_share)
+    own = gap_drift(spark, d)
+    models = model.curves(plain_candidates(spark, d, own).where("feasible"), F.col("sigma2"), F.col("m1"))
+    return model.scores(models, own, stats.share_of_top(own, SMALL.k_head), SMALL.k_head, SMALL.lambda_share)
 
 
 @query("m20_scores", f"WITH {FIT_SQL} SELECT n, m, round(rmse, 5) AS rmse, round(abs(modelled - top_share), 6) AS share_gap, round(rmse + abs(modelled - top_share), 5) AS score FROM fit, top")
@@ -329,7 +376,7 @@ def fitted(own, sizes=(100, 200, 400)):
 def m21(spark, d):
     """All feasible sizes and uplifts with their scores, best first; ranked from 1."""
     own = gap_drift(spark, d)
-    out = model.scores(fitted(own), own, stats.top_share(supplier_weeks(spark, d), SMALL.k_head), SMALL.k_head)
+    out = model.scores(fitted(own), own, stats.share_of_top(own, SMALL.k_head), SMALL.k_head)
     return out.withColumn("place", F.row_number().over(Window.partitionBy("candidate").orderBy("score", "n", "m")))
 
 
@@ -341,15 +388,13 @@ def m22(spark, d):
 
 @query("m23_head_sensitivity")
 def m23(spark, d):
-    """Best score for heads of several sizes, each refitted; all sizes come from one panel and run side by side."""
-    sizes, weekly = (30, 50, 70), supplier_weeks(spark, d)
-    own = gap_drifts(spark, d, sizes)
+    """Best score for heads of several sizes, each refitted; all sizes come from one rank table and run side by side."""
+    own = gap_drifts(spark, d, (30, 50, 70))
     models = fitted(own, (100, 200))
     met = models.where("k <= candidate").join(own.select("candidate", "k", "mhat"), ["candidate", "k"])
     fit = met.groupBy("candidate", "n", "m").agg(F.sqrt(F.avg((F.col("m_k") - F.col("mhat")) ** 2)).alias("rmse"), F.sum("mce").alias("modelled_share"))
-    sums = weekly.groupBy("week_start").agg(*[F.sum(F.when(F.col("rank_w") <= k, F.col("weekly_share"))).alias(str(k)) for k in sizes])
-    top = sums.agg(*[F.avg(str(k)).alias(str(k)) for k in sizes]).select(F.inline(F.array(*[F.struct(F.lit(k).alias("candidate"), F.col(str(k)).alias("top_share")) for k in sizes])))
-    out = fit.join(F.broadcast(top), "candidate").withColumn("score", F.col("rmse") + F.abs(F.col("modelled_share") - F.col("top_share")))
+    top = own.groupBy("candidate").agg((F.sum("value_sum") / F.max(F.when(F.col("k") == 1, F.col("periods")))).alias("top_share"))
+    out = fit.join(F.broadcast(top), "candidate").withColumn("score", F.col("rmse") + F.abs(F.col("modelled_share") - F.col("top_share")))  # a row for each head size
     return out.groupBy(F.col("candidate").alias("k_max")).agg(F.min("score").alias("score"), F.min_by("n", "score").alias("n"), F.min_by("m", "score").alias("m"))
 
 
@@ -367,42 +412,79 @@ def m25(spark, d):
     return own.select("k", "bar_g", "g").join(robust, "k").crossJoin(F.broadcast(gap)).select("k", F.when(F.col("mean_gap") > 0.05, F.col("robust_g")).otherwise(F.col("bar_g")).alias("drift"), "mean_gap")
 
 
-@query("m26_simple_curve")
+@query(
+    "m26_simple_curve",
+    f"""WITH {GROWTH_SQL}, {SIGMA_SQL}, src AS (SELECT k, bar_g - (SELECT median(bar_g) FROM head) AS y, n AS w FROM head WHERE bar_g IS NOT NULL), {ISO_SQL},
+    full_g AS (SELECT k, 400 AS n, 50 AS m, last_value(iso IGNORE NULLS) OVER (ORDER BY k ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT unnest(generate_series(1, 400)) AS k) LEFT JOIN iso USING (k)),
+    p AS (SELECT *, sum(g) OVER () AS s, sum(g) OVER (ORDER BY k ROWS UNBOUNDED PRECEDING) / k AS before, sum(g) OVER (ORDER BY k ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) / nullif(n - k, 0) AS after, max(abs(g)) OVER () AS most FROM full_g),
+    c AS (SELECT greatest(0, max(before) FILTER (k <= n - m), (max(s) - max(m) * min(after) FILTER (k > n - m AND k < n)) / max(n - m)) + 1e-10 * (1 + max(most)) AS c FROM p),
+    q AS (SELECT k, n, g - c - CASE WHEN k > n - m THEN (s - n * c) / m ELSE 0 END AS g FROM p, c),
+    r AS (SELECT k, CASE WHEN k < n THEN -2 * sum(g) OVER (ORDER BY k ROWS UNBOUNDED PRECEDING) / (SELECT sigma2 FROM s2) END AS r FROM q)
+    SELECT k, r > 0 AS falls FROM r WHERE k < 400""",
+)
 def m26(spark, d):
-    """Shares by rank of a model made in one go: monotone drift, power tail, stationary shift, weights."""
-    own = with_sigma(head(spark, d)).where("bar_g is not null").select("candidate", "k", "bar_g", "n", "sigma2")
+    """Ranks at which the curve of a model made in one go falls: monotone drift, the last drift up to 400 ranks, least shift."""
+    return simple_curve(spark, d).where("k < n").select("k", (F.col("r") > 0).alias("falls"))
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("k")
-        w = pdf["n"].to_numpy(float)
-        g = numeric.pava(pdf["bar_g"].to_numpy(float) - float(np.median(pdf["bar_g"])), w)
-        g = np.concatenate([g, np.full(400 - len(g), g[-1])]) if len(g) < 400 else g
-        g, ok = numeric.stationary(g, "shift", 50)
-        out = numeric.curve(g, float(pdf["sigma2"].iloc[0]), 0.0)
-        return pd.DataFrame({"k": np.arange(1, len(g) + 1), "m_k": out["m"], "mce": out["mce"], "ok": ok})
 
-    return own.groupBy("candidate").applyInPandas(fit, "k int, m_k double, mce double, ok boolean")
+def simple_curve(spark, d, n=400, m=50):
+    own = with_sigma(head(spark, d)).where("bar_g is not null")
+    middle = own.groupBy("candidate").agg(F.median("bar_g").alias("middle"), F.first("sigma2").alias("sigma2"))
+    iso = isotone.monotone(own.join(middle.drop("sigma2"), "candidate").withColumn("y", F.col("bar_g") - F.col("middle")), "y", "n").withColumnRenamed("iso", "g")
+    full = model.held(iso, n)
+    return model.curves(model.shifted(full, F.lit(m)).join(middle, "candidate"), F.col("sigma2"), F.lit(0.0))
 
 
-@query("m11_smooth_variance")
-def m11(spark, d):
-    """Variance by rank, smoothed over log rank."""
-    own = head(spark, d, 10_000).where("v is not null").select("k", "v", "n", F.lit(0).alias("candidate"))
+@query("m26_curve")
+def m26_curve(spark, d):
+    """That model's log curve and weights."""
+    return simple_curve(spark, d).select("k", "m_k", "mce", F.col("feasible").alias("ok"))
+
+
+def splined(own, x, y, parts):
+    """own (candidate, k, ..) with the smoothing spline of y over x, through what parts makes of it; a candidate is a task."""
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("k")
-        return pd.DataFrame({"k": pdf["k"], "smooth_v": np.maximum(numeric.smooth(pdf["k"].to_numpy(), pdf["v"].to_numpy(float), pdf["n"].to_numpy(float)), 1e-10)})
+        return parts(pdf[["candidate", "k"]].reset_index(drop=True), smoothing_spline(pdf["x"].to_numpy(float), pdf["y"].to_numpy(float)))
+
+    return lambda schema: own.select("candidate", "k", x.cast("double").alias("x"), y.cast("double").alias("y")).groupBy("candidate").applyInPandas(fit, schema)
 
-    return own.groupBy("candidate").applyInPandas(fit, "k int, smooth_v double")
+
+def smooth_variance(own):
+    """(candidate, k, smooth_v, freedom): variances by rank, smoothed by a spline whose strength is cross-validated."""
+    parts = lambda ranks, f: ranks.assign(smooth_v=np.maximum(f.value, 1e-10), freedom=f.freedom)
+    return splined(own.where("v is not null"), F.col("k"), F.greatest("v", F.lit(1e-10)), parts)("candidate int, k int, smooth_v double, freedom double")
+
+
+@query("m11_smooth_variance")
+def m11(spark, d):
+    """Variance by rank, smoothed, for heads of several sizes."""
+    return smooth_variance(heads(spark, d, (50, 100, 10_000))).withColumnRenamed("candidate", "k_max")
 
 
 @query("m12_piecewise_variance")
 def m12(spark, d):
-    """Smooth variance at the top and in the tail, the trimmed mean in between."""
-    own = with_sigma(head(spark, d, 10_000)).select("k", "sigma2")
-    smooth = m11(spark, d)
+    """Smooth variance at the top and in the tail, the trimmed mean in between, for heads of several sizes."""
+    own = with_sigma(heads(spark, d, (50, 100, 10_000))).select("candidate", "k", "sigma2", "v")
     body = F.col("k").between(20, 60)
-    return own.join(smooth, "k").select("k", F.when(body, F.col("sigma2")).otherwise(F.col("smooth_v")).alias("sigma2"), body.alias("in_body"))
+    return own.join(smooth_variance(own), ["candidate", "k"]).select(F.col("candidate").alias("k_max"), "k", F.when(body, F.col("sigma2")).otherwise(F.col("smooth_v")).alias("sigma2"), body.alias("in_body"))
+
+
+@query("m30_slope_and_curvature")
+def m30(spark, d):
+    """Slope and curvature of the mean log share in log rank, from its smoothing spline: their signs, Kendall's tau of the slope, and quantiles of it, for several numbers of ranks."""
+    parts = lambda ranks, f: ranks.assign(x=f.x, slope=f.slope(), bend=f.second)
+    fits = splined(heads(spark, d, (50, 100, 10_000)), F.ln("k"), F.col("mhat"), parts)("candidate int, k int, x double, slope double, bend double")
+
+    def tau(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("k")
+        return pd.DataFrame({"candidate": pdf["candidate"].head(1), "tau": [numeric.kendall(pdf["x"].to_numpy(), pdf["slope"].to_numpy())]})
+
+    sums = fits.groupBy("candidate").agg(
+        F.avg((F.col("slope") < 0).cast("double")).alias("falling"), F.avg((F.col("bend") < 0).cast("double")).alias("bent_down"), *[F.percentile("slope", p / 100).alias(f"q{p}") for p in (10, 50, 90)]
+    )
+    return sums.join(fits.groupBy("candidate").applyInPandas(tau, "candidate int, tau double"), "candidate").withColumnRenamed("candidate", "k_max")
 
 
 @query("m37_simulation")

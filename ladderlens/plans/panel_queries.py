@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from ladderlens.config import SMALL
 from ladderlens.operators import panels
+from ladderlens.operators.quantiles import quantiles
 from ladderlens.plans.inputs import CUSTOMERS, DAYS_SQL, PARTS, SUPPLIERS, customer_weeks, part_weeks, rounded, supplier_weeks, user_days
 from ladderlens.registry import query
 from ladderlens.session import table
+from ladderlens.tables import keep
 
 
 @query("p1_interactions", "SELECT l_suppkey, CAST(sum(coalesce(CAST(l_quantity AS BIGINT), 0) + coalesce(CAST(l_linenumber AS BIGINT), 0)) AS BIGINT) AS interactions FROM lineitem GROUP BY 1")
@@ -32,7 +34,9 @@ def p3(spark, d):
 
 @query("p4_winsorize_global", f"WITH {DAYS_SQL}, cut AS (SELECT quantile_cont(metric_value, 0.999) AS c FROM daily) SELECT date, endpoint_id, round(least(metric_value, c), 6) AS metric_value FROM daily, cut")
 def p4(spark, d):
-    return panels.winsorize(user_days(spark, d), "metric_value", 0.999).select("date", "endpoint_id", *rounded("metric_value"))
+    own = panels.activity(table(spark, d, "events"), F.to_date("ts"), F.col("user_id"), F.col("value"), ("date", "endpoint_id", "metric_value"))
+    own = keep(panels.positive(own, "metric_value", ["date", "endpoint_id"]), "activity")
+    return panels.winsorize(own, "metric_value", 0.999).select("date", "endpoint_id", *rounded("metric_value"))
 
 
 GROWTH_SQL = """
@@ -144,8 +148,8 @@ def p17(spark, d):
 )
 def p18(spark, d):
     """Logs of shares with a floor of a tenth of their 0.001-quantile."""
-    weekly = part_weeks(spark, d)
-    eps = weekly.where("weekly_share > 0").agg(F.greatest(F.lit(1e-12), F.percentile("weekly_share", 0.001) / 10).alias("eps"))
+    weekly = keep(part_weeks(spark, d).select("weekly_share"), "shares")
+    eps = quantiles(weekly.where("weekly_share > 0"), "weekly_share", [0.001]).select(F.greatest(F.lit(1e-12), F.col("q") / 10).alias("eps"))
     return weekly.crossJoin(F.broadcast(eps)).agg(F.count("*").alias("n"), F.round(F.min(F.ln(F.greatest("weekly_share", "eps"))), 6).alias("least_log"), F.round(F.max("eps"), 12).alias("eps"))
 
 

@@ -9,11 +9,13 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ladderlens.config import SMALL
+from ladderlens.config import SMALL, EngineConfig
 from ladderlens.functions import numeric
 from ladderlens.operators import churn, pairs, stats
+from ladderlens.operators.density import densities
 from ladderlens.plans.inputs import DAYS_SQL, SUPPLIERS, rounded, supplier_weeks, user_days
 from ladderlens.registry import query
+from ladderlens.tables import keep
 
 GROWTH_SQL = f"""{SUPPLIERS},
 growth AS (SELECT a.week_start, a.endpoint_id, a.rank_w, ln(b.weekly_share) - ln(a.weekly_share) AS g FROM weekly a JOIN weekly b ON b.endpoint_id = a.endpoint_id AND b.week_start = a.week_start + 7),
@@ -29,8 +31,8 @@ def week_growth(weekly):
 
 
 def head(spark, d, k_max=50):
-    weekly = supplier_weeks(spark, d)
-    return stats.head_table(weekly, week_growth(weekly), pairs.rank_gaps(weekly, "week_start", "weekly_share", "rank_w"), k_max)
+    """The rank table of the weekly panel; it is written, so that models start from its few rows."""
+    return keep(stats.rank_table(supplier_weeks(spark, d), "week_start", "weekly_share", "rank_w", k_max, 7), "ranks")
 
 
 @query("a5_rank_summary", f"WITH {GROWTH_SQL} SELECT k, round(bar_g, 6) AS mean, round(tilde_g, 6) AS middle, round(v, 6) AS variance, n FROM rank_stats WHERE n >= 30")
@@ -138,14 +140,14 @@ f AS (SELECT count(*) AS groups, sum(n) AS n, sum(n * m * m) - sum(n * m) * sum(
 @query("m9_brown_forsythe", f"WITH {BF_SQL} SELECT round((ssb / (groups - 1)) / (ssw / (n - groups)), 4) AS f, groups - 1 AS d1, CAST(n - groups AS BIGINT) AS d2 FROM f")
 def m9(spark, d):
     """F of the spread of growth over ten bins of ranks."""
-    own = week_growth(supplier_weeks(spark, d)).where("rank_w <= 50")
+    own = keep(week_growth(supplier_weeks(spark, d)).where("rank_w <= 50").select("rank_w", "g"), "growth")
     return stats.brown_forsythe(own, F.ceil(F.col("rank_w") / 5.0), "g").select(F.round("f", 4).alias("f"), "d1", "d2")
 
 
 @query("m10_window_pick")
 def m10(spark, d):
     """The first lower bound from which variances look equal, else the one with the largest p-value."""
-    own = week_growth(supplier_weeks(spark, d)).select("rank_w", "g")
+    own = keep(week_growth(supplier_weeks(spark, d)).where("rank_w <= 60").select("rank_w", "g"), "growth")
     tests = None
     for low in (5, 10, 20):  # fixed list of candidates, one aggregate each
         one = stats.brown_forsythe(own.where(F.col("rank_w").between(low + 1, 60)), F.ceil((F.col("rank_w") - low) / ((60 - low) / 10)), "g").withColumn("low", F.lit(low))
@@ -300,29 +302,10 @@ def m38(spark, d):
     return out.select("prev_rank", "n", F.round(F.col("s") / F.col("n"), 6).alias("mean_g"), F.round(spread, 6).alias("sd_g"))
 
 
-@query("m30_slope_and_curvature")
-def m30(spark, d):
-    """Slope and curvature of the mean log share in log rank, from its smooth form, with Kendall's tau of the slope."""
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("k")
-        x, y = np.log(pdf["k"].to_numpy(float)), numeric.smooth(pdf["k"].to_numpy(), pdf["mhat"].to_numpy(), np.ones(len(pdf)))
-        slope = np.gradient(y, x) if len(x) > 1 else np.zeros(len(x))
-        bend = np.gradient(slope, x) if len(x) > 1 else slope
-        q = np.percentile(slope, [10, 50, 90])
-        return pd.DataFrame({"negative": [float((bend < 0).mean())], "tau": [numeric.kendall(x, slope)], "q10": [q[0]], "q50": [q[1]], "q90": [q[2]]})
-
-    return head(spark, d, 10_000).select("k", "mhat", F.lit(0).alias("c")).groupBy("c").applyInPandas(fit, "negative double, tau double, q10 double, q50 double, q90 double")
-
-
 @query("m32_density")
 def m32(spark, d):
-    """Density of weekly growth at 41 points, from some ranks."""
-    own = week_growth(supplier_weeks(spark, d)).where(F.col("rank_w").isin(2, 8, 32)).select("rank_w", "g")
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        points = np.linspace(-4, 4, 41)
-        dens = numeric.density(pdf["g"].to_numpy(), points) if len(pdf) > 1 else np.zeros(41)
-        return pd.DataFrame({"rank_w": int(pdf["rank_w"].iloc[0]), "x": points, "density": dens})
-
-    return own.groupBy("rank_w").applyInPandas(fit, "rank_w int, x double, density double")
+    """Densities of weekly growth by horizon and rank at the start, with one bandwidth for each horizon."""
+    config = EngineConfig()
+    weekly = supplier_weeks(spark, d)
+    own = pairs.growth_pairs(weekly, "week_start", "weekly_share", "rank_w", config.weekly_horizons, 7).where(F.col("rank_w").isin(*config.ranks_keep)).select("horizon", "rank_w", "g")
+    return densities(keep(own, "growth"), "g", ["horizon"], ["rank_w"])
