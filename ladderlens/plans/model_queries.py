@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ladderlens.config import SMALL, EngineConfig
 from ladderlens.functions import numeric, pooling
 from ladderlens.functions.spline import smoothing_spline
-from ladderlens.operators import isotone, model, pairs, stats
+from ladderlens.operators import bootstrap, isotone, model, pairs, stats
 from ladderlens.plans.inputs import rounded, supplier_weeks, user_days
 from ladderlens.plans.stat_queries import GROWTH_SQL, first_rank_line, head
 from ladderlens.registry import query
@@ -516,20 +516,9 @@ def m37(spark, d):
 
 @query("m39_block_bootstrap")
 def m39(spark, d):
-    """Bands, over replicates of blocks of weeks drawn with replacement, of mean log share by rank and of the mean share of the top k_head (series top_share).
-
-    The shares are those observed; the reference's come from a curve of each replicate.
-    """
-    weekly = supplier_weeks(spark, d).where(F.col("rank_w") <= SMALL.k_head)
-    weeks = weekly.select("week_start").distinct().select("week_start", F.row_number().over(Window.orderBy("week_start")).alias("idx"))  # a row for each week
-    span = weeks.agg(F.max("idx").alias("n"))
-    block = SMALL.bootstrap_block
-    picks = spark.range(EngineConfig().bootstrap_replicates).select(F.col("id").alias("b")).crossJoin(F.broadcast(span)).withColumn("j", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / block) - 1)))
-    start = F.pmod(F.xxhash64("b", "j", F.lit(SMALL.seed)), F.greatest(F.col("n") - block + 1, F.lit(1))) + 1
-    drawn = picks.withColumn("idx", F.explode(F.sequence(start, start + block - 1))).join(weeks, "idx").groupBy("b", "week_start").agg(F.count("*").alias("times"))
-    rows = weekly.join(F.broadcast(drawn), "week_start")  # replicates x weeks rows
-    means = rows.groupBy("b", F.col("rank_w").alias("k")).agg((F.sum(F.ln("weekly_share") * F.col("times")) / F.sum("times")).alias("m"))
-    top = weekly.groupBy("week_start").agg(F.sum("weekly_share").alias("s")).join(F.broadcast(drawn), "week_start")
-    top = top.groupBy("b").agg((F.sum(F.col("s") * F.col("times")) / F.sum("times")).alias("m")).select("b", F.lit(SMALL.k_head).alias("k"), "m")
-    both = means.withColumn("series", F.lit("log_share")).unionByName(top.withColumn("series", F.lit("top_share")))
-    return both.groupBy("series", "k").agg(*[F.percentile("m", p / 100).alias(f"p{p}") for p in (10, 50, 90)], F.count("*").alias("replicates"))
+    """Bands of the log curve by rank and of the modelled share of the top ranks, over refits on blocks of weeks drawn with replacement."""
+    weekly = supplier_weeks(spark, d).where(F.col("rank_w") <= SMALL.k_head)  # a growth counts where both weeks are in the head
+    own = pairs.growth_pairs(weekly, "week_start", "weekly_share", "rank_w", [1], 7, "left")
+    own = keep(own.select("week_start", F.col("rank_w").alias("k"), "g", F.ln("weekly_share").alias("log_share")), "head")
+    draws = bootstrap.drawn(own, "week_start", EngineConfig().bootstrap_replicates, SMALL.bootstrap_block, SMALL.seed)
+    return bootstrap.bands(bootstrap.curves(own, own, draws, "week_start"), [10, 20])

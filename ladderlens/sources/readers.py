@@ -46,6 +46,32 @@ def read_dumps(spark: SparkSession, folder: str, pattern: str = "*.parquet") ->
     return spark.read.option("mergeSchema", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).parquet(folder)
 
 
+def date_in(path: Column) -> Column:
+    """The last date in a path, as in the name of a daily file or of its folder; null if there is none."""
+    return F.to_date(F.nullif(F.regexp_extract(path, ".*" + DATE, 1), F.lit("")))
+
+
+def listed(spark: SparkSession, folder: str, pattern: str = "*.parquet") -> DataFrame:
+    """(path, length, modified, file_date) of the files below a folder; Spark lists them and opens none."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)
+    return files.select("path", "length", F.col("modificationTime").alias("modified"), date_in(F.col("path")).alias("file_date"))
+
+
+def sampled_dumps(spark: SparkSession, folder: str, days: int = 10, seed: int = 42, pattern: str = "*.parquet") -> DataFrame:
+    """The files of so many days, with file_date; the days are those with the least hash of seed and date.
+
+    The choice is made among the names, so files of other days are never opened.
+    """
+    files = listed(spark, folder, pattern).where("file_date is not null")
+    order = F.md5(F.concat_ws("/", F.lit(str(seed)), F.col("file_date").cast("string")))
+    chosen = files.select("file_date").distinct().orderBy(order, "file_date").limit(days)
+    paths = [r["path"] for r in files.join(F.broadcast(chosen), "file_date", "left_semi").orderBy("path").collect()]  # names of some days' files
+    if not paths:
+        raise FileNotFoundError(f"no file with a date in its name below {folder}")
+    rows = spark.read.option("mergeSchema", True).parquet(*paths)
+    return rows.withColumn("file_date", date_in(F.col("_metadata.file_path")))
+
+
 def union_by_name(frames: Iterable[DataFrame]) -> DataFrame:
     """Rows of all frames; columns that one lacks are null."""
     out, *rest = frames
