@@ -142,38 +142,46 @@ def train(bags: list[np.ndarray], labels: np.ndarray, epochs: int = 40, batch: i
     return model
 
 
-def sampled(labelled: DataFrame, max_texts: int, max_passages: int) -> DataFrame:
+def sampled(texts: DataFrame, max_texts: int, max_passages: int, labels: DataFrame | None = None) -> DataFrame:
     """(text, quality): about max_texts distinct pairs at most, which have max_passages passages at most in all.
 
-    Pairs are taken in the order of a hash; one that no longer fits is left
-    out.  Only hashes and sizes of the pairs are counted and collected, and
+    Labels are a column of texts, or a table of their own by doc_id.  Pairs are
+    taken in the order of a hash; one that no longer fits is left out.  Only
+    hashes and sizes of texts meet their labels and are counted and collected;
     only rows of the chosen pairs are shuffled with their texts, of which Spark
     keeps one before the shuffle.
     """
-    labelled = labelled.select("text", F.col("quality").cast("int").alias("quality")).where("quality is not null")
-    labelled = labelled.withColumns({"h1": F.xxhash64("text", "quality", F.lit(9)), "h2": F.xxhash64("text", "quality", F.lit(10))})
     passages = F.greatest(F.lit(1), F.ceil(F.coalesce(F.octet_length("text"), F.lit(0)) / PASSAGE))
-    pairs = materialize(labelled.groupBy("h1", "h2").agg(F.max(passages).alias("passages")), "labelled")
+    hashed = texts.withColumns({"h1": F.xxhash64("text", F.lit(9)), "h2": F.xxhash64("text", F.lit(10)), "passages": passages})
+    quality = F.col("quality").cast("int").alias("quality")
+    if labels is None:
+        hashed = hashed.select("h1", "h2", "text", "passages", quality).where("quality is not null")
+        pairs = hashed
+    else:
+        own = labels.select("doc_id", quality).where("quality is not null").distinct()
+        pairs = hashed.select("doc_id", "h1", "h2", "passages").distinct().join(own, "doc_id")
+        hashed = hashed.select("h1", "h2", "text")
+    pairs = materialize(pairs.groupBy("h1", "h2", "quality").agg(F.max("passages").alias("passages")), "labelled")
     share = min(1.0, max_texts / max(1, pairs.count()))
     rows = pairs.where(F.pmod("h1", F.lit(1 << 30)) < int(share * (1 << 30))).collect()  # about max_texts
     room, chosen = max_passages, []
-    for r in sorted(rows, key=lambda r: (r["h1"], r["h2"])):
+    for r in sorted(rows, key=lambda r: (r["h1"], r["h2"], r["quality"])):
         if r["passages"] <= room:
             room -= r["passages"]
-            chosen.append((r["h1"], r["h2"]))
-    few = labelled.sparkSession.createDataFrame(chosen, "h1 long, h2 long")
-    picked = labelled.join(F.broadcast(few), ["h1", "h2"])  # about max_texts rows
-    return picked.groupBy("h1", "h2").agg(F.first("text").alias("text"), F.first("quality").alias("quality")).select("text", "quality")
+            chosen.append((r["h1"], r["h2"], r["quality"]))
+    few = F.broadcast(texts.sparkSession.createDataFrame(chosen, "h1 long, h2 long, quality int"))  # about max_texts rows
+    picked = hashed.join(few, ["h1", "h2", "quality"] if labels is None else ["h1", "h2"])
+    return picked.groupBy("h1", "h2", "quality").agg(F.first("text").alias("text")).select("text", "quality")
 
 
-def fit(labelled: DataFrame, max_texts: int = 5000, max_passages: int = 200_000) -> Model:
-    """Learn from rows with ``text`` and ``quality``, of which ``sampled`` bounds how many the driver gets."""
+def fit(texts: DataFrame, labels: DataFrame | None = None, max_texts: int = 5000, max_passages: int = 200_000) -> Model:
+    """Learn from rows with ``text`` and ``quality``, or from texts and labels by doc_id; ``sampled`` bounds how many the driver gets."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             yield pd.DataFrame({"x": [encode(t).tobytes() for t in frame["text"]], "quality": frame["quality"].to_numpy()})
 
-    rows = sampled(labelled, max_texts, max_passages).mapInPandas(run, "x binary, quality int").collect()
+    rows = sampled(texts, max_texts, max_passages, labels).mapInPandas(run, "x binary, quality int").collect()
     rows = sorted((r["x"], r["quality"]) for r in rows)
     return train([np.frombuffer(bytes(x), np.float32).reshape(-1, N_FEATURES) for x, _ in rows], np.array([float(q == 1) for _, q in rows]))
 

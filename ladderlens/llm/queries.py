@@ -27,7 +27,7 @@ def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     held = F.coalesce(id_bucket(F.col("doc_id"), 5) == 0, F.lit(False))
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
-    model = quality_model.fit(docs.where(~held).join(labels, "doc_id"))
+    model = quality_model.fit(docs.where(~held), labels)
     out = quality_model.score(docs, model, ["doc_id"])
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 

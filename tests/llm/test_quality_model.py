@@ -44,7 +44,9 @@ def test_held_out_accuracy(spark):
     got = {r["doc_id"]: r["score"] for r in q.score(df, model, ["doc_id"]).collect()}
     right = [(got[i] >= 0.3) == bool(y) for i, _, y in rows if i >= 600]
     assert sum(right) / len(right) > 0.95
+    apart = q.fit(df.where("doc_id < 600").select("doc_id", "text"), df.select("doc_id", "quality"))
     again = q.fit(df.where("doc_id < 600").repartition(3))
+    assert all(np.allclose(model.p[k], apart.p[k]) for k in model.p)
     assert all(np.allclose(model.p[k], again.p[k]) for k in model.p)
 
 
