@@ -78,8 +78,8 @@ def standardized(g: Column, rank: Column) -> Column:
     return F.when(rank > 1, g / F.sqrt(F.ln(rank)))
 
 
-def rank_gaps(panel: DataFrame, period: str, value: str, rank: str, block: int = 4096, how: str = "inner") -> DataFrame:
-    """Log gap to the next rank of the same period; how="left" keeps rows without one.
+def rank_gaps(panel: DataFrame, period: str, value: str, rank: str, block: int = 4096) -> DataFrame:
+    """Log gap to the next rank of the same period.
 
     Periods are cut into blocks of ranks; a block's first rank is copied to the
     block before, so that each task holds a block and every rank meets its next.
@@ -88,13 +88,18 @@ def rank_gaps(panel: DataFrame, period: str, value: str, rank: str, block: int =
     cut = panel.withColumn("_block", F.explode(F.array_distinct(F.array(at, F.floor((F.col(rank) - 1) / block)))))
     order = Window.partitionBy(period, "_block").orderBy(rank)
     nxt = F.when(F.lead(rank).over(order) == F.col(rank) + 1, F.lead(value).over(order))
-    out = cut.withColumn("gap", F.ln(value) - F.ln(nxt)).where((F.col("_block") == at) & (F.col("gap").isNotNull() | F.lit(how == "left")))
+    out = cut.withColumn("gap", F.ln(value) - F.ln(nxt)).where(F.col("gap").isNotNull() & (F.col("_block") == at))
     return out.drop("_block")
 
 
 def leakage(panel: DataFrame, period: str, value: str, rank: str, horizons: Sequence[int], days: int = 1) -> DataFrame:
     """(rank, horizon): mean over periods of the share of endpoints that are gone by then, and the number of periods."""
-    pairs = growth_pairs(panel, period, value, rank, horizons, days, "left").join(observed_starts(panel, period, horizons, days), [period, "horizon"], "left_semi")
+    return leakage_of(growth_pairs(panel, period, value, rank, horizons, days, "left"), observed_starts(panel, period, horizons, days), period, rank)
+
+
+def leakage_of(pairs: DataFrame, starts: DataFrame, period: str, rank: str) -> DataFrame:
+    """The same from pairs that keep rows without a later end, where their growth is used too."""
+    pairs = pairs.join(F.broadcast(starts), [period, "horizon"], "left_semi")  # a row for each period and horizon
     by_period = pairs.groupBy(period, rank, "horizon").agg(F.avg(F.col("value_next").isNull().cast("double")).alias("_leaked"))
     return by_period.groupBy(rank, "horizon").agg(F.avg("_leaked").alias("leakage"), F.count("*").alias("n_periods"))
 

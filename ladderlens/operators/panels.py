@@ -103,8 +103,8 @@ def _ranked_values(df: DataFrame, period: str, metric: str, name: str, kind: str
     return df.join(numbered, (F.col(period) == F.col("_period")) & F.col(metric).eqNullSafe(F.col("_value"))).select(*df.columns, name)
 
 
-def top_n(df: DataFrame, period: str, metric: str, n: int, ties: Sequence[Column], salts: int = 64) -> DataFrame:
-    """The n largest rows of each period; within ties the first by ties.  rank is dense.
+def top_n(df: DataFrame, period: str, metric: str, n: int, ties: Sequence[Column], salts: int = 64, kind: str = "dense_rank", name: str = "rank") -> DataFrame:
+    """The n largest rows of each period; within ties the first by ties.  Their rank is dense, or unique (``row_number``).
 
     The n largest of each of some parts of a period come first, so that the
     last cut reads salts x n rows a period at most.
@@ -113,7 +113,8 @@ def top_n(df: DataFrame, period: str, metric: str, n: int, ties: Sequence[Column
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)))
     first = salted.withColumn("_n", F.row_number().over(Window.partitionBy(period, "_salt").orderBy(*order))).where(F.col("_n") <= n).drop("_n", "_salt")
     cut = first.withColumn("_n", F.row_number().over(Window.partitionBy(period).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
-    return cut.withColumn("rank", F.dense_rank().over(Window.partitionBy(period).orderBy(F.desc(metric))))
+    rank = F.row_number().over(Window.partitionBy(period).orderBy(*order)) if kind == "row_number" else F.dense_rank().over(Window.partitionBy(period).orderBy(F.desc(metric)))
+    return cut.withColumn(name, rank)
 
 
 def previous_rank(df: DataFrame, period: str, metric: str, name: str, days: int = 7) -> DataFrame:
@@ -123,10 +124,11 @@ def previous_rank(df: DataFrame, period: str, metric: str, name: str, days: int
     return ranked(df.join(before, [period, "endpoint_id"], "left"), period, metric, name, ties=[F.asc_nulls_last("_before"), F.col("endpoint_id")], split=False).drop("_before")
 
 
-def panel(own: DataFrame, names: tuple[str, str, str, str, str], decimals: int = 2) -> DataFrame:
+def panel(own: DataFrame, names: tuple[str, str, str, str, str], decimals: int = 2, rows: str | None = None) -> DataFrame:
     """own (period, endpoint_id, metric) with the period's total, each row's share and its unique rank; ties by id.
 
-    names are those of the period, metric, total, share and rank.  Counts and
+    names are those of the period, metric, total, share and rank; rows, if
+    given, that of the number of rows of the period.  Counts and
     sums of slices of the metric, which Spark adds up before the shuffle, give
     both the totals and where each slice's ranks start.
     """
@@ -136,10 +138,10 @@ def panel(own: DataFrame, names: tuple[str, str, str, str, str], decimals: int =
     edges = cut.groupBy(*keys).agg(F.count("*").alias("_count"), F.sum(metric).alias("_sum"))
     start = F.coalesce(F.sum("_count").over(larger(period)), F.lit(0))
     whole = larger(period).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    edges = edges.select(*keys, start.alias("_start"), F.round(F.sum("_sum").over(whole), decimals).alias(total))
+    edges = edges.select(*keys, start.alias("_start"), F.round(F.sum("_sum").over(whole), decimals).alias(total), *([F.sum("_count").over(whole).alias(rows)] if rows else []))
     within = Window.partitionBy(*keys).orderBy(F.desc(metric), "endpoint_id")
     out = cut.select("*", F.row_number().over(within).alias("_n")).join(edges, keys)
-    return out.select(*own.columns, total, F.try_divide(metric, total).alias(share), (F.col("_start") + F.col("_n")).cast("int").alias(rank))
+    return out.select(*own.columns, total, F.try_divide(metric, total).alias(share), (F.col("_start") + F.col("_n")).cast("int").alias(rank), *([rows] if rows else []))
 
 
 def thinned_starts(df: DataFrame, period: str, n: int = 12) -> DataFrame:
@@ -150,16 +152,26 @@ def thinned_starts(df: DataFrame, period: str, n: int = 12) -> DataFrame:
     return numbered.where(F.array_contains(picks, F.col("i"))).select(period, "i")
 
 
+def daily_sums(df: DataFrame, date: Column, endpoint: Column, metric: Column) -> DataFrame:
+    """date, endpoint_id, metric_value of positive rows."""
+    return positive(activity(df, F.to_date(date), endpoint, metric, ("date", "endpoint_id", "metric_value")), "metric_value", ["date", "endpoint_id"])
+
+
+def weekly_sums(df: DataFrame, date: Column, endpoint: Column, metric: Column) -> DataFrame:
+    """week_start, endpoint_id, weekly_metric of positive rows."""
+    return positive(activity(df, week_of(date), endpoint, metric, ("week_start", "endpoint_id", "weekly_metric")), "weekly_metric", ["week_start", "endpoint_id"])
+
+
 def daily_panel(df: DataFrame, date: Column, endpoint: Column, metric: Column) -> DataFrame:
     """date, endpoint_id, metric_value, total_metric, share, rank of positive rows."""
-    own = positive(activity(df, F.to_date(date), endpoint, metric, ("date", "endpoint_id", "metric_value")), "metric_value", ["date", "endpoint_id"])
+    own = daily_sums(df, date, endpoint, metric)
     return panel(own, ("date", "metric_value", "total_metric", "share", "rank"))
 
 
-def weekly_panel(df: DataFrame, date: Column, endpoint: Column, metric: Column) -> DataFrame:
-    """week_start, endpoint_id, weekly_metric, weekly_total, weekly_share, rank_w of positive rows."""
-    own = positive(activity(df, week_of(date), endpoint, metric, ("week_start", "endpoint_id", "weekly_metric")), "weekly_metric", ["week_start", "endpoint_id"])
-    return panel(own, ("week_start", "weekly_metric", "weekly_total", "weekly_share", "rank_w"))
+def weekly_panel(df: DataFrame, date: Column, endpoint: Column, metric: Column, rows: str | None = None) -> DataFrame:
+    """week_start, endpoint_id, weekly_metric, weekly_total, weekly_share, rank_w (and the week's number of rows) of positive rows."""
+    own = weekly_sums(df, date, endpoint, metric)
+    return panel(own, ("week_start", "weekly_metric", "weekly_total", "weekly_share", "rank_w"), rows=rows)
 
 
 def weekly_of_daily(daily: DataFrame) -> DataFrame:

@@ -53,7 +53,8 @@ def quantiles(df: DataFrame, value: str, parts: Sequence[float], group: Sequence
             met = met & F.col(k).eqNullSafe(F.col(f"_of{k}"))
         return rows.join(F.broadcast(own), met).drop(*[f"_of{k}" for k in keys])
 
-    while True:
+    deep = (wanted.agg(F.max("_n")).first()[0] or 0) > most
+    while deep:
         places = keep(places, "spans")
         wide = places.where((F.col("_count") > most) & (F.col("_a") < F.col("_b")))
         if wide.isEmpty():
@@ -75,13 +76,12 @@ def quantiles(df: DataFrame, value: str, parts: Sequence[float], group: Sequence
     for c in span:
         same = same & F.col(f"n.{c}").eqNullSafe(F.col(f"p.{c}"))
     sorted_ = numbered.alias("n").join(places.where("_a < _b").alias("p"), same).select(*[F.col(f"p.{k}") for k in keys], "p._t", F.col("n._x").alias("_v"))
-    values = keep(flat.unionByName(sorted_), "values")
-    out = wanted
-    for end in ("_low", "_high"):
-        own = values.select(*[F.col(k).alias(f"_of{k}") for k in keys], F.col("_t").alias(f"_t{end}"), F.col("_v").alias(f"_v{end}"))
-        met = F.col(end) == F.col(f"_t{end}")
-        for k in keys:
-            met = met & F.col(k).eqNullSafe(F.col(f"_of{k}"))
-        out = out.join(own, met).drop(*[f"_of{k}" for k in keys])
+    met = F.col("v._t") == F.col("e._at")
+    for k in keys:
+        met = met & F.col(f"v.{k}").eqNullSafe(F.col(f"e.{k}"))
+    ends = wanted.select(*keys, "_p", "_h", "_low", F.explode(F.array_distinct(F.array("_low", "_high"))).alias("_at"))
+    both = ends.alias("e").join(flat.unionByName(sorted_).alias("v"), met).select("e.*", "v._v")
+    low = F.col("_at") == F.col("_low")
+    out = both.groupBy(*keys, "_p", "_h", "_low").agg(F.max(F.when(low, F.col("_v"))).alias("_v_low"), F.max("_v").alias("_v_high"))
     q = F.col("_v_low") + (F.col("_h") - F.col("_low")) * (F.col("_v_high") - F.col("_v_low"))
     return out.select(*[F.col(k).alias(c) for k, c in zip(keys, group, strict=True)], F.col("_p").alias("p"), q.alias("q"))

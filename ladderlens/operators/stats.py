@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ladderlens.operators import pairs
 from ladderlens.operators.quantiles import quantiles
+from ladderlens.tables import keep
 
 
 def rank_summary(df: DataFrame, rank: str, value: str, least: int = 1) -> DataFrame:
@@ -17,25 +18,30 @@ def rank_summary(df: DataFrame, rank: str, value: str, least: int = 1) -> DataFr
     return out.where(F.col("n") >= least)
 
 
-def rank_table(panel: DataFrame, period: str, value: str, rank: str, k_max: int, days: int) -> DataFrame:
-    """A row for each rank k up to k_max, from one pass over the panel.
+def rank_table(panel: DataFrame, period: str, value: str, rank: str, rows: str, k_max: int, days: int) -> DataFrame:
+    """A row for each rank k up to k_max, from one pass over a panel with unique ranks, as a written table.
 
-    bar_g, tilde_g, v, n: mean, median, variance and number of growths to
-    ``days`` later; delta: mean log gap to the next rank; mhat: mean log value;
-    value_sum and periods: the sum of the values, and how many there are.
+    bar_g, v, n: mean, variance and number of growths to ``days`` later; delta:
+    mean log gap to the next rank; mhat: mean log value; value_sum and periods:
+    the sum of the values, and how many there are.  rows is the panel's column
+    with the number of rows of a period: a period lacks a gap only at its last
+    rank, so sums of logs by rank, with those of last ranks apart, give all gaps.
     """
-    own = pairs.growth_pairs(panel, period, value, rank, [1], days, "left")
-    own = pairs.rank_gaps(own, period, value, rank, how="left").where(F.col(rank) <= k_max)
-    return own.groupBy(F.col(rank).alias("k")).agg(
+    own = pairs.growth_pairs(panel, period, value, rank, [1], days, "left").where(F.col(rank) <= k_max + 1)
+    log, last = F.ln(value), F.col(rank) == F.col(rows)
+    sums = own.groupBy(F.col(rank).alias("k")).agg(
         F.avg("g").alias("bar_g"),
-        F.median("g").alias("tilde_g"),  # a rank has a value a period
         F.var_samp("g").alias("v"),
         F.nullif(F.count("g"), F.lit(0)).alias("n"),
-        F.avg("gap").alias("delta"),
-        F.avg(F.ln(value)).alias("mhat"),
+        F.avg(log).alias("mhat"),
         F.sum(value).alias("value_sum"),
         F.count("*").alias("periods"),
+        F.coalesce(F.sum(F.when(~last, log)), F.lit(0.0)).alias("_before"),
     )
+    sums = keep(sums, "ranks")  # a row a rank: what starts from here is small
+    after = sums.select((F.col("k") - 1).alias("k"), F.col("periods").alias("_gaps"), (F.col("mhat") * F.col("periods")).alias("_after"))
+    out = sums.where(F.col("k") <= k_max).join(after, "k", "left").withColumn("delta", (F.col("_before") - F.col("_after")) / F.col("_gaps"))
+    return out.select("k", "bar_g", "v", "n", "delta", "mhat", "value_sum", "periods")
 
 
 def share_of_top(ranks: DataFrame, k: int) -> DataFrame:

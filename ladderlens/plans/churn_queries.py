@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ladderlens.config import SMALL
 from ladderlens.operators import churn, panels
-from ladderlens.plans.inputs import DAYS_SQL, PARTS, SUPPLIERS, part_weeks, rounded, supplier_weeks, user_days
+from ladderlens.plans.inputs import DAYS_SQL, PARTS, SUPPLIERS, part_sums, part_weeks, rounded, supplier_weeks, user_days
 from ladderlens.registry import query
+from ladderlens.tables import keep
 
 
 @query(
@@ -18,7 +19,7 @@ from ladderlens.registry import query
     SELECT week_start, CAST(week_idx AS INTEGER) AS week_idx, count(*) AS n, count(*) FILTER (gap IS NULL) AS new_ever, count(*) FILTER (gap >= 4) AS back_4, count(*) FILTER (gap >= 12) AS back_12 FROM g WHERE week_idx > 4 GROUP BY 1, 2""",
 )
 def w9(spark, d):
-    return churn.new_and_returning(part_weeks(spark, d), "week_start")
+    return churn.new_and_returning(part_sums(spark, d), "week_start")
 
 
 @query(
@@ -33,6 +34,11 @@ def m36(spark, d):
     return churn.transitions(user_days(spark, d), "date", "rank", 7, churn.OFF_LIST - 1).select("weekday", "from_rank", "to_rank", "n", *rounded("p"))
 
 
+def kept_weeks(spark, d):
+    """The panel as a written table, for what reads it several times."""
+    return keep(supplier_weeks(spark, d), "panel")
+
+
 CAPTURE_SQL = f"""{SUPPLIERS},
 o AS (SELECT week_start, row_number() OVER (ORDER BY week_start) AS idx FROM (SELECT DISTINCT week_start FROM weekly)),
 r AS (SELECT * FROM weekly JOIN o USING (week_start)),
@@ -49,14 +55,14 @@ ratios AS (SELECT k, rr, start_idx, captured, total, captured / total AS ratio F
 @query("j15_interval_join_captures", f"WITH {CAPTURE_SQL} SELECT k, rr AS r, CAST(start_idx AS INTEGER) AS start_idx, captured, total, round(ratio, 6) AS ratio FROM ratios")
 def j15(spark, d):
     """What each week's top list gathers over the weeks that follow."""
-    return churn.captures(supplier_weeks(spark, d), SMALL.capture_sizes, SMALL.capture_windows).withColumns({"ratio": F.round("ratio", 6)})
+    return churn.captures(kept_weeks(spark, d), SMALL.capture_sizes, SMALL.capture_windows).withColumns({"ratio": F.round("ratio", 6)})
 
 
 @query("m42_capture_summary", f"WITH {CAPTURE_SQL} SELECT k, rr AS r, count(*) AS n, round(avg(ratio), 6) AS mean, round(quantile_cont(ratio, 0.05), 6) AS p05, round(quantile_cont(ratio, 0.5), 6) AS p50, round(quantile_cont(ratio, 0.95), 6) AS p95 FROM ratios GROUP BY 1, 2")
 def m42(spark, d):
     """Capture ratios by list size and window: mean and quantiles."""
     q = {f"p{p:02d}": F.round(F.percentile("ratio", p / 100), 6) for p in (5, 50, 95)}
-    return churn.captures(supplier_weeks(spark, d), SMALL.capture_sizes, SMALL.capture_windows).groupBy("k", "r").agg(F.count("*").alias("n"), F.round(F.avg("ratio"), 6).alias("mean"), *[v.alias(k) for k, v in q.items()])
+    return churn.captures(kept_weeks(spark, d), SMALL.capture_sizes, SMALL.capture_windows).groupBy("k", "r").agg(F.count("*").alias("n"), F.round(F.avg("ratio"), 6).alias("mean"), *[v.alias(k) for k, v in q.items()])
 
 
 @query("w16_rolling_totals", f"WITH {SUPPLIERS}, t AS (SELECT DISTINCT week_start, weekly_total FROM weekly), w AS (SELECT week_start, sum(weekly_total) OVER x AS total, count(*) OVER x AS n FROM t WINDOW x AS (ORDER BY week_start ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)) SELECT week_start, round(total, 2) AS total FROM w WHERE n = 13")
@@ -88,7 +94,7 @@ c AS (
 
 
 def covered(spark, d):
-    weekly = supplier_weeks(spark, d)
+    weekly = kept_weeks(spark, d)
     return churn.coverage(weekly, panels.thinned_starts(weekly, "week_start"), SMALL.capture_sizes)
 
 
@@ -114,17 +120,17 @@ def j13(spark, d):
 def j19(spark, d):
     """Weeks since each endpoint was last seen."""
     order = Window.partitionBy("endpoint_id").orderBy("week_start")
-    return part_weeks(spark, d).select("week_start", "endpoint_id", (F.datediff("week_start", F.lag("week_start").over(order)) / 7).cast("long").alias("weeks_since"))
+    return part_sums(spark, d).select("week_start", "endpoint_id", (F.datediff("week_start", F.lag("week_start").over(order)) / 7).cast("long").alias("weeks_since"))
 
 
 @query(
     "w18_fill_forward_back",
-    f"""WITH {PARTS}, s AS (SELECT rank_w AS k, median(weekly_share) AS y, count(*) AS n FROM weekly GROUP BY 1), h AS (SELECT k, CASE WHEN k % 3 = 0 THEN NULL ELSE y END AS y FROM s)
+    f"""WITH {PARTS}, s AS (SELECT rank_w AS k, median(weekly_share) AS y, count(*) AS n FROM weekly GROUP BY 1), h AS (SELECT k, CASE WHEN n >= 5 THEN y END AS y FROM s)
     SELECT k, round(coalesce(last_value(y IGNORE NULLS) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value(y IGNORE NULLS) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 9) AS y FROM h""",
 )
 def w18(spark, d):
-    """Gaps by the last known value, or else the next one."""
-    s = part_weeks(spark, d).groupBy(F.col("rank_w").alias("k")).agg(F.median("weekly_share").alias("y")).withColumn("y", F.when(F.col("k") % 3 != 0, F.col("y")))
+    """Median shares by rank; a rank that fewer than five weeks have takes that of the rank before, or else of the next one."""
+    s = part_weeks(spark, d).groupBy(F.col("rank_w").alias("k")).agg(F.when(F.count("*") >= 5, F.median("weekly_share")).alias("y"))
     order = Window.partitionBy(F.lit(0)).orderBy("k")  # a row for each rank
     filled = F.coalesce(F.last("y", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.first("y", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing)))
     return s.select("k", F.round(filled, 9).alias("y"))

@@ -9,8 +9,22 @@ from ladderlens.operators import panels
 from ladderlens.session import table
 
 
-def supplier_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return panels.weekly_panel(table(spark, sf_dir, "lineitem"), F.col("l_shipdate"), F.col("l_suppkey"), F.col("l_extendedprice"))
+def supplier_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(week_start, endpoint_id, weekly_metric) of suppliers, for what needs no ranks."""
+    return panels.weekly_sums(table(spark, sf_dir, "lineitem"), F.col("l_shipdate"), F.col("l_suppkey"), F.col("l_extendedprice"))
+
+
+def part_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return panels.weekly_sums(table(spark, sf_dir, "lineitem"), F.col("l_shipdate"), F.col("l_partkey"), F.col("l_extendedprice"))
+
+
+def user_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(date, endpoint_id, metric_value) of users."""
+    return panels.daily_sums(table(spark, sf_dir, "events"), F.col("ts"), F.col("user_id"), F.col("value"))
+
+
+def supplier_weeks(spark: SparkSession, sf_dir: str, rows: str | None = None) -> DataFrame:
+    return panels.weekly_panel(table(spark, sf_dir, "lineitem"), F.col("l_shipdate"), F.col("l_suppkey"), F.col("l_extendedprice"), rows)
 
 
 def part_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:

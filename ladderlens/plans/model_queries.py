@@ -14,8 +14,8 @@ from ladderlens.config import SMALL, EngineConfig
 from ladderlens.functions import numeric, pooling
 from ladderlens.functions.spline import smoothing_spline
 from ladderlens.operators import bootstrap, isotone, model, pairs, stats
-from ladderlens.plans.inputs import rounded, supplier_weeks, user_days
-from ladderlens.plans.stat_queries import GROWTH_SQL, first_rank_line, head
+from ladderlens.plans.inputs import SUPPLIERS, rounded, supplier_sums, supplier_weeks, user_days
+from ladderlens.plans.stat_queries import GROWTH_SQL, first_rank_line, head, week_growth
 from ladderlens.registry import query
 from ladderlens.tables import keep
 
@@ -100,7 +100,8 @@ def m2_robust(spark, d):
 )
 def m2_needs_robust(spark, d):
     """Whether means and medians of growth differ so often that the robust loss is called for."""
-    gaps = head(spark, d).where("bar_g is not null").select(F.abs(F.col("bar_g") - F.col("tilde_g")).alias("gap"))
+    own = stats.rank_summary(week_growth(supplier_weeks(spark, d)), "rank_w", "g").where(F.col("k") <= SMALL.k_head)
+    gaps = keep(own.select(F.abs(F.col("mean") - F.col("middle")).alias("gap")), "gaps")
     middle = gaps.agg(F.median("gap").alias("c"))  # of a row a rank
     spread = gaps.crossJoin(F.broadcast(middle)).agg(F.median(F.abs(F.col("gap") - F.col("c"))).alias("mad"))
     far = gaps.crossJoin(F.broadcast(spread)).agg(F.avg((F.col("gap") > 3 * F.col("mad")).cast("double")).alias("far"))
@@ -353,9 +354,15 @@ def t4(spark, d):
     return plain_scores(spark, d).orderBy("score", "n", "m").limit(5).select("n", "m", *rounded("score", digits=5))
 
 
-@query("j20_parameter_grid", "SELECT DISTINCT n, m FROM (SELECT n, unnest([5, 10, 20, 50, 100, greatest(5, n // 20), greatest(5, n // 10), n - 1]) AS m FROM (SELECT unnest([100, 200, 400]) AS n)) WHERE m < n")
+@query(
+    "j20_parameter_grid",
+    f"WITH {SUPPLIERS}, f AS (SELECT CAST(floor(median(c)) AS INTEGER) AS k_full FROM (SELECT count(*) AS c FROM weekly GROUP BY week_start)), s AS (SELECT k_full * unnest([2, 4, 8]) AS n FROM f) SELECT DISTINCT n, m FROM (SELECT n, unnest([5, 10, 20, 50, 100, greatest(5, n // 20), greatest(5, n // 10), n - 1]) AS m FROM s) WHERE m < n",
+)
 def j20(spark, d):
-    return spark.createDataFrame([(100,), (200,), (400,)], "n int").withColumn("m", F.explode(model.uplift_sizes(F.col("n"), SMALL.uplift_grid, SMALL.uplift_least))).where("m < n")
+    """Sizes of two, four and eight times the endpoints of a median week, each with its uplifts."""
+    weeks = supplier_sums(spark, d).groupBy("week_start").agg(F.count("*").alias("c"))  # a row for each week
+    sizes = weeks.agg(F.floor(F.median("c")).cast("int").alias("k_full")).select(F.explode(F.array(*[F.col("k_full") * times for times in (2, 4, 8)])).alias("n"))
+    return sizes.withColumn("m", F.explode(model.uplift_sizes(F.col("n"), SMALL.uplift_grid, SMALL.uplift_least))).where("m < n")
 
 
 @query("m40_acceptance", f"WITH {PLAIN_SQL}, c AS (SELECT n, m, bool_and(coalesce(r > 0, true)) AS rates_positive, abs(sum(mce) - 1) < 1e-8 AS sums_to_one, bool_and(coalesce(m_k > nx, true)) AS falling FROM (SELECT *, lead(m_k) OVER (PARTITION BY n, m ORDER BY k) AS nx FROM model) GROUP BY 1, 2) SELECT * FROM c")
@@ -372,18 +379,27 @@ def fitted(own, sizes=(100, 200, 400)):
     return model.curves(grid.join(F.broadcast(scale), "candidate"), F.col("sigma2"), F.col("m1"))
 
 
-@query("m21_selection_grid")
+# the same chain from the monotone gap drift, lowered below 0
+FITTED_SQL = PLAIN_SQL.replace("low AS (SELECT k, round(g - 0.02, 9) AS g, mhat, sigma2 FROM gap_g)", f"src AS (SELECT k, g AS y, 1.0 AS w FROM gap_g), {ISO_SQL.strip().replace("pre AS", "ranked AS").replace("FROM pre", "FROM ranked").replace("JOIN pre", "JOIN ranked")}, low AS (SELECT k, iso - max(iso) OVER () - 0.01 AS g FROM iso)").replace("round(mhat, 9)", "mhat")
+FITTED_FIT_SQL = FIT_SQL.replace(PLAIN_SQL, FITTED_SQL)
+
+
+@query(
+    "m21_selection_grid",
+    f"WITH {FITTED_FIT_SQL}, s AS (SELECT n, m, rmse, abs(modelled - top_share) AS share_gap, rmse + abs(modelled - top_share) AS score FROM fit, top) SELECT n, m, round(rmse, 5) AS rmse, round(share_gap, 6) AS share_gap, round(score, 5) AS score, CAST(row_number() OVER (ORDER BY round(score, 9), n, m) AS INTEGER) AS place FROM s",
+)
 def m21(spark, d):
     """All feasible sizes and uplifts with their scores, best first; ranked from 1."""
     own = gap_drift(spark, d)
     out = model.scores(fitted(own), own, stats.share_of_top(own, SMALL.k_head), SMALL.k_head)
-    return out.withColumn("place", F.row_number().over(Window.partitionBy("candidate").orderBy("score", "n", "m")))
+    place = F.row_number().over(Window.partitionBy("candidate").orderBy(F.round("score", 9), "n", "m"))
+    return out.withColumn("place", place).select("n", "m", *rounded("rmse", digits=5), *rounded("share_gap"), *rounded("score", digits=5), "place")
 
 
-@query("m22_first_feasible_curve")
+@query("m22_first_feasible_curve", f"WITH {FITTED_SQL} SELECT n, m, k, round(m_k, 5) AS m_k, round(mce, 8) AS mce FROM model JOIN (SELECT n, min(m) AS m FROM model GROUP BY 1) f USING (n, m)")
 def m22(spark, d):
     """The curve of each size with its least feasible uplift."""
-    return model.first_feasible(fitted(gap_drift(spark, d))).select("n", "m", "k", "m_k", "mce")
+    return model.first_feasible(fitted(gap_drift(spark, d))).select("n", "m", "k", *rounded("m_k", digits=5), *rounded("mce", digits=8))
 
 
 @query("m23_head_sensitivity")
@@ -521,4 +537,4 @@ def m39(spark, d):
     own = pairs.growth_pairs(weekly, "week_start", "weekly_share", "rank_w", [1], 7, "left")
     own = keep(own.select("week_start", F.col("rank_w").alias("k"), "g", F.ln("weekly_share").alias("log_share")), "head")
     draws = bootstrap.drawn(own, "week_start", EngineConfig().bootstrap_replicates, SMALL.bootstrap_block, SMALL.seed)
-    return bootstrap.bands(bootstrap.curves(own, own, draws, "week_start"), [10, 20])
+    return bootstrap.bands(bootstrap.curves(own, own, draws, "week_start"), [10])

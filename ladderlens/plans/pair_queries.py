@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ladderlens.config import SMALL
 from ladderlens.operators import pairs, panels
-from ladderlens.plans.inputs import DAYS_SQL, PARTS, SUPPLIERS, part_weeks, rounded, supplier_weeks, user_days
+from ladderlens.plans.inputs import DAYS_SQL, PARTS, SUPPLIERS, part_sums, part_weeks, rounded, supplier_weeks, user_days, user_sums
 from ladderlens.registry import query
 
 PAIR_SQL = """
@@ -75,7 +75,8 @@ leak AS (SELECT rank, horizon, avg(m) AS leakage, count(*) AS n_periods FROM (SE
 
 @query("j5_leakage", f"WITH {DAY_LEAK_SQL} SELECT rank, CAST(horizon AS INTEGER) AS horizon, round(leakage, 6) AS leakage, n_periods FROM leak")
 def j5(spark, d):
-    return pairs.leakage(user_days(spark, d), "date", "metric_value", "rank", SMALL.daily_horizons).select("rank", "horizon", *rounded("leakage"), "n_periods")
+    own = pairs.growth_pairs(user_days(spark, d), "date", "metric_value", "rank", SMALL.daily_horizons, how="left")
+    return pairs.leakage_of(own, pairs.observed_starts(user_sums(spark, d), "date", SMALL.daily_horizons), "date", "rank").select("rank", "horizon", *rounded("leakage"), "n_periods")
 
 
 @query(
@@ -86,7 +87,9 @@ def j5(spark, d):
     SELECT rank_w, CAST(horizon AS INTEGER) AS horizon, round(avg(m), 6) AS leakage, count(*) AS n_periods FROM m GROUP BY 1, 2""",
 )
 def j6(spark, d):
-    return pairs.leakage(part_weeks(spark, d), "week_start", "weekly_share", "rank_w", SMALL.weekly_horizons, 7).select("rank_w", "horizon", *rounded("leakage"), "n_periods")
+    own = pairs.growth_pairs(part_weeks(spark, d), "week_start", "weekly_share", "rank_w", SMALL.weekly_horizons, 7, "left")
+    starts = pairs.observed_starts(part_sums(spark, d), "week_start", SMALL.weekly_horizons, 7)
+    return pairs.leakage_of(own, starts, "week_start", "rank_w").select("rank_w", "horizon", *rounded("leakage"), "n_periods")
 
 
 BAND_SQL = "CASE WHEN rank = 1 THEN '1' ELSE CAST(power(2, floor(log2(rank))) AS INTEGER) || '-' || CAST(power(2, floor(log2(rank)) + 1) - 1 AS INTEGER) END"
@@ -241,6 +244,6 @@ def a16(spark, d):
 def m31(spark, d):
     """Quantiles of weekly growth by rank, with bounds for those who left."""
     daily = user_days(spark, d)
-    own = pairs.growth_pairs(daily, "date", "metric_value", "rank", [7])
-    leak = pairs.leakage(daily, "date", "metric_value", "rank", [7])
+    own = pairs.growth_pairs(daily, "date", "metric_value", "rank", [7], how="left")
+    leak = pairs.leakage_of(own, pairs.observed_starts(user_sums(spark, d), "date", [7]), "date", "rank")
     return pairs.lee_bounds(own, ["rank"], "g", leak, SMALL.quantiles).select("rank", "tau", "n", *rounded("leakage", "q_lb", "q_obs", "q_ub"))

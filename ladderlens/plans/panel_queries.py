@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ladderlens.config import SMALL
 from ladderlens.operators import panels
 from ladderlens.operators.quantiles import quantiles
-from ladderlens.plans.inputs import CUSTOMERS, DAYS_SQL, PARTS, SUPPLIERS, customer_weeks, part_weeks, rounded, supplier_weeks, user_days
+from ladderlens.plans.inputs import CUSTOMERS, DAYS_SQL, PARTS, SUPPLIERS, customer_weeks, part_sums, part_weeks, rounded, supplier_weeks, user_days, user_sums
 from ladderlens.registry import query
 from ladderlens.session import table
 from ladderlens.tables import keep
@@ -172,7 +172,7 @@ def a2(spark, d):
 )
 def a3(spark, d):
     """Weekly shares of the platform's total, from the 100 largest of each day."""
-    out = panels.weekly_of_daily(user_days(spark, d).where(F.col("rank") <= 100)).withColumns({"weekly_share": F.round("weekly_share", 9)})
+    out = panels.weekly_of_daily(keep(user_days(spark, d).where(F.col("rank") <= 100), "days")).withColumns({"weekly_share": F.round("weekly_share", 9)})
     return out.select("week_start", "endpoint_id", "weekly_metric", "weekly_total", "weekly_share", "rank_w")
 
 
@@ -223,24 +223,24 @@ def a18(spark, d):
 
 @query("w1_dense_rank", f"WITH {PARTS} SELECT week_start, endpoint_id, CAST(dense_rank() OVER (PARTITION BY week_start ORDER BY weekly_metric DESC) AS INTEGER) AS rank FROM weekly")
 def w1(spark, d):
-    return panels.ranked(part_weeks(spark, d).drop("rank_w"), "week_start", "weekly_metric", "rank", "dense_rank").select("week_start", "endpoint_id", "rank")
+    return panels.ranked(part_sums(spark, d), "week_start", "weekly_metric", "rank", "dense_rank").select("week_start", "endpoint_id", "rank")
 
 
 @query("w2_row_number_cut", f"WITH {PARTS} SELECT week_start, endpoint_id, rank_w FROM weekly WHERE rank_w <= 25")
 def w2(spark, d):
-    """The rows of a period up to a rank, by a window that Spark cuts before the shuffle."""
-    return part_weeks(spark, d).where("rank_w <= 25").select("week_start", "endpoint_id", "rank_w")
+    """The 25 largest rows of each week with their unique ranks; all others go before the last shuffle."""
+    return panels.top_n(part_sums(spark, d), "week_start", "weekly_metric", 25, [F.col("endpoint_id")], kind="row_number", name="rank_w").select("week_start", "endpoint_id", "rank_w")
 
 
 @query("w3_min_rank", f"WITH {PARTS} SELECT week_start, endpoint_id, CAST(rank() OVER (PARTITION BY week_start ORDER BY weekly_metric DESC) AS INTEGER) AS rank FROM weekly")
 def w3(spark, d):
-    return panels.ranked(part_weeks(spark, d).drop("rank_w"), "week_start", "weekly_metric", "rank", "rank").select("week_start", "endpoint_id", "rank")
+    return panels.ranked(part_sums(spark, d), "week_start", "weekly_metric", "rank", "rank").select("week_start", "endpoint_id", "rank")
 
 
 @query("w4_unique_rank_sliced", f"WITH {PARTS} SELECT week_start, endpoint_id, rank_w FROM weekly")
 def w4(spark, d):
     """Unique ranks of periods that no task holds as a whole."""
-    own = part_weeks(spark, d).drop("rank_w")
+    own = part_sums(spark, d)
     return panels.ranked(own, "week_start", "weekly_metric", "rank_w", ties=[F.col("endpoint_id")]).select("week_start", "endpoint_id", "rank_w")
 
 
@@ -251,7 +251,7 @@ def w4(spark, d):
 )
 def w4_previous(spark, d):
     """Ties go to who ranked higher the week before."""
-    return panels.previous_rank(part_weeks(spark, d).drop("rank_w"), "week_start", "weekly_metric", "rank_w").select("week_start", "endpoint_id", "rank_w")
+    return panels.previous_rank(part_sums(spark, d), "week_start", "weekly_metric", "rank_w").select("week_start", "endpoint_id", "rank_w")
 
 
 @query("w5_shares", f"WITH {DAYS_SQL} SELECT date, endpoint_id, total_metric, round(share, 9) AS share FROM daily")
@@ -261,7 +261,7 @@ def w5(spark, d):
 
 @query("w17_top_per_anchor", f"WITH {DAYS_SQL} SELECT date, endpoint_id, rank FROM daily WHERE rank <= 10")
 def w17(spark, d):
-    return user_days(spark, d).where("rank <= 10").select("date", "endpoint_id", "rank")
+    return panels.top_n(user_sums(spark, d), "date", "metric_value", 10, [F.col("endpoint_id")], kind="row_number").select("date", "endpoint_id", "rank")
 
 
 @query(
@@ -270,8 +270,7 @@ def w17(spark, d):
 )
 def t1(spark, d):
     """The 20 largest of each day, with dense ranks."""
-    own = user_days(spark, d).select("date", "endpoint_id", "metric_value")
-    return panels.top_n(own, "date", "metric_value", 20, [F.col("endpoint_id")])
+    return panels.top_n(user_sums(spark, d), "date", "metric_value", 20, [F.col("endpoint_id")])
 
 
 @query(
@@ -279,8 +278,7 @@ def t1(spark, d):
     f"WITH {PARTS} SELECT week_start, endpoint_id, weekly_metric, rank FROM (SELECT week_start, endpoint_id, weekly_metric, rank_w, CAST(dense_rank() OVER (PARTITION BY week_start ORDER BY weekly_metric DESC) AS INTEGER) AS rank FROM weekly) WHERE rank_w <= 100",
 )
 def t2(spark, d):
-    own = part_weeks(spark, d).select("week_start", "endpoint_id", "weekly_metric")
-    return panels.top_n(own, "week_start", "weekly_metric", 100, [F.col("endpoint_id")])
+    return panels.top_n(part_sums(spark, d), "week_start", "weekly_metric", 100, [F.col("endpoint_id")])
 
 
 @query(

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 
 from ladderlens.config import SMALL
 from ladderlens.operators import churn
-from ladderlens.plans.inputs import DAYS_SQL, SUPPLIERS, rounded, supplier_weeks, user_days
+from ladderlens.plans.inputs import DAYS_SQL, SUPPLIERS, rounded, supplier_sums, supplier_weeks, user_days
 from ladderlens.registry import query
 from ladderlens.session import table
 from ladderlens.sources import matrices, readers, sinks, staging
-from ladderlens.tables import folder, remove_at_end
+from ladderlens.tables import folder, keep, remove_at_end
 
 
 @query("s1_list_and_read", "SELECT count(*) AS n_rows, count(DISTINCT n_nationkey) AS n_keys FROM nation")
@@ -61,7 +61,7 @@ def s9(spark, d):
 @query("s10_standardize_long", f"WITH {SUPPLIERS} SELECT endpoint_id AS id, week_start AS time, CAST(rank() OVER (PARTITION BY week_start ORDER BY weekly_metric DESC) AS INTEGER) AS rank, round(weekly_share, 9) AS share, weekly_metric AS metric FROM weekly")
 def s10(spark, d):
     """The long form (id, time, rank, share, metric), with least ranks."""
-    return readers.standardize_long(supplier_weeks(spark, d).drop("weekly_share", "rank_w", "weekly_total")).withColumns({"share": F.round("share", 9)})
+    return readers.standardize_long(keep(supplier_sums(spark, d), "sums")).withColumns({"share": F.round("share", 9)})
 
 
 @query("s11_rename_stats", f"WITH {SUPPLIERS} SELECT rank_w AS k, round(avg(weekly_share), 9) AS mean_share, count(*) AS n FROM weekly GROUP BY 1")

@@ -32,7 +32,7 @@ def week_growth(weekly):
 
 def head(spark, d, k_max=50):
     """The rank table of the weekly panel; it is written, so that models start from its few rows."""
-    return keep(stats.rank_table(supplier_weeks(spark, d), "week_start", "weekly_share", "rank_w", k_max, 7), "ranks")
+    return stats.rank_table(supplier_weeks(spark, d, "week_rows"), "week_start", "weekly_share", "rank_w", "week_rows", k_max, 7)
 
 
 @query("a5_rank_summary", f"WITH {GROWTH_SQL} SELECT k, round(bar_g, 6) AS mean, round(tilde_g, 6) AS middle, round(v, 6) AS variance, n FROM rank_stats WHERE n >= 30")
