@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructField, StructType
 
+from ladderlens.tables import folder
+
 #: Rows of a table that may be broadcast, once they have been counted.
 BROADCAST_ROWS = 1_000_000
 #: Whether the shuffle files of a job are deleted at its end.
@@ -23,8 +25,8 @@ _written: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: the session's checkpoint folder, else one below its warehouse."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
+    """The folder that all executors share: the session's checkpoint folder, else one below its warehouse, unless that is on the driver's own disk."""
+    return folder(spark)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
