@@ -14,6 +14,12 @@ class EngineConfig:
     ranks_keep: tuple[int, ...] = (1, 2, 4, 8, 16, 32, 64, 128, 256, 512, 1024)
     anchor_days: tuple[int, ...] = (1, 8, 15, 22)
     quantiles: tuple[float, ...] = (0.1, 0.25, 0.5, 0.75, 0.9)
+    exponent_horizons: tuple[int, ...] = (1, 2, 4, 8, 28)
+    exponent_bands: tuple[int, ...] = (50, 200)
+    daily_pair_ranks: int = 900
+    weekly_pair_ranks: int = 10_000
+    window_lows: tuple[int, ...] = (100, 500, 1000)
+    window_high: int = 10_000
     min_rows_per_rank: int = 10
     min_rows_per_day: int = 1850
     min_rows_bad_day: int = 1800
@@ -38,4 +44,4 @@ class EngineConfig:
 
 
 #: Sizes that suit the small test tables.
-SMALL = EngineConfig(min_rows_per_day=135, min_rows_bad_day=130, min_rows_per_week=75, k_head=50, k0=25, protect=60, uplift_grid=(5, 10, 20, 50, 100), uplift_least=5, capture_windows=(4, 13, 26), capture_sizes=(10, 20, 50))
+SMALL = EngineConfig(exponent_bands=(20, 60), daily_pair_ranks=90, weekly_pair_ranks=20, window_lows=(5, 10, 20), window_high=60, min_rows_per_day=135, min_rows_bad_day=130, min_rows_per_week=75, k_head=50, k0=25, protect=60, uplift_grid=(5, 10, 20, 50, 100), uplift_least=5, capture_windows=(4, 13, 26), capture_sizes=(10, 20, 50))

@@ -45,13 +45,13 @@ def j1(spark, d):
 
 @query("j2_weekly_pairs", f"WITH {SUPPLIERS}, {WEEK_PAIR_SQL} SELECT week_start, endpoint_id, rank_w, rank_next, CAST(horizon AS INTEGER) AS horizon, round(g, 6) AS g FROM pairs WHERE rank_w <= 20")
 def j2(spark, d):
-    return week_pairs(spark, d).where("rank_w <= 20").select("week_start", "endpoint_id", "rank_w", "rank_next", "horizon", *rounded("g"))
+    return week_pairs(spark, d).where(F.col("rank_w") <= SMALL.weekly_pair_ranks).select("week_start", "endpoint_id", "rank_w", "rank_next", "horizon", *rounded("g"))
 
 
 @query("j3_daily_growth", f"WITH {DAYS_SQL}, {PAIR_SQL} SELECT date, endpoint_id, rank, rank_next, round(g, 6) AS g FROM pairs WHERE horizon = 7 AND rank <= 90")
 def j3(spark, d):
     one = pairs.growth_pairs(user_days(spark, d), "date", "metric_value", "rank", [7])
-    return one.where("rank <= 90").select("date", "endpoint_id", "rank", "rank_next", *rounded("g"))
+    return one.where(F.col("rank") <= SMALL.daily_pair_ranks).select("date", "endpoint_id", "rank", "rank_next", *rounded("g"))
 
 
 @query(

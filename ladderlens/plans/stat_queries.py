@@ -147,10 +147,11 @@ def m9(spark, d):
 @query("m10_window_pick")
 def m10(spark, d):
     """The first lower bound from which variances look equal, else the one with the largest p-value."""
-    own = keep(week_growth(supplier_weeks(spark, d)).where("rank_w <= 60").select("rank_w", "g"), "growth")
+    high = SMALL.window_high
+    own = keep(week_growth(supplier_weeks(spark, d)).where(F.col("rank_w") <= high).select("rank_w", "g"), "growth")
     tests = None
-    for low in (5, 10, 20):  # fixed list of candidates, one aggregate each
-        one = stats.brown_forsythe(own.where(F.col("rank_w").between(low + 1, 60)), F.ceil((F.col("rank_w") - low) / ((60 - low) / 10)), "g").withColumn("low", F.lit(low))
+    for low in SMALL.window_lows:  # fixed list of candidates, one aggregate each
+        one = stats.brown_forsythe(own.where(F.col("rank_w").between(low + 1, high)), F.ceil((F.col("rank_w") - low) / ((high - low) / 10)), "g").withColumn("low", F.lit(low))
         tests = one if tests is None else tests.unionByName(one)
 
     def value(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -258,8 +259,9 @@ def m34(spark, d):
 @query("m35_variance_exponent")
 def m35(spark, d):
     """A and beta of the variance of growth, A h^beta, in three bands of ranks."""
-    own = pairs.growth_pairs(user_days(spark, d), "date", "share", "rank", [1, 2, 4, 8, 16])
-    band = F.when(F.col("rank") <= 20, "1-20").when(F.col("rank") <= 60, "21-60").otherwise("61 on")
+    own = pairs.growth_pairs(user_days(spark, d), "date", "share", "rank", SMALL.exponent_horizons)
+    a, b = SMALL.exponent_bands
+    band = F.when(F.col("rank") <= a, f"1-{a}").when(F.col("rank") <= b, f"{a + 1}-{b}").otherwise(f"{b + 1} on")
     v = own.groupBy(band.alias("band"), "horizon").agg(F.var_samp("g").alias("v")).where("v is not null")
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
