@@ -23,15 +23,6 @@ def pava(y: np.ndarray, w: np.ndarray) -> np.ndarray:
     return np.repeat([x[0] for x in level], [int(x[2]) for x in level])
 
 
-def pava_tv(y: np.ndarray, w: np.ndarray, penalty: float) -> np.ndarray:
-    """Isotonic fit with a penalty on total variation, which for monotone fits moves only the ends."""
-    y, w = np.array(y, float), np.asarray(w, float)
-    if len(y) > 1:
-        y[0] += penalty / (2 * w[0])
-        y[-1] -= penalty / (2 * w[-1])
-    return pava(y, w)
-
-
 def huber_mean(x: np.ndarray, w: np.ndarray | None = None, k: float = 1.345, rounds: int = 50) -> float:
     """M-estimate of location by reweighting; the scale is the normalized median deviation."""
     x = np.asarray(x, float)
@@ -242,37 +233,6 @@ def curve(g: np.ndarray, sigma2: np.ndarray | float, m1: float) -> dict[str, np.
     return {"G": prefix, "r": r, "m": m, "mce": e / e.sum()}
 
 
-def smooth(x: np.ndarray, y: np.ndarray, w: np.ndarray, bins: int = 120) -> np.ndarray:
-    """Penalized smoother of y over ln(x), its strength by generalized cross-validation.
-
-    Ranks are first averaged into at most ``bins`` bins of equal width in ln(x);
-    the smooth bin means are joined by straight lines.
-    """
-    x, y, w = np.log(np.asarray(x, float)), np.asarray(y, float), np.asarray(w, float)
-    if len(x) < 5 or x[0] == x[-1]:
-        return y.copy()
-    at = np.minimum(((x - x.min()) / (x.max() - x.min()) * bins).astype(int), bins - 1)
-    used, at = np.unique(at, return_inverse=True)
-    weight = np.bincount(at, w)
-    cx, cy = np.bincount(at, w * x) / weight, np.bincount(at, w * y) / weight
-    n = len(used)
-    if n < 5:
-        return np.interp(x, cx, cy)
-    gap = np.diff(cx)
-    second = np.zeros((n - 2, n))
-    for i in range(n - 2):
-        second[i, i : i + 3] = [1 / gap[i], -1 / gap[i] - 1 / gap[i + 1], 1 / gap[i + 1]]
-    penalty, weight = second.T @ second, weight / weight.mean()
-    best = (math.inf, cy)
-    for strength in np.logspace(-6, 4, 31):
-        hat = np.linalg.solve(np.diag(weight) + strength * penalty, np.diag(weight))
-        fit = hat @ cy
-        score = float((weight * (cy - fit) ** 2).mean() / (1 - np.trace(hat) / n) ** 2)
-        if score < best[0]:
-            best = (score, fit)
-    return np.interp(x, cx, best[1])
-
-
 def kendall(x: np.ndarray, y: np.ndarray) -> float:
     """Kendall's tau of two vectors without ties in x, by counting inversions in a sort."""
     order = np.argsort(x, kind="stable")
@@ -292,17 +252,6 @@ def kendall(x: np.ndarray, y: np.ndarray) -> float:
     return 1 - 4 * inversions / (n * (n - 1)) if n > 1 else math.nan
 
 
-def density(x: np.ndarray, points: np.ndarray) -> np.ndarray:
-    """Gaussian kernel density at points, with the rule-of-thumb bandwidth."""
-    x = np.asarray(x, float)
-    spread = min(x.std(ddof=1), float(np.subtract(*np.percentile(x, [75, 25]))) / 1.34) or x.std(ddof=1) or 1.0
-    width = 0.9 * spread * len(x) ** -0.2
-    out = np.zeros(len(points))
-    for part in np.array_split(x, max(1, len(x) // 10_000)):
-        out += np.exp(-0.5 * ((points[:, None] - part) / width) ** 2).sum(axis=1)
-    return out / (len(x) * width * math.sqrt(2 * math.pi))
-
-
 def variance_power(h: np.ndarray, v: np.ndarray) -> tuple[float, float, float]:
     """(A, beta, R2) of v = A h^beta by least squares; A is linear given beta."""
     scale = lambda b: float((v * h**b).sum() / (h ** (2 * b)).sum())

@@ -117,7 +117,7 @@ def w20(spark, d):
 
 @query("m7_variance_variants")
 def m7_variants(spark, d):
-    """Pooled variance by four estimators, from a table with a row for each rank."""
+    """Pooled variance by four estimators, for heads of several sizes, from tables with a row for each rank."""
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("k")
@@ -125,10 +125,11 @@ def m7_variants(spark, d):
         cut = int(0.1 * len(v))
         plain = float(np.sort(v)[cut : len(v) - cut].mean()) if len(v) > 2 * cut else float(np.median(v))
         rows = {"huber": numeric.huber_mean(v, n), "interpolated": numeric.trimmed_interp(v, n, 0.1), "plain": plain, "mean": float(np.average(v, weights=n))}
-        return pd.DataFrame({"variant": list(rows), "sigma2": list(rows.values())})
+        return pd.DataFrame({"k_max": int(pdf["k_max"].iloc[0]), "variant": list(rows), "sigma2": list(rows.values())})
 
-    own = head(spark, d).where("v is not null").select("k", "v", "n", F.lit(0).alias("candidate"))
-    return own.groupBy("candidate").applyInPandas(fit, "variant string, sigma2 double")
+    sizes = (30, 50, 80)
+    own = head(spark, d, max(sizes)).where("v is not null").select("k", "v", "n", F.explode(F.array(*map(F.lit, sizes))).alias("k_max")).where("k <= k_max")
+    return own.groupBy("k_max").applyInPandas(fit, "k_max int, variant string, sigma2 double")
 
 
 BF_SQL = f"""{GROWTH_SQL},

@@ -27,3 +27,22 @@ def test_simulation_has_all_first_day_ranks_paths_and_days(spark):
     n = user_days(spark, SF).orderBy("date").groupBy("date").count().orderBy("date").first()["count"]
     assert got.count() == 100 * 365 * n
     assert got.groupBy("path", "day").agg(F.sum("share").alias("s")).where("abs(s - 1) > 1e-9").count() == 0
+
+
+def test_shifted_schedules_equal_the_vector_form(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from ladderlens.functions import numeric
+    from ladderlens.operators import model
+
+    r = np.random.default_rng(3)
+    vectors = {(c, n): np.sort(r.standard_normal(n) - 0.3) if c else r.standard_normal(n) for c in (0, 1) for n in (2, 9, 40)}
+    rows = [(c, n, k + 1, float(x)) for (c, n), g in vectors.items() for k, x in enumerate(g)]
+    df = spark.createDataFrame(rows, "candidate int, n int, k int, g double")
+    got = {(x["candidate"], x["n"], x["k"]): x for x in model.shifted(df, F.lit(4)).collect()}
+    assert len(got) == len(rows)
+    for (c, n), g in vectors.items():
+        want, fine = numeric.stationary(g, "shift", 4)
+        assert fine and all(got[c, n, k + 1]["feasible"] for k in range(n))
+        assert np.allclose([got[c, n, k + 1]["g"] for k in range(n)], want) and np.allclose([got[c, n, k + 1]["big_g"] for k in range(n)], np.cumsum(want), atol=1e-9)

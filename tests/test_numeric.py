@@ -100,16 +100,25 @@ def test_kendall_equals_brute_force():
     assert math.isclose(numeric.kendall(x, y), slow)
 
 
-def test_smoother_and_density():
-    k = np.arange(1, 300)
-    noisy = np.log(k) + np.random.default_rng(3).normal(0, 0.1, len(k))
-    assert np.abs(numeric.smooth(k, noisy, np.ones(len(k)))[5:-5] - np.log(k)[5:-5]).mean() < 0.05
-    x = np.random.default_rng(4).normal(0, 1, 2000)
-    points = np.linspace(-6, 6, 601)
-    assert abs(numeric.density(x, points).sum() * 0.02 - 1) < 0.01
-
-
 def test_variance_power_is_recovered():
     h = np.array([1.0, 2, 4, 8])
     a, beta, r2 = numeric.variance_power(h, 0.5 * h**0.8)
     assert abs(a - 0.5) < 1e-4 and abs(beta - 0.8) < 1e-4 and r2 > 0.999
+
+
+def test_the_least_shift_by_bisection():
+    r = np.random.default_rng(7)
+
+    def falls(g, m, c):
+        g = g - c
+        g[len(g) - m :] -= g.sum() / m
+        return np.cumsum(g)[:-1].max(initial=-1.0) <= 1e-12
+
+    for _ in range(500):
+        n = int(r.integers(2, 30))
+        m, g = int(r.integers(1, n)), r.standard_normal(n) + r.choice([-1.0, 0.0, 0.5])
+        low, high = 0.0, 0.0 if falls(g, m, 0.0) else 100.0
+        for _ in range(60):
+            low, high = (low, (low + high) / 2) if falls(g, m, (low + high) / 2) else ((low + high) / 2, high)
+        assert abs(numeric.least_shift(g, m) - high) < 1e-7
+        assert numeric.stationary(g, "shift", m)[1]
