@@ -61,7 +61,8 @@ def sliced(df: DataFrame, metric: str, tie: Column | None = None) -> DataFrame:
     size = F.floor(F.log2(F.abs(x)) * SLICES)
     at = F.when(x.isNull(), -2_000_000_000).when(F.isnan(x), 2_000_000_000).when(x == 0, -100_000).when(x > 0, size).otherwise(-200_000 - size)
     small = F.abs(x) <= 4096
-    part = F.when(small, 2 * F.floor(x) + (x > F.floor(x)).cast("int")).otherwise(0).cast("int")
+    beyond = F.when(x > 0, 2 * 4096 + 1).otherwise(-2 * 4096 - 1)  # 4096 shares a slice with larger values
+    part = F.when(small, 2 * F.floor(x) + (x > F.floor(x)).cast("int")).otherwise(beyond).cast("int")
     near = F.lit("") if tie is None else F.when(small & (x == F.floor(x)), F.substring(tie.cast("string"), 1, 2)).otherwise("")
     return df.select("*", at.cast("int").alias("_slice"), part.alias("_part"), F.coalesce(near, F.lit("")).alias("_near"))
 

@@ -47,6 +47,16 @@ def test_sliced_ranks_equal_windows_over_whole_periods(spark):
         assert got.exceptAll(want).count() == 0 and got.count() == 3000
 
 
+def test_ranks_around_the_largest_whole_number_that_is_a_part_of_its_own(spark):
+    values = [4300.0, 4250.5, 4096.01, 4096.0, 4096.0, 4095.99, 4095.0, 0.5, 0.0, -4095.5, -4096.0, -4096.01, -4250.5]
+    df = panel(spark, [(DAY, f"{i:02d}", v) for i, v in enumerate(values)])
+    of = lambda out: [r["r"] for r in out.orderBy("endpoint_id").collect()]
+    args = (df, "week_start", "weekly_metric", "r")
+    assert of(panels.ranked(*args, ties=[F.col("endpoint_id")])) == list(range(1, 14))
+    assert of(panels.ranked(*args, "rank")) == [1, 2, 3, 4, 4, *range(6, 14)]
+    assert of(panels.panel(df, ("week_start", "weekly_metric", "t", "s", "r"))) == list(range(1, 14))
+
+
 def test_panel_totals_and_ranks(spark):
     df = spark.range(500).select(F.lit(DAY).alias("p"), F.col("id").cast("string").alias("endpoint_id"), F.pmod(F.xxhash64("id"), F.lit(30)).cast("double").alias("x"))
     got = panels.panel(df, ("p", "x", "t", "s", "r"))
