@@ -100,10 +100,14 @@ def first_feasible(candidates: DataFrame) -> DataFrame:
 
 
 def curves(candidates: DataFrame, sigma2: Column, m1: Column) -> DataFrame:
-    """Candidates with gap rates r, the log curve m_k and the weights mce, which sum to 1."""
+    """Candidates with gap rates r, the log curve m_k and the weights mce, which sum to 1.
+
+    Without variance (sigma2 is 0) the rates are infinite and the curve is flat.
+    """
     group = Window.partitionBy("candidate", "n", "m")
     order = group.orderBy("k")
-    out = candidates.withColumn("r", F.when(F.col("k") < F.col("n"), -2 * F.col("big_g") / sigma2)).withColumn("rho", F.try_divide(F.lit(1.0), "r"))
+    rate = F.when(sigma2 == 0, F.signum(-F.col("big_g")) * float("inf")).otherwise(F.try_divide(-2 * F.col("big_g"), sigma2))
+    out = candidates.withColumn("r", F.when(F.col("k") < F.col("n"), rate)).withColumn("rho", F.try_divide(F.lit(1.0), "r"))
     out = out.withColumn("m_k", m1 - F.coalesce(F.sum("rho").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
     out = out.withColumn("_e", F.exp(F.col("m_k") - F.max("m_k").over(group)))
     return out.withColumn("mce", F.col("_e") / F.sum("_e").over(group)).drop("_e")

@@ -46,3 +46,13 @@ def test_curves_equal_a_plain_refit_of_each_replicate(spark):
     bands = {(r["series"], r["k"]): r for r in bootstrap.bands(fits, [3]).collect()}
     tops = [sum(own[k][1] for k in (1, 2, 3)) for own in got.values()]
     assert abs(bands["top_share", 3]["p50"] - np.median(tops)) < 1e-12 and bands["m", 5]["replicates"] == kept
+
+
+def test_a_replicate_without_variance_has_a_flat_curve(spark):
+    start = datetime.date(2024, 1, 1)
+    rows = [(start + datetime.timedelta(days=7 * w), k, -0.01 / k if w < 2 else None, -float(k)) for w in range(3) for k in range(1, 13)]
+    df = spark.createDataFrame(rows, "week date, k int, g double, log_share double")
+    draws = bootstrap.drawn(df, "week", 4, 8, 42)
+    got = bootstrap.curves(df, df, draws, "week").collect()
+    assert len(got) == 4 * 12 and all(abs(r["m_k"] + 1) < 1e-9 and abs(r["mce"] - 1 / 12) < 1e-9 for r in got)
+    assert {r["replicates"] for r in bootstrap.bands(bootstrap.curves(df, df, draws, "week"), [3]).collect()} == {4}
