@@ -97,10 +97,15 @@ def leakage(panel: DataFrame, period: str, value: str, rank: str, horizons: Sequ
     return leakage_of(growth_pairs(panel, period, value, rank, horizons, days, "left"), observed_starts(panel, period, horizons, days), period, rank)
 
 
-def leakage_of(pairs: DataFrame, starts: DataFrame, period: str, rank: str) -> DataFrame:
-    """The same from pairs that keep rows without a later end, where their growth is used too."""
+def leakage_of(pairs: DataFrame, starts: DataFrame, period: str, rank: str, unique: bool = False) -> DataFrame:
+    """The same from pairs that keep rows without a later end, where their growth is used too.
+
+    unique: each period has a rank once, so the mean of its rows is the row's
+    own, and only ranks are grouped.
+    """
     pairs = pairs.join(F.broadcast(starts), [period, "horizon"], "left_semi")  # a row for each period and horizon
-    by_period = pairs.groupBy(period, rank, "horizon").agg(F.avg(F.col("value_next").isNull().cast("double")).alias("_leaked"))
+    leaked = F.col("value_next").isNull().cast("double")
+    by_period = pairs.select(rank, "horizon", leaked.alias("_leaked")) if unique else pairs.groupBy(period, rank, "horizon").agg(F.avg(leaked).alias("_leaked"))
     return by_period.groupBy(rank, "horizon").agg(F.avg("_leaked").alias("leakage"), F.count("*").alias("n_periods"))
 
 

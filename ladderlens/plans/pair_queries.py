@@ -76,7 +76,7 @@ leak AS (SELECT rank, horizon, avg(m) AS leakage, count(*) AS n_periods FROM (SE
 @query("j5_leakage", f"WITH {DAY_LEAK_SQL} SELECT rank, CAST(horizon AS INTEGER) AS horizon, round(leakage, 6) AS leakage, n_periods FROM leak")
 def j5(spark, d):
     own = pairs.growth_pairs(user_days(spark, d), "date", "metric_value", "rank", SMALL.daily_horizons, how="left")
-    return pairs.leakage_of(own, pairs.observed_starts(user_sums(spark, d), "date", SMALL.daily_horizons), "date", "rank").select("rank", "horizon", *rounded("leakage"), "n_periods")
+    return pairs.leakage_of(own, pairs.observed_starts(user_sums(spark, d), "date", SMALL.daily_horizons), "date", "rank", unique=True).select("rank", "horizon", *rounded("leakage"), "n_periods")
 
 
 @query(
@@ -87,9 +87,10 @@ def j5(spark, d):
     SELECT rank_w, CAST(horizon AS INTEGER) AS horizon, round(avg(m), 6) AS leakage, count(*) AS n_periods FROM m GROUP BY 1, 2""",
 )
 def j6(spark, d):
-    own = pairs.growth_pairs(part_weeks(spark, d), "week_start", "weekly_share", "rank_w", SMALL.weekly_horizons, 7, "left")
+    weekly = part_weeks(spark, d).select("week_start", "endpoint_id", "rank_w")  # only who is still there counts, so no value is carried
+    own = pairs.growth_pairs(weekly, "week_start", "rank_w", "rank_w", SMALL.weekly_horizons, 7, "left")
     starts = pairs.observed_starts(part_sums(spark, d), "week_start", SMALL.weekly_horizons, 7)
-    return pairs.leakage_of(own, starts, "week_start", "rank_w").select("rank_w", "horizon", *rounded("leakage"), "n_periods")
+    return pairs.leakage_of(own, starts, "week_start", "rank_w", unique=True).select("rank_w", "horizon", *rounded("leakage"), "n_periods")
 
 
 BAND_SQL = "CASE WHEN rank = 1 THEN '1' ELSE CAST(power(2, floor(log2(rank))) AS INTEGER) || '-' || CAST(power(2, floor(log2(rank)) + 1) - 1 AS INTEGER) END"
@@ -245,5 +246,5 @@ def m31(spark, d):
     """Quantiles of weekly growth by rank, with bounds for those who left."""
     daily = user_days(spark, d)
     own = pairs.growth_pairs(daily, "date", "metric_value", "rank", [7], how="left")
-    leak = pairs.leakage_of(own, pairs.observed_starts(user_sums(spark, d), "date", [7]), "date", "rank")
+    leak = pairs.leakage_of(own, pairs.observed_starts(user_sums(spark, d), "date", [7]), "date", "rank", unique=True)
     return pairs.lee_bounds(own, ["rank"], "g", leak, SMALL.quantiles).select("rank", "tau", "n", *rounded("leakage", "q_lb", "q_obs", "q_ub"))
