@@ -240,3 +240,20 @@ def smooth_edges(df: DataFrame, key: str, value: str, size: int, group: str) ->
     first, last = F.first(value).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.last(value).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     left, right = F.greatest(half - at + 1, F.lit(0)), F.greatest(half - (n - at), F.lit(0))
     return df.withColumn("smooth", (F.sum(value).over(near) + left * first + right * last) / size)
+
+
+def filled(df: DataFrame, key: str, value: str, block: int = 4096) -> DataFrame:
+    """df with nulls of value filled from the last row before that has one, in the order of key (a whole number), else from the first that has one.
+
+    Keys are cut into blocks: no task holds more than a block of rows, or a row
+    for each block.  df is read twice, so it should be a table.
+    """
+    at, known = F.floor(F.col(key) / block), F.when(F.col(value).isNotNull(), F.col(key))
+    order = Window.orderBy("_block")  # a row for each block
+    ends = df.groupBy(at.alias("_block")).agg(F.min_by(value, known).alias("_first"), F.max_by(value, known).alias("_last"))
+    before = F.last("_last", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    first = F.first("_first", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    ends = ends.select("_block", before.alias("_before"), first.alias("_start"))
+    own = F.last(value, ignorenulls=True).over(Window.partitionBy("_block").orderBy(key).rowsBetween(Window.unboundedPreceding, 0))
+    cut = df.withColumn("_block", at).withColumn(value, own)
+    return cut.join(F.broadcast(ends), "_block").withColumn(value, F.coalesce(value, "_before", "_start")).select(df.columns)

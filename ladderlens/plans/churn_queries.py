@@ -131,6 +131,4 @@ def j19(spark, d):
 def w18(spark, d):
     """Median shares by rank; a rank that fewer than five weeks have takes that of the rank before, or else of the next one."""
     s = part_weeks(spark, d).groupBy(F.col("rank_w").alias("k")).agg(F.when(F.count("*") >= 5, F.median("weekly_share")).alias("y"))
-    order = Window.partitionBy(F.lit(0)).orderBy("k")  # a row for each rank
-    filled = F.coalesce(F.last("y", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.first("y", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing)))
-    return s.select("k", F.round(filled, 9).alias("y"))
+    return panels.filled(keep(s, "medians"), "k", "y").select("k", *rounded("y", digits=9))

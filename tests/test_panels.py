@@ -118,6 +118,25 @@ def test_leakage_and_bounds(spark):
     assert all(r["q_lb"] is None and r["q_obs"] is not None for r in pairs.lee_bounds(own, ["one"], "g", gone, [0.5], least=1).collect())
 
 
+def test_leakage_of_unique_ranks_groups_once(spark):
+    rows = [(week(n), x, float(v + n)) for n in range(6) for v, x in enumerate("abcdef", 1) if (n * v) % 5 != 3]
+    df = panels.ranked(panel(spark, rows), "week_start", "weekly_metric", "rank_w", ties=[F.col("endpoint_id")])
+    own, starts = pairs.growth_pairs(df, "week_start", "weekly_metric", "rank_w", [1, 2], 7, "left"), pairs.observed_starts(df, "week_start", [1, 2], 7)
+    one, two = (pairs.leakage_of(own, starts, "week_start", "rank_w", unique) for unique in (True, False))
+    assert sorted(one.collect()) == sorted(two.collect()) and 0 < one.agg(F.avg("leakage")).first()[0] < 1
+    assert "week_start" not in one._jdf.queryExecution().optimizedPlan().toString().split("Join LeftSemi")[0]  # no group of a period and a rank
+
+
+def test_filled_over_blocks(spark):
+    values = [None, None, None, 1.0, None, None, None, None, None, 2.0, 3.0, None, None]
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(values, 1) if k != 8], "k int, y double")
+    want = {k: v for k, v in enumerate([1.0] * 9 + [2.0, 3.0, 3.0, 3.0], 1) if k != 8}
+    for block in (1, 2, 3, 100):
+        out = panels.filled(df, "k", "y", block)
+        assert {r["k"]: r["y"] for r in out.collect()} == want and out.columns == ["k", "y"]
+    assert {r["y"] for r in panels.filled(df.withColumn("y", F.lit(None).cast("double")), "k", "y", 2).collect()} == {None}
+
+
 def test_new_and_returning(spark):
     rows = [(week(n), "always", 1.0) for n in range(20)] + [(week(n), "a", 1.0) for n in (0, 4, 17)]
     got = {r["week_idx"]: (r["n"], r["new_ever"], r["back_4"], r["back_12"]) for r in churn.new_and_returning(panel(spark, rows), "week_start").collect()}
