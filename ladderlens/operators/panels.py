@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ladderlens.operators.quantiles import quantiles
 
@@ -22,12 +23,34 @@ def interactions(df: DataFrame, columns: Sequence[str]) -> Column:
     return reduce(lambda a, b: a + b, [F.coalesce(F.col(f"`{c}`"), F.lit(0)) if c in have else F.lit(0) for c in columns])
 
 
+#: Sums are exact up to 2**37 where their terms are cut at 2**-16: a term's larger part has 53 bits at most, and so has the sum of what is cut off.
+CUT = 2.0**16
+
+
+def rounded_sum(df: DataFrame, metric: Column | str, decimals: int = 2) -> Column:
+    """The sum of metric, a column of df, rounded as SQL's round(sum(x), decimals) does: half away from zero, on the sum times 10^decimals.
+
+    A sum of doubles depends on the order of the rows, and half a cent is
+    rounded up or down by the last bit of it.  So each double is cut in two
+    parts, whose sums are exact in any order: a sum that is computed twice is
+    the same twice.
+    """
+    x = F.col(metric) if isinstance(metric, str) else metric
+    if not isinstance(df.select(x).schema[0].dataType, T.DoubleType | T.FloatType):
+        return F.round(F.sum(x), decimals)
+    x = x.cast("double")
+    near = F.abs(x) < 2.0**37  # larger ones have no part below; infinities and NaN stay as they are
+    head = F.when(near, F.rint(x * CUT) / CUT).otherwise(x)
+    whole = F.sum(head) + F.coalesce(F.sum(F.when(near, x - head)), F.lit(0.0))
+    return F.round(whole * 10.0**decimals) / 10.0**decimals
+
+
 def activity(df: DataFrame, period: Column, endpoint: Column, metric: Column, names: tuple[str, str, str], decimals: int = 2) -> DataFrame:
     """(period, endpoint_id, metric): the metric's sum; a null endpoint is one of its own.
 
-    Sums are rounded, so that they don't depend on the order of the rows.
+    Sums are rounded, and don't depend on the order of the rows.
     """
-    sums = df.groupBy(period.alias(names[0]), endpoint.alias(names[1])).agg(F.round(F.sum(metric), decimals).alias(names[2]))
+    sums = df.groupBy(period.alias(names[0]), endpoint.alias(names[1])).agg(rounded_sum(df, metric, decimals).alias(names[2]))
     return sums.withColumn(names[1], F.col(names[1]).cast("string"))
 
 
@@ -42,7 +65,7 @@ def shares(df: DataFrame, period: str, metric: str, total: str, share: str, deci
 
     Totals are summed before the shuffle and joined back, so that no task holds a period.
     """
-    totals = df.groupBy(period).agg(F.round(F.sum(metric), decimals).alias(total))
+    totals = df.groupBy(period).agg(rounded_sum(df, metric, decimals).alias(total))
     return df.join(totals, period).withColumn(share, F.try_divide(metric, total))
 
 

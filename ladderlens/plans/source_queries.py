@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ladderlens.config import SMALL
-from ladderlens.operators import churn
+from ladderlens.operators import churn, panels
 from ladderlens.plans.inputs import DAYS_SQL, SUPPLIERS, rounded, supplier_sums, supplier_weeks, user_days
 from ladderlens.registry import query
 from ladderlens.session import table
@@ -48,7 +48,7 @@ def s4(spark, d):
 def s8(spark, d):
     """Two of eleven columns are read, and the filter is pushed down."""
     own = table(spark, d, "lineitem").where("l_shipdate >= TIMESTAMP '2000-01-01'").select(F.to_date("l_shipdate").alias("ship_date"), "l_extendedprice")
-    return own.groupBy("ship_date").agg(F.count("*").alias("n"), F.round(F.sum("l_extendedprice"), 2).alias("metric"))
+    return own.groupBy("ship_date").agg(F.count("*").alias("n"), panels.rounded_sum(own, "l_extendedprice").alias("metric"))
 
 
 @query("s9_resolve_and_fill", f"WITH {DAYS_SQL} SELECT date, endpoint_id, metric_value, total_metric, round(share, 9) AS share, rank FROM daily")
@@ -108,7 +108,7 @@ def r2(spark, d):
     dumps = scratch(spark, "dumps")
     write_days(spark, d, dumps)
     own = readers.sampled_dumps(spark, dumps, 10, SMALL.seed)
-    return own.groupBy("file_date").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("metric"))
+    return own.groupBy("file_date").agg(F.count("*").alias("n"), panels.rounded_sum(own, "value").alias("metric"))
 
 
 @query(

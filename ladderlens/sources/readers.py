@@ -124,7 +124,7 @@ def fill_panel(df: DataFrame, most_null: float = 0.25) -> DataFrame:
     good = {c for c in optional if (nulls[c] or 0) <= most_null}
     out = df
     if "total_metric" not in good:
-        totals = df.groupBy("date").agg(F.round(F.sum("metric_value"), 2).alias("total_metric"))
+        totals = df.groupBy("date").agg(panels.rounded_sum(df, "metric_value").alias("total_metric"))
         out = out.drop("total_metric").join(totals, "date")
     if "share" not in good:
         out = out.drop("share").withColumn("share", F.try_divide("metric_value", "total_metric"))
@@ -145,7 +145,7 @@ def standardize_long(df: DataFrame, mapping: dict[str, str] | None = None) -> Da
     else:
         df = df.withColumn("date", F.to_date("date"))
     metric = F.greatest(F.col("metric_value").cast("double"), F.lit(0.0))
-    totals = df.groupBy("date").agg(F.round(F.sum(metric), 2).alias("_total"))
+    totals = df.groupBy("date").agg(panels.rounded_sum(df, metric).alias("_total"))
     out = df.join(totals, "date").select(F.col("endpoint_id").cast("string").alias("id"), F.col("date").alias("time"), F.try_divide(metric, "_total").alias("share"), metric.alias("metric"))
     return panels.ranked(out, "time", "metric", "rank", "rank").select("id", "time", "rank", "share", "metric")
 

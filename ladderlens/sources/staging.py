@@ -51,7 +51,7 @@ def load(spark: SparkSession, folder: str, store: str, endpoint: Column, metric:
     touched = spark.createDataFrame([(r["file_date"],) for r in files], "d date").select(panels.week_of("d").alias("week_start")).distinct()
     weeks = [r["week_start"] for r in touched.collect()]
     kept = spark.read.parquet(f"{store}/increments").where(F.col("week_start").isin(weeks))  # other weeks' folders aren't opened
-    total = kept.groupBy("week_start", "endpoint_id").agg(F.round(F.sum("metric"), 2).alias("metric_value"))
+    total = kept.groupBy("week_start", "endpoint_id").agg(panels.rounded_sum(kept, "metric").alias("metric_value"))
     ranked = panels.top_n(panels.positive(total, "metric_value", ["week_start", "endpoint_id"]), "week_start", "metric_value", top, [F.col("endpoint_id")])
     append_periods(ranked, f"{store}/ranked", "week_start")
     spark.catalog.refreshByPath(f"{store}/ranked")

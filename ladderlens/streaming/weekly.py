@@ -13,7 +13,7 @@ from ladderlens.sources.sinks import append_periods
 def weekly_sums(events: DataFrame, time: str, endpoint: str, metric: str, late: str = "2 days") -> DataFrame:
     """(week_start, endpoint_id, weekly_metric) of Monday weeks; a week closes when the watermark passes it."""
     week = F.window(time, "7 days", startTime="4 days")  # the epoch was a Thursday
-    sums = events.withWatermark(time, late).groupBy(week.alias("w"), F.col(endpoint).cast("string").alias("endpoint_id")).agg(F.round(F.sum(metric), 2).alias("weekly_metric"))
+    sums = events.withWatermark(time, late).groupBy(week.alias("w"), F.col(endpoint).cast("string").alias("endpoint_id")).agg(panels.rounded_sum(events, metric).alias("weekly_metric"))
     return sums.select(F.to_date("w.start").alias("week_start"), "endpoint_id", "weekly_metric")
 
 

@@ -57,6 +57,30 @@ def test_ranks_around_the_largest_whole_number_that_is_a_part_of_its_own(spark):
     assert of(panels.panel(df, ("week_start", "weekly_metric", "t", "s", "r"))) == list(range(1, 14))
 
 
+def test_sums_at_half_a_cent_are_rounded_as_sql_does_and_in_any_order(spark):
+    import math
+    import random
+
+    import duckdb
+
+    r = random.Random(3)
+    groups = [[1.005], [8.345], [-1.005], [0.1, 0.905], [4350.675, 1.33]]
+    groups += [[r.randrange(10**7) / 1000 for _ in range(n)] for n in (3, 5, 40) for _ in range(300)]
+    groups += [[7.0, float("inf")], [float("nan"), 1.0], [2.0**60, 2.0**38, 0.125], [None, 2.5], [None]]
+    rows = [(g, i, x) for g, xs in enumerate(groups) for i, x in enumerate(xs)]
+    df = spark.createDataFrame(rows, "g int, i int, x double")
+    sums = lambda out: {x["g"]: x["s"] for x in out.groupBy("g").agg(panels.rounded_sum(out, "x").alias("s")).collect()}
+    got, turned = sums(df.coalesce(1).sortWithinPartitions("i")), sums(df.repartition(7, "i", "x").sortWithinPartitions("x"))
+    assert all(repr(got[g]) == repr(turned[g]) for g in range(len(groups)))
+    con = duckdb.connect()
+    for g, xs in enumerate(groups):
+        exact = None if xs == [None] else sum(x for x in xs if x is not None) if any(x is None or not math.isfinite(x) for x in xs) else math.fsum(xs)
+        (want,) = con.execute("SELECT round(?::DOUBLE, 2)", [exact]).fetchone()
+        assert got[g] == want or math.isnan(got[g]) and math.isnan(want), (xs, got[g], want)
+    whole = spark.createDataFrame([(1, 2), (1, 5)], "g int, x long")
+    assert whole.groupBy("g").agg(panels.rounded_sum(whole, "x").alias("s")).schema["s"].dataType.typeName() == "long"
+
+
 def test_panel_totals_and_ranks(spark):
     df = spark.range(500).select(F.lit(DAY).alias("p"), F.col("id").cast("string").alias("endpoint_id"), F.pmod(F.xxhash64("id"), F.lit(30)).cast("double").alias("x"))
     got = panels.panel(df, ("p", "x", "t", "s", "r"))
