@@ -45,6 +45,17 @@ def rounded_sum(df: DataFrame, metric: Column | str, decimals: int = 2) -> Colum
     return F.round(whole * 10.0**decimals) / 10.0**decimals
 
 
+def rounded(x: Column | str, decimals: int) -> Column:
+    """A double, rounded as SQL's round(x, decimals) does: half away from zero, on x times 10^decimals, and with the sign of x.
+
+    What is rounded to nothing from below is -0.0 in SQL; Spark's own round
+    gives 0.0, which has other text and another hash.
+    """
+    x = F.col(x) if isinstance(x, str) else x
+    scale = 10.0**decimals
+    return F.when(F.abs(x) < 1e290, F.signum(x) * F.round(F.abs(x) * scale) / scale).otherwise(x)
+
+
 def activity(df: DataFrame, period: Column, endpoint: Column, metric: Column, names: tuple[str, str, str], decimals: int = 2) -> DataFrame:
     """(period, endpoint_id, metric): the metric's sum; a null endpoint is one of its own.
 

@@ -68,4 +68,4 @@ CUSTOMERS = weeks_sql("orders", "o_orderdate", "o_custkey", "o_totalprice")
 
 
 def rounded(*names: str, digits: int = 6) -> list:
-    return [F.round(n, digits).alias(n) for n in names]
+    return [panels.rounded(n, digits).alias(n) for n in names]

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ladderlens.config import SMALL, EngineConfig
 from ladderlens.functions import numeric, pooling
 from ladderlens.functions.spline import smoothing_spline
-from ladderlens.operators import bootstrap, isotone, model, pairs, stats
+from ladderlens.operators import bootstrap, isotone, model, pairs, panels, stats
 from ladderlens.plans.inputs import SUPPLIERS, rounded, supplier_sums, supplier_weeks, user_days
 from ladderlens.plans.stat_queries import GROWTH_SQL, first_rank_line, head, week_growth
 from ladderlens.registry import query
@@ -127,7 +127,7 @@ def m5(spark, d):
 
 @query("m6_market_growth", f"WITH {GROWTH_SQL} SELECT round(sum(bar_g * n) / sum(n), 6) AS gamma_mean, round(median(bar_g), 6) AS gamma_median FROM head")
 def m6(spark, d):
-    return head(spark, d).agg(F.round(F.sum(F.col("bar_g") * F.col("n")) / F.sum("n"), 6).alias("gamma_mean"), F.round(F.median("bar_g"), 6).alias("gamma_median"))
+    return head(spark, d).agg(panels.rounded(F.sum(F.col("bar_g") * F.col("n")) / F.sum("n"), 6).alias("gamma_mean"), panels.rounded(F.median("bar_g"), 6).alias("gamma_median"))
 
 
 @query("m13_expand_variance", f"WITH {GROWTH_SQL} SELECT k, round(coalesce(v, last_value(v IGNORE NULLS) OVER (ORDER BY k ROWS UNBOUNDED PRECEDING)), 6) AS v FROM (SELECT unnest(generate_series(1, 200)) AS k) LEFT JOIN (SELECT k, v FROM head) USING (k)")
@@ -135,7 +135,7 @@ def m13(spark, d):
     """Variances up to rank 200; the last one known goes on."""
     ranks = spark.range(1, 201).select(F.col("id").alias("k"), F.lit(0).alias("candidate"))
     order = Window.partitionBy("candidate").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    return ranks.join(head(spark, d).select("k", "v"), "k", "left").select("k", F.round(F.coalesce("v", F.last("v", ignorenulls=True).over(order)), 6).alias("v"))
+    return ranks.join(head(spark, d).select("k", "v"), "k", "left").select("k", panels.rounded(F.coalesce("v", F.last("v", ignorenulls=True).over(order)), 6).alias("v"))
 
 
 @query("m14_tail_regression", f"WITH {GROWTH_SQL}, {SIGMA_SQL} SELECT round(-regr_slope(ln(-big_g), ln(k + 1)), 5) AS alpha, round(exp(regr_intercept(ln(-big_g), ln(k + 1))), 5) AS a, count(*) AS n FROM gap_g WHERE k >= 30 AND big_g < 0")

@@ -34,7 +34,7 @@ def week_pairs(spark, d, how="inner"):
 def flagship(spark, d):
     """Weekly growth of shares by rank: mean, median, variance and count."""
     one = pairs.growth_pairs(supplier_weeks(spark, d), "week_start", "weekly_share", "rank_w", [1], 7)
-    return one.groupBy("rank_w").agg(F.round(F.avg("g"), 6).alias("mean_g"), F.round(F.median("g"), 6).alias("median_g"), F.round(F.var_samp("g"), 6).alias("var_g"), F.count("*").alias("n"))
+    return one.groupBy("rank_w").agg(panels.rounded(F.avg("g"), 6).alias("mean_g"), panels.rounded(F.median("g"), 6).alias("median_g"), panels.rounded(F.var_samp("g"), 6).alias("var_g"), F.count("*").alias("n"))
 
 
 @query("j1_metric_pairs", f"WITH {DAYS_SQL}, {PAIR_SQL} SELECT date, endpoint_id, rank, CAST(horizon AS INTEGER) AS horizon, round(g, 6) AS g FROM pairs WHERE rank IN (1, 2, 4, 8, 16, 32, 64, 128, 256, 512, 1024)")
@@ -61,7 +61,7 @@ def j3(spark, d):
 def j4(spark, d):
     """Raw growth, and growth over sqrt(ln(rank))."""
     own = day_pairs(spark, d).where("rank > 1").withColumn("s", pairs.standardized(F.col("g"), F.col("rank")))
-    return own.groupBy("rank", "horizon").agg(F.round(F.avg("g"), 6).alias("raw"), F.round(F.avg("s"), 6).alias("standardized"), F.count("*").alias("n"))
+    return own.groupBy("rank", "horizon").agg(panels.rounded(F.avg("g"), 6).alias("raw"), panels.rounded(F.avg("s"), 6).alias("standardized"), F.count("*").alias("n"))
 
 
 DAY_LEAK_SQL = f"""{DAYS_SQL},
@@ -227,7 +227,7 @@ def a16(spark, d):
     """The tenth highest growth, as an element of the sorted list."""
     one = pairs.growth_pairs(supplier_weeks(spark, d), "week_start", "weekly_share", "rank_w", [1], 7)
     lists = one.groupBy("rank_w").agg(F.sort_array(F.collect_list("g"), asc=False).alias("x"))
-    return lists.select("rank_w", F.round(F.try_element_at("x", F.lit(10)), 6).alias("g")).where("g is not null")
+    return lists.select("rank_w", panels.rounded(F.try_element_at("x", F.lit(10)), 6).alias("g")).where("g is not null")
 
 
 @query(

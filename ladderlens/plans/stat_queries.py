@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ladderlens.config import SMALL, EngineConfig
 from ladderlens.functions import numeric
-from ladderlens.operators import churn, pairs, stats
+from ladderlens.operators import churn, pairs, panels, stats
 from ladderlens.operators.density import densities
 from ladderlens.plans.inputs import DAYS_SQL, SUPPLIERS, rounded, supplier_weeks, user_days
 from ladderlens.registry import query
@@ -68,7 +68,7 @@ def a12(spark, d):
 @query("a14_quantile_bands", f"WITH {SUPPLIERS} SELECT rank_w AS k, round(quantile_cont(ln(weekly_share), 0.1), 6) AS p10, round(quantile_cont(ln(weekly_share), 0.5), 6) AS p50, round(quantile_cont(ln(weekly_share), 0.9), 6) AS p90 FROM weekly GROUP BY 1")
 def a14(spark, d):
     own = supplier_weeks(spark, d).withColumn("y", F.ln("weekly_share"))
-    return own.groupBy(F.col("rank_w").alias("k")).agg(*[F.round(F.percentile("y", p / 100), 6).alias(f"p{p}") for p in (10, 50, 90)])
+    return own.groupBy(F.col("rank_w").alias("k")).agg(*[panels.rounded(F.percentile("y", p / 100), 6).alias(f"p{p}") for p in (10, 50, 90)])
 
 
 @query("a20_average_total", f"WITH {SUPPLIERS}, t AS (SELECT DISTINCT week_start, weekly_total FROM weekly), c AS (SELECT k, round(sum(mid), 9) AS captured FROM (SELECT unnest([10, 20, 50]) AS k) g JOIN (SELECT rank_w, avg(weekly_share) AS mid FROM weekly GROUP BY 1) s ON s.rank_w <= k GROUP BY 1) SELECT k, captured, (SELECT round(avg(weekly_total), 2) FROM t) AS average_total FROM c")
@@ -85,7 +85,7 @@ def a21(spark, d):
     """Weekly totals estimated from the head's sum and its mean share, and how far off they are."""
     own = supplier_weeks(spark, d).groupBy("week_start").agg(F.max("weekly_total").alias("known"), F.sum(F.when(F.col("rank_w") <= 50, F.col("weekly_metric"))).alias("head"), F.sum(F.when(F.col("rank_w") <= 50, F.col("weekly_share"))).alias("s"))
     mean = own.agg(F.avg("s").alias("mean_s"))
-    return own.crossJoin(F.broadcast(mean)).select("week_start", F.round(F.col("head") / F.col("mean_s"), 2).alias("estimate"), F.round(F.col("head") / F.col("mean_s") - F.col("known"), 2).alias("gap"))
+    return own.crossJoin(F.broadcast(mean)).select("week_start", panels.rounded(F.col("head") / F.col("mean_s"), 2).alias("estimate"), panels.rounded(F.col("head") / F.col("mean_s") - F.col("known"), 2).alias("gap"))
 
 
 @query("a22_decile_variance", f"WITH {GROWTH_SQL} SELECT CAST(ceil(rank_w / 5.0) AS BIGINT) AS decile, round(var_samp(g), 6) AS variance, count(*) AS n FROM growth WHERE rank_w <= 50 GROUP BY 1")
@@ -254,7 +254,7 @@ def m33(spark, d):
 @query("m34_drift_line", f"WITH {DAYS_SQL}, g AS (SELECT a.rank, ln(b.share) - ln(a.share) AS g FROM daily a JOIN daily b ON b.endpoint_id = a.endpoint_id AND b.date = a.date + 1) SELECT round(regr_intercept(g, rank), 6) AS kappa, round(-regr_slope(g, rank), 6) AS eta, count(*) AS n FROM g")
 def m34(spark, d):
     own = pairs.growth_pairs(user_days(spark, d), "date", "share", "rank", [1])
-    return own.agg(F.round(F.regr_intercept("g", "rank"), 6).alias("kappa"), F.round(-F.regr_slope("g", "rank"), 6).alias("eta"), F.count("*").alias("n"))
+    return own.agg(panels.rounded(F.regr_intercept("g", "rank"), 6).alias("kappa"), panels.rounded(-F.regr_slope("g", "rank"), 6).alias("eta"), F.count("*").alias("n"))
 
 
 @query("m35_variance_exponent")
@@ -302,7 +302,7 @@ def m38(spark, d):
     idle = steps.agg(F.count("*").alias("n")).crossJoin(all_steps).select(off.alias("prev_rank"), (F.col("steps") - F.col("n")).alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("q")).where("n > 0")
     out = sums.unionByName(idle).groupBy("prev_rank").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
     spread = F.sqrt(F.greatest(F.col("q") - F.col("s") ** 2 / F.col("n"), F.lit(0.0)) / F.nullif(F.col("n") - 1, F.lit(0)))
-    return out.select("prev_rank", "n", F.round(F.col("s") / F.col("n"), 6).alias("mean_g"), F.round(spread, 6).alias("sd_g"))
+    return out.select("prev_rank", "n", panels.rounded(F.col("s") / F.col("n"), 6).alias("mean_g"), panels.rounded(spread, 6).alias("sd_g"))
 
 
 @query("m32_density")

@@ -81,6 +81,40 @@ def test_sums_at_half_a_cent_are_rounded_as_sql_does_and_in_any_order(spark):
     assert whole.groupBy("g").agg(panels.rounded_sum(whole, "x").alias("s")).schema["s"].dataType.typeName() == "long"
 
 
+def test_what_is_rounded_to_nothing_keeps_its_sign_as_in_sql(spark):
+    import random
+
+    import duckdb
+
+    from ladderlens.plans.inputs import rounded
+
+    r = random.Random(4)
+    xs = [-1e-7, 1e-7, -0.0, 0.0, -4.9e-7, -5e-7, 0.49999999999999994e-6, 1.0000005, -2.0000025, 12345.0000005, -1e305, 1e305, float("inf"), float("-inf"), float("nan"), None]
+    xs += [r.uniform(-2, 2) for _ in range(300)] + [r.randrange(-(10**9), 10**9) / 2**20 for _ in range(300)] + [(2 * r.randrange(10**8) + 1) / 2e6 for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(xs)), "i int, g double").select("i", *rounded("g"))
+    assert df.schema["g"].dataType.typeName() == "double"
+    con = duckdb.connect()
+    want = [con.execute("SELECT round(?::DOUBLE, 6)", [x]).fetchone()[0] for x in xs]
+    assert [repr(x["g"]) for x in df.orderBy("i").collect()] == list(map(repr, want))
+
+
+def test_growth_that_is_rounded_to_nothing_keeps_its_sign(spark, tmp_path):
+    import duckdb
+
+    from ladderlens import catalog
+
+    rows = [(s, dt.datetime.combine(week(w), dt.time()), 50000.0 if s or w != 1 else 49999.99) for w in range(3) for s in range(200)]
+    lines = spark.createDataFrame([(s, s, t, x) for s, t, x in rows], "l_suppkey long, l_partkey long, l_shipdate timestamp, l_extendedprice double")
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    for name in ("j11_next_kept_week", "p5_winsorize_by_rank", "flagship_growth_by_rank"):
+        got = sorted(map(repr, map(tuple, catalog.QUERIES[name](spark, str(tmp_path)).collect())))
+        want = sorted(map(repr, con.execute(catalog.ORACLE[name]).fetchall()))
+        assert got == want
+        assert any("-0.0" in row for row in want)
+
+
 def test_panel_totals_and_ranks(spark):
     df = spark.range(500).select(F.lit(DAY).alias("p"), F.col("id").cast("string").alias("endpoint_id"), F.pmod(F.xxhash64("id"), F.lit(30)).cast("double").alias("x"))
     got = panels.panel(df, ("p", "x", "t", "s", "r"))
