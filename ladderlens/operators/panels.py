@@ -27,6 +27,24 @@ def interactions(df: DataFrame, columns: Sequence[str]) -> Column:
 CUT = 2.0**16
 
 
+def parts(df: DataFrame, metric: Column | str) -> list[Column]:
+    """metric, a column of df, as numbers that add up to it, and whose sums are exact in any order: a double is cut in two."""
+    x = F.col(metric) if isinstance(metric, str) else metric
+    if not isinstance(df.select(x).schema[0].dataType, T.DoubleType | T.FloatType):
+        return [x]
+    x = x.cast("double")
+    near = F.abs(x) < 2.0**37  # larger ones have no part below; infinities and NaN stay as they are
+    head = F.when(near, F.rint(x * CUT) / CUT).otherwise(x)
+    return [head, F.coalesce(F.when(near, x - head), F.lit(0.0))]
+
+
+def rounded_parts(sums: Sequence[Column], decimals: int) -> Column:
+    """The sum whose parts were summed, rounded as SQL's round(sum(x), decimals) does."""
+    if len(sums) == 1:
+        return F.round(sums[0], decimals)
+    return F.round((sums[0] + sums[1]) * 10.0**decimals) / 10.0**decimals
+
+
 def rounded_sum(df: DataFrame, metric: Column | str, decimals: int = 2) -> Column:
     """The sum of metric, a column of df, rounded as SQL's round(sum(x), decimals) does: half away from zero, on the sum times 10^decimals.
 
@@ -35,14 +53,7 @@ def rounded_sum(df: DataFrame, metric: Column | str, decimals: int = 2) -> Colum
     parts, whose sums are exact in any order: a sum that is computed twice is
     the same twice.
     """
-    x = F.col(metric) if isinstance(metric, str) else metric
-    if not isinstance(df.select(x).schema[0].dataType, T.DoubleType | T.FloatType):
-        return F.round(F.sum(x), decimals)
-    x = x.cast("double")
-    near = F.abs(x) < 2.0**37  # larger ones have no part below; infinities and NaN stay as they are
-    head = F.when(near, F.rint(x * CUT) / CUT).otherwise(x)
-    whole = F.sum(head) + F.coalesce(F.sum(F.when(near, x - head)), F.lit(0.0))
-    return F.round(whole * 10.0**decimals) / 10.0**decimals
+    return rounded_parts([F.sum(x) for x in parts(df, metric)], decimals)
 
 
 def rounded(x: Column | str, decimals: int) -> Column:
@@ -165,15 +176,16 @@ def panel(own: DataFrame, names: tuple[str, str, str, str, str], decimals: int =
     names are those of the period, metric, total, share and rank; rows, if
     given, that of the number of rows of the period.  Counts and
     sums of slices of the metric, which Spark adds up before the shuffle, give
-    both the totals and where each slice's ranks start.
+    both the totals, exact in any order, and where each slice's ranks start.
     """
     period, metric, total, share, rank = names
     cut = sliced(own, metric, F.col("endpoint_id"))
     keys = [period, "_slice", "_part", "_near"]
-    edges = cut.groupBy(*keys).agg(F.count("*").alias("_count"), F.sum(metric).alias("_sum"))
+    sums = {f"_sum{i}": x for i, x in enumerate(parts(own, metric))}
+    edges = cut.groupBy(*keys).agg(F.count("*").alias("_count"), *[F.sum(x).alias(n) for n, x in sums.items()])
     start = F.coalesce(F.sum("_count").over(larger(period)), F.lit(0))
     whole = larger(period).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    edges = edges.select(*keys, start.alias("_start"), F.round(F.sum("_sum").over(whole), decimals).alias(total), *([F.sum("_count").over(whole).alias(rows)] if rows else []))
+    edges = edges.select(*keys, start.alias("_start"), rounded_parts([F.sum(n).over(whole) for n in sums], decimals).alias(total), *([F.sum("_count").over(whole).alias(rows)] if rows else []))
     within = Window.partitionBy(*keys).orderBy(F.desc(metric), "endpoint_id")
     out = cut.select("*", F.row_number().over(within).alias("_n")).join(edges, keys)
     return out.select(*own.columns, total, F.try_divide(metric, total).alias(share), (F.col("_start") + F.col("_n")).cast("int").alias(rank), *([rows] if rows else []))
@@ -212,8 +224,8 @@ def weekly_panel(df: DataFrame, date: Column, endpoint: Column, metric: Column,
 def weekly_of_daily(daily: DataFrame) -> DataFrame:
     """A weekly panel whose totals are the sums of the distinct daily totals, not of the listed endpoints."""
     week = daily.withColumn("week_start", week_of("date"))
-    totals = week.select("date", "week_start", "total_metric").distinct().groupBy("week_start").agg(F.round(F.sum("total_metric"), 2).alias("weekly_total"))
-    sums = week.groupBy("week_start", "endpoint_id").agg(F.round(F.sum("metric_value"), 2).alias("weekly_metric"))
+    totals = week.select("date", "week_start", "total_metric").distinct().groupBy("week_start").agg(rounded_sum(week, "total_metric").alias("weekly_total"))
+    sums = week.groupBy("week_start", "endpoint_id").agg(rounded_sum(week, "metric_value").alias("weekly_metric"))
     out = sums.join(totals, "week_start").withColumn("weekly_share", F.try_divide("weekly_metric", "weekly_total"))
     return ranked(out, "week_start", "weekly_metric", "rank_w", ties=[F.col("endpoint_id")])
 

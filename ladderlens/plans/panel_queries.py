@@ -160,7 +160,7 @@ def a1(spark, d):
 
 @query("a2_weekly_panel", f"WITH {SUPPLIERS} SELECT week_start, endpoint_id, weekly_metric, weekly_total, round(weekly_share, 9) AS weekly_share, rank_w FROM weekly")
 def a2(spark, d):
-    return supplier_weeks(spark, d).withColumns({"weekly_share": F.round("weekly_share", 9)})
+    return supplier_weeks(spark, d).withColumns({"weekly_share": panels.rounded("weekly_share", 9)})
 
 
 @query(
@@ -172,7 +172,7 @@ def a2(spark, d):
 )
 def a3(spark, d):
     """Weekly shares of the platform's total, from the 100 largest of each day."""
-    out = panels.weekly_of_daily(keep(user_days(spark, d).where(F.col("rank") <= 100), "days")).withColumns({"weekly_share": F.round("weekly_share", 9)})
+    out = panels.weekly_of_daily(keep(user_days(spark, d).where(F.col("rank") <= 100), "days")).withColumns({"weekly_share": panels.rounded("weekly_share", 9)})
     return out.select("week_start", "endpoint_id", "weekly_metric", "weekly_total", "weekly_share", "rank_w")
 
 
@@ -335,7 +335,7 @@ def u6(spark, d):
     dates = daily.agg(F.sort_array(F.collect_set("date")).alias("dates"))
     grid = daily.select("endpoint_id").distinct().crossJoin(F.broadcast(dates)).select("endpoint_id", F.explode("dates").alias("date"))
     full = grid.join(daily, ["date", "endpoint_id"], "left")
-    return full.select("date", "endpoint_id", F.coalesce("rank", F.lit(2001)).alias("rank"), F.round(F.coalesce("share", F.lit(0.0)), 9).alias("share"))
+    return full.select("date", "endpoint_id", F.coalesce("rank", F.lit(2001)).alias("rank"), panels.rounded(F.coalesce("share", F.lit(0.0)), 9).alias("share"))
 
 
 @query("u7_unnest_members", f"WITH {SUPPLIERS} SELECT week_start, endpoint_id FROM weekly WHERE rank_w <= 5")

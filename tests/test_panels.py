@@ -115,6 +115,38 @@ def test_growth_that_is_rounded_to_nothing_keeps_its_sign(spark, tmp_path):
         assert any("-0.0" in row for row in want)
 
 
+def against_sql(spark, folder, name, rows):
+    """Rows of a query and of its SQL as sorted text, on a lineitem of (supplier, date, price)."""
+    import duckdb
+
+    from ladderlens import catalog
+
+    lines = spark.createDataFrame([(s, s, dt.datetime.combine(d, dt.time()), x) for s, d, x in rows], "l_suppkey long, l_partkey long, l_shipdate timestamp, l_extendedprice double")
+    lines.write.parquet(f"{folder}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{folder}/lineitem.parquet/*.parquet'")
+    want = con.execute(catalog.ORACLE[name])
+    got = catalog.QUERIES[name](spark, str(folder)).select([c[0] for c in want.description]).collect()
+    return sorted(map(repr, map(tuple, got))), sorted(map(repr, want.fetchall()))
+
+
+def half_shares():
+    """A week's prices that add up to 10^8, most of whose shares have a 5 after the ninth digit."""
+    own = [(s, week(0), (2 * s + 1) * 7 / 20) for s in range(1500)]
+    return [*own, (9999, week(0), round(1e8 - sum(x for _, _, x in own), 2))]
+
+
+def test_shares_of_a_weekly_panel_are_rounded_as_sql_does(spark, tmp_path):
+    got, want = against_sql(spark, tmp_path, "a2_weekly_panel", half_shares())
+    assert got == want and len(got) == 1501
+
+
+def test_panel_totals_are_exact_in_any_order(spark):
+    for parts in (1, 7):
+        df = spark.range(200_000, numPartitions=parts).select(F.lit(DAY).alias("p"), F.col("id").cast("string").alias("endpoint_id"), F.lit(500000.01).alias("x"))
+        assert panels.panel(df, ("p", "x", "t", "s", "r")).agg(F.collect_set("t")).first()[0] == [100000002000.0]
+
+
 def test_panel_totals_and_ranks(spark):
     df = spark.range(500).select(F.lit(DAY).alias("p"), F.col("id").cast("string").alias("endpoint_id"), F.pmod(F.xxhash64("id"), F.lit(30)).cast("double").alias("x"))
     got = panels.panel(df, ("p", "x", "t", "s", "r"))
