@@ -55,13 +55,13 @@ def s8(spark, d):
 def s9(spark, d):
     """A panel with other names and a rank that is mostly null gets all its columns."""
     odd = user_days(spark, d).select(F.col("date").alias("Day"), F.col("endpoint_id").alias("page_id"), F.col("metric_value").alias("interactions"), F.when(F.col("rank") < 3, F.col("rank")).alias("rank"))
-    return readers.fill_panel(readers.coerce(readers.resolve_columns(odd))).withColumns({"share": F.round("share", 9)})
+    return readers.fill_panel(readers.coerce(readers.resolve_columns(odd))).withColumns({"share": panels.rounded("share", 9)})
 
 
 @query("s10_standardize_long", f"WITH {SUPPLIERS} SELECT endpoint_id AS id, week_start AS time, CAST(rank() OVER (PARTITION BY week_start ORDER BY weekly_metric DESC) AS INTEGER) AS rank, round(weekly_share, 9) AS share, weekly_metric AS metric FROM weekly")
 def s10(spark, d):
     """The long form (id, time, rank, share, metric), with least ranks."""
-    return readers.standardize_long(keep(supplier_sums(spark, d), "sums")).withColumns({"share": F.round("share", 9)})
+    return readers.standardize_long(keep(supplier_sums(spark, d), "sums")).withColumns({"share": panels.rounded("share", 9)})
 
 
 @query("s11_rename_stats", f"WITH {SUPPLIERS} SELECT rank_w AS k, round(avg(weekly_share), 9) AS mean_share, count(*) AS n FROM weekly GROUP BY 1")

@@ -147,6 +147,11 @@ def test_panel_totals_are_exact_in_any_order(spark):
         assert panels.panel(df, ("p", "x", "t", "s", "r")).agg(F.collect_set("t")).first()[0] == [100000002000.0]
 
 
+def test_shares_of_the_long_form_are_rounded_as_sql_does(spark, tmp_path):
+    got, want = against_sql(spark, tmp_path, "s10_standardize_long", half_shares())
+    assert got == want and len(got) == 1501
+
+
 def test_weekly_sums_at_half_a_cent_and_at_4096_are_coerced_as_in_sql(spark, tmp_path):
     rows = [(s, week(0), (2 * s + 1) / 200 + d) for s in range(400) for d in (0.0, 1000.13)]  # two of a supplier: their order doesn't matter
     rows += [(1000 + s, week(0), x) for s, x in enumerate([4100.0, 4096.0, 4096.0, 4250.5, 4095.99])]
