@@ -152,6 +152,13 @@ def test_shares_of_the_long_form_are_rounded_as_sql_does(spark, tmp_path):
     assert got == want and len(got) == 1501
 
 
+def test_previous_ranks_around_a_sum_of_4096_are_those_of_sql(spark, tmp_path):
+    prices = [4300.0, 4250.5, 4096.01, 4096.0, 4096.0, 4095.99, 4095.0, 64.0]
+    rows = [(s, week(w), x) for w in range(3) for s, x in enumerate(prices[w:] + prices[:w])]
+    got, want = against_sql(spark, tmp_path, "j13_previous_week_rank", rows)
+    assert got == want and len(got) == 24
+
+
 def test_weekly_sums_at_half_a_cent_and_at_4096_are_coerced_as_in_sql(spark, tmp_path):
     rows = [(s, week(0), (2 * s + 1) / 200 + d) for s in range(400) for d in (0.0, 1000.13)]  # two of a supplier: their order doesn't matter
     rows += [(1000 + s, week(0), x) for s, x in enumerate([4100.0, 4096.0, 4096.0, 4250.5, 4095.99])]
